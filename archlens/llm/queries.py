@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archlens.llm import quality, sharding
+from archlens.llm import packing, quality, sharding, tokencounts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +19,26 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir))
 
 
+def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencounts.prefix_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
     "op1_line_frequency": op1_line_frequency,
+    "op2_nnls_packing": op2_nnls_packing,
+    "op3_prefix_counts": op3_prefix_counts,
     "op7_rendezvous": op7_rendezvous,
 }
 
