@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archlens.llm import packing, quality, sharding, tokencounts
+from archlens.llm import packing, quality, sharding, substrings, suffixes, tokencounts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,11 +35,21 @@ def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
+def op9_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
+
+
+def op10_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_documents(spark, sf_dir)).drop("kept")
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_nnls_packing": op2_nnls_packing,
     "op3_prefix_counts": op3_prefix_counts,
     "op7_rendezvous": op7_rendezvous,
+    "op9_suffix_automata": op9_suffix_automata,
+    "op10_suffix_sort": op10_suffix_sort,
 }
 
 ORACLES: dict[str, str] = {
