@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at once (a longer document is one slice).
 SLICE_BYTES = 1 << 20
@@ -136,3 +137,22 @@ def arrow_ddl(ddl: str) -> pa.Schema:
     """The Arrow schema of a flat DDL string of our result types."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(","))])
+
+
+def sketch(ids: DataFrame, column: str, bits: int = 23) -> DataFrame:
+    """A bitmap of the hashes in ``column``: at most 2**(bits - 6) rows (word, set), however many ids there are."""
+    at = F.pmod(F.col(column), F.lit(1 << bits))
+    return ids.select((at / 64).cast("int").alias("_word"), (at % 64).cast("int").alias("_bit")).groupBy("_word").agg(
+        F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_set"))
+
+
+def maybe_in(df: DataFrame, column: str, bitmap: DataFrame, name: str = "maybe", bits: int = 23) -> DataFrame:
+    """``df`` with a boolean that is true for every row whose hash is in the bitmap, and for few others.
+
+    The bitmap is broadcast; its size has a fixed bound.  A full bitmap lets all rows through.
+    """
+    at = F.pmod(F.col(column), F.lit(1 << bits))
+    with_word = df.withColumn("_at", (at / 64).cast("int"))
+    joined = with_word.join(F.broadcast(bitmap), F.col("_at") == F.col("_word"), "left")
+    hit = F.col("_set").isNotNull() & (F.getbit("_set", (at % 64).cast("int")) == 1)
+    return joined.withColumn(name, hit).drop("_at", "_word", "_set")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archlens.llm import packing, quality, sharding, substrings, suffixes, tokencounts
+from archlens.llm import jaccard, packing, quality, sharding, substrings, suffixes, tokencounts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op3_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.prefix_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_documents(spark, sf_dir))
+
+
 def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_nnls_packing": op2_nnls_packing,
     "op3_prefix_counts": op3_prefix_counts,
+    "op5_signature_trees": op5_signature_trees,
     "op7_rendezvous": op7_rendezvous,
     "op9_suffix_automata": op9_suffix_automata,
     "op10_suffix_sort": op10_suffix_sort,
