@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archlens.llm import jaccard, packing, quality, sharding, substrings, suffixes, tokencounts
+from archlens.llm import decontamination, jaccard, language, packing, quality, sharding, substrings, suffixes, tokencounts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op3_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.prefix_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_bloom_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_documents(spark, sf_dir))
+
+
 def op5_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_documents(spark, sf_dir))
 
@@ -39,6 +43,10 @@ def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
+def op8_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
 
@@ -51,8 +59,10 @@ QUERIES: dict[str, Query] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_nnls_packing": op2_nnls_packing,
     "op3_prefix_counts": op3_prefix_counts,
+    "op4_bloom_language": op4_bloom_language,
     "op5_signature_trees": op5_signature_trees,
     "op7_rendezvous": op7_rendezvous,
+    "op8_pigeonhole_edits": op8_pigeonhole_edits,
     "op9_suffix_automata": op9_suffix_automata,
     "op10_suffix_sort": op10_suffix_sort,
 }
