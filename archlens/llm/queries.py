@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archlens.llm import decontamination, jaccard, language, packing, quality, sharding, substrings, suffixes, tokencounts
+from archlens.llm import contexttree, decontamination, jaccard, language, packing, quality, sharding, substrings, suffixes, tokencounts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op5_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contexttree.score(_documents(spark, sf_dir))
+
+
 def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op3_prefix_counts": op3_prefix_counts,
     "op4_bloom_language": op4_bloom_language,
     "op5_signature_trees": op5_signature_trees,
+    "op6_context_tree": op6_context_tree,
     "op7_rendezvous": op7_rendezvous,
     "op8_pigeonhole_edits": op8_pigeonhole_edits,
     "op9_suffix_automata": op9_suffix_automata,
