@@ -16,7 +16,7 @@ to the first language in order; without training rows every text is ``und``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -149,10 +149,17 @@ def shares(f: Filter, codes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarr
     return np.clip(out, 0, 1)
 
 
-def predict(docs: DataFrame, f: Filter) -> DataFrame:
-    """Rows (doc_id, held_out, lang_pred, score) of all rows."""
+def predict(docs: DataFrame, f: Filter, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows (doc_id, held_out, lang_pred, score) of all rows; with ``keep``, these columns of ``docs`` and the last two."""
     shared = docs.sparkSession.sparkContext.broadcast(f)
-    ddl = "doc_id long, held_out boolean, lang_pred string, score double"
+    if keep:
+        rows = docs.select(*keep)
+        names = list(keep)
+    else:
+        rows = docs.select("doc_id", F.coalesce(~training(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
+        names = ["doc_id", "held_out"]
+    kinds = dict(rows.dtypes)
+    ddl = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "lang_pred string, score double"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
@@ -167,11 +174,10 @@ def predict(docs: DataFrame, f: Filter) -> DataFrame:
                 for i in np.flatnonzero(~lettered):
                     lettered[i] = any(map(str.isalpha, part.column("text")[int(i)].as_py() or ""))
                 known = lettered & bool(f.languages)
-                names = [f.languages[b] if k else "und" for b, k in zip(best, known)]
-                score = np.where(known, found[np.arange(len(best)), best], 0.0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(score)], schema=arrow_ddl(ddl))
+                labels = pa.array([f.languages[b] if k else "und" for b, k in zip(best, known)], pa.string())
+                score = pa.array(np.where(known, found[np.arange(len(best)), best], 0.0))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), labels, score], names=[*names, "lang_pred", "score"])
 
-    rows = docs.select("doc_id", F.coalesce(~training(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(decide, ddl)
 
 

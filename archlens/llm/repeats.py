@@ -18,7 +18,7 @@ doc_id don't disturb each other.  Equality of whole runs rests on two 64-bit has
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -70,10 +70,10 @@ def symbols(data: np.ndarray, offsets: np.ndarray, unit: Unit) -> tuple[np.ndarr
     return span_hash(prefix_hashes(BYTE_VALUE[data]), starts, ends), bounds, starts, ends
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """doc_id (null: the least long), text (null: empty) and text_hash."""
+def identified(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id (null: the least long), text (null: empty), text_hash and the columns ``keep``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), *keep)
 
 
 def run_rows(docs: DataFrame, unit: Unit) -> DataFrame:
@@ -90,7 +90,7 @@ def run_rows(docs: DataFrame, unit: Unit) -> DataFrame:
                 columns = [*ids, r.key.view(np.int64), r.content.view(np.int64), r.start - offsets[row], r.count, r.place]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type, safe=False) for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.mapInArrow(find, _RUNS)
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(find, _RUNS)
 
 
 def _texts(reps: DataFrame, docs: DataFrame, unit: Unit) -> DataFrame:
@@ -177,7 +177,8 @@ def repeated_runs(docs: DataFrame, unit: Unit, resolve: Resolver, most_runs: int
     """
     rows = run_rows(docs, unit)
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
-    keys = keys.select("key", (F.col("low") == F.col("high")).alias("alike"))
+    # a table of its own, so that Spark can split a frequent key's rows in the join
+    keys = saved(keys.select("key", (F.col("low") == F.col("high")).alias("alike")), "keys")
     shared = saved(rows.join(keys, "key"), "runs")
     whole = shared.where("alike").select("doc_id", "text_hash", "start", "windows", F.lit(None).cast("binary").alias("flags"))
     unlike = shared.where("NOT alike")
@@ -197,7 +198,7 @@ def covered(rows: DataFrame, docs: DataFrame) -> DataFrame:
     spans = rows.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.collect_list(F.struct("start", "windows", "flags"))).alias("spans"))
     joined = docs.join(spans, ["doc_id", "text_hash"], "left")
     return joined.select(
-        *(c for c in docs.columns), F.col("spans.start").alias("starts"), F.col("spans.windows").alias("windows"), F.col("spans.flags").alias("flags"))
+        *docs.columns, F.col("spans.start").alias("starts"), F.col("spans.windows").alias("windows"), F.col("spans.flags").alias("flags"))
 
 
 def removal_mask(n: int, starts: list[int] | None, windows: list[int], flags: list[bytes | None], window: int) -> np.ndarray:

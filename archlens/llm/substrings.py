@@ -16,7 +16,7 @@ repeats of each other; texts are judged on the input; extra columns are passed o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import compress
 
 import numpy as np
@@ -122,26 +122,26 @@ def resolve(segments: list[Segment], unit: Unit) -> list[np.ndarray]:
 _OUT = "n_words long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) with n_words, n_removed, n_spans, kept_sha256 and kept_text.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: Sequence[str] = ()) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) with n_words, n_removed, n_spans, kept_sha256, kept_text and the columns ``keep``.
 
     kept_sha256 is that of the kept words joined by one space; kept_text is the text
     without the removed words and the white space behind them.
     """
     unit = Unit(True, window, gram)
-    rows = identified(docs)
-    joined = covered(repeated_runs(rows, unit, resolve), rows)
-    ddl = f"doc_id long, text_hash long, {_OUT}"
+    joined = covered(repeated_runs(identified(docs), unit, resolve), identified(docs, keep))
+    kinds = dict(docs.dtypes)
+    ddl = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in keep), _OUT])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_ddl(ddl)
+        schema = arrow_ddl(_OUT)
         for batch in batches:
             for part in slices(batch):
                 data, offsets = utf8(part.column("text"))
                 starts, _, bounds = word_bounds(data, offsets)
                 raw, out = data.tobytes(), []
-                lists = (part.column(c).to_pylist() for c in ("doc_id", "text_hash", "starts", "windows", "flags"))
-                for row, (doc_id, text_hash, first, windows, flags) in enumerate(zip(*lists)):
+                lists = (part.column(c).to_pylist() for c in ("starts", "windows", "flags"))
+                for row, (first, windows, flags) in enumerate(zip(*lists)):
                     text = raw[offsets[row] : offsets[row + 1]]
                     words = text.split()
                     gone = removal_mask(len(words), first, windows, flags, window)
@@ -152,8 +152,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                         head = text[: cuts[0]]
                         kept_text = head + b"".join([text[cuts[i] : cuts[i + 1]] for i in np.flatnonzero(~gone)])
                     spans = int((gone[1:] & ~gone[:-1]).sum()) + int(gone[:1].sum())
-                    out.append((doc_id, text_hash, len(gone), removed, spans, digest(b" ".join(words)), kept_text.decode()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    out.append((len(gone), removed, spans, digest(b" ".join(words)), kept_text.decode()))
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*out), schema)]
+                names = ["doc_id", *keep, *schema.names]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names[: len(keep) + 1]), *columns], names=names)
 
     done = joined.mapInArrow(cut, ddl)
     return done.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
