@@ -58,7 +58,7 @@ def import_facts(files: DataFrame) -> DataFrame:
     statements = F.arrays_zip(all_of(text, head, 1).alias("t"), all_of(text, head, 2).alias("c"), all_of(text, head, 3).alias("s"))
     rows = files.select(F.col("path").alias("file"), F.posexplode(statements).alias("pos", "x")).select(
         "file", "pos", (F.col("x.t") != "").alias("type_only"), F.col("x.c").alias("clause"), F.col("x.s").alias("specifier"))
-    listed = F.filter(F.transform(F.split(F.regexp_extract("clause", r"\{([^}]*)\}", 1), ","), F.trim), lambda n: n != "")
+    listed = F.filter(F.transform(F.split(F.regexp_extract("clause", r"\{([^}]*)\}", 1), ","), lambda n: F.trim(n)), lambda n: n != "")
     plain = lambda n: F.regexp_replace(n, r"^type\s+", "")
     part = lambda kind, name, alias, only: F.struct(kind.alias("kind"), name.alias("name"), alias.alias("alias"), only.alias("only"))
     none = F.lit(None).cast("string")
