@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archlens.llm import contexttree, decontamination, jaccard, language, packing, quality, sharding, substrings, suffixes, tokencounts
+from archlens.llm import contexttree, decontamination, jaccard, language, oracles, packing, quality, sharding, substrings, suffixes, tokencounts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,5 +74,8 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op1_line_frequency": quality.ORACLE,
+    "op5_signature_trees": oracles.NEAR_DUPLICATES,
     "op7_rendezvous": sharding.oracle(),
+    "op9_suffix_automata": oracles.repeated_words(substrings.WINDOW),
+    "op10_suffix_sort": oracles.repeated_bytes(suffixes.WINDOW),
 }
