@@ -110,6 +110,21 @@ def test_scan(spark, tmp_path):
     assert found == {p: t for p, t in FILES.items() if not p.startswith("node_modules")}
 
 
+def test_command_writes_once(spark, tmp_path):
+    from archlens.plans import cli
+
+    for path, text in FILES.items():
+        (tmp_path / "src" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / path).write_text(text)
+    run = lambda: cli.analyse(spark, f"{tmp_path}/src", "app", f"{tmp_path}/out")
+    assert [run(), run()] == ["written", "unchanged"]
+    (tmp_path / "src/components/nav.tsx").write_text(FILES["components/nav.tsx"] + "export function Extra() { return 1; }\n")
+    assert run() == "written"
+    assert spark.read.json(f"{tmp_path}/out/components").count() == 13
+    a = cli.parser().parse_args(["--root", "x", "--no-cache"])
+    assert (a.root, a.app_dir, a.no_cache) == ("x", "app", True)
+
+
 def test_params(spark):
     from archlens.functions import extract
 
