@@ -1,8 +1,8 @@
 """Exact token counts at every prefix of a text, for BPE models of the sentencepiece kind.
 
 No piece of such a model holds a space behind another character or a line feed,
-so a text falls into chunks (spaces and the word after them; a line feed) that
-are tokenised independently.  Inside a chunk, dynamic programming runs over the
+and mostly none joins a Latin letter to another sign, so a text falls into chunks (spaces
+and the letters or signs after them; a line feed) that are tokenised independently.  Inside a chunk, dynamic programming runs over the
 prefixes: the encoding of a prefix ends with the one piece that is compatible
 with the last piece of the encoding before it, two pieces being compatible when
 the merge rules keep them apart.  So one left-to-right pass gives the count of
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,11 @@ from pyspark.sql import DataFrame
 
 from archlens.llm.common import arrow_ddl, slices
 
-CHUNKS = re.compile(r" *[^ \n]+|\n| +")
-#: Chunks whose counts a task remembers; the memory starts anew beyond that.
-MOST_CHUNKS = 400_000
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Chunks whose counts a task remembers; beyond that the newest quarter is forgotten, as frequent chunks come early.
+MOST_CHUNKS = 1_000_000
+#: Pairs of pieces whose compatibility a task remembers.
+MOST_PAIRS = 2_000_000
 
 
 class PrefixCounter:
@@ -44,9 +47,14 @@ class PrefixCounter:
         bad = [p for p in self.score if "\n" in p or " " in p.lstrip(" ")]
         if bad:
             raise ValueError(f"pieces that cross chunks: {bad[:3]}")
-        self.longest = max(map(len, self.score))
+        # where no piece joins a Latin letter to anything but letters and spaces before them, a run of letters is a chunk
+        latin = re.compile(f"[{LATIN}]")
+        joins = any(a != " " and bool(latin.match(a)) != bool(latin.match(b)) for p in self.score for a, b in zip(p, p[1:]))
+        self.chunks = re.compile(r" *[^ \n]+|\n| +" if joins else rf" *[{LATIN}]+| *[^ \n{LATIN}]+|\n| +")
         self.apart: dict[tuple[str, str], bool] = {}
-        self.whole = {p for p in self.score if self.merged(p) == [p]}
+        # every beginning of a piece, and whether it is a piece that the rules make
+        self.start = {p[:i]: False for p in self.score for i in range(1, len(p))}
+        self.start |= {p: self.merged(p) == [p] for p in self.score}
         self.known: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -62,35 +70,44 @@ class PrefixCounter:
     def compatible(self, left: str, right: str) -> bool:
         known = self.apart.get((left, right))
         if known is None:
+            if len(self.apart) > MOST_PAIRS:
+                self.apart.clear()
             known = self.apart[left, right] = self.merged(left + right) == [left, right]
         return known
 
     def deltas(self, chunk: str) -> bytes:
         """For every character, by how much it changes the count (signed bytes)."""
-        counts, last = [0], [None]
-        for end in range(1, len(chunk) + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = chunk[start:end]
-                if piece in self.whole and (start == 0 or last[start] is None or self.compatible(last[start], piece)):
-                    counts.append(counts[start] + 1)
-                    last.append(piece)
+        n = len(chunk)
+        counts, last = [0] * (n + 1), [""] * (n + 1)
+        known, apart = self.start, self.apart
+        for at in range(n):
+            before, count = last[at], counts[at] + 1
+            for end in range(at + 1, n + 1):
+                piece = chunk[at:end]
+                whole = known.get(piece)
+                if whole is None:
                     break
-            else:  # no piece has this character: its bytes stand for it
-                counts.append(counts[end - 1] + len(chunk[end - 1].encode("utf-8", "surrogatepass")))
-                last.append(None)
-        return array("b", (b - a for a, b in zip(counts, counts[1:]))).tobytes()
+                if whole and not last[end]:
+                    fits = not before or apart.get((before, piece))
+                    if fits is None:
+                        fits = self.compatible(before, piece)
+                    if fits:
+                        counts[end], last[end] = count, piece
+            if not counts[at + 1]:  # no piece ends here: the character's bytes stand for it
+                counts[at + 1] = counts[at] + len(chunk[at].encode("utf-8", "surrogatepass"))
+        return array("b", map(int.__sub__, counts[1:], counts)).tobytes()
 
     def prefix_deltas(self, text: str) -> np.ndarray:
         """Entry p: tokens of text[:p + 1] less those of text[:p]."""
         if not text:
             return np.zeros(0, np.int8)
-        chunks = CHUNKS.findall(" " + text.replace("▁", " "))
+        chunks = self.chunks.findall(" " + text.replace("▁", " "))
         known = self.known
         try:
             joined = b"".join([known[c] for c in chunks])
         except KeyError:
             if len(known) > MOST_CHUNKS:
-                known.clear()
+                known = self.known = dict(islice(known.items(), MOST_CHUNKS * 3 // 4))
             for c in chunks:
                 if c not in known:
                     known[c] = self.deltas(c)
