@@ -123,3 +123,9 @@ def collected(stream: DataFrame, keys: tuple[str, ...] = ("component",)) -> Data
     query.awaitTermination()
     rows = spark.read.parquet(f"{folder}/rows")
     return keep_last(rows, list(keys), ["_batch"]).drop("_batch")
+
+
+def running_mean(events: DataFrame) -> DataFrame:
+    """Render events with the mean of their component's durations so far."""
+    so_far = Window.partitionBy("component").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.where("event = 'render'").withColumn("average_render", F.avg("duration").over(so_far))

@@ -171,6 +171,11 @@ def test_merge_of_halves_is_the_fold_of_a_first_mount(spark):
     assert (halves.first().mount_count, halves.first().render_count) == (whole.mount_count, whole.render_count)
 
 
+def test_running_mean(spark):
+    df = events(spark, [("a", "render", 2.0), ("b", "render", 8.0), ("a", "render", 4.0), ("a", "mount", None)])
+    assert [r.average_render for r in runtime.running_mean(df).orderBy("seq").collect()] == [2.0, 8.0, 3.0]
+
+
 def test_as_of(spark):
     mounts = spark.createDataFrame([("s", T0, 1, "m1"), ("s", T0 + timedelta(seconds=5), 5, "m2"), ("t", T0, 1, "m3")], "session string, ts timestamp, seq long, id string")
     changes = spark.createDataFrame([("s", T0 + timedelta(seconds=2), 2, "/a"), ("s", T0 + timedelta(seconds=5), 4, "/b")], "session string, ts timestamp, seq long, route string")

@@ -110,6 +110,40 @@ def test_scan(spark, tmp_path):
     assert found == {p: t for p, t in FILES.items() if not p.startswith("node_modules")}
 
 
+def test_graph_views(tables):
+    from archlens.operators import graph_views
+
+    nodes, links = graph_views.view("detail", tables, "/users")
+    at = {r.id: (r.x, r.y) for r in nodes.collect()}
+    assert at == {"route::/users": (300, 0), "component::Nav": (300, 140), "grid::DataGrid": (210, 260), "grid::UsersPage": (390, 260), "util::formatName": (300, 380)}
+    pairs = {(r.source, r.target) for r in links.select("source", "target").collect()}
+    assert pairs == {("route::/users", i) for i in at if i != "route::/users"} | {("grid::UsersPage", "component::Nav")}
+    nodes, links = graph_views.view("reuse", tables)
+    assert nodes.count() == 5 and links.count() == 4 and nodes.where("x = 0").count() == 2
+    nodes, links = graph_views.view("detail", tables)
+    assert nodes.where("y = 0").count() == 4 and links.count() == nodes.where("y > 0").join(links, nodes["id"] == links["target"]).count()
+
+
+def test_symbols(spark):
+    from archlens.functions import extract
+    from archlens.operators import symbols
+
+    tree = {
+        "a.tsx": 'import { Button as B, Late } from "./lib"\nimport D from "./d"\nimport * as NS from "./d"\nexport function Own() { return <B><D/><NS.X/><Own/><Nope/><Late/></B> }\n',
+        "lib/index.ts": 'export { Button } from "./button"\nexport * from "./more"\n', "lib/button.tsx": 'export { Inner as Button } from "./inner"\n',
+        "lib/inner.tsx": "export function Inner() { return 1 }\n", "lib/more.ts": "export function Late() { return 1 }\nexport { Loop } from './index'\n", "d.tsx": "export default function D() { return 1 }\n",
+    }
+    files = spark.createDataFrame(list(tree.items()), "path string, content string")
+    imports, declared = extract.resolved(extract.import_facts(files), files), extract.declarations(files)
+    exports = extract.resolved(symbols.re_exports(files), files).select("file", "name", "original", F.col("resolved").alias("target"))
+    names = files.where("path = 'a.tsx'").select(F.col("path").alias("file"), F.explode(extract.all_of(F.col("content"), r"<([A-Z][\w.]*)")).alias("name"))
+    got = {r["name"]: (r.id, r.confidence) for r in symbols.resolve(names, imports, declared, exports).collect()}
+    assert got == {
+        "B": ("lib/inner.tsx#Inner", 0.85), "Late": ("lib/more.ts#Late", 0.85), "D": ("d.tsx#D", 0.8), "NS.X": ("d.tsx#NS", 0.75), "Own": ("a.tsx#Own", 0.95),
+    }
+    assert symbols.resolve(names, imports, declared).where("name = 'B'").first().id == "lib/index.ts#Button"
+
+
 def test_command_writes_once(spark, tmp_path):
     from archlens.plans import cli
 
