@@ -185,7 +185,7 @@ def repeated_runs(docs: DataFrame, unit: Unit, resolve: Resolver, most_runs: int
     first = F.min(F.struct("doc_id", "text_hash", "start", "windows", "place")).alias("first")
     reps = unlike.groupBy("key", "content").agg(F.count("*").alias("copies"), first).select("key", "content", "copies", "first.*")
     reps = saved(reps, "reps")
-    reps = reps.join(reps.groupBy("key").agg(F.count("*").alias("runs")), "key")
+    reps = reps.join(saved(reps.groupBy("key").agg(F.count("*").alias("runs")), "key_runs"), "key")
     segments = saved(_texts(reps, docs, unit), "segments")
     flags = _resolved(segments.where(F.col("runs") <= most_runs), unit, resolve)
     flags = flags.unionByName(_counted(segments.where(F.col("runs") > most_runs), unit))
