@@ -13,7 +13,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     if not large:
         both = both.where("v < u")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # a table of its own, so that Spark can split the rows of a node with very many neighbours in the join
+    least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     linked = both.join(least, "u")
     if large:
         out = linked.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
