@@ -26,42 +26,99 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archlens.llm.common import arrow_ddl, saved, slices
+from archlens.llm.common import BYTE_VALUE, arrow_ddl, prefix_hashes, saved, slices, span_hash, utf8, word_bounds
 from archlens.llm.sharding import slots
 
 #: From this length on, lengths are rounded up to a multiple of GRID for the plan.
 FINE, GRID = 256, 16
-#: Words whose ids a task remembers; the memory starts anew beyond that.
-MOST_WORDS = 400_000
+#: Words and parts of words whose ids a task remembers.
+MOST_WORDS, MOST_PARTS = 3_000_000, 1_000_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: White space for str.split that the tokenizer doesn't count as such.
-_ODD = re.compile("[\x1c-\x1f]")
-_SOLID = re.compile("[^ \t\n\r]+")
+#: Words that normalising only lowers, and the parts into which the tokenizer cuts them (fixed by the tokenizer's file).
+_LATIN = re.compile("[!-~\u00c0-\u00ff]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 _tokenizers: dict[str, tuple] = {}
 
 
 class WordIds:
-    """Ids of texts under a tokenizer that treats the words between white space alone."""
+    """Ids of texts under a tokenizer that treats the words between white space alone.
+
+    A word is known by a 64-bit hash; the words of a slice are looked up once each, in sorted arrays.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.parts: dict[str, bytes] = {}
+        self.hashes, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 20, "<u4"), 0
+
+    def _learn(self, words: list[list[str]]) -> None:
+        """Encode the new parts of words; the ids of a part end with the only one that closes a word."""
+        if len(self.parts) > MOST_PARTS:
+            self.parts = {}
+        parts = list({p for x in words for p in x if p not in self.parts})
+        for at in range(0, len(parts), 20_000):
+            block = parts[at : at + 20_000]
+            (encoded,) = self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)
+            ids = np.array(encoded.ids, "<u4")
+            ends, raw, first = np.flatnonzero(self.closing[ids]) + 1, ids.tobytes(), 0
+            if len(ends) != len(block):
+                raise ValueError("the tokenizer joins or drops words")
+            for part, end in zip(block, ends.tolist()):
+                self.parts[part] = raw[4 * first : 4 * end]
+                first = end
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of new words."""
+        latin = _LATIN.fullmatch
+        plain = [([w.lower()] if w.isalpha() else _PARTS.findall(w.lower())) if latin(w) and "<|" not in w else None for w in words]
+        self._learn([x for x in plain if x])
+        parts = self.parts
+        return [
+            (parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])) if x else np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            for w, x in zip(words, plain)
+        ]
+
+    def _insert(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Store the ids of new words; ``hashes`` are sorted."""
+        if len(self.hashes) > MOST_WORDS:  # the older half stays, as frequent words come early
+            old = self.start < self.used // 2
+            self.hashes, self.start, self.size = self.hashes[old], self.start[old], self.size[old]
+            self.used = int((self.start + self.size).max())
+        found = self._encoded(words)
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        new = np.frombuffer(b"".join(found), "<u4")
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(new)), "<u4")])
+        self.flat[self.used : self.used + len(new)] = new
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(sizes) - sizes)
+        self.size = np.insert(self.size, at, sizes)
+        self.used += len(new)
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [_SOLID.findall(t) if _ODD.search(t) else t.split() for t in texts]
-        known = self.known
-        if len(known) > MOST_WORDS:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            block = new[at : at + 20_000]
-            for word, e in zip(block, self.tokenizer.encode_batch(block, add_special_tokens=False)):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        starts, ends, bounds = word_bounds(data, offsets)
+        values, first, index = np.unique(span_hash(prefix_hashes(BYTE_VALUE[data]), starts, ends), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, values), max(0, len(self.hashes) - 1))
+        new = self.hashes[at] != values if len(self.hashes) else np.ones(len(values), bool)
+        if new.any():
+            raw = data.tobytes()
+            self._insert(values[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+        at = np.searchsorted(self.hashes, values)
+        if len(at) and not np.array_equal(self.hashes[np.minimum(at, len(self.hashes) - 1)], values):  # some were forgotten just now
+            return self.ids(data, offsets)
+        start, size = self.start[at][index], self.size[at][index]
+        before = np.concatenate([[0], np.cumsum(size)])
+        flat = self.flat[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
+        return np.split(flat, before[bounds[1:-1]]) if len(offsets) > 1 else []
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFrame:
@@ -77,9 +134,8 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFra
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), known.ids(texts)):
-                    ids += end
+                for doc_id, found in zip(part.column("doc_id").to_pylist(), known.ids(*utf8(part.column("text")))):
+                    ids = found.tobytes() + end
                     total = len(ids) // 4
                     for at in range(0, total, window):
                         piece = ids[4 * at : 4 * (at + window)]
