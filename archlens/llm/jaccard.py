@@ -14,8 +14,9 @@ to a row, and a task sends a key that many of its sets have only once.
 Trees.  Sets connected by keys form groups.  A group's sets are the leaves of a
 signature tree whose nodes hold the OR of the token bitmaps and the range of sizes;
 a dual traversal drops pairs of nodes whose greatest possible overlap is too small,
-or that are connected already, and compares the rest exactly.  Groups above a
-bound are cut into blocks, and pairs of blocks are traversed.
+or that are connected already, and compares the rest exactly.  In a group
+above a bound, every set is compared with one hub first; what links with it is one
+component, and only the rest is compared, in blocks, with itself and with that component.
 
 Defined results: null or empty texts and texts without words have no shingles and
 link with nothing; each such row is its own component; equal sets always link;
@@ -37,7 +38,7 @@ from archlens.llm.components import components
 WORDS = 5
 #: Entries (key, node) that a task packs at once.
 PACK = 1 << 19
-#: Sets of a group that one task compares; larger groups are cut into blocks of half as many.
+#: Sets of a group that one task compares; a larger group is compared with its hub first, then in blocks of half as many.
 MOST_SETS = 16_000
 #: Bits of a token bitmap, children of a tree node, sets of a leaf.
 BITS, FANOUT, LEAF = 2048, 8, 16
@@ -250,9 +251,12 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def forest(sets: list[np.ndarray], sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect the sets as all links do; with ``sides`` only links between the two sides count."""
+    """Links that connect the sets as all links do; with ``sides`` only links between two sides count (see ALL)."""
     tree = SignatureTree(sets)
     root = np.arange(len(sets))
+    if sides is not None:
+        tied = np.flatnonzero(sides == CONNECTED)
+        root[tied] = tied[:1]
     found: list[tuple[int, int]] = []
 
     def find(i: int) -> int:
@@ -269,10 +273,19 @@ def forest(sets: list[np.ndarray], sides: np.ndarray | None = None) -> list[tupl
             root[:] = up
 
     def compare(a: np.ndarray, b: np.ndarray) -> None:
-        """Single sets that may link."""
+        """Single sets that may link: two leaves' pairs at once when there are many."""
+        able = None
+        if len(a) > 8:
+            both = np.unique(np.concatenate([a, b]))
+            _, token = np.unique(np.concatenate([sets[i] for i in both]), return_inverse=True)
+            held = np.zeros((len(both), token.max() + 1), np.float32)
+            held[np.repeat(np.arange(len(both)), tree.sizes[both]), token] = 1
+            overlap = np.rint(held @ held.T)[np.searchsorted(both, a), np.searchsorted(both, b)]
+            able = 100 * overlap >= 80 * (tree.sizes[a] + tree.sizes[b] - overlap)
+            a, b = a[able], b[able]
         for i, j in zip(a.tolist(), b.tolist()):
             x, y = find(i), find(j)
-            if x != y and (sides is None or sides[i] != sides[j]) and linked(sets[i], sets[j]):
+            if x != y and (sides is None or sides[i] != sides[j]) and (able is not None or linked(sets[i], sets[j])):
                 root[max(x, y)] = min(x, y)
                 found.append((i, j))
 
@@ -311,36 +324,88 @@ def forest(sets: list[np.ndarray], sides: np.ndarray | None = None) -> list[tupl
     return found
 
 
-def _blocks(groups: DataFrame) -> DataFrame:
-    """Rows (node, label, size, unit, side): the tasks that a node takes part in."""
-    sizes = groups.groupBy("label").agg(F.count("*").alias("members"))
-    rows = groups.join(sizes, "label")
-    small = rows.where(F.col("members") <= MOST_SETS).select("node", F.col("label").alias("unit"), F.lit(-1).alias("side"))
-    blocks = F.ceil(F.col("members") / (MOST_SETS // 2)).cast("int")
-    large = rows.where(F.col("members") > MOST_SETS).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = large.select("node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    unit = F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other"))
-    return small.unionByName(pairs.select("node", unit.alias("unit"), F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side")))
+def _stars(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same components as stars: (node, least node) for every node but the least."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while root.setdefault(i, i) != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [(i, find(i)) for i in root if find(i) != i]
+
+
+#: Sides of a task's sets: compared with all, on one of two sides, or on a side that is connected already.
+ALL, LEFT, RIGHT, CONNECTED = -1, 0, 1, 2
+
+
+def _block(rows: DataFrame, count: str) -> DataFrame:
+    """``rows`` (node, label, ...) with blocks, how many its label has, and block, the node's own."""
+    blocks = F.ceil(F.col(count) / (MOST_SETS // 2)).cast("int")
+    return rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _units(lost: DataFrame, tied: DataFrame) -> DataFrame:
+    """Rows (node, unit, side): the tasks of large groups.
+
+    lost are the nodes (node, label) not linked with their hub, tied those that are.
+    Pairs of blocks of lost nodes, and pairs of a block of lost with one of tied nodes,
+    are a task each; tied nodes needn't be compared with each other.
+    """
+    lost_blocks = lost.groupBy("label").agg(F.count("*").alias("lost"))
+    tied_blocks = tied.groupBy("label").agg(F.count("*").alias("tied"))
+    counts = saved(lost_blocks.join(tied_blocks, "label", "left").withColumn("tied", F.coalesce("tied", F.lit(0))), "block_counts")
+    left, right = _block(lost.join(counts, "label"), "lost"), _block(tied.join(counts, "label"), "tied")
+    unit = lambda kind, a, b: F.xxhash64(F.lit(kind), "label", a, b).alias("unit")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias("other")
+    among = left.select("node", "label", "block", each(F.col("blocks")))
+    side = F.when(F.col("block") == F.col("other"), ALL).when(F.col("block") < F.col("other"), LEFT).otherwise(RIGHT)
+    among = among.select("node", unit("lost", F.least("block", "other"), F.greatest("block", "other")), side.alias("side"))
+    tied_count = F.ceil(F.col("tied") / (MOST_SETS // 2)).cast("int")
+    from_left = left.where("tied > 0").select("node", "label", "block", each(tied_count)).select("node", unit("tied", F.col("block"), F.col("other")), F.lit(LEFT).alias("side"))
+    lost_count = F.ceil(F.col("lost") / (MOST_SETS // 2)).cast("int")
+    from_right = right.select("node", "label", "block", each(lost_count)).select("node", unit("tied", F.col("other"), F.col("block")), F.lit(CONNECTED).alias("side"))
+    return among.unionByName(from_left).unionByName(from_right)
+
+
+def _hub_links(sets: DataFrame, groups: DataFrame, near: DataFrame) -> DataFrame:
+    """Rows (node, label, hub, linked): each node of the large groups against the hub that shares keys with most nodes."""
+    degree = near.join(groups.select(F.col("node").alias("b"), "label"), "b").groupBy("label", "b").agg(F.count("*").alias("n"))
+    hub = degree.groupBy("label").agg(F.max_by("b", F.struct("n", "b")).alias("hub"))
+    hubs = saved(hub.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub"), "hubs")
+    pairs = groups.join(sets, "node").join(hubs, "label")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = zip(batch.column("shingles").to_pylist(), batch.column("hub_shingles").to_pylist())
+            found = [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in pair]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "label", "hub")), pa.array(found, pa.bool_())], names=["node", "label", "hub", "linked"])
+
+    return pairs.select("node", "label", "hub", "shingles", "hub_shingles").mapInArrow(compare, "node long, label long, hub long, linked boolean")
 
 
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes that connect them as all exact links do."""
     members = saved(key_members(docs), "members")
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
-    near = members.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = saved(members.groupBy("key").agg(F.min("node").alias("hub")), "key_hubs")
+    near = saved(members.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "near")
     groups = saved(components(near), "groups")
-    tasks = _blocks(groups)
     first = rows.join(groups.select("node"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("node", "first.*")
     first = saved(first, "first")
     texts = maybe_in(docs, "text_hash", sketch(first, "text_hash")).where("maybe").join(first, ["doc_id", "text_hash"])
-    texts = texts.dropDuplicates(["node"]).select("node", "text").join(tasks, "node").select("node", "text", "unit", "side")
+    texts = texts.dropDuplicates(["node"]).select("node", "text")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_ddl("node long, unit long, side int, shingles binary")
+        schema = arrow_ddl("node long, shingles binary")
         for batch in batches:
             for part in slices(batch):
                 sets = [s.tobytes() for s in shingle_sets(*utf8(part.column("text")))]
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("unit"), part.column("side"), pa.array(sets, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], schema=schema)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_ddl("a long, b long")
@@ -349,11 +414,13 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             sets = [np.frombuffer(s, np.uint64) for _, _, s in held]
-            # similar sets next to each other: by size, then by their least shingle
+            # similar sets next to each other: by their least shingle, then by size
             order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))
             sides = np.array([held[i][1] for i in order])
-            found = forest([sets[i] for i in order], None if (sides < 0).all() else sides)
+            found = forest([sets[i] for i in order], None if (sides == ALL).all() else sides)
             pairs = [(held[order[i]][0], held[order[j]][0]) for i, j in found]
+            if (sides == ALL).all():  # the whole group is here, so its components are known
+                pairs = _stars(pairs)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=schema)
 
         for batch in batches:
@@ -366,8 +433,18 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    sets = texts.mapInArrow(shingles, "node long, unit long, side int, shingles binary")
-    return sets.repartition("unit").sortWithinPartitions("unit").mapInArrow(join, "a long, b long")
+    sets = saved(texts.mapInArrow(shingles, "node long, shingles binary"), "shingles")
+    sizes = saved(groups.groupBy("label").agg(F.count("*").alias("members")), "group_sizes")
+    sized = groups.join(sizes, "label")
+    tasks = sized.where(F.col("members") <= MOST_SETS).select("node", F.col("label").alias("unit"), F.lit(ALL).alias("side"))
+    large = saved(sized.where(F.col("members") > MOST_SETS).select("node", "label"), "large")
+    stars = None
+    if not large.isEmpty():
+        against = saved(_hub_links(sets, large, near), "against_hub")
+        stars = against.where("linked AND node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        tasks = tasks.unionByName(_units(against.where("NOT linked").select("node", "label"), against.where("linked").select("node", "label")))
+    found = tasks.join(sets, "node").repartition("unit").sortWithinPartitions("unit").mapInArrow(join, "a long, b long")
+    return found if stars is None else found.unionByName(stars)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -377,6 +454,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = saved(set_rows(docs), "sets")
     labels = components(saved(links(docs, rows), "links"))
     labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = labelled.where("node <> 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+    least = saved(labelled.where("node <> 0").groupBy("label").agg(F.min("doc_id").alias("least")), "least_ids")
     return labelled.join(least, "label", "left").select(
         "doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

@@ -232,6 +232,18 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     check_components(spark, [" ".join(w[:p] + ["z%d" % p] + w[p + 1 :]) for p in range(60)] + [" ".join(rng.sample(w, 100)) for _ in range(5)])
 
 
+def test_jaccard_in_blocks_beyond_the_hub(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MOST_SETS", 8)
+    rng = random.Random(6)
+    w, texts = ["k%d" % i for i in range(100)], []
+    for i in range(45):  # drifts away from where it began, with branches
+        at = rng.randrange(100)
+        w = w[:at] + ["d%d" % i] + w[at + 1 :]
+        texts.append(" ".join(w))
+        texts.append(" ".join(w[:90] + ["e%d" % i] + w[91:]))
+    check_components(spark, texts)
+
+
 def test_signature_tree_finds_all_connections():
     rng = np.random.default_rng(9)
     sets = []
