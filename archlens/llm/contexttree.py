@@ -5,13 +5,17 @@ has a Krichevsky-Trofimov estimate for each of the 255 decisions; context-tree
 weighting mixes the estimates of all depths, the weight of a context being
 one half of its own block probability against the product of its children's.
 
-Training counts (context, byte) come from all training rows: a task counts its
-rows, Spark adds the tasks up.  Contexts that hold less than LEAST of all bytes
-are leaves' business: their counts are summed up in a ``rest`` child of the
-context above, so a depth has 1 / LEAST contexts at most, whatever the corpus.
-The subtrees of the last byte are weighted in separate tasks; the root is mixed
-on the driver.  The model is two tables with a row for each context, the next
-context and log10 probability of each byte, and is broadcast under that bound.
+The tree holds every context of the training rows; nothing is folded or capped.
+Texts are dealt into chunks of up to CHUNK_BYTES, and each chunk gives its distinct
+(context, byte) keys with their training counts, so a key travels once for a chunk and
+not for each place.  Spark adds the counts up.  The table of counts is dealt by the last
+two bytes of the context, and a task weights the subtrees of its suffixes; the contexts
+of one byte and the empty one are mixed on the driver from sums per decision, 255 for
+each byte value.  The log10 probability of every key is joined to the chunks that ask
+for it, and a chunk's texts are scored with its own keys alone.
+
+``learn`` and ``text_logs`` are the same model in memory, for small inputs; the tests
+compare the two.
 
 The base is a unigram model of words with add-one smoothing.  Words that hold
 at least WORD_LEAST of the tokens (1 / WORD_LEAST at most) are broadcast, all
@@ -28,15 +32,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import BYTE_VALUE, arrow_ddl, prefix_hashes, saved, slices, span_hash, utf8, word_bounds
+from archlens.llm.common import BASE, BYTE_VALUE, arrow_ddl, prefix_hashes, saved, slices, span_hash, utf8, word_bounds
 from archlens.llm.language import training
 
 DEPTH = 5
-LEAST = 2.0**-14
 WORD_LEAST = 2.0**-17
+#: Bytes of text in a chunk (a task may hold fewer), and how many partitions of the input a task reads, so that a chunk shares its keys among more texts.
+CHUNK_BYTES = 1 << 26
+TOGETHER = 3
+#: Keys that are weighted at once; whole suffixes of two bytes stay together.
+PIECE_KEYS = 300_000
 #: Ends a text and stands before its beginning; no byte of UTF-8.
 EDGE = 255
 #: From this bit on, a key says how many bytes of its context are folded away.
@@ -227,8 +236,8 @@ def byte_logs(chances: np.ndarray) -> np.ndarray:
 _TREE = "depth int, context long, chances binary"
 
 
-def learn(docs: DataFrame, depth: int = DEPTH, least: float = LEAST) -> Model:
-    """The model of the rows of ``docs`` (text)."""
+def learn(docs: DataFrame, depth: int = DEPTH, least: float = 0.0) -> Model:
+    """The model of the rows of ``docs`` (text), in memory; contexts below the share ``least`` of all bytes are folded away."""
     counts = saved(context_counts(docs, depth), "contexts")
     last = F.shiftright("seen", 8).bitwiseAND(F.lit(255))
     roots = counts.groupBy(F.col("seen").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("count").alias("count")).collect()
@@ -310,8 +319,263 @@ def text_logs(model: Model, data: np.ndarray, offsets: np.ndarray, depth: int) -
     return np.bincount(row, model.logs[context, text[places]], len(offsets) - 1)
 
 
+def context_keys(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """Context and next byte of each place: the last byte on top, then the ones before, the next byte in the low 8 bits."""
+    out = text[places].astype(np.int64)
+    for back in range(1, depth + 1):
+        out |= text[places - back].astype(np.int64) << (8 * (depth - back + 1))
+    return out
+
+
+def chunked(rows: DataFrame, depth: int) -> DataFrame:
+    """The rows (doc_id, text, learned), each with its chunk, and a row (chunk, seen, count) for each key of a chunk.
+
+    count is over the learned rows, so it is 0 for a key that only held-out rows have.
+    """
+    ddl = "chunk long, doc_id long, learned boolean, text string, seen long, count long"
+    schema = arrow_ddl(ddl)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 24
+        number, size = first, 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def keys() -> pa.RecordBatch:
+            seen, count = _merged(held)
+            n = len(seen)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), *(pa.nulls(n, schema.field(i).type) for i in (1, 2, 3)), pa.array(seen), pa.array(count)], schema=schema)
+
+        for batch in batches:
+            for part in slices(batch):
+                data, offsets = utf8(part.column("text"))
+                text, places, row = framed(data, offsets, depth)
+                seen = context_keys(text, places, depth)
+                learned = part.column("learned").to_numpy(zero_copy_only=False)[row]
+                asked = np.unique(seen[~learned])
+                held += [np.unique(seen[learned], return_counts=True), (asked, np.zeros(len(asked), np.int64))]
+                n, size = part.num_rows, size + len(data)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), *(part.column(c) for c in ("doc_id", "learned", "text")), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+                if len(held) >= 32:
+                    held[:] = [_merged(held)]
+                if size >= CHUNK_BYTES:
+                    yield keys()
+                    held.clear()
+                    number, size = number + 1, 0
+        if held:
+            yield keys()
+
+    tasks = max(1, rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // TOGETHER)
+    return rows.select("doc_id", "learned", "text").coalesce(tasks).mapInArrow(cut, ddl)
+
+
+class Nodes(NamedTuple):
+    """The decisions after ``bit`` bits in the contexts of one depth: context << bit | bits, ascending, and how often each went to 0 and 1."""
+
+    keys: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+
+
+def _nodes(keys: np.ndarray, counts: np.ndarray, depth: int) -> dict[int, list[Nodes]]:
+    """The decisions seen, of depths 2 .. depth, for ascending keys."""
+    out = {}
+    for d in range(depth, 1, -1):
+        if d < depth:
+            keys, counts = _merged([(keys >> 16 << 8 | keys & 255, counts)])
+        out[d] = []
+        for bit in range(8):
+            node = keys >> (8 - bit)
+            starts = np.flatnonzero(np.diff(node, prepend=-1))
+            n, ones = (np.add.reduceat(x, starts) if len(starts) else x for x in (counts, counts * (keys >> (7 - bit) & 1)))
+            out[d].append(Nodes(node[starts], n - ones, ones))
+    return out
+
+
+def _parents(below: Nodes, above: Nodes, bit: int) -> np.ndarray:
+    """Where the same decision is in the context that is one byte shorter."""
+    return np.searchsorted(above.keys, below.keys >> (bit + 8) << bit | below.keys & ((1 << bit) - 1))
+
+
+def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The KT estimate of a 1 (one half where nothing was seen)."""
+    return (ones + 0.5) / (zeros + ones + 1.0)
+
+
+def _mixed(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log weighted probability of contexts, and the weight of their own estimate."""
+    return np.logaddexp(own, children) - np.log(2), 1 / (1 + np.exp(np.clip(children - own, -700, 700)))
+
+
+def _stops(nodes: dict[int, list[Nodes]], depth: int, bit: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """The weight of the own estimate at every depth, and the log weighted probability at depth 2."""
+    stops, weighted = {}, np.zeros(0)
+    for d in range(depth, 1, -1):
+        here = nodes[d][bit]
+        own = log_kt(here.zeros.astype(float), here.ones.astype(float))
+        if d == depth:
+            weighted, stops[d] = own, np.ones(len(own))
+        else:
+            weighted, stops[d] = _mixed(own, np.bincount(_parents(nodes[d + 1][bit], here, bit), weighted, len(own)))
+    return stops, weighted
+
+
+class Top(NamedTuple):
+    """Estimates of the empty context (256) and those of one byte (256, 256), by decision: so far, weight left to deeper ones, own."""
+
+    so_far: np.ndarray
+    open: np.ndarray
+    own: np.ndarray
+    so_far_1: np.ndarray
+    open_1: np.ndarray
+    own_1: np.ndarray
+    known: np.ndarray
+
+
+_SUMS = "node int, zeros long, ones long, weighted double"
+
+
+def suffix_sums(keys: np.ndarray, counts: np.ndarray, depth: int) -> pa.RecordBatch:
+    """For each last byte and decision (last << 8 | decision), sums over the contexts of two bytes."""
+    sums = np.zeros((3, 1 << 16))
+    nodes = _nodes(keys, counts, depth)
+    for bit in range(8):
+        _, weighted = _stops(nodes, depth, bit)
+        here = nodes[2][bit]
+        at = here.keys >> (bit + 8) << 8 | 1 << bit | here.keys & ((1 << bit) - 1)
+        for total, x in zip(sums, (here.zeros, here.ones, weighted)):
+            total += np.bincount(at, x, 1 << 16)
+    used = np.flatnonzero(sums[0] + sums[1])
+    zeros, ones = sums[:2, used].astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(zeros), pa.array(ones), pa.array(sums[2, used])], schema=arrow_ddl(_SUMS))
+
+
+def top(sums: pa.Table) -> Top:
+    """Mix the contexts of no and one byte from their sums (at most 256 * 255 rows)."""
+    at = sums.column("node").to_numpy()
+    table = np.zeros((3, 1 << 16))
+    for total, name in zip(table, ("zeros", "ones", "weighted")):
+        total[at] = sums.column(name).to_numpy()
+    zeros, ones, below = table.reshape(3, 256, 256)
+    weighted, stop_1 = _mixed(log_kt(zeros, ones), below)
+    zeros_0, ones_0 = zeros.sum(axis=0), ones.sum(axis=0)
+    _, stop = _mixed(log_kt(zeros_0, ones_0), weighted.sum(axis=0))
+    own, own_1 = _kt(zeros_0, ones_0), _kt(zeros, ones)
+    so_far, left = stop * own, 1 - stop
+    return Top(so_far, left, own, so_far + left * stop_1 * own_1, left * (1 - stop_1), own_1, (zeros + ones)[:, 1] > 0)
+
+
+def key_logs(keys: np.ndarray, counts: np.ndarray, model: Top, depth: int) -> np.ndarray:
+    """log10 probability of the next byte of ascending keys; keys of count 0 are asked for, but teach nothing."""
+    learned = counts > 0
+    nodes = _nodes(keys[learned], counts[learned], depth)
+    asked = keys[~learned]
+    contexts = {d: asked >> (8 * (depth - d) + 8) for d in range(1, depth + 1)}
+    known = {d: np.isin(contexts[d], nodes[d][0].keys) for d in range(2, depth + 1)}
+    out = np.zeros(len(keys))
+    for bit in range(8):
+        stops, _ = _stops(nodes, depth, bit)
+        bits = (asked & 255) >> (8 - bit)
+        last, node = contexts[1], 1 << bit | bits
+        of = lambda one, none: np.where(model.known[last], one[last, node], none[node])
+        so, left, own = of(model.so_far_1, model.so_far), of(model.open_1, model.open), of(model.own_1, model.own)
+        above = None
+        for d in range(2, depth + 1):
+            here = nodes[d][bit]
+            kt = _kt(here.zeros, here.ones)
+            if above is None:
+                last, node = here.keys >> (bit + 8), 1 << bit | here.keys & ((1 << bit) - 1)
+                before = model.so_far_1[last, node], model.open_1[last, node]
+            else:
+                at = _parents(here, nodes[d - 1][bit], bit)
+                before = above[0][at], above[1][at]
+            above = before[0] + before[1] * stops[d] * kt, before[1] * (1 - stops[d])
+            if len(asked) and len(kt):
+                wanted = contexts[d] << bit | bits
+                at = np.minimum(np.searchsorted(here.keys, wanted), len(kt) - 1)
+                hit = here.keys[at] == wanted
+                so, left = np.where(hit, above[0][at], so), np.where(hit, above[1][at], left)
+                # in a known context whose decision was never seen, all deeper estimates are one half
+                own = np.where(hit, kt[at], np.where(known[d], 0.5, own))
+        chance = np.empty(len(keys))
+        chance[~learned] = so + left * own
+        chance[learned] = above[0][np.searchsorted(nodes[depth][bit].keys, keys[learned] >> (8 - bit))]
+        chance = np.clip(chance, 1e-12, 1 - 1e-12)
+        out += np.log10(np.where(keys >> (7 - bit) & 1, chance, 1 - chance))
+    return out
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A task's keys and counts, ascending, in pieces that don't part contexts with the same last two bytes."""
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    keys, counts = table.column("seen").to_numpy(), table.column("count").to_numpy()
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.diff(keys >> (8 * (depth - 1) + 8), prepend=-1))
+    at = 0
+    while at < len(keys):
+        next_ = np.searchsorted(starts, at + PIECE_KEYS)
+        end = int(starts[next_]) if next_ < len(starts) else len(keys)
+        yield keys[at:end], counts[at:end]
+        at = end
+
+
+def logs_of_keys(counts: DataFrame, depth: int) -> DataFrame:
+    """Rows (seen, log) for the rows (seen, count) of a table."""
+    spark = counts.sparkSession
+    dealt = counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.shiftright("seen", 8 * (depth - 1) + 8))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _pieces(batches, depth):
+            yield suffix_sums(keys[n > 0], n[n > 0], depth)
+
+    sums = dealt.mapInArrow(weigh, _SUMS).groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")))
+    shared = spark.sparkContext.broadcast(top(sums.toArrow()))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _pieces(batches, depth):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(key_logs(keys, n, shared.value, depth).astype(np.float32))], names=["seen", "log"])
+
+    return dealt.mapInArrow(rate, "seen long, log float")
+
+
+class Places:
+    """Where each of some distinct keys is, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        slot, left = self._slots(keys), np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            free = left[self.table[slot[left]] < 0]
+            self.table[slot[free]] = free
+            left = left[self.table[slot[left]] != left]
+            slot[left] = self._next(slot[left])
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * BASE >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return slot + 1 & (1 << self.bits) - 1
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        slot = self._slots(wanted)
+        at = self.table[slot]
+        left = np.flatnonzero(self.keys[at] != wanted)
+        while len(left):
+            if (at[left] < 0).any():
+                raise KeyError("a chunk lacks one of its keys")
+            slot[left] = self._next(slot[left])
+            at[left] = self.table[slot[left]]
+            left = left[self.keys[at[left]] != wanted[left]]
+        return at
+
+
 def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, held: int = 2) -> DataFrame:
-    """Every row with held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
+    """Every row, by contexts of up to depth bytes (2 .. 6), with held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.coalesce(training(F.col("doc_id"), modulus, held), F.lit(True)).alias("learned"))
@@ -323,13 +587,19 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, held: int = 2)
     often = words.where(F.col("count") >= max(1.0, WORD_LEAST * total)).toArrow()
     order = np.argsort(often.column("word").to_numpy())
     frequent = often.column("word").to_numpy()[order], np.log10(often.column("count").to_numpy()[order] + 1.0)
-    shared = spark.sparkContext.broadcast((learn(learned, depth), frequent))
+    chunks = saved(chunked(rows, depth), "chunks")
+    keys = chunks.where("seen IS NOT NULL").select("chunk", "seen", "count")
+    counts = saved(keys.groupBy("seen").agg(F.sum("count").alias("count")), "contexts")
+    asked = keys.select(F.col("chunk").alias("at"), "seen").join(logs_of_keys(counts, depth), "seen")
+    shared = spark.sparkContext.broadcast(frequent)
     ddl = "doc_id long, held_out boolean, n_bytes long, n_words long, known long, logs double, score double, rest array<long>"
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (known, logs) = shared.value
+    def rate(texts: pa.Table, model: pa.Table) -> pa.Table:
+        known, logs = shared.value
+        places, byte_log = Places(model.column("seen").to_numpy()), model.column("log").to_numpy()
         names = [x.split()[0] for x in ddl.split(", ")]
-        for batch in batches:
+        out = []
+        for batch in texts.to_batches():
             for part in slices(batch):
                 data, offsets = utf8(part.column("text"))
                 values, bounds = word_values(data, offsets)
@@ -337,15 +607,19 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, held: int = 2)
                 hit = known[at] == values if len(known) else np.zeros(len(values), bool)
                 row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
                 left = np.searchsorted(np.flatnonzero(~hit), bounds)
-                yield pa.RecordBatch.from_arrays([
+                text, scored, of = framed(data, offsets, depth)
+                out.append(pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(~part.column("learned").to_numpy(zero_copy_only=False)), pa.array(np.diff(offsets)), pa.array(np.diff(bounds)),
                     pa.array(np.bincount(row[hit], minlength=part.num_rows)),
                     pa.array(np.bincount(row[hit], logs[at[hit]] if len(known) else None, part.num_rows).astype(float)),
-                    pa.array(text_logs(model, data, offsets, depth)),
+                    pa.array(np.bincount(of, byte_log[places.of(context_keys(text, scored, depth))], part.num_rows)),
                     pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), pa.array(values[~hit])),
-                ], names=names)
+                ], names=names))
+        return pa.Table.from_batches(out)
 
-    rated = saved(rows.mapInArrow(rate, ddl).withColumn("row", F.monotonically_increasing_id()), "rated")
+    texts = chunks.where("seen IS NULL").select("chunk", "doc_id", "learned", "text")
+    scored = texts.groupBy("chunk").cogroup(asked.select("at", "seen", "log").groupBy("at")).applyInArrow(rate, ddl)
+    rated = saved(scored.withColumn("row", F.monotonically_increasing_id()), "rated")
     rare = rated.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     joined = rare.join(words, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("count") + 1)).alias("more_logs"))
     out = rated.join(joined, "row", "left")

@@ -356,6 +356,22 @@ def test_context_tree_beats_uniform_on_held_out_text(spark):
     assert held and all(g.bits_per_byte < 6 for g in held)
 
 
+def test_context_tree_keeps_contexts_of_rare_sources(spark):
+    rng = random.Random(12)
+    training = [(i, prose(rng, 400)) for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2] + [(None, "qzxj vkqz zxjq"), (None, None)]
+    held = [(i, t) for i in range(60, 200) if zlib.crc32(str(i).encode()) % 7 == 2 for t in ("zxjq qzxj", prose(rng, 20), "日本", "", None)]
+    df = spark.createDataFrame(training + held, "doc_id long, text string").repartition(3)
+    model = contexttree.learn(spark.createDataFrame([(t,) for _, t in training], "text string"), least=0.0)  # every context
+    want = []
+    for doc_id, t in training + held:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        want.append((doc_id, contexttree.text_logs(model, data, np.array([0, len(data)]), contexttree.DEPTH)[0]))
+    order = lambda x: (-1 if x[0] is None else x[0], x[1])
+    got = sorted([(g.doc_id, g.score) for g in contexttree.score(df).collect()], key=order)
+    want.sort(key=order)
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-4)
+
+
 def test_sharding(docs, rows, empty, spark):
     got = sharding.shard_documents(docs).collect()
     assert multiset((g.doc_id, g.size, g.text_crc32) for g in got) == multiset((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
