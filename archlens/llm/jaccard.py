@@ -20,7 +20,8 @@ component, and only the rest is compared, in blocks, with itself and with that c
 
 Defined results: null or empty texts and texts without words have no shingles and
 link with nothing; each such row is its own component; equal sets always link;
-rows that repeat a doc_id count as one member with that id; extra columns are passed over.
+rows that repeat a doc_id count as one member with that id; a row without a doc_id links like any
+other, but names no component, so one of such rows alone has a null id; extra columns are passed over.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archlens.llm.common import BYTE_VALUE, arrow_ddl, maybe_in, mix, prefix_hashes, saved, sketch, slices, span_hash, utf8, word_bounds
@@ -395,9 +396,10 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     hubs = saved(members.groupBy("key").agg(F.min("node").alias("hub")), "key_hubs")
     near = saved(members.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "near")
     groups = saved(components(near), "groups")
-    first = rows.join(groups.select("node"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("node", "first.*")
-    first = saved(first, "first")
-    texts = maybe_in(docs, "text_hash", sketch(first, "text_hash")).where("maybe").join(first, ["doc_id", "text_hash"])
+    first = rows.join(groups.select("node"), "node").groupBy("node").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "text_hash")).alias("first"))
+    first = saved(first.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "first")
+    same = F.col("text_hash").eqNullSafe(F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    texts = maybe_in(docs, "text_hash", sketch(first, "first_hash")).where("maybe").join(first, same)
     texts = texts.dropDuplicates(["node"]).select("node", "text")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,13 +449,23 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return found if stars is None else found.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
+def text_hash() -> Column:
+    """The 64-bit hash of a row's text (null: empty)."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, label (equal in a component) and component_id of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    docs = docs.select("doc_id", text.alias("text"), text_hash().alias("text_hash"))
     rows = saved(set_rows(docs), "sets")
     labels = components(saved(links(docs, rows), "links"))
     labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = saved(labelled.where("node <> 0").groupBy("label").agg(F.min("doc_id").alias("least")), "least_ids")
     return labelled.join(least, "label", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+        "doc_id", "text_hash", "n_shingles", "label", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
+    return grouped(docs).select("doc_id", "n_shingles", "component_id")

@@ -33,13 +33,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: its least doc_id, and one row of that id."""
+    """Keep one document of each group: its least doc_id, and one row of that id.
+
+    Rows without a doc_id are known by their text: a group that has no id at all keeps its least text hash.
+    """
     sweep(spark)
-    groups = jaccard.near_duplicates(docs)
-    keep = groups.where("n_shingles = 0 OR doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(COLUMNS).join(keep, "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars"))
-    return kept.withColumn("_first", first).where("_first = 1").select(COLUMNS)
+    kept = jaccard.grouped(docs).where("n_shingles = 0 OR doc_id = component_id OR (doc_id IS NULL AND component_id IS NULL)")
+    kept = saved(kept.select("doc_id", "text_hash", "n_shingles", "label"), "kept")
+    group = F.when(F.col("n_shingles") == 0, F.col("text_hash")).otherwise(F.lit(0))
+    named = kept.where("doc_id IS NOT NULL").select("doc_id", F.lit(0).cast("long").alias("_hash"))
+    nameless = kept.where("doc_id IS NULL").groupBy("label", group.alias("group")).agg(F.min("text_hash").alias("_hash")).select(F.lit(None).cast("long").alias("doc_id"), "_hash")
+    keep = named.unionByName(nameless).select(F.col("doc_id").alias("_id"), "_hash").distinct()
+    keyed = docs.select(*COLUMNS, F.when(F.col("doc_id").isNull(), jaccard.text_hash()).otherwise(F.lit(0)).alias("_key"))
+    rows = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("text", "source", "lang", "n_chars"))
+    return rows.withColumn("_first", first).where("_first = 1").select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +61,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item within its error budget."""
     sweep(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = saved(decontamination.leaks(docs, benchmark).select("doc_id").distinct(), "leaked")
-    return docs.select(COLUMNS).join(leaked, "doc_id", "left_anti")
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_key"))  # rows without a doc_id too
+    found = decontamination.leaks(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark)
+    leaked = saved(found.select(F.col("doc_id").alias("_key")).distinct(), "leaked")
+    return keyed.join(leaked, "_key", "left_anti").select(COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

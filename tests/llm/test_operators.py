@@ -209,6 +209,16 @@ def test_jaccard(spark, docs, rows, empty):
     assert jaccard.near_duplicates(docs).count() == len(rows) and jaccard.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_null_ids_keep_the_links_of_others(spark):
+    rng = random.Random(21)
+    w = ["n%d" % rng.randrange(10_000) for _ in range(90)]
+    text, near = " ".join(w), " ".join([*w[:40], "other", *w[41:]])
+    lonely = prose(rng, 80)
+    rows = [(None, text), (7, text), (8, text), (3, near), (None, near), (None, lonely), (None, lonely), (5, prose(rng, 80))]
+    got = Counter((g.doc_id, g.component_id) for g in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(None, 3), (7, 3), (8, 3), (3, 3), (None, 3), (None, None), (None, None), (5, 5)])
+
+
 def test_jaccard_near_the_threshold(spark, monkeypatch):
     rng = random.Random(11)
     texts = []

@@ -39,6 +39,21 @@ def test_pipeline_keeps_clean_and_drops_planted(spark, tmp_path):
     assert ids["leaks"] == ids["packing"] == ids["repeats"] - {120}
 
 
+def test_pipeline_keeps_rows_without_an_id(spark, tmp_path):
+    rng = random.Random(9)
+    alone, twin, item, other = text(rng, 120), text(rng, 120), text(rng, 30), text(rng, 120)
+    words = twin.split(" ")
+    near = " ".join([*words[:60], "other", *words[61:]])
+    leak = text(rng, 50) + " " + item + " " + text(rng, 50)
+    rows = [(None, alone), (None, alone), (None, twin), (4, twin), (2, near), (None, leak), (9, other)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda df: sorted([(r.doc_id or 0, r.text) for r in df.collect()])
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).cache()
+    assert key(kept) == sorted([(0, alone), (2, near), (0, leak), (9, other)])
+    assert key(corpus_pipeline.drop_leaks(spark, kept, str(tmp_path))) == sorted([(0, alone), (2, near), (9, other)])
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
