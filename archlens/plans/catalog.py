@@ -240,6 +240,17 @@ def shared_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.shared_pairs(lines.join(brands, "l_partkey").join(nations, "l_suppkey"), "nation", "brand")
 
 
+@query("""
+WITH b AS (SELECT DISTINCT s_nationkey AS nation, p_brand AS brand FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)
+SELECT x.nation AS low, y.nation AS high, count(*) AS shared FROM b x JOIN b y ON x.brand = y.brand AND x.nation < y.nation GROUP BY ALL""")
+def shared_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``shared_pairs`` over every line, whatever its quantity."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"))
+    nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
+    return edges.shared_pairs(lines.join(brands, "l_partkey").join(nations, "l_suppkey"), "nation", "brand")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
 def unresolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"))

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from archlens.plans import catalog
 
@@ -52,3 +53,9 @@ def test_entry_contract(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert catalog.QUERIES["manifest_json"](spark, SF).first()["json"].startswith("{")
     assert [r.stage for r in catalog.QUERIES["pass_ledger"](spark, SF).orderBy("n").collect()] == ["build-ir", "analyze"]
+
+
+def test_shared_pairs_counts_lines_of_any_quantity(spark):
+    cells = {(r.s_nationkey, r.p_brand) for r in spark.read.parquet(f"{SF}/lineitem.parquet").join(spark.read.parquet(f"{SF}/part.parquet"), F.col("l_partkey") == F.col("p_partkey")).join(spark.read.parquet(f"{SF}/supplier.parquet"), F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "p_brand").distinct().collect()}
+    want = sum(a < b and x == y for a, x in cells for b, y in cells)
+    assert sum(r.shared for r in catalog.QUERIES["shared_pairs_all"](spark, SF).collect()) == want
