@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-from archlens.llm.common import mix, prefix_hashes, span_hash
+from archlens.llm.common import gram_hashes
 
 
 class Runs(NamedTuple):
@@ -23,7 +23,6 @@ class Runs(NamedTuple):
     count: np.ndarray  # windows
     place: np.ndarray  # anchor less start
     key: np.ndarray  # hash of the anchor's gram
-    content: np.ndarray  # hash of all symbols of the run's windows and of count and place
 
 
 def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -44,14 +43,11 @@ def runs(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> Run
     room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
     valid = np.flatnonzero(room[: max(0, n - window + 1)] >= window)
     if not len(valid):
-        return Runs(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)))
-    prefix = prefix_hashes(values)
-    at = np.arange(n - gram + 1)
-    grams = span_hash(prefix, at, at + gram)
+        return Runs(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64)))
+    grams = gram_hashes(values, gram)
     anchor = window_argmin((grams >> np.uint64(32)).astype(np.uint32), window - gram + 1)[valid]
-    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    # a run's windows follow each other: none leads over the end of a document
+    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1] + 1)]))
     last = np.concatenate([first[1:], [len(valid)]]) - 1
     start, anchor = valid[first], anchor[first].astype(np.int64)
-    count, place = last - first + 1, anchor - start
-    shape = mix((count.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))
-    return Runs(start, count, place, grams[anchor], span_hash(prefix, start, start + count - 1 + window) ^ shape)
+    return Runs(start, last - first + 1, anchor - start, grams[anchor])

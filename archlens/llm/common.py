@@ -7,13 +7,15 @@ helpers below the tables run inside tasks and hold one slice of text at a time.
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +25,17 @@ SLICE_BYTES = 1 << 20
 #: The white space of the contracts' word pattern ``[^\x20\x09-\x0D]+``.
 WHITE = " \t\n\x0b\x0c\r"
 
-_written: list[str] = []
+#: Work tables that a run in progress owns (see ``owned``).
+_runs: list[list[str]] = []
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; on one machine, where it is unset, a folder of the warehouse."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="archlens-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -40,16 +45,49 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/archlens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if _runs:
+        _runs[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete the work tables of earlier jobs; call it when their results are written."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+class owned:
+    """Own the work tables that are written inside; ``drop`` deletes them once a result that reads them is written."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> "owned":
+        _runs.append(self.paths)
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        _runs.remove(self.paths)
+
+    def drop(self, spark: SparkSession) -> None:
+        jvm = spark.sparkContext._jvm
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidied(task: Task) -> Task:
+    """``task``, giving the memory that it no longer uses back to the machine at its end, as workers live on."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -72,9 +110,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-_rng = np.random.default_rng(20240607)
-#: A random odd-ish 64-bit value for each byte.
-BYTE_VALUE = _rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Where the hashes begin: any number will do, but all tasks need the same.
+SEED = 0x5DEECE66D1CE4E5B
+_rng = np.random.default_rng(SEED)
+#: A random 64-bit value for each byte.
+BYTE_VALUE = _rng.integers(0, 2**64 - 1, 256, np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[int, np.ndarray] = {}
@@ -88,7 +128,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         known[0] = 1
         known[1:] = base
         np.multiply.accumulate(known, out=known)
-        if len(known) <= 16 * SLICE_BYTES:
+        if len(known) <= 2 * SLICE_BYTES:
             _powers[int(base)] = known
     return known[:n]
 
@@ -103,16 +143,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hashes(values: np.ndarray) -> np.ndarray:
-    """Polynomial prefix hashes: entry i covers values[:i]."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(BASE, len(values)), out=out[1:])
-    return out
+def gram_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` values; they find candidates, whose contents are compared afterwards."""
+    prefix = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(BASE, len(values)), out=prefix[1:])
+    return mix((prefix[width:] - prefix[:-width]) * powers(INVERSE, len(prefix))[: max(0, len(prefix) - width)])
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of values[start:end] that don't depend on where a span lies."""
-    return mix((prefix[end] - prefix[start]) * powers(INVERSE, len(prefix))[start])
+def chain_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """As ``gram_hashes`` with each value mixed in by itself, for hashes that stand for what they cover."""
+    n = max(0, len(values) - width + 1)
+    out = np.full(n, SEED ^ width, np.uint64)
+    for i in range(width):
+        out = mix(out * BASE + values[i : i + n])
+    return out
 
 
 _IS_WHITE = np.zeros(256, bool)
@@ -133,6 +177,24 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, stops, np.searchsorted(starts, offsets)
 
 
+class Words:
+    """The words of all rows: ``distinct`` ones as bytes, the number of each word's in ``index``, word offsets of the rows in ``bounds``."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.starts, self.ends, self.bounds = word_bounds(data, offsets)
+        ends = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        solid = np.ascontiguousarray(data[~_IS_WHITE[data]])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(ends), pa.py_buffer(solid)])
+        coded = words.dictionary_encode()
+        self.index = coded.indices.to_numpy(zero_copy_only=False)
+        self.distinct: list[bytes] = coded.dictionary.to_pylist()
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; the words of a slice are told apart exactly before."""
+        digest = xxhash.xxh3_64_intdigest
+        return np.array([digest(w, SEED) for w in self.distinct], np.uint64)[self.index]
+
+
 def arrow_ddl(ddl: str) -> pa.Schema:
     """The Arrow schema of a flat DDL string of our result types."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}

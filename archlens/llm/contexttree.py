@@ -8,11 +8,12 @@ one half of its own block probability against the product of its children's.
 The tree holds every context of the training rows; nothing is folded or capped.
 Texts are dealt into chunks of up to CHUNK_BYTES, and each chunk gives its distinct
 (context, byte) keys with their training counts, so a key travels once for a chunk and
-not for each place.  Spark adds the counts up.  The table of counts is dealt by the last
-two bytes of the context, and a task weights the subtrees of its suffixes; the contexts
-of one byte and the empty one are mixed on the driver from sums per decision, 255 for
-each byte value.  The log10 probability of every key is joined to the chunks that ask
-for it, and a chunk's texts are scored with its own keys alone.
+not for each place.  Keys are dealt to buckets by the last two bytes of the context and
+travel packed, a chunk's keys of a bucket in one row.  A task adds up a bucket's counts
+and weights the subtrees of its suffixes; the contexts of one byte and the empty one are
+mixed on the driver from sums per decision, 255 for each byte value.  A bucket's log10
+probabilities then meet the chunks' keys in the order of the buckets, and a chunk's texts
+are scored with its own keys alone.
 
 ``learn`` and ``text_logs`` are the same model in memory, for small inputs; the tests
 compare the two.
@@ -22,7 +23,7 @@ at least WORD_LEAST of the tokens (1 / WORD_LEAST at most) are broadcast, all
 others are joined by hash.
 
 Defined results: a null text is empty, which is its end alone; rows that repeat a
-doc_id are scored each; without training rows the byte model is uniform.
+doc_id are scored each; a row without a doc_id is learned from and not held out; without training rows the byte model is uniform.
 """
 
 from __future__ import annotations
@@ -36,14 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import BASE, BYTE_VALUE, arrow_ddl, prefix_hashes, saved, slices, span_hash, utf8, word_bounds
+from archlens.llm.common import BASE, Words, arrow_ddl, mix, saved, slices, tidied, utf8
 from archlens.llm.language import training
 
 DEPTH = 5
 WORD_LEAST = 2.0**-17
-#: Bytes of text in a chunk (a task may hold fewer), and how many partitions of the input a task reads, so that a chunk shares its keys among more texts.
-CHUNK_BYTES = 1 << 26
-TOGETHER = 3
+#: Bytes of text in a chunk (a partition of the input may hold fewer).
+CHUNK_BYTES = 1 << 25
+#: Keys that a task holds before it adds up equal ones.
+MOST_HELD = 2_000_000
 #: Keys that are weighted at once; whole suffixes of two bytes stay together.
 PIECE_KEYS = 300_000
 #: Ends a text and stands before its beginning; no byte of UTF-8.
@@ -74,8 +76,12 @@ def framed(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarra
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(index, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    """Ascending distinct keys and their counts, from ascending lists."""
+    keys, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
 def _counted(docs: DataFrame, keys_of, column: str) -> DataFrame:
@@ -95,7 +101,7 @@ def _counted(docs: DataFrame, keys_of, column: str) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(held)], schema=arrow_ddl(ddl))
 
-    return docs.select("text").mapInArrow(count, ddl).groupBy(column).agg(F.sum("count").alias("count"))
+    return docs.select("text").mapInArrow(tidied(count), ddl).groupBy(column).agg(F.sum("count").alias("count"))
 
 
 def context_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -113,9 +119,8 @@ def context_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def word_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words, and the rows' word offsets."""
-    data = _LOWER[data]
-    starts, ends, bounds = word_bounds(data, offsets)
-    return span_hash(prefix_hashes(BYTE_VALUE[data]), starts, ends).view(np.int64), bounds
+    words = Words(_LOWER[data], offsets)
+    return words.hashes().view(np.int64), words.bounds
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -327,23 +332,53 @@ def context_keys(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray
     return out
 
 
-def chunked(rows: DataFrame, depth: int) -> DataFrame:
-    """The rows (doc_id, text, learned), each with its chunk, and a row (chunk, seen, count) for each key of a chunk.
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes: those that are mostly zeros are squeezed by Parquet and the shuffle."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
-    count is over the learned rows, so it is 0 for a key that only held-out rows have.
+
+def numbers(raw: bytes, kind: type = np.int64) -> np.ndarray:
+    """The numbers of ``planes``."""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as planes of the steps between them."""
+    return planes(np.diff(keys, prepend=0))
+
+
+def ascending(raw: bytes) -> np.ndarray:
+    """The keys of ``steps``."""
+    return np.cumsum(numbers(raw))
+
+
+_KEYS = "bucket int, chunk long, keys binary, counts binary"
+
+
+def chunked(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """The rows (doc_id, text, learned), each with its chunk, and rows (chunk, bucket, keys, counts) with a chunk's keys of a bucket.
+
+    Counts are over the learned rows, so 0 for a key that only held-out rows have.
     """
-    ddl = "chunk long, doc_id long, learned boolean, text string, seen long, count long"
+    ddl = "chunk long, doc_id long, learned boolean, text string, bucket int, keys binary, counts binary"
     schema = arrow_ddl(ddl)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 24
-        number, size = first, 0
+        number, size = TaskContext.get().partitionId() << 24, 0
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
 
-        def keys() -> pa.RecordBatch:
+        def packed() -> pa.RecordBatch:
             seen, count = _merged(held)
-            n = len(seen)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), *(pa.nulls(n, schema.field(i).type) for i in (1, 2, 3)), pa.array(seen), pa.array(count)], schema=schema)
+            bucket = (mix((seen >> (8 * (depth - 1))).astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            seen, count, bucket = seen[order], count[order], bucket[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(seen)]])
+            spans = [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b > a]
+            n = len(spans)
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.full(n, number)), *(pa.nulls(n, schema.field(i).type) for i in (1, 2, 3)), pa.array([bucket[a] for a, _ in spans], pa.int32()),
+                pa.array([steps(seen[a:b]) for a, b in spans], pa.binary()), pa.array([planes(count[a:b]) for a, b in spans], pa.binary())], schema=schema)
 
         for batch in batches:
             for part in slices(batch):
@@ -353,19 +388,19 @@ def chunked(rows: DataFrame, depth: int) -> DataFrame:
                 learned = part.column("learned").to_numpy(zero_copy_only=False)[row]
                 asked = np.unique(seen[~learned])
                 held += [np.unique(seen[learned], return_counts=True), (asked, np.zeros(len(asked), np.int64))]
+                waiting += len(held[-1][0]) + len(held[-2][0])
                 n, size = part.num_rows, size + len(data)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), *(part.column(c) for c in ("doc_id", "learned", "text")), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
-                if len(held) >= 32:
-                    held[:] = [_merged(held)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), *(part.column(c) for c in ("doc_id", "learned", "text")), *(pa.nulls(n, schema.field(i).type) for i in (4, 5, 6))], schema=schema)
+                if waiting > MOST_HELD:
+                    held[:], waiting = [_merged(held)], 0
                 if size >= CHUNK_BYTES:
-                    yield keys()
+                    yield packed()
                     held.clear()
-                    number, size = number + 1, 0
+                    number, size, waiting = number + 1, 0, 0
         if held:
-            yield keys()
+            yield packed()
 
-    tasks = max(1, rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // TOGETHER)
-    return rows.select("doc_id", "learned", "text").coalesce(tasks).mapInArrow(cut, ddl)
+    return rows.select("doc_id", "learned", "text").mapInArrow(tidied(cut), ddl)
 
 
 class Nodes(NamedTuple):
@@ -504,16 +539,37 @@ def key_logs(keys: np.ndarray, counts: np.ndarray, model: Top, depth: int) -> np
     return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A task's keys and counts, ascending, in pieces that don't part contexts with the same last two bytes."""
-    held = list(batches)
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    keys, counts = table.column("seen").to_numpy(), table.column("count").to_numpy()
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    starts = np.flatnonzero(np.diff(keys >> (8 * (depth - 1) + 8), prepend=-1))
+def added_up(sent: DataFrame) -> DataFrame:
+    """Rows (bucket, keys, counts): the distinct keys of each bucket, from the rows (bucket, keys, counts) of all chunks."""
+    ddl = "bucket int, keys binary, counts binary"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now, waiting = None, 0
+
+        def whole() -> pa.RecordBatch:
+            keys, counts = _merged(held)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([steps(keys)], pa.binary()), pa.array([planes(counts)], pa.binary())], schema=arrow_ddl(ddl))
+
+        for batch in batches:
+            for bucket, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "counts"))):
+                if bucket != now and held:
+                    yield whole()
+                    held, waiting = [], 0
+                now = bucket
+                held.append((ascending(keys), numbers(counts)))
+                waiting += len(held[-1][0])
+                if waiting > MOST_HELD:
+                    held, waiting = [_merged(held)], 0
+        if held:
+            yield whole()
+
+    return sent.select("bucket", "keys", "counts").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(add), ddl)
+
+
+def _pieces(keys: np.ndarray, counts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A bucket's keys and counts in pieces that don't part contexts with the same last two bytes."""
+    starts = np.flatnonzero(np.diff(keys >> (8 * (depth - 1)), prepend=-1))
     at = 0
     while at < len(keys):
         next_ = np.searchsorted(starts, at + PIECE_KEYS)
@@ -522,23 +578,49 @@ def _pieces(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.
         at = end
 
 
-def logs_of_keys(counts: DataFrame, depth: int) -> DataFrame:
-    """Rows (seen, log) for the rows (seen, count) of a table."""
+def model_rows(counts: DataFrame, depth: int) -> DataFrame:
+    """Rows (bucket, keys, logs) for the rows (bucket, keys, counts) of all buckets."""
     spark = counts.sparkSession
-    dealt = counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.shiftright("seen", 8 * (depth - 1) + 8))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, n in _pieces(batches, depth):
-            yield suffix_sums(keys[n > 0], n[n > 0], depth)
+        for batch in batches:
+            for packed, n in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                for keys, count in _pieces(ascending(packed), numbers(n), depth):
+                    yield suffix_sums(keys[count > 0], count[count > 0], depth)
 
-    sums = dealt.mapInArrow(weigh, _SUMS).groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")))
+    sums = counts.mapInArrow(tidied(weigh), _SUMS).groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")))
     shared = spark.sparkContext.broadcast(top(sums.toArrow()))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, n in _pieces(batches, depth):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(key_logs(keys, n, shared.value, depth).astype(np.float32))], names=["seen", "log"])
+        model = shared.value
+        for batch in batches:
+            for bucket, packed, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "counts"))):
+                logs = np.concatenate([key_logs(k, c, model, depth) for k, c in _pieces(ascending(packed), numbers(n), depth)]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed], pa.binary()), pa.array([planes(logs)], pa.binary())], names=["bucket", "keys", "logs"])
+
+    return counts.mapInArrow(tidied(rate), "bucket int, keys binary, logs binary")
+
+
+def answered(sent: DataFrame, model: DataFrame) -> DataFrame:
+    """Rows (chunk, keys, logs): the chunks' keys with their log10 probabilities.
+
+    A bucket's model comes before the keys of its chunks, which then pass by one after the other.
+    """
+    ddl = "chunk long, keys binary, logs binary"
+    asked = sent.select("bucket", "chunk", "keys", F.lit(None).cast("binary").alias("logs"))
+    rows = model.select("bucket", F.lit(-1).cast("long").alias("chunk"), "keys", "logs").unionByName(asked)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, log = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        for batch in batches:
+            for chunk, packed, logs in zip(*(batch.column(c).to_pylist() for c in ("chunk", "keys", "logs"))):
+                if logs is not None:
+                    known, log = ascending(packed), numbers(logs, np.float32)
+                else:
+                    found = planes(log[np.searchsorted(known, ascending(packed))])
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([packed], pa.binary()), pa.array([found], pa.binary())], schema=arrow_ddl(ddl))
 
-    return dealt.mapInArrow(rate, "seen long, log float")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(tidied(answer), ddl)
 
 
 class Places:
@@ -587,16 +669,18 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, held: int = 2)
     often = words.where(F.col("count") >= max(1.0, WORD_LEAST * total)).toArrow()
     order = np.argsort(often.column("word").to_numpy())
     frequent = often.column("word").to_numpy()[order], np.log10(often.column("count").to_numpy()[order] + 1.0)
-    chunks = saved(chunked(rows, depth), "chunks")
-    keys = chunks.where("seen IS NOT NULL").select("chunk", "seen", "count")
-    counts = saved(keys.groupBy("seen").agg(F.sum("count").alias("count")), "contexts")
-    asked = keys.select(F.col("chunk").alias("at"), "seen").join(logs_of_keys(counts, depth), "seen")
+    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = saved(chunked(rows, depth, buckets), "chunks")
+    sent = chunks.where("bucket IS NOT NULL").select("bucket", "chunk", "keys", "counts")
+    counts = saved(added_up(sent), "contexts")
+    asked = answered(sent, model_rows(counts, depth)).withColumnRenamed("chunk", "at")
     shared = spark.sparkContext.broadcast(frequent)
     ddl = "doc_id long, held_out boolean, n_bytes long, n_words long, known long, logs double, score double, rest array<long>"
 
     def rate(texts: pa.Table, model: pa.Table) -> pa.Table:
         known, logs = shared.value
-        places, byte_log = Places(model.column("seen").to_numpy()), model.column("log").to_numpy()
+        places = Places(np.concatenate([ascending(x) for x in model.column("keys").to_pylist()]))
+        byte_log = np.concatenate([numbers(x, np.float32) for x in model.column("logs").to_pylist()])
         names = [x.split()[0] for x in ddl.split(", ")]
         out = []
         for batch in texts.to_batches():
@@ -617,8 +701,8 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, held: int = 2)
                 ], names=names))
         return pa.Table.from_batches(out)
 
-    texts = chunks.where("seen IS NULL").select("chunk", "doc_id", "learned", "text")
-    scored = texts.groupBy("chunk").cogroup(asked.select("at", "seen", "log").groupBy("at")).applyInArrow(rate, ddl)
+    texts = chunks.where("bucket IS NULL").select("chunk", "doc_id", "learned", "text")
+    scored = texts.groupBy("chunk").cogroup(asked.groupBy("at")).applyInArrow(rate, ddl)
     rated = saved(scored.withColumn("row", F.monotonically_increasing_id()), "rated")
     rare = rated.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     joined = rare.join(words, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("count") + 1)).alias("more_logs"))

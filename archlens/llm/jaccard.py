@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import BYTE_VALUE, arrow_ddl, maybe_in, mix, prefix_hashes, saved, sketch, slices, span_hash, utf8, word_bounds
+from archlens.llm.common import Words, arrow_ddl, chain_hashes, maybe_in, mix, saved, sketch, slices, tidied, utf8
 from archlens.llm.components import components
 
 WORDS = 5
 #: Entries (key, node) that a task packs at once.
 PACK = 1 << 19
-#: Sets of a group that one task compares; a larger group is compared with its hub first, then in blocks of half as many.
-MOST_SETS = 16_000
+#: Bytes of a group's sets that one task compares; a larger group is compared with its hub first, then in blocks of half as many.
+GROUP_BYTES = 48 << 20
 #: Bits of a token bitmap, children of a tree node, sets of a leaf.
 BITS, FANOUT, LEAF = 2048, 8, 16
 
@@ -50,20 +50,16 @@ _LOWER[65:91] += 32
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every document."""
-    data = _LOWER[data]
-    starts, ends, bounds = word_bounds(data, offsets)
-    prefix = prefix_hashes(span_hash(prefix_hashes(BYTE_VALUE[data]), starts, ends))
-    first = np.arange(max(0, len(starts) - width + 1))
-    hashes = span_hash(prefix, first, first + width)
+    words = Words(_LOWER[data], offsets)
+    values = words.hashes()
+    hashes = chain_hashes(values, width)
     out = []
-    for a, b in zip(bounds[:-1], bounds[1:]):
+    for a, b in zip(words.bounds[:-1], words.bounds[1:]):
         if b - a >= width:
             h = np.sort(hashes[a : b - width + 1])
             out.append(h[np.concatenate([[True], h[1:] != h[:-1]])])
-        elif b > a:
-            out.append(span_hash(prefix, np.array([a]), np.array([b])))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(chain_hashes(values[a:b], int(b - a)) if b > a else np.zeros(0, np.uint64))
     return out
 
 
@@ -176,26 +172,33 @@ def key_members(docs: DataFrame) -> DataFrame:
         def rows(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes.view(np.int64))], schema=schema)
 
-        held, size = [], 0
+        def rest() -> pa.RecordBatch:
+            keys, nodes, first = _grouped(*(np.concatenate(x) for x in zip(*held)))
+            count = np.diff(np.append(first, len(keys)))
+            several = np.repeat(count > 1, count)
+            return rows(keys[several], nodes[several])
+
+        held, size, now = [], 0, None
         for batch in batches:
-            for settled, keys, nodes in zip(*(batch.column(c).to_pylist() for c in ("settled", "keys", "nodes"))):
+            for bucket, settled, keys, nodes in zip(*(batch.column(c).to_pylist() for c in ("bucket", "settled", "keys", "nodes"))):
+                if bucket != now and held:
+                    yield rest()
+                    held, size = [], 0
+                now = bucket
                 pair = np.frombuffer(keys, np.uint64), np.frombuffer(nodes, np.uint64)
                 if settled:
                     yield rows(*pair)
-                else:
-                    held.append(pair)
-                    size += len(pair[0])
-            if size > 16 * PACK:  # keys with many nodes go out, all but one node
-                keys, nodes, many_keys, many_nodes = _shared(*(np.concatenate(x) for x in zip(*held)), most=64)
-                yield rows(many_keys, many_nodes)
-                held, size = [(keys, nodes)], 0
+                    continue
+                held.append(pair)
+                size += len(pair[0])
+                if size > 4 * PACK:  # keys with many nodes go out, all but one node
+                    keys, nodes, many_keys, many_nodes = _shared(*(np.concatenate(x) for x in zip(*held)), most=64)
+                    yield rows(many_keys, many_nodes)
+                    held, size = [(keys, nodes)], 0
         if held:
-            keys, nodes, first = _grouped(*(np.concatenate(x) for x in zip(*held)))
-            count = np.diff(np.append(first, len(keys)))
-            several = np.repeat(count > 1, count)
-            yield rows(keys[several], nodes[several])
+            yield rest()
 
-    return docs.select("text").mapInArrow(send, _PACKED).repartition("bucket").mapInArrow(meet, _MEMBERS)
+    return docs.select("text").mapInArrow(tidied(send), _PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(meet), _MEMBERS)
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
@@ -209,7 +212,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
                 columns = [part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests(sets).view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow_ddl(ddl))
 
-    return docs.mapInArrow(count, ddl)
+    return docs.mapInArrow(tidied(count), ddl)
 
 
 class SignatureTree:
@@ -346,20 +349,20 @@ ALL, LEFT, RIGHT, CONNECTED = -1, 0, 1, 2
 
 
 def _block(rows: DataFrame, count: str) -> DataFrame:
-    """``rows`` (node, label, ...) with blocks, how many its label has, and block, the node's own."""
-    blocks = F.ceil(F.col(count) / (MOST_SETS // 2)).cast("int")
+    """``rows`` (node, label, ...) with blocks, how many its label has by its bytes in ``count``, and block, the node's own."""
+    blocks = F.ceil(F.col(count) / (GROUP_BYTES // 2)).cast("int")
     return rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
 def _units(lost: DataFrame, tied: DataFrame) -> DataFrame:
     """Rows (node, unit, side): the tasks of large groups.
 
-    lost are the nodes (node, label) not linked with their hub, tied those that are.
+    lost are the nodes (node, label, bytes) not linked with their hub, tied those that are.
     Pairs of blocks of lost nodes, and pairs of a block of lost with one of tied nodes,
     are a task each; tied nodes needn't be compared with each other.
     """
-    lost_blocks = lost.groupBy("label").agg(F.count("*").alias("lost"))
-    tied_blocks = tied.groupBy("label").agg(F.count("*").alias("tied"))
+    lost_blocks = lost.groupBy("label").agg(F.sum("bytes").alias("lost"))
+    tied_blocks = tied.groupBy("label").agg(F.sum("bytes").alias("tied"))
     counts = saved(lost_blocks.join(tied_blocks, "label", "left").withColumn("tied", F.coalesce("tied", F.lit(0))), "block_counts")
     left, right = _block(lost.join(counts, "label"), "lost"), _block(tied.join(counts, "label"), "tied")
     unit = lambda kind, a, b: F.xxhash64(F.lit(kind), "label", a, b).alias("unit")
@@ -367,15 +370,15 @@ def _units(lost: DataFrame, tied: DataFrame) -> DataFrame:
     among = left.select("node", "label", "block", each(F.col("blocks")))
     side = F.when(F.col("block") == F.col("other"), ALL).when(F.col("block") < F.col("other"), LEFT).otherwise(RIGHT)
     among = among.select("node", unit("lost", F.least("block", "other"), F.greatest("block", "other")), side.alias("side"))
-    tied_count = F.ceil(F.col("tied") / (MOST_SETS // 2)).cast("int")
+    tied_count = F.ceil(F.col("tied") / (GROUP_BYTES // 2)).cast("int")
     from_left = left.where("tied > 0").select("node", "label", "block", each(tied_count)).select("node", unit("tied", F.col("block"), F.col("other")), F.lit(LEFT).alias("side"))
-    lost_count = F.ceil(F.col("lost") / (MOST_SETS // 2)).cast("int")
+    lost_count = F.ceil(F.col("lost") / (GROUP_BYTES // 2)).cast("int")
     from_right = right.select("node", "label", "block", each(lost_count)).select("node", unit("tied", F.col("other"), F.col("block")), F.lit(CONNECTED).alias("side"))
     return among.unionByName(from_left).unionByName(from_right)
 
 
 def _hub_links(sets: DataFrame, groups: DataFrame, near: DataFrame) -> DataFrame:
-    """Rows (node, label, hub, linked): each node of the large groups against the hub that shares keys with most nodes."""
+    """Rows (node, label, bytes, hub, linked): each node of the large groups against the hub that shares keys with most nodes."""
     degree = near.join(groups.select(F.col("node").alias("b"), "label"), "b").groupBy("label", "b").agg(F.count("*").alias("n"))
     hub = degree.groupBy("label").agg(F.max_by("b", F.struct("n", "b")).alias("hub"))
     hubs = saved(hub.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub"), "hubs")
@@ -385,9 +388,9 @@ def _hub_links(sets: DataFrame, groups: DataFrame, near: DataFrame) -> DataFrame
         for batch in batches:
             pair = zip(batch.column("shingles").to_pylist(), batch.column("hub_shingles").to_pylist())
             found = [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in pair]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "label", "hub")), pa.array(found, pa.bool_())], names=["node", "label", "hub", "linked"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "label", "bytes", "hub")), pa.array(found, pa.bool_())], names=["node", "label", "bytes", "hub", "linked"])
 
-    return pairs.select("node", "label", "hub", "shingles", "hub_shingles").mapInArrow(compare, "node long, label long, hub long, linked boolean")
+    return pairs.select("node", "label", "bytes", "hub", "shingles", "hub_shingles").mapInArrow(tidied(compare), "node long, label long, bytes long, hub long, linked boolean")
 
 
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -435,17 +438,18 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    sets = saved(texts.mapInArrow(shingles, "node long, shingles binary"), "shingles")
-    sizes = saved(groups.groupBy("label").agg(F.count("*").alias("members")), "group_sizes")
-    sized = groups.join(sizes, "label")
-    tasks = sized.where(F.col("members") <= MOST_SETS).select("node", F.col("label").alias("unit"), F.lit(ALL).alias("side"))
-    large = saved(sized.where(F.col("members") > MOST_SETS).select("node", "label"), "large")
+    sets = saved(texts.mapInArrow(tidied(shingles), "node long, shingles binary"), "shingles")
+    sized = saved(groups.join(sets.select("node", F.octet_length("shingles").cast("long").alias("bytes")), "node"), "sized")
+    sizes = saved(sized.groupBy("label").agg(F.sum("bytes").alias("all_bytes")), "group_sizes")
+    sized = sized.join(sizes, "label")
+    tasks = sized.where(F.col("all_bytes") <= GROUP_BYTES).select("node", F.col("label").alias("unit"), F.lit(ALL).alias("side"))
+    large = saved(sized.where(F.col("all_bytes") > GROUP_BYTES).select("node", "label", "bytes"), "large")
     stars = None
     if not large.isEmpty():
         against = saved(_hub_links(sets, large, near), "against_hub")
         stars = against.where("linked AND node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        tasks = tasks.unionByName(_units(against.where("NOT linked").select("node", "label"), against.where("linked").select("node", "label")))
-    found = tasks.join(sets, "node").repartition("unit").sortWithinPartitions("unit").mapInArrow(join, "a long, b long")
+        tasks = tasks.unionByName(_units(against.where("NOT linked").select("node", "label", "bytes"), against.where("linked").select("node", "label", "bytes")))
+    found = tasks.join(sets, "node").repartition("unit").sortWithinPartitions("unit").mapInArrow(tidied(join), "a long, b long")
     return found if stars is None else found.unionByName(stars)
 
 

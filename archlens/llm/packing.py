@@ -20,19 +20,20 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archlens.llm.common import BYTE_VALUE, arrow_ddl, prefix_hashes, saved, slices, span_hash, utf8, word_bounds
+from archlens.llm.common import Words, arrow_ddl, saved, slices, tidied, utf8
 from archlens.llm.sharding import slots
 
 #: From this length on, lengths are rounded up to a multiple of GRID for the plan.
 FINE, GRID = 256, 16
-#: Words and parts of words whose ids a task remembers.
-MOST_WORDS, MOST_PARTS = 3_000_000, 1_000_000
+#: Words and parts of words whose ids a task remembers, and the bytes up to which it does (so about 100 MB at most).
+MOST_WORDS, MOST_PARTS, MOST_BYTES = 400_000, 200_000, 48
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Words that normalising only lowers, and the parts into which the tokenizer cuts them (fixed by the tokenizer's file).
@@ -44,7 +45,7 @@ _tokenizers: dict[str, tuple] = {}
 class WordIds:
     """Ids of texts under a tokenizer that treats the words between white space alone.
 
-    A word is known by a 64-bit hash; the words of a slice are looked up once each, in sorted arrays.
+    The distinct words of a slice are looked up once each, by their bytes.
     """
 
     def __init__(self, path: str):
@@ -55,11 +56,13 @@ class WordIds:
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.parts: dict[str, bytes] = {}
-        self.hashes, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 20, "<u4"), 0
+        self.known: dict[bytes, bytes] = {}
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[list[str]]) -> None:
-        """Encode the new parts of words; the ids of a part end with the only one that closes a word."""
+        """Encode the new parts of words together; the ids of a part end with the only one that closes a word."""
         if len(self.parts) > MOST_PARTS:
             self.parts = {}
         parts = list({p for x in words for p in x if p not in self.parts})
@@ -68,8 +71,9 @@ class WordIds:
             (encoded,) = self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)
             ids = np.array(encoded.ids, "<u4")
             ends, raw, first = np.flatnonzero(self.closing[ids]) + 1, ids.tobytes(), 0
-            if len(ends) != len(block):
-                raise ValueError("the tokenizer joins or drops words")
+            if len(ends) != len(block):  # a part that the tokenizer cuts or drops: each goes alone
+                self.parts |= {part: self._alone(part) for part in block}
+                continue
             for part, end in zip(block, ends.tolist()):
                 self.parts[part] = raw[4 * first : 4 * end]
                 first = end
@@ -77,48 +81,28 @@ class WordIds:
     def _encoded(self, words: list[str]) -> list[bytes]:
         """The ids of new words."""
         latin = _LATIN.fullmatch
-        plain = [([w.lower()] if w.isalpha() else _PARTS.findall(w.lower())) if latin(w) and "<|" not in w else None for w in words]
+        plain = [([w.lower()] if w.isalpha() else _PARTS.findall(w.lower())) if len(w) <= MOST_BYTES and latin(w) and "<|" not in w else None for w in words]
         self._learn([x for x in plain if x])
         parts = self.parts
-        return [
-            (parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])) if x else np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            for w, x in zip(words, plain)
-        ]
-
-    def _insert(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Store the ids of new words; ``hashes`` are sorted."""
-        if len(self.hashes) > MOST_WORDS:  # the older half stays, as frequent words come early
-            old = self.start < self.used // 2
-            self.hashes, self.start, self.size = self.hashes[old], self.start[old], self.size[old]
-            self.used = int((self.start + self.size).max())
-        found = self._encoded(words)
-        sizes = np.array([len(x) // 4 for x in found], np.int64)
-        new = np.frombuffer(b"".join(found), "<u4")
-        if self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(new)), "<u4")])
-        self.flat[self.used : self.used + len(new)] = new
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.start = np.insert(self.start, at, self.used + np.cumsum(sizes) - sizes)
-        self.size = np.insert(self.size, at, sizes)
-        self.used += len(new)
+        return [(parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])) if x else self._alone(w) for w, x in zip(words, plain)]
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text."""
-        starts, ends, bounds = word_bounds(data, offsets)
-        values, first, index = np.unique(span_hash(prefix_hashes(BYTE_VALUE[data]), starts, ends), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, values), max(0, len(self.hashes) - 1))
-        new = self.hashes[at] != values if len(self.hashes) else np.ones(len(values), bool)
-        if new.any():
-            raw = data.tobytes()
-            self._insert(values[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-        at = np.searchsorted(self.hashes, values)
-        if len(at) and not np.array_equal(self.hashes[np.minimum(at, len(self.hashes) - 1)], values):  # some were forgotten just now
-            return self.ids(data, offsets)
-        start, size = self.start[at][index], self.size[at][index]
+        words = Words(data, offsets)
+        if len(self.known) > MOST_WORDS:  # the older half stays, as frequent words come early
+            self.known = dict(islice(self.known.items(), MOST_WORDS // 2))
+        found = [self.known.get(w) for w in words.distinct]
+        new = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(new, self._encoded([words.distinct[i].decode() for i in new])):
+            found[i] = x
+            if len(words.distinct[i]) <= MOST_BYTES:
+                self.known[words.distinct[i]] = x
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        flat = np.frombuffer(b"".join(found), "<u4")
+        start, size = (np.cumsum(sizes) - sizes)[words.index], sizes[words.index]
         before = np.concatenate([[0], np.cumsum(size)])
-        flat = self.flat[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
-        return np.split(flat, before[bounds[1:-1]]) if len(offsets) > 1 else []
+        flat = flat[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
+        return np.split(flat, before[words.bounds[1:-1]]) if len(offsets) > 1 else []
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFrame:
@@ -142,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFra
                         rows.append((doc_id, at, len(piece) // 4, zlib.crc32(piece), total))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, _PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidied(cut), _PIECES)
 
 
 def planned_length(length: Column) -> Column:
@@ -247,7 +231,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -
             place += copies
         first_id += repeats
     steps = spark.createDataFrame(rows, "planned long, low long, high long, first_id long, copies long, place long")
-    ranked = slots(cut, "planned", "doc_id", ["doc_id", "start", "length", "ids_crc32"], "rank", digits=2)
+    cut = cut.withColumn("_piece", F.concat_ws("#", "doc_id", "start", "ids_crc32"))  # a repeated id's pieces are spread
+    ranked = slots(cut, "planned", "_piece", ["doc_id", "start", "length", "ids_crc32"], "rank", digits=2)
     at = F.col("rank") - F.col("low")
     put = ranked.join(F.broadcast(steps), "planned").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",

@@ -1,17 +1,17 @@
 """Substring deduplication by suffix automata of reference shards, on words.
 
-The reference of a shard is the set of runs that share their anchors but differ
-(``repeats``); its suffix automaton knows, for every state, how often the state's
-strings occur.  The runs are then streamed through the automaton: the matching
-statistics give, at every word, the longest match that ends there, and a window
-is repeated when the state of its length occurs more than once.  Maximal spans of
-repeated windows are removed.
+The reference of a shard is a set of runs of windows (``repeats``), all runs of a key
+together, each distinct one once with the number of its copies; the suffix automaton of
+a key knows, for every state, how often the state's strings occur.  The runs are then
+streamed through the automaton: the matching statistics give, at every word, the
+longest match that ends there, and a window is repeated when the state of its length
+occurs more than once.  Maximal spans of repeated windows are removed.
 
 The automata are built in the tasks to which Spark sends the runs of a shard.
 Sending every automaton to every document instead would cost the product of both.
 
 Defined results: a null or empty text has no words; rows that repeat a text are
-repeats of each other; texts are judged on the input; extra columns are passed over.
+repeats of each other; a row without a doc_id is treated like any other and keeps its null; texts are judged on the input; extra columns are passed over.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import arrow_ddl, slices, utf8, word_bounds
+from archlens.llm.common import arrow_ddl, slices, tidied, utf8, word_bounds
 from archlens.llm.repeats import Segment, Unit, covered, digest, identified, removal_mask, repeated_runs
 
 #: Words of a window, and of the grams that anchor it.
@@ -115,7 +115,7 @@ def resolve(segments: list[Segment], unit: Unit) -> list[np.ndarray]:
             automaton.add(words, segments[i].copies)
         automaton.close()
         for i, words in sequences.items():
-            out[i] = np.ones(segments[i].windows, bool) if segments[i].copies > 1 else automaton.repeated(words, unit.window)
+            out[i] = automaton.repeated(words, unit.window)
     return out
 
 
@@ -131,7 +131,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     unit = Unit(True, window, gram)
     joined = covered(repeated_runs(identified(docs), unit, resolve), identified(docs, keep))
     kinds = dict(docs.dtypes)
-    ddl = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in keep), _OUT])
+    if clash := {x.split()[0] for x in _OUT.split(", ")} & set(keep):
+        raise ValueError(f"rename the columns {sorted(clash)} before keeping them")
+    ddl = ", ".join(["doc_id long", "named boolean", *(f"`{c}` {kinds[c]}" for c in keep), _OUT])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_ddl(_OUT)
@@ -154,8 +156,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
                     spans = int((gone[1:] & ~gone[:-1]).sum()) + int(gone[:1].sum())
                     out.append((len(gone), removed, spans, digest(b" ".join(words)), kept_text.decode()))
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*out), schema)]
-                names = ["doc_id", *keep, *schema.names]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names[: len(keep) + 1]), *columns], names=names)
+                names = ["doc_id", "named", *keep, *schema.names]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names[: len(keep) + 2]), *columns], names=names)
 
-    done = joined.mapInArrow(cut, ddl)
-    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
+    return joined.mapInArrow(tidied(cut), ddl).withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")

@@ -1,20 +1,22 @@
 """Substring deduplication by a hash-compared suffix sort, on bytes.
 
-Runs that share an anchor but differ (``repeats``) are compared by sorting the
-suffixes that start at their windows.  Prefix polynomial hashes compare any two
+Runs that share an anchor (``repeats``), each distinct one once with the number of its
+copies, are compared by sorting the suffixes that start at their windows.  Prefix polynomial hashes compare any two
 spans in constant time, a binary search finds how far two suffixes agree, and so
 a comparison takes a logarithmic number of steps; a mergesort over all suffixes of
 a shard runs level by level in numpy.  Suffixes are sorted in classes of equal key
 and equal distance from the anchor, since windows of different classes can't be
-equal.  Neighbours that agree over a whole window are verified byte by byte.
+equal.  Neighbours are then compared byte by byte: that proves the order, and shows which
+windows are equal; a class that colliding hashes put in a wrong order is done over by its bytes.
 
 Defined results: a null or empty text has no bytes; matches don't cross documents
 and texts are judged on the input; rows that repeat a text are repeats of each
-other; extra columns are passed over.
+other; a row without a doc_id keeps its null; extra columns are passed over.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import BASE, BYTE_VALUE, INVERSE, arrow_ddl, powers, slices, utf8
+from archlens.llm.common import BASE, BYTE_VALUE, INVERSE, arrow_ddl, powers, slices, tidied, utf8
 from archlens.llm.repeats import Segment, Unit, covered, digest, identified, removal_mask, repeated_runs
 
 #: Bytes of a window, and of the grams that anchor it.
@@ -113,26 +115,42 @@ def resolve(segments: list[Segment], unit: Unit) -> list[np.ndarray]:
     order = by_class[sorter.sort(suffix[by_class], group[by_class])]
     same = np.flatnonzero(group[order[1:]] == group[order[:-1]])
     a, b = order[same], order[same + 1]
-    whole = sorter.agree(suffix[a], suffix[b]) == unit.window
-    a, b = a[whole], b[whole]
-    if len(a):
-        spans = np.lib.stride_tricks.sliding_window_view(data, unit.window)
-        for i in range(0, len(a), 20_000):  # collisions of hashes end here
-            equal = (spans[suffix[a[i : i + 20_000]]] == spans[suffix[b[i : i + 20_000]]]).all(axis=1)
-            if not equal.all():
-                raise ArithmeticError("two different windows have equal polynomial hashes")
+    equal, wrong = np.zeros(len(a), bool), []
+    spans = np.lib.stride_tricks.sliding_window_view(data, unit.window) if len(a) else None
+    for i in range(0, len(a), 20_000):
+        left, right = suffix[a[i : i + 20_000]], suffix[b[i : i + 20_000]]
+        differ = spans[left] != spans[right]
+        at = differ.argmax(axis=1)
+        alike = ~differ[np.arange(len(at)), at]
+        equal[i : i + 20_000] = alike
+        wrong.append(~alike & (data[left + at] > data[right + at]))
+    a_group = group[a]
+    if len(a) and (bad := np.unique(a_group[np.concatenate(wrong)])).size:
+        equal[np.isin(a_group, bad)] = False
+    else:
+        bad = ()
+    a, b = a[equal], b[equal]
     flags = np.repeat(np.array([s.copies for s in segments]) > 1, windows)
     flags[a] = True
     flags[b] = True
+    for number in bad:
+        flags[np.flatnonzero(group == number)] |= _repeated_bytes(data, suffix[group == number], unit.window)
     return np.split(flags, np.cumsum(windows)[:-1])
 
 
+def _repeated_bytes(data: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
+    """Which suffixes agree with another one over ``depth`` bytes, by the bytes themselves."""
+    texts = [data[a : a + depth].tobytes() for a in suffixes.tolist()]
+    times = Counter(texts)
+    return np.array([times[t] > 1 for t in texts])
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes)."""
     unit = Unit(False, window, gram)
     rows = identified(docs)
     joined = covered(repeated_runs(rows, unit, resolve), rows)
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    ddl = "doc_id long, named boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_ddl(ddl)
@@ -140,14 +158,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             for part in slices(batch):
                 data, offsets = utf8(part.column("text"))
                 out = []
-                lists = (part.column(c).to_pylist() for c in ("doc_id", "starts", "windows", "flags"))
-                for row, (doc_id, first, windows, flags) in enumerate(zip(*lists)):
+                lists = (part.column(c).to_pylist() for c in ("doc_id", "named", "starts", "windows", "flags"))
+                for row, (doc_id, named, first, windows, flags) in enumerate(zip(*lists)):
                     text = data[offsets[row] : offsets[row + 1]]
                     gone = removal_mask(len(text), first, windows, flags, window)
                     spans = int((gone[1:] & ~gone[:-1]).sum()) + int(gone[:1].sum())
                     kept = text[~gone].tobytes()
-                    out.append((doc_id, len(text), int(gone.sum()), spans, digest(kept), kept))
+                    out.append((doc_id, named, len(text), int(gone.sum()), spans, digest(kept), kept))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    done = joined.mapInArrow(cut, ddl)
-    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
+    return joined.mapInArrow(tidied(cut), ddl).withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")
