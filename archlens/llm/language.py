@@ -1,17 +1,20 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
 Grams are three bytes of the text, ASCII letters lowered and everything that is
-no letter made one space, so there are 2**24 of them at most.  A gram belongs to
-every language in which it is frequent and not much rarer than in the language
-where it is most frequent.  One array of cells holds a Bloom filter for each
-language, a language being one bit of a cell: the AND of a gram's cells is the set
-of all languages that contain it.  The share of a text's grams that a language
-contains, corrected for the filter's known rate of false positives, decides.
+no letter made one space, so there are 2**24 of them at most.  One array of cells holds
+the Bloom filters of all languages, a bit of a cell for each language and level: the AND
+of a gram's cells is the set of all languages that contain it and, for each, the levels of
+frequency that it reaches there.  Nothing is left out: a gram seen once in a language is
+in its first level.  Per-language popcounts over a text's grams, each level corrected for
+its filter's known rate of false positives, decide; the levels weigh a language's own
+grams above strays, as mixed and mislabelled texts bring any gram into any language.
 
-Counts come from all labelled training rows, with one partial sum for each task.
+Counts come from all labelled training rows, with one partial sum for each task; the
+cells are filled by Spark, and only they reach the driver, MOST_CELLS at most.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; ties go
-to the first language in order; without training rows every text is ``und``.
+to the first language in order; without training rows every text is ``und``; a row without
+a doc_id is predicted, not held out and not learned from.
 """
 
 from __future__ import annotations
@@ -21,17 +24,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import arrow_ddl, mix, slices, utf8
+from archlens.llm.common import arrow_ddl, mix, saved, slices, tidied, utf8
 
-#: Least share of a language's grams that a gram must have (so 1 / LEAST grams a language at most).
-LEAST = 4e-6
-#: Least frequency of a gram in a language, as a part of its frequency in the language where it is most frequent.
-RATIO = 0.35
-#: Cells of the filter for each gram of the largest language, and hash functions.
-CELLS_PER_GRAM, HASHES = 16, 4
+#: Least share of a language's grams at each level; the first holds every gram.
+LEVELS = (0.0, 1e-5, 1e-4, 1e-3)
+#: Cells of the filter for each gram of the largest language, hash functions, and a bound on the cells (beyond it, false positives rise, and the correction with them).
+CELLS_PER_GRAM, HASHES, MOST_CELLS = 8, 4, 1 << 22
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -40,7 +41,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 class Filter(NamedTuple):
-    """Languages, the cells (one word for each 64 languages) and the rate of false positives by language."""
+    """Languages, the cells (words of bits, bit ``language * levels + level``) and the rate of false positives of each bit."""
 
     languages: list[str]
     cells: np.ndarray
@@ -101,7 +102,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 part = codes[a : a + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(counts[a : a + 50_000])], schema=arrow_ddl(ddl))
 
-    return docs.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(count, ddl).groupBy("lang", "gram").agg(F.sum("count").alias("count"))
+    return docs.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(tidied(count), ddl).groupBy("lang", "gram").agg(F.sum("count").alias("count"))
 
 
 def cells_of(codes: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -112,46 +113,74 @@ def cells_of(codes: np.ndarray, size: int) -> Iterator[np.ndarray]:
         yield ((h + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64)
 
 
-def learn(docs: DataFrame, least: float = LEAST, ratio: float = RATIO) -> Filter:
-    """The filter learned from the rows of ``docs`` (text, lang); at most 1 / least grams a language reach the driver."""
-    shares = gram_counts(docs)
-    totals = shares.groupBy("lang").agg(F.sum("count").alias("total"))
-    shares = shares.join(F.broadcast(totals), "lang").withColumn("share", F.col("count") / F.col("total")).where(F.col("share") >= least)
-    top = F.max("share").over(Window.partitionBy("gram"))
-    table = shares.withColumn("top", top).where(F.col("share") >= ratio * F.col("top")).select("lang", "gram").toArrow()
-    names, codes = np.array(table.column("lang").to_pylist(), object), table.column("gram").to_numpy()
-    languages = sorted(set(names))
-    largest = max((int((names == x).sum()) for x in languages), default=1)
-    size = 1 << max(10, (CELLS_PER_GRAM * largest - 1).bit_length())
-    cells = np.zeros((size, max(1, -(-len(languages) // 64))), np.uint64)
-    rate = np.zeros(len(languages))
-    for i, lang in enumerate(languages):
-        bit = np.uint64(1 << (i % 64))
-        for at in cells_of(codes[names == lang], size):
-            cells[at, i // 64] |= bit
-        rate[i] = ((cells[:, i // 64] & bit) > 0).mean() ** HASHES
+def learn(docs: DataFrame, levels: Sequence[float] = LEVELS) -> Filter:
+    """The filter learned from the rows of ``docs`` (text, lang)."""
+    counts = saved(gram_counts(docs), "gram_counts")
+    totals = counts.groupBy("lang").agg(F.sum("count").alias("total"), F.count("*").alias("grams")).collect()  # a row for each language
+    languages = sorted(r["lang"] for r in totals)
+    largest = max((r["grams"] for r in totals), default=1)
+    size = min(MOST_CELLS, 1 << max(10, (CELLS_PER_GRAM * largest - 1).bit_length()))
+    total = {r["lang"]: r["total"] for r in totals}
+    first = {lang: i * len(levels) for i, lang in enumerate(languages)}
+    words = max(1, -(-len(languages) * len(levels) // 64))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros((words, size), np.uint64)
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            codes, count = batch.column("gram").to_numpy(), batch.column("count").to_numpy()
+            for lang in set(langs):
+                mine = langs == lang
+                share = count[mine] / total[lang]
+                for level, least in enumerate(levels):
+                    word, bit = divmod(first[lang] + level, 64)
+                    for at in cells_of(codes[mine][share >= least], size):
+                        cells[word, at] |= np.uint64(1 << bit)
+        for word in range(words):
+            used = np.flatnonzero(cells[word])
+            for a in range(0, len(used), 100_000):
+                at = used[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), word, np.int32)), pa.array(at), pa.array(cells[word, at].view(np.int64))], schema=arrow_ddl(_CELLS))
+
+    found = counts.mapInArrow(tidied(fill), _CELLS).groupBy("word", "cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    cells = np.zeros((words, size), np.uint64)
+    cells[found.column("word").to_numpy(), found.column("cell").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    bits = [divmod(i, 64) for i in range(len(languages) * len(levels))]
+    rate = np.array([((cells[w] >> np.uint64(b)) & np.uint64(1)).mean() ** HASHES for w, b in bits])
     return Filter(languages, cells, rate)
 
 
+_CELLS = "word int, cell long, bits long"
+
+
+def sets(f: Filter, codes: np.ndarray) -> np.ndarray:
+    """(words, grams): the bits of all languages and levels that contain each gram."""
+    at = list(cells_of(codes, f.cells.shape[1]))
+    out = f.cells[:, at[0]]
+    for x in at[1:]:
+        out &= f.cells[:, x]
+    return out
+
+
 def shares(f: Filter, codes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """Corrected share of each row's grams that each language contains."""
-    at = list(cells_of(codes, len(f.cells)))
-    n = np.bincount(row, minlength=rows)
+    """Each row's grams in each language: the corrected share of every level, averaged."""
+    found = sets(f, codes)
+    n = np.maximum(np.bincount(row, minlength=rows), 1)
+    levels = len(f.false_rate) // len(f.languages)
     out = np.zeros((rows, len(f.languages)))
-    for word in range(f.cells.shape[1]):
-        column = f.cells[:, word]
-        masks = column[at[0]]
-        for x in at[1:]:
-            masks &= column[x]
-        for i in range(64 * word, min(64 * word + 64, len(f.languages))):
-            hits = np.bincount(row[(masks & np.uint64(1 << (i % 64))) > 0], minlength=rows)
-            out[:, i] = (hits / np.maximum(n, 1) - f.false_rate[i]) / (1 - f.false_rate[i])
-    return np.clip(out, 0, 1)
+    for i, rate in enumerate(f.false_rate):
+        word, bit = divmod(i, 64)
+        hits = np.bincount(row[(found[word] & np.uint64(1 << bit)) > 0], minlength=rows)
+        if rate < 1:
+            out[:, i // levels] += np.clip((hits / n - rate) / (1 - rate), 0, 1) / levels
+    return out
 
 
 def predict(docs: DataFrame, f: Filter, keep: Sequence[str] = ()) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score) of all rows; with ``keep``, these columns of ``docs`` and the last two."""
     shared = docs.sparkSession.sparkContext.broadcast(f)
+    if clash := {"lang_pred", "score"} & set(keep):
+        raise ValueError(f"rename the columns {sorted(clash)} before keeping them")
     if keep:
         rows = docs.select(*keep)
         names = list(keep)
@@ -178,7 +207,7 @@ def predict(docs: DataFrame, f: Filter, keep: Sequence[str] = ()) -> DataFrame:
                 score = pa.array(np.where(known, found[np.arange(len(best)), best], 0.0))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), labels, score], names=[*names, "lang_pred", "score"])
 
-    return rows.mapInArrow(decide, ddl)
+    return rows.mapInArrow(tidied(decide), ddl)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -5,14 +5,16 @@ lower case) and hashed.  Per host, the documents that hold a line are counted;
 a line above the limit is boilerplate and is removed.  A document is depleted,
 and rejected, when too few or too small a share of its words is left.
 
-Each document's statistics are computed inside its row; the only shuffles carry
-line hashes (first pre-aggregated to one row per line and document) and then one
-number per document.  A line that a third of all documents hold is counted by
-partial sums and joined from the side of the few frequent lines.
+Texts are scanned once: each row's statistics and the hashes of its lines go to a work
+table, which gives the row its number.  The shuffles carry line hashes (pre-aggregated
+to one row per line and document) and then one number per row.  A line that a third of
+all documents hold is counted by partial sums and joined from the side of the few
+frequent lines.
 
 Defined results: a null or empty text has no words, fails the base rules and is
-not kept; a null host is a host of its own; rows that repeat a doc_id are judged
-as one document's lines but each keeps its own row; other columns are ignored.
+not kept; a null host is a host of its own; rows that repeat a doc_id count as one
+document when the documents of a line are counted, but each row loses its own lines only;
+a row without a doc_id counts as a document of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import WHITE
+from archlens.llm.common import WHITE, saved
 
 #: Java's form of the contracts' white space.
 GAP = r"[\x20\x09-\x0D]+"
@@ -75,13 +77,14 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), GAP, " "))
 
 
-def base(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One row per document: host, the five base counts and the distinct lines with their words."""
+def facts(docs: DataFrame, host: str = "source") -> DataFrame:
+    """Per row: doc_id, host, the five base counts and ``held``, the hash and the words of each distinct normalised line."""
     kept = docs.select("doc_id", F.col(host).alias("host"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kept = kept.withColumn("tokens", words(F.col("text")))
     solid = F.translate(F.col("text"), WHITE, "")
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.translate(x, WHITE, "") != "")
     kept = kept.withColumn("lines", lines)
+    held = F.transform("lines", lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(words(x)).alias("n")))
     return kept.select(
         "doc_id", "host",
         F.size("tokens").cast("bigint").alias("n_words"),
@@ -89,27 +92,27 @@ def base(docs: DataFrame, host: str = "source") -> DataFrame:
         (F.length("text") - F.length(F.translate(F.col("text"), SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("tokens")).cast("bigint").alias("n_repeat_words"),
+        held.alias("held"),
     )
 
 
-def removed_words(docs: DataFrame, host: str = "source", most: int = MOST_DOCUMENTS, share: float = MOST_SHARE) -> DataFrame:
-    """Per document with a line above the limits: doc_id and the words of those lines (n_removed)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(host).isNull().alias("no_host"), F.explode(F.split(text, "\n")).alias("line"))
-    hashed = split.where(F.translate("line", WHITE, "") != "").select(
-        "doc_id", "host", "no_host", F.xxhash64(normalised(F.col("line"))).alias("line"), F.size(words(F.col("line"))).alias("n"))
-    per_doc = hashed.groupBy("host", "no_host", "line", "doc_id").agg(F.sum("n").alias("n"))
-    hosts = docs.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(host).isNull().alias("no_host")).agg(F.count_distinct("doc_id").alias("docs"))
-    frequent = per_doc.groupBy("host", "no_host", "line").agg(F.count("*").alias("held")).where(F.col("held") > most)
-    frequent = frequent.join(hosts, ["host", "no_host"]).where(F.col("held") > F.col("docs") * share).select("host", "no_host", "line")
-    return per_doc.join(frequent, ["host", "no_host", "line"], "left_semi").groupBy("doc_id").agg(F.sum("n").alias("n_removed"))
+def removed_words(rows: DataFrame, most: int = MOST_DOCUMENTS, share: float = MOST_SHARE) -> DataFrame:
+    """Per row with a line above the limits: row and the words of those lines (n_removed); rows as from ``facts``, with row."""
+    host = [F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host")]
+    document = [F.coalesce("doc_id", "row").alias("document"), F.col("doc_id").isNull().alias("nameless")]
+    place, known = ["host", "no_host"], ["document", "nameless"]
+    lines = rows.select("row", *host, *document, F.explode("held").alias("x")).select("row", *place, *known, "x.line", "x.n")
+    documents = rows.select(*host, *document).distinct().groupBy(*place).agg(F.count("*").alias("docs"))
+    held = lines.select(*place, "line", *known).distinct().groupBy(*place, "line").agg(F.count("*").alias("held")).where(F.col("held") > most)
+    frequent = held.join(documents, place).where(F.col("held") > F.col("docs") * share).select(*place, "line")
+    return lines.join(saved(frequent, "frequent_lines"), [*place, "line"], "left_semi").groupBy("row").agg(F.sum("n").alias("n_removed"))
 
 
 def judge(docs: DataFrame, host: str = "source", most: int = MOST_DOCUMENTS, share: float = MOST_SHARE) -> DataFrame:
-    """Base counts of every document, and whether it is kept (see the module's text)."""
-    facts = base(docs, host)
-    out = facts.join(removed_words(docs, host, most, share), "doc_id", "left")
-    removed = F.least(F.coalesce("n_removed", F.lit(0)), F.col("n_words"))
+    """Base counts of every row, and whether it is kept (see the module's text)."""
+    rows = saved(facts(docs, host).withColumn("row", F.monotonically_increasing_id()), "line_facts")
+    out = rows.join(removed_words(rows, most, share), "row", "left")
+    removed = F.coalesce("n_removed", F.lit(0))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - removed
     return out.select(
@@ -126,14 +129,15 @@ t AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(
 win AS (SELECT rid, i, md5(array_to_string(w[i:i + 4], ' ')) AS h FROM t, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
 rep AS (SELECT DISTINCT rid, i + o AS p FROM (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, h) > 1), range(5) r(o)),
 nrep AS (SELECT rid, count(*) AS n FROM rep GROUP BY rid),
-l AS (SELECT doc_id, source, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS line, sum(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS n
-  FROM (SELECT doc_id, source, unnest(lines) AS x FROM t) GROUP BY ALL),
-hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
-freq AS (SELECT l.source, line FROM l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, line, docs HAVING count(*) > {MOST_DOCUMENTS} AND count(*) > docs * {MOST_SHARE}),
-gone AS (SELECT doc_id, sum(n) AS n FROM l JOIN freq f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line GROUP BY doc_id),
+l AS (SELECT rid, coalesce('i' || doc_id, 'r' || rid) AS doc, source, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS line, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
+  FROM (SELECT rid, doc_id, source, unnest(lines) AS x FROM t)),
+hosts AS (SELECT source, count(DISTINCT coalesce('i' || doc_id, 'r' || rid)) AS docs FROM d GROUP BY source),
+freq AS (SELECT l.source, line FROM l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, line, docs
+  HAVING count(DISTINCT doc) > {MOST_DOCUMENTS} AND count(DISTINCT doc) > docs * {MOST_SHARE}),
+gone AS (SELECT rid, sum(n) AS n FROM l JOIN freq f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line GROUP BY rid),
 r AS (SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(nrep.n, 0) AS n_repeat_words, least(coalesce(gone.n, 0), len(w)) AS n_removed
-  FROM t LEFT JOIN nrep USING (rid) LEFT JOIN gone USING (doc_id))
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(nrep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed
+  FROM t LEFT JOIN nrep USING (rid) LEFT JOIN gone USING (rid))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_removed >= {LEAST_WORDS} AND n_words - n_removed >= {LEAST_SHARE} * n_words AS kept,

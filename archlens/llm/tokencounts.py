@@ -12,7 +12,8 @@ every prefix, and a chunk's counts are reused wherever it occurs.
 the stored counts, without encoding again.
 
 Defined results: a null text counts as empty; an empty text has no tokens.
-Texts are never cut, whatever their length.  Other columns are passed over.
+Texts are never cut, whatever their length.  Rows that repeat a doc_id or have none are counted
+each.  Other columns are passed over.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from archlens.llm.common import arrow_ddl, slices
+from archlens.llm.common import arrow_ddl, slices, tidied
 
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: Chunks whose counts a task remembers; beyond that the newest quarter is forgotten, as frequent chunks come early.
-MOST_CHUNKS = 1_000_000
+MOST_CHUNKS = 500_000
 #: Pairs of pieces whose compatibility a task remembers.
-MOST_PAIRS = 2_000_000
+MOST_PAIRS = 500_000
 
 
 class PrefixCounter:
@@ -131,8 +132,8 @@ def truncate(deltas: bytes, budget: int) -> int:
 _counters: dict[str, PrefixCounter] = {}
 
 
-def prefix_counts(docs: DataFrame, model: str, limit: int = 4096, store: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, cut_at and, with ``store``, the prefix deltas of every text.
+def prefix_counts(docs: DataFrame, model: str, limit: int = 4096, store: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, cut_at and, unless ``store`` is false, the prefix deltas of every text (a byte for each code point).
 
     ``cut_at``: code points of the longest prefix of at most ``limit`` tokens.  No shuffle.
     """
@@ -153,4 +154,4 @@ def prefix_counts(docs: DataFrame, model: str, limit: int = 4096, store: bool =
                     rows.append(row + (deltas.tobytes(),) if store else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(count, ddl)
+    return docs.select("doc_id", "text").mapInArrow(tidied(count), ddl)
