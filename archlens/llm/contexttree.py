@@ -18,9 +18,8 @@ are scored with its own keys alone.
 ``learn`` and ``text_logs`` are the same model in memory, for small inputs; the tests
 compare the two.
 
-The base is a unigram model of words with add-one smoothing.  Words that hold
-at least WORD_LEAST of the tokens (1 / WORD_LEAST at most) are broadcast, all
-others are joined by hash.
+The base is a unigram model of words with add-one smoothing.  The words of a chunk travel,
+are added up and come back the same way, in buckets of their own, known by 64-bit hashes.
 
 Defined results: a null text is empty, which is its end alone; rows that repeat a
 doc_id are scored each; a row without a doc_id is learned from and not held out; without training rows the byte model is uniform.
@@ -41,7 +40,6 @@ from archlens.llm.common import BASE, Words, arrow_ddl, mix, saved, slices, tidi
 from archlens.llm.language import training
 
 DEPTH = 5
-WORD_LEAST = 2.0**-17
 #: Bytes of text in a chunk (a partition of the input may hold fewer).
 CHUNK_BYTES = 1 << 25
 #: Keys that a task holds before it adds up equal ones.
@@ -84,37 +82,20 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
-def _counted(docs: DataFrame, keys_of, column: str) -> DataFrame:
-    """Rows (column, count) of the 64-bit keys of all texts, summed over tasks."""
-    ddl = f"{column} long, count long"
+def context_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Rows (seen, count): seen is the next byte in the low 8 bits, above it the last byte, the one before, and so on."""
+    ddl = "seen long, count long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in slices(batch):
-                held.append(np.unique(keys_of(*utf8(part.column("text"))), return_counts=True))
-                if len(held) >= 32:
-                    held = [_merged(held)]
-                    if len(held[0][0]) > 2_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], schema=arrow_ddl(ddl))
-                        held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(held)], schema=arrow_ddl(ddl))
-
-    return docs.select("text").mapInArrow(tidied(count), ddl).groupBy(column).agg(F.sum("count").alias("count"))
-
-
-def context_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Rows (seen, count): seen is the next byte in the low 8 bits, above it the last byte, the one before, and so on."""
-
-    def keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        text, places, _ = framed(data, offsets, depth)
-        out = text[places].astype(np.int64)
-        for back in range(1, depth + 1):
-            out |= text[places - back].astype(np.int64) << (8 * back)
-        return out
+                text, places, _ = framed(*utf8(part.column("text")), depth)
+                keys = text[places].astype(np.int64)
+                for back in range(1, depth + 1):
+                    keys |= text[places - back].astype(np.int64) << (8 * back)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(keys, return_counts=True)], schema=arrow_ddl(ddl))
 
-    return _counted(docs, keys, "seen")
+    return docs.select("text").mapInArrow(count, ddl).groupBy("seen").agg(F.sum("count").alias("count"))
 
 
 def word_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -352,53 +333,59 @@ def ascending(raw: bytes) -> np.ndarray:
     return np.cumsum(numbers(raw))
 
 
-_KEYS = "bucket int, chunk long, keys binary, counts binary"
+def _tally(keys: np.ndarray, learned: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys with their counts over the learned places, and those of the others with 0."""
+    asked = np.unique(keys[~learned])
+    return [np.unique(keys[learned], return_counts=True), (asked, np.zeros(len(asked), np.int64))]
 
 
 def chunked(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
     """The rows (doc_id, text, learned), each with its chunk, and rows (chunk, bucket, keys, counts) with a chunk's keys of a bucket.
 
-    Counts are over the learned rows, so 0 for a key that only held-out rows have.
+    Contexts have the buckets below ``buckets``, words as many above.  Counts are over the
+    learned rows, so 0 for a key that only held-out rows have.
     """
     ddl = "chunk long, doc_id long, learned boolean, text string, bucket int, keys binary, counts binary"
     schema = arrow_ddl(ddl)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size = TaskContext.get().partitionId() << 24, 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
         waiting = 0
 
-        def packed() -> pa.RecordBatch:
-            seen, count = _merged(held)
-            bucket = (mix((seen >> (8 * (depth - 1))).astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            seen, count, bucket = seen[order], count[order], bucket[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(seen)]])
-            spans = [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b > a]
-            n = len(spans)
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, number)), *(pa.nulls(n, schema.field(i).type) for i in (1, 2, 3)), pa.array([bucket[a] for a, _ in spans], pa.int32()),
-                pa.array([steps(seen[a:b]) for a, b in spans], pa.binary()), pa.array([planes(count[a:b]) for a, b in spans], pa.binary())], schema=schema)
+        def packed() -> Iterator[pa.RecordBatch]:
+            for words, parts in enumerate(held):
+                seen, count = _merged(parts)
+                of = mix((seen if words else seen >> (8 * (depth - 1))).astype(np.uint64))
+                bucket = (of % np.uint64(buckets)).astype(np.int32) + words * buckets
+                order = np.argsort(bucket, kind="stable")
+                seen, count, bucket = seen[order], count[order], bucket[order]
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(seen)]])
+                spans = [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b > a]
+                n = len(spans)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(n, number)), *(pa.nulls(n, schema.field(i).type) for i in (1, 2, 3)), pa.array([bucket[a] for a, _ in spans], pa.int32()),
+                    pa.array([steps(seen[a:b]) for a, b in spans], pa.binary()), pa.array([planes(count[a:b]) for a, b in spans], pa.binary())], schema=schema)
 
         for batch in batches:
             for part in slices(batch):
                 data, offsets = utf8(part.column("text"))
                 text, places, row = framed(data, offsets, depth)
-                seen = context_keys(text, places, depth)
-                learned = part.column("learned").to_numpy(zero_copy_only=False)[row]
-                asked = np.unique(seen[~learned])
-                held += [np.unique(seen[learned], return_counts=True), (asked, np.zeros(len(asked), np.int64))]
-                waiting += len(held[-1][0]) + len(held[-2][0])
+                learned = part.column("learned").to_numpy(zero_copy_only=False)
+                held[0] += _tally(context_keys(text, places, depth), learned[row])
+                words, bounds = word_values(data, offsets)
+                held[1] += _tally(words, np.repeat(learned, np.diff(bounds)))
+                waiting += sum(len(keys) for parts in held for keys, _ in parts[-2:])
                 n, size = part.num_rows, size + len(data)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), *(part.column(c) for c in ("doc_id", "learned", "text")), *(pa.nulls(n, schema.field(i).type) for i in (4, 5, 6))], schema=schema)
                 if waiting > MOST_HELD:
-                    held[:], waiting = [_merged(held)], 0
+                    held[:], waiting = [[_merged(parts)] for parts in held], 0
                 if size >= CHUNK_BYTES:
-                    yield packed()
-                    held.clear()
+                    yield from packed()
+                    held[:] = [], []
                     number, size, waiting = number + 1, 0, 0
-        if held:
-            yield packed()
+        if held[0]:
+            yield from packed()
 
     return rows.select("doc_id", "learned", "text").mapInArrow(tidied(cut), ddl)
 
@@ -540,8 +527,8 @@ def key_logs(keys: np.ndarray, counts: np.ndarray, model: Top, depth: int) -> np
 
 
 def added_up(sent: DataFrame) -> DataFrame:
-    """Rows (bucket, keys, counts): the distinct keys of each bucket, from the rows (bucket, keys, counts) of all chunks."""
-    ddl = "bucket int, keys binary, counts binary"
+    """Rows (bucket, keys, counts, known, total): the distinct keys of each bucket, how many of them were learned, and their counts' sum."""
+    ddl = "bucket int, keys binary, counts binary, known long, total long"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -549,7 +536,8 @@ def added_up(sent: DataFrame) -> DataFrame:
 
         def whole() -> pa.RecordBatch:
             keys, counts = _merged(held)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([steps(keys)], pa.binary()), pa.array([planes(counts)], pa.binary())], schema=arrow_ddl(ddl))
+            row = (now, steps(keys), planes(counts), int((counts > 0).sum()), int(counts.sum()))
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow_ddl(ddl))], schema=arrow_ddl(ddl))
 
         for batch in batches:
             for bucket, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "counts"))):
@@ -579,7 +567,7 @@ def _pieces(keys: np.ndarray, counts: np.ndarray, depth: int) -> Iterator[tuple[
 
 
 def model_rows(counts: DataFrame, depth: int) -> DataFrame:
-    """Rows (bucket, keys, logs) for the rows (bucket, keys, counts) of all buckets."""
+    """Rows (bucket, keys, found) for the rows (bucket, keys, counts) of all buckets of contexts: log10 probabilities."""
     spark = counts.sparkSession
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -596,29 +584,29 @@ def model_rows(counts: DataFrame, depth: int) -> DataFrame:
         for batch in batches:
             for bucket, packed, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "counts"))):
                 logs = np.concatenate([key_logs(k, c, model, depth) for k, c in _pieces(ascending(packed), numbers(n), depth)]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed], pa.binary()), pa.array([planes(logs)], pa.binary())], names=["bucket", "keys", "logs"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed], pa.binary()), pa.array([planes(logs)], pa.binary())], names=["bucket", "keys", "found"])
 
-    return counts.mapInArrow(tidied(rate), "bucket int, keys binary, logs binary")
+    return counts.mapInArrow(tidied(rate), "bucket int, keys binary, found binary")
 
 
-def answered(sent: DataFrame, model: DataFrame) -> DataFrame:
-    """Rows (chunk, keys, logs): the chunks' keys with their log10 probabilities.
+def answered(sent: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
+    """Rows (chunk, words, keys, found): the chunks' keys with what the model (bucket, keys, found) has for them, log10 probabilities of contexts and counts of words.
 
     A bucket's model comes before the keys of its chunks, which then pass by one after the other.
     """
-    ddl = "chunk long, keys binary, logs binary"
-    asked = sent.select("bucket", "chunk", "keys", F.lit(None).cast("binary").alias("logs"))
-    rows = model.select("bucket", F.lit(-1).cast("long").alias("chunk"), "keys", "logs").unionByName(asked)
+    ddl = "chunk long, words boolean, keys binary, found binary"
+    asked = sent.select("bucket", "chunk", "keys", F.lit(None).cast("binary").alias("found"))
+    rows = model.select("bucket", F.lit(-1).cast("long").alias("chunk"), "keys", "found").unionByName(asked)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, log = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        known, values = np.zeros(0, np.int64), np.zeros(0)
         for batch in batches:
-            for chunk, packed, logs in zip(*(batch.column(c).to_pylist() for c in ("chunk", "keys", "logs"))):
-                if logs is not None:
-                    known, log = ascending(packed), numbers(logs, np.float32)
+            for bucket, chunk, packed, found in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "keys", "found"))):
+                if found is not None:
+                    known, values = ascending(packed), numbers(found, np.int64 if bucket >= buckets else np.float32)
                 else:
-                    found = planes(log[np.searchsorted(known, ascending(packed))])
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([packed], pa.binary()), pa.array([found], pa.binary())], schema=arrow_ddl(ddl))
+                    row = chunk, bucket >= buckets, packed, planes(values[np.searchsorted(known, ascending(packed))])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow_ddl(ddl))], schema=arrow_ddl(ddl))
 
     return rows.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(tidied(answer), ddl)
 
@@ -661,57 +649,50 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, held: int = 2)
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.coalesce(training(F.col("doc_id"), modulus, held), F.lit(True)).alias("learned"))
-    learned = rows.where("learned")
-    words = saved(_counted(learned, lambda d, o: word_values(d, o)[0], "word"), "words")
-    ends = learned.count()
-    facts = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, distinct = facts["n"] + ends, facts["v"] + (ends > 0)
-    often = words.where(F.col("count") >= max(1.0, WORD_LEAST * total)).toArrow()
-    order = np.argsort(often.column("word").to_numpy())
-    frequent = often.column("word").to_numpy()[order], np.log10(often.column("count").to_numpy()[order] + 1.0)
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = saved(chunked(rows, depth, buckets), "chunks")
+    texts = chunks.where("bucket IS NULL").select("chunk", "doc_id", "learned", "text")
     sent = chunks.where("bucket IS NOT NULL").select("bucket", "chunk", "keys", "counts")
     counts = saved(added_up(sent), "contexts")
-    asked = answered(sent, model_rows(counts, depth)).withColumnRenamed("chunk", "at")
-    shared = spark.sparkContext.broadcast(frequent)
-    ddl = "doc_id long, held_out boolean, n_bytes long, n_words long, known long, logs double, score double, rest array<long>"
+    contexts, words = counts.where(F.col("bucket") < buckets), counts.where(F.col("bucket") >= buckets)
+    ends = texts.where("learned").count()
+    facts = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()
+    total, distinct = facts["n"] + ends, facts["v"] + (ends > 0)
+    model = model_rows(contexts, depth).unionByName(words.select("bucket", "keys", F.col("counts").alias("found")))
+    asked = answered(sent, model, buckets).withColumnRenamed("chunk", "at")
+    ddl = "doc_id long, held_out boolean, n_bytes long, n_words long, n_known long, logs double, score double"
 
     def rate(texts: pa.Table, model: pa.Table) -> pa.Table:
-        known, logs = shared.value
-        places = Places(np.concatenate([ascending(x) for x in model.column("keys").to_pylist()]))
-        byte_log = np.concatenate([numbers(x, np.float32) for x in model.column("logs").to_pylist()])
+        of_words = model.column("words").to_numpy()
+        keys, found = model.column("keys").to_pylist(), model.column("found").to_pylist()
+        of = lambda kind: [i for i, w in enumerate(of_words) if w == kind]
+        places = Places(np.concatenate([ascending(keys[i]) for i in of(False)]))
+        byte_log = np.concatenate([numbers(found[i], np.float32) for i in of(False)])
+        known = np.concatenate([np.zeros(0, np.int64), *(ascending(keys[i]) for i in of(True))])
+        times = np.concatenate([np.zeros(0, np.int64), *(numbers(found[i]) for i in of(True))])
+        order = np.argsort(known)
+        known, times = known[order], times[order]
+        times_log = np.log10(times + 1.0)
         names = [x.split()[0] for x in ddl.split(", ")]
         out = []
         for batch in texts.to_batches():
             for part in slices(batch):
                 data, offsets = utf8(part.column("text"))
                 values, bounds = word_values(data, offsets)
-                at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
-                hit = known[at] == values if len(known) else np.zeros(len(values), bool)
+                at = np.searchsorted(known, values)
                 row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                left = np.searchsorted(np.flatnonzero(~hit), bounds)
-                text, scored, of = framed(data, offsets, depth)
+                text, scored, byte_row = framed(data, offsets, depth)
                 out.append(pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(~part.column("learned").to_numpy(zero_copy_only=False)), pa.array(np.diff(offsets)), pa.array(np.diff(bounds)),
-                    pa.array(np.bincount(row[hit], minlength=part.num_rows)),
-                    pa.array(np.bincount(row[hit], logs[at[hit]] if len(known) else None, part.num_rows).astype(float)),
-                    pa.array(np.bincount(of, byte_log[places.of(context_keys(text, scored, depth))], part.num_rows)),
-                    pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), pa.array(values[~hit])),
+                    pa.array(np.bincount(row, times[at] > 0, part.num_rows).astype(np.int64)), pa.array(np.bincount(row, times_log[at], part.num_rows)),
+                    pa.array(np.bincount(byte_row, byte_log[places.of(context_keys(text, scored, depth))], part.num_rows)),
                 ], names=names))
         return pa.Table.from_batches(out)
 
-    texts = chunks.where("bucket IS NULL").select("chunk", "doc_id", "learned", "text")
-    scored = texts.groupBy("chunk").cogroup(asked.groupBy("at")).applyInArrow(rate, ddl)
-    rated = saved(scored.withColumn("row", F.monotonically_increasing_id()), "rated")
-    rare = rated.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    joined = rare.join(words, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("count") + 1)).alias("more_logs"))
-    out = rated.join(joined, "row", "left")
+    rated = texts.groupBy("chunk").cogroup(asked.groupBy("at")).applyInArrow(rate, ddl)
     tokens = F.col("n_words") + 1
-    end_log = float(np.log10(ends + 1))
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.lit(end_log) - tokens * F.lit(float(np.log10(total + distinct + 1)))
-    return out.select(
-        "doc_id", "held_out", tokens.alias("n_tokens"),
-        (F.col("known") + F.coalesce("more", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
+    base = F.col("logs") + F.lit(float(np.log10(ends + 1))) - tokens * F.lit(float(np.log10(total + distinct + 1)))
+    return rated.select(
+        "doc_id", "held_out", tokens.alias("n_tokens"), (F.col("n_known") + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
         (-F.col("score") / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))

@@ -107,9 +107,22 @@ class Item:
                     for i in range(first, last):
                         self.groups[i].append(group)
             width *= 2
+        self.beside = [self._beside(i) for i in range(len(self.pieces))]
+
+    def _beside(self, piece: int) -> list[tuple[int, str]]:
+        """(offset, string) of which a piece's partner leaves one, if it has at most one edit: its half at the piece, or the other half moved by one at most."""
+        other = piece ^ 1
+        if other >= len(self.pieces):
+            return []
+        at, text = self.pieces[other]
+        middle = len(text) // 2
+        near, far = ((at, text[:middle]), (at + middle, text[middle:]))[:: 1 if other > piece else -1]
+        return [near, *((far[0] + move, far[1]) for move in (0, -1, 1))]
 
     def able(self, text: str, piece: int, start: int) -> bool:
         """Whether all groups of a piece that was hit occur with their few edits; ``start`` is where the item would start."""
+        if (beside := self.beside[piece]) and not any(start + at >= 0 and text.startswith(x, start + at) for at, x in beside):
+            return False
         for a, b, edits, pattern in self.groups[piece]:
             if pattern.best(text[max(0, start + a - edits) : start + b + edits], edits)[0] > edits:
                 return False
