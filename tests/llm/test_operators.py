@@ -170,13 +170,127 @@ def test_language(spark, docs, empty):
 
 
 def test_language_filters_have_no_false_negatives():
-    f = language.Filter(["a"], np.zeros((1024, 1), np.uint64), np.zeros(1))
+    f = language.Filter(["a"], np.zeros((1, 1024), np.uint64), np.zeros(1))
     codes = np.arange(50, dtype=np.int64) * 977
     for at in language.cells_of(codes, 1024):
-        f.cells[at, 0] |= np.uint64(1)
+        f.cells[0, at] |= np.uint64(1)
     assert language.shares(f, codes, np.zeros(50, np.int64), 1)[0, 0] == 1.0
 
 
+def brute_grams(text):
+    folded = "".join(chr(b + 32) if 65 <= b <= 90 else chr(b) if 97 <= b <= 122 or b >= 128 else " " for b in (text or "").encode())
+    folded = re.sub(" +", " ", f" {folded} ")
+    return [tuple(map(ord, folded[i : i + 3])) for i in range(len(folded) - 2)]
+
+
+def test_language_against_the_definition(spark):
+    rng = random.Random(31)
+    alphabet = {"aa": "abcdeé", "bb": "cdefgü", "cc": "efghiß"}
+    text = lambda lang, n: " ".join("".join(rng.choice(alphabet[lang]) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    rows = [(i, text(lang, 25), lang) for i, lang in enumerate(rng.choice(list(alphabet)) for _ in range(120))]
+    rows += [(200 + i, text("aa", 20), "bb") for i in range(3)] + [(300, "Solo", "cc"), (301, None, "aa"), (302, text("cc", 9), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    counts = {x: Counter(g for _, t, lang in rows if lang == x and t is not None for g in brute_grams(t)) for x in alphabet}
+    f = language.learn(df)
+    code = lambda g: (g[0] << 16) + (g[1] << 8) + g[2]
+    grams = sorted(set().union(*counts.values()))
+    found = language.sets(f, np.array([code(g) for g in grams]))
+    assert f.languages == sorted(alphabet)
+    wrong = 0
+    for k, g in enumerate(grams):  # every language of every gram, and few others
+        for i, lang in enumerate(f.languages):
+            for level, least in enumerate(language.LEVELS):
+                bit = int(found[0, k]) >> (i * len(language.LEVELS) + level) & 1
+                held = counts[lang][g] > 0 and counts[lang][g] / counts[lang].total() >= least
+                assert bit or not held
+                wrong += bit and not held
+    assert wrong <= 0.1 * len(grams)
+    exact = lambda t, lang: sum(sum(counts[lang][g] > 0 and counts[lang][g] / counts[lang].total() >= x for x in language.LEVELS) for g in brute_grams(t)) / len(brute_grams(t)) / len(language.LEVELS)
+    for r in language.predict(df, f).collect():
+        t = next(t for i, t, _ in rows if i == r.doc_id)
+        if t:
+            best = sorted((exact(t, x) for x in f.languages), reverse=True)
+            assert r.score == pytest.approx(best[0], abs=0.05)
+            assert best[0] - best[1] < 0.1 or exact(t, r.lang_pred) == best[0]
+
+
+def morse(n, a, b):
+    """A word of 2**n letters, and the same with its letters changed: polynomial hashes modulo 2**64 can't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    one, other = morse(10, "a", "b")
+    rng = random.Random(17)
+    filler = lambda: [prose(rng, 1).strip() + "%d" % rng.randrange(10**9) for _ in range(30)]
+    rest = [x for x in filler() if len(x.split()) == 1]
+    texts = [" ".join([*rest, one, *rest[::-1]]), " ".join([*rest, other, *rest[::-1]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {g.doc_id: (g.n_removed, g.kept_sha256) for g in substrings.remove_repeats(df).collect()}
+    assert got == {i: (0, hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)}
+    assert not any(map(any, brute_repeats([words(t) for t in texts], 35)))
+    check_components(spark, [one + " a b c d", other + " a b c d", one, other])
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    crc = {g.doc_id: g.ids_crc32 for g in packing.pack(df, path).where("start = 0").collect()}
+    want = {i: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")[:4096].tobytes()) for i, t in enumerate(texts)}
+    assert crc == want and crc[0] != crc[1]
+    pair = spark.createDataFrame([(None, f"{one} {one} {one}"), (1, one), (2, other)], "doc_id long, text string")
+    base = {g.doc_id: round(g.base_score, 5) for g in contexttree.score(pair).collect()}
+    assert base[1] > base[2]
+    runs = [morse(9, "x", "y")[0] * 3, morse(9, "x", "y")[1] * 3 + "z"]
+    raw = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    assert {g.doc_id: g.n_removed for g in suffixes.remove_repeats(raw).collect()} == {i: sum(gone) for i, gone in enumerate(brute_repeats([t.encode() for t in runs], 200))}
+
+
+def test_suffix_sort_survives_colliding_hashes(monkeypatch):
+    rng = random.Random(3)
+    body = bytes(rng.choice(b"ab") for _ in range(40))
+    texts = [body, body, body[:20] + bytes(rng.choice(b"ab") for _ in range(20)), bytes(rng.choice(b"ab") for _ in range(40))]
+    segments = [repeats.Segment(1, t, 1, 1, 5) for t in texts]
+    want = [texts.count(t) > 1 for t in texts]
+    assert [bool(f[0]) for f in suffixes.resolve(segments, repeats.Unit(False, 40, 8))] == want
+    monkeypatch.setattr(suffixes, "BYTE_VALUE", np.zeros(256, np.uint64))  # every hash is 0
+    assert [bool(f[0]) for f in suffixes.resolve(segments, repeats.Unit(False, 40, 8))] == want
+
+
+def test_every_window_is_decided_by_the_resolver(spark):
+    rng = random.Random(13)
+    passage = " ".join("p%d" % rng.randrange(10**6) for _ in range(60))
+    texts = [passage + " " + prose(rng, 20) for _ in range(6)] + [passage] * 3 + [prose(rng, 80)]
+    df = repeats.identified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    unit = repeats.Unit(True, substrings.WINDOW, substrings.GRAM)
+    none = lambda segments, unit: [np.zeros(s.windows, bool) for s in segments]
+    for most in (5000, 1):  # by anchors, and by whole windows
+        assert repeats.repeated_runs(df, unit, none, most).count() == 0
+        flagged = sum(r.windows if r.flags is None else sum(r.flags) for r in repeats.repeated_runs(df, unit, substrings.resolve, most).collect())
+        assert flagged == 9 * 26 + 0
+
+
+def test_quality_rows_lose_their_own_lines_only(spark):
+    line, other = "one two three four five six seven eight nine ten", "uno dos tres cuatro cinco seis siete ocho nueve diez"
+    mine = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, f"{line}\n{mine(i)}", "a") for i in range(12)] + [(5, f"{line}\n{mine(5)}", "a")]  # a row twice
+    rows += [(None, f"{other}\n{mine(100 + i)}", "a") for i in range(11)]  # documents of their own
+    rows += [(50, f"{line} x{i}\n{mine(50)}", "a") for i in range(3)] + [(60, f"same {k}\n{mine(200 + k)}", "a") for k in range(3)]
+    rows += [(70, f"shared by one id\n{mine(300 + k)}", "b") for k in range(20)]  # one document, however many rows
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    document = lambda k: rows[k][0] if rows[k][0] is not None else ("row", k)
+    held, hosts = defaultdict(set), defaultdict(set)
+    for k, (_, t, host) in enumerate(rows):
+        hosts[host].add(document(k))
+        for x in t.split("\n"):
+            held[host, " ".join(x.lower().split())].add(document(k))
+    often = {x for x, d in held.items() if len(d) > quality.MOST_DOCUMENTS and len(d) > quality.MOST_SHARE * len(hosts[x[0]])}
+    want = [(i, sum(len(x.split()) for x in t.split("\n") if (host, " ".join(x.lower().split())) in often)) for i, t, host in rows]
+    got = quality.judge(df).collect()
+    assert multiset((g.doc_id, g.n_removed) for g in got) == multiset(want)
+    assert all(g.kept for g in got if g.doc_id == 5) and {n for _, n in want} == {0, 10}
+
+
 def brute_components(texts):
     """n_shingles and component (least index) of texts, from all pairs."""
     sets = []
@@ -236,14 +350,14 @@ def test_jaccard_near_the_threshold(spark, monkeypatch):
 
 
 def test_jaccard_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "MOST_SETS", 8)
+    monkeypatch.setattr(jaccard, "GROUP_BYTES", 8 * 8 * 90)
     rng = random.Random(4)
     w = ["k%d" % i for i in range(120)]
     check_components(spark, [" ".join(w[:p] + ["z%d" % p] + w[p + 1 :]) for p in range(60)] + [" ".join(rng.sample(w, 100)) for _ in range(5)])
 
 
 def test_jaccard_in_blocks_beyond_the_hub(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "MOST_SETS", 8)
+    monkeypatch.setattr(jaccard, "GROUP_BYTES", 8 * 8 * 90)
     rng = random.Random(6)
     w, texts = ["k%d" % i for i in range(100)], []
     for i in range(45):  # drifts away from where it began, with branches
@@ -414,6 +528,29 @@ def test_myers_distance():
         assert decontamination.best_match(item, text)[0] == min(len(item), brute_distance(item, text))
 
 
+def test_decontamination_finds_all_within_the_budget(spark):
+    rng = random.Random(19)
+    items = [(i, prose(rng, rng.randint(12, 30), 500)) for i in range(8)]
+    texts = []
+    for _ in range(60):
+        text = list(decontamination.normalised(rng.choice(items)[1]).strip())
+        for _ in range(rng.randint(0, len(text) // 7)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "x", "e"])
+        texts.append(prose(rng, 15) + " " + "".join(text) + " " + prose(rng, 15))
+    want = set()
+    for i, t in enumerate(texts):
+        for item_id, item in items:
+            item, text = decontamination.normalised(item), decontamination.normalised(t)
+            distance = decontamination.best_match(item, text)[0]
+            if distance <= int(len(item) * decontamination.BUDGET):
+                want.add((i, item_id, distance))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontamination.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(g.doc_id, g.item_id, g.distance) for g in got} == want
+    assert any(6 < 100 * d / len(items[j][1]) for _, j, d in want) and len(want) < 60
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(8)
     items = [(i, prose(rng, rng.randint(15, 40), 500)) for i in range(12)] + [(50, None), (51, "!!"), (52, ""), (53, prose(rng, 20, 500))]
