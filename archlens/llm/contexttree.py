@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import BASE, Words, arrow_ddl, mix, saved, slices, tidied, utf8
+from archlens.llm.common import BASE, arrow_ddl, mix, saved, slices, tidied, utf8, word_bounds, word_hashes
 from archlens.llm.language import training
 
 DEPTH = 5
@@ -100,8 +100,9 @@ def context_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def word_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words, and the rows' word offsets."""
-    words = Words(_LOWER[data], offsets)
-    return words.hashes().view(np.int64), words.bounds
+    data = _LOWER[data]
+    starts, ends, bounds = word_bounds(data, offsets)
+    return word_hashes(data, starts, ends).view(np.int64), bounds
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -335,8 +336,9 @@ def ascending(raw: bytes) -> np.ndarray:
 
 def _tally(keys: np.ndarray, learned: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct keys with their counts over the learned places, and those of the others with 0."""
-    asked = np.unique(keys[~learned])
-    return [np.unique(keys[learned], return_counts=True), (asked, np.zeros(len(asked), np.int64))]
+    learned_keys, asked = np.sort(keys[learned]), np.sort(keys[~learned])
+    first, first_asked = (np.flatnonzero(np.diff(x, prepend=x[:1] - 1)) for x in (learned_keys, asked))
+    return [(learned_keys[first], np.diff(np.append(first, len(learned_keys)))), (asked[first_asked], np.zeros(len(first_asked), np.int64))]
 
 
 def chunked(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
@@ -413,6 +415,13 @@ def _nodes(keys: np.ndarray, counts: np.ndarray, depth: int) -> dict[int, list[N
     return out
 
 
+def _among(wanted: np.ndarray, ascending_keys: np.ndarray) -> np.ndarray:
+    """Which of ``wanted`` are keys."""
+    if not len(ascending_keys):
+        return np.zeros(len(wanted), bool)
+    return ascending_keys[np.minimum(np.searchsorted(ascending_keys, wanted), len(ascending_keys) - 1)] == wanted
+
+
 def _parents(below: Nodes, above: Nodes, bit: int) -> np.ndarray:
     """Where the same decision is in the context that is one byte shorter."""
     return np.searchsorted(above.keys, below.keys >> (bit + 8) << bit | below.keys & ((1 << bit) - 1))
@@ -492,7 +501,7 @@ def key_logs(keys: np.ndarray, counts: np.ndarray, model: Top, depth: int) -> np
     nodes = _nodes(keys[learned], counts[learned], depth)
     asked = keys[~learned]
     contexts = {d: asked >> (8 * (depth - d) + 8) for d in range(1, depth + 1)}
-    known = {d: np.isin(contexts[d], nodes[d][0].keys) for d in range(2, depth + 1)}
+    known = {d: _among(contexts[d], nodes[d][0].keys) for d in range(2, depth + 1)}
     out = np.zeros(len(keys))
     for bit in range(8):
         stops, _ = _stops(nodes, depth, bit)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import Words, arrow_ddl, chain_hashes, maybe_in, mix, saved, sketch, slices, tidied, utf8
+from archlens.llm.common import arrow_ddl, chain_hashes, maybe_in, mix, saved, sketch, slices, tidied, utf8, word_bounds, word_hashes
 from archlens.llm.components import components
 
 WORDS = 5
@@ -50,11 +50,12 @@ _LOWER[65:91] += 32
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every document."""
-    words = Words(_LOWER[data], offsets)
-    values = words.hashes()
+    data = _LOWER[data]
+    starts, ends, bounds = word_bounds(data, offsets)
+    values = word_hashes(data, starts, ends)
     hashes = chain_hashes(values, width)
     out = []
-    for a, b in zip(words.bounds[:-1], words.bounds[1:]):
+    for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a >= width:
             h = np.sort(hashes[a : b - width + 1])
             out.append(h[np.concatenate([[True], h[1:] != h[:-1]])])

@@ -20,20 +20,19 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archlens.llm.common import Words, arrow_ddl, saved, slices, tidied, utf8
+from archlens.llm.common import arrow_ddl, saved, slices, tidied, utf8, word_bounds, word_hashes
 from archlens.llm.sharding import slots
 
 #: From this length on, lengths are rounded up to a multiple of GRID for the plan.
 FINE, GRID = 256, 16
-#: Words and parts of words whose ids a task remembers, and the bytes up to which it does (so about 100 MB at most).
-MOST_WORDS, MOST_PARTS, MOST_BYTES = 400_000, 200_000, 48
+#: Parts of words whose ids a worker remembers, and the bytes up to which it does (so about 60 MB, 150 MB at most).
+MOST_WORDS, MOST_BYTES = 1_200_000, 48
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Words that normalising only lowers, and the parts into which the tokenizer cuts them (fixed by the tokenizer's file).
@@ -42,10 +41,20 @@ _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 _tokenizers: dict[str, tuple] = {}
 
 
+def _inserted(array: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
+    return np.insert(array, at, new.astype(array.dtype))
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """``array``, longer if it is shorter than ``size``."""
+    return array if len(array) >= size else np.concatenate([array, np.zeros(max(len(array) // 2, size - len(array)), array.dtype)])
+
+
 class WordIds:
     """Ids of texts under a tokenizer that treats the words between white space alone.
 
-    The distinct words of a slice are looked up once each, by their bytes.
+    The distinct parts of words in a slice are looked up once each: found by a hash in
+    sorted arrays, then compared with the bytes that are stored there.
     """
 
     def __init__(self, path: str):
@@ -55,54 +64,164 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.parts: dict[str, bytes] = {}
-        self.known: dict[bytes, bytes] = {}
+        self.hashes = np.zeros(0, np.uint64)
+        self.word_at, self.word_size, self.id_at, self.id_size = (np.zeros(0, np.int32) for _ in range(4))
+        self.words, self.words_used = np.zeros(1 << 20, np.uint8), 0
+        self.flat, self.used = np.zeros(1 << 20, "<u4"), 0
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[list[str]]) -> None:
-        """Encode the new parts of words together; the ids of a part end with the only one that closes a word."""
-        if len(self.parts) > MOST_PARTS:
-            self.parts = {}
-        parts = list({p for x in words for p in x if p not in self.parts})
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Encode parts together; the ids of a part end with the only one that closes a word."""
+        out: list[bytes] = []
         for at in range(0, len(parts), 20_000):
             block = parts[at : at + 20_000]
             (encoded,) = self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)
             ids = np.array(encoded.ids, "<u4")
-            ends, raw, first = np.flatnonzero(self.closing[ids]) + 1, ids.tobytes(), 0
-            if len(ends) != len(block):  # a part that the tokenizer cuts or drops: each goes alone
-                self.parts |= {part: self._alone(part) for part in block}
-                continue
-            for part, end in zip(block, ends.tolist()):
-                self.parts[part] = raw[4 * first : 4 * end]
-                first = end
+            ends, raw = (np.flatnonzero(self.closing[ids]) + 1).tolist(), ids.tobytes()
+            if len(ends) == len(block):
+                out += [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+            else:  # a part that the tokenizer cuts or drops: each goes alone
+                out += map(self._alone, block)
+        return out
 
     def _encoded(self, words: list[str]) -> list[bytes]:
-        """The ids of new words."""
+        """The ids of new parts, and of words that could not be cut."""
         latin = _LATIN.fullmatch
-        plain = [([w.lower()] if w.isalpha() else _PARTS.findall(w.lower())) if len(w) <= MOST_BYTES and latin(w) and "<|" not in w else None for w in words]
-        self._learn([x for x in plain if x])
-        parts = self.parts
-        return [(parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])) if x else self._alone(w) for w, x in zip(words, plain)]
+        plain = [[w] if w.isalpha() and w.islower() else _PARTS.findall(w.lower()) if len(w) <= MOST_BYTES and latin(w) and "<|" not in w else None for w in words]
+        plain = [x if x is None or len(x) > 1 or len(w) <= MOST_BYTES and latin(w) else None for x, w in zip(plain, words)]
+        distinct = list({p: None for x in plain if x for p in x})
+        known = dict(zip(distinct, self._parts(distinct)))
+        return [b"".join([known[p] for p in x]) if x else self._alone(w) for w, x in zip(words, plain)]
+
+    def _found(self, data: np.ndarray, cuts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of the words data[cuts[i]:cuts[i + 1]] would stand, and whether it does."""
+        at = np.searchsorted(self.hashes, hashes)
+        if not len(self.hashes):
+            return at, np.zeros(len(at), bool)
+        at = np.minimum(at, len(self.hashes) - 1)
+        size = np.diff(cuts)
+        hit = (self.hashes[at] == hashes) & (self.word_size[at] == size)
+        who = np.flatnonzero(hit)
+        size = size[who]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        differ = data[np.repeat(cuts[who], size) + inside] != self.words[np.repeat(self.word_at[at[who]], size) + inside]
+        if differ.any():
+            hit[who[np.unique(np.repeat(np.arange(len(who)), size)[differ])]] = False
+        return at, hit
+
+    def _store(self, words: list[bytes], ids: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """Append the ids of new words, and remember the short ones; where their ids begin."""
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        lengths = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(hashes, kind="stable")
+        first = np.ones(len(order), bool)
+        first[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        keep = np.zeros(len(words), bool)
+        keep[order[first]] = True
+        if len(self.hashes):  # equal hashes: one word is remembered
+            keep &= self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] != hashes
+        keep &= lengths <= MOST_BYTES
+        rank = np.concatenate([np.flatnonzero(keep), np.flatnonzero(~keep)])
+        start = np.empty(len(words), np.int64)
+        start[rank] = self.used + np.cumsum(sizes[rank]) - sizes[rank]
+        new = np.frombuffer(b"".join([ids[i] for i in rank.tolist()]), "<u4")
+        self.flat = _room(self.flat, self.used + len(new))
+        self.flat[self.used : self.used + len(new)] = new
+        kept = order[keep[order]]
+        text_order = np.flatnonzero(keep)
+        text = np.frombuffer(b"".join([words[i] for i in text_order.tolist()]), np.uint8)
+        self.words = _room(self.words, self.words_used + len(text))
+        self.words[self.words_used : self.words_used + len(text)] = text
+        word_at = np.zeros(len(words), np.int64)
+        word_at[text_order] = self.words_used + np.cumsum(lengths[text_order]) - lengths[text_order]
+        at = np.searchsorted(self.hashes, hashes[kept])
+        self.hashes = _inserted(self.hashes, at, hashes[kept])
+        for name, values in (("word_at", word_at), ("word_size", lengths), ("id_at", start), ("id_size", sizes)):
+            setattr(self, name, _inserted(getattr(self, name), at, values[kept]))
+        self.words_used += len(text)
+        self.used += int(sizes[keep].sum())
+        return start
+
+    def _forget(self) -> None:
+        """Keep the older half, as frequent words come early."""
+        old = self.word_at < self.words_used // 2
+        self.hashes, self.word_at, self.word_size, self.id_at, self.id_size = (x[old] for x in (self.hashes, self.word_at, self.word_size, self.id_at, self.id_size))
+        self.words_used = int((self.word_at + self.word_size).max(initial=0))
+        self.used = int((self.id_at + self.id_size).max(initial=0))
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = Words(data, offsets)
-        if len(self.known) > MOST_WORDS:  # the older half stays, as frequent words come early
-            self.known = dict(islice(self.known.items(), MOST_WORDS // 2))
-        found = [self.known.get(w) for w in words.distinct]
-        new = [i for i, x in enumerate(found) if x is None]
-        for i, x in zip(new, self._encoded([words.distinct[i].decode() for i in new])):
-            found[i] = x
-            if len(words.distinct[i]) <= MOST_BYTES:
-                self.known[words.distinct[i]] = x
-        sizes = np.array([len(x) // 4 for x in found], np.int64)
-        flat = np.frombuffer(b"".join(found), "<u4")
-        start, size = (np.cumsum(sizes) - sizes)[words.index], sizes[words.index]
+        distinct, index, bounds = parts(data, offsets)
+        if len(self.hashes) > MOST_WORDS:
+            self._forget()
+        cuts = np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1, distinct.offset * 8)
+        flat = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)
+        hashes = word_hashes(flat, cuts[:-1], cuts[1:])
+        at, hit = self._found(flat, cuts, hashes)
+        start, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        start[hit], sizes[hit] = self.id_at[at[hit]], self.id_size[at[hit]]
+        new = np.flatnonzero(~hit)
+        words = distinct.take(pa.array(new)).to_pylist()
+        found = self._encoded([w.decode() for w in words])
+        sizes[new] = [len(x) // 4 for x in found]
+        start[new] = self._store(words, found, hashes[new])
+        start, size = start[index], sizes[index]
         before = np.concatenate([[0], np.cumsum(size)])
-        flat = flat[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
-        return np.split(flat, before[words.bounds[1:-1]]) if len(offsets) > 1 else []
+        ids = self.flat[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
+        return np.split(ids, before[bounds[1:-1]]) if len(offsets) > 1 else []
+
+
+_LETTER, _DIGIT, _SIGN = 1, 2, 3
+_KIND = np.full(256, _SIGN, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_KIND[48:58] = _DIGIT
+#: Bytes of words that can be cut by these kinds alone: printable ASCII but the apostrophe, and C3 before a letter of Latin-1.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[33:127] = True
+_PLAIN[[39]] = False
+_LEAD = 0xC3
+_AFTER_LEAD = np.zeros(256, bool)
+_AFTER_LEAD[128:192] = True
+_AFTER_LEAD[[0x97, 0xB7]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER_AFTER_LEAD = np.arange(256, dtype=np.uint8)
+_LOWER_AFTER_LEAD[128:159] += 32
+
+
+def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+    """The pieces that the tokenizer never joins: distinct ones, the number of each one's, and their offsets by row.
+
+    Plain words are lowered and cut into runs of letters, single digits and runs of other
+    signs; any other word is one piece as it is.
+    """
+    starts, ends, _ = word_bounds(data, offsets)
+    n = len(data)
+    led = np.zeros(n, bool)
+    led[1:] = data[:-1] == _LEAD
+    odd = ~(_PLAIN[data] | (data == _LEAD) | led & _AFTER_LEAD[data])
+    odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)  # "<|" may begin a special string
+    before = np.concatenate([[0], np.cumsum(odd)])
+    plain = (before[ends] == before[starts]) & (ends - starts <= MOST_BYTES)
+    begins = np.zeros(n, bool)
+    step = np.zeros(n + 1, np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    solid = np.cumsum(step[:-1], dtype=np.int8) > 0
+    step[:] = 0
+    step[starts[plain]] += 1
+    step[ends[plain]] -= 1
+    inside = np.cumsum(step[:-1], dtype=np.int8) > 0
+    kind = _KIND[data]
+    begins[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+    begins[starts] = True
+    lowered = np.where(inside, np.where(led, _LOWER_AFTER_LEAD[data], _LOWER[data]), data)[solid]
+    first = np.flatnonzero(begins)
+    cuts = np.append((np.cumsum(solid) - 1)[first], len(lowered))
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(lowered))]).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.searchsorted(first, offsets)
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFrame:

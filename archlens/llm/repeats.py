@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archlens.llm.anchors import runs
-from archlens.llm.common import BYTE_VALUE, SEED, Words, arrow_ddl, saved, slices, tidied, utf8
+from archlens.llm.common import BYTE_VALUE, SEED, arrow_ddl, saved, slices, tidied, utf8, word_bounds, word_hashes
 
 #: Distinct runs that a key may have; a key with more is dealt by whole windows.
 MOST_RUNS = 5000
@@ -81,16 +81,16 @@ def symbols(data: np.ndarray, offsets: np.ndarray, unit: Unit) -> Symbols:
     if not unit.words:
         at = np.arange(len(data))
         return Symbols(BYTE_VALUE[data], offsets, data.tobytes(), at, at + 1)
-    words = Words(data, offsets)
-    lengths = words.ends - words.starts
+    starts, ends, bounds = word_bounds(data, offsets)
+    lengths = ends - starts
     number = np.arange(len(lengths))
     end = np.cumsum(lengths) + number
     begin = end - lengths
     spaced = np.full(int(lengths.sum()) + len(lengths), 32, np.uint8)
     of = np.repeat(number, lengths)
     inside = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    spaced[begin[of] + inside] = data[words.starts[of] + inside]
-    return Symbols(words.hashes(), words.bounds, spaced.tobytes(), begin, end)
+    spaced[begin[of] + inside] = data[starts[of] + inside]
+    return Symbols(word_hashes(data, starts, ends), bounds, spaced.tobytes(), begin, end)
 
 
 def contents(raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
