@@ -1 +1,5 @@
-"""Archlens: architecture analysis of code bases as Spark jobs."""
+"""How the parts of a code base fit together, worked out as Spark jobs."""
+
+from archlens.plans.session import Config, Session
+
+__all__ = ["Config", "Session"]

@@ -65,6 +65,11 @@ def unknown_at_runtime(runtime: DataFrame, components: DataFrame) -> DataFrame:
     return _rows(lost, 8, "runtime-static-mismatch", "warning", F.col("component"), F.concat(F.lit("mounted but not declared: "), "component"))
 
 
+def by_severity(found: DataFrame, severity: str = "severity") -> DataFrame:
+    """(severity, n): how many of each severity."""
+    return found.groupBy(F.col(severity).alias("severity")).agg(F.count("*").alias("n"))
+
+
 def verify(components: DataFrame, routes: DataFrame, composites: DataFrame, edges: DataFrame, runtime: DataFrame | None = None) -> DataFrame:
     """All checks in their fixed order (check_no)."""
     found = [

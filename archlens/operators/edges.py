@@ -19,13 +19,16 @@ KINDS = ["imports", "renders", "owns", "mounts", "routes-to", "parent-child", "r
 GRAPHS = {"import": "imports", "render": "renders", "composite-ownership": "owns", "runtime-mount": "mounts"}
 
 
-def as_edges(df: DataFrame, source: Column, target: Column, relationship: str, order: Column) -> DataFrame:
-    return df.select(source.alias("source"), target.alias("target"), F.lit(relationship).alias("relationship"), order.cast("long").alias("seq"))
+def as_edges(df: DataFrame, source: Column, target: Column, relationship: str, order: Column, at: Column | None = None) -> DataFrame:
+    """Edges with ``order`` as seq and, inside equal ones, ``at``."""
+    inside = F.lit(0) if at is None else at
+    return df.select(source.alias("source"), target.alias("target"), F.lit(relationship).alias("relationship"), order.cast("long").alias("seq"), inside.cast("long").alias("at"))
 
 
 def unified(*edges: DataFrame) -> DataFrame:
     """All edges, the first of each (source, target, relationship)."""
-    return keep_first(reduce(DataFrame.unionByName, edges), ["source", "target", "relationship"], ["seq"])
+    united = reduce(DataFrame.unionByName, edges)
+    return keep_first(united, ["source", "target", "relationship"], [c for c in ("seq", "at") if c in united.columns]).drop("at")
 
 
 def separated(edges: DataFrame) -> dict[str, DataFrame]:
@@ -51,10 +54,10 @@ def first_by_name(components: DataFrame) -> DataFrame:
 
 
 def render_edges(components: DataFrame) -> DataFrame:
-    """A component renders the last component that has a child's name."""
+    """A component renders the last component that has a child's name; ``ord`` is (file, pos)."""
     children = components.select("id", "ord", F.posexplode("jsx_children").alias("pos", "name"))
     joined = children.join(last_by_name(components).select("name", F.col("id").alias("target")), "name")
-    return as_edges(joined, F.col("id"), F.col("target"), "renders", F.col("ord") * 1000 + F.least(F.col("pos"), F.lit(999)))
+    return as_edges(joined, F.col("id"), F.col("target"), "renders", F.col("ord.file"), F.col("ord.pos") * F.lit(1 << 31) + F.col("pos"))
 
 
 def first_per_file(components: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def reuse_edges(components: DataFrame) -> DataFrame:
     """From the components of every file that uses a reusable component to it."""
     used = components.where("is_reusable").select("id", "ord", F.explode("used_in_files").alias("relative_path"))
     users = components.select("relative_path", F.col("id").alias("user"))
-    return as_edges(used.join(users, "relative_path").where("user <> id"), F.col("user"), F.col("id"), "reuses", F.col("ord"))
+    return as_edges(used.join(users, "relative_path").where("user <> id"), F.col("user"), F.col("id"), "reuses", F.col("ord.file"), F.col("ord.pos"))
 
 
 def sorted_edges(edges: DataFrame) -> DataFrame:

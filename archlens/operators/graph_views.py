@@ -1,14 +1,16 @@
 """Node and edge tables of the explorer's graphs: one route, what is reused, and everything.
 
-Nodes are id, label, type, x and y; edges are source and target.  A view's nodes are
-few, and they are numbered inside their row of the picture, never all together.
+Nodes are id, label, type, x and y; edges are source and target.  Nodes in a row of the
+picture are numbered by ranges (``keep.placed``), so a view may have any number of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archlens.operators.keep import placed
+
 #: Rows of a route's picture, from the top.
 ROWS = ["provider", "component", "dialog", "grid", "chart", "hook", "util"]
 
@@ -43,22 +45,23 @@ def route_detail(intelligence: DataFrame, components: DataFrame, edges: DataFram
 def reuse(usage: DataFrame) -> View:
     """Components of two routes or more in the middle, most used first, their routes halved on both sides (usage: id, used_in)."""
     used = usage.where(F.size("used_in") > 1)
-    order = F.row_number().over(Window.orderBy(F.size("used_in").desc(), "id")) - 1
-    middle = used.select(*_node(F.concat(F.lit("reusable::"), "id"), F.col("id"), F.lit("component"), F.lit(400), order * 160))
-    routes = used.select(F.explode("used_in").alias("path")).distinct().withColumn("half", F.ntile(2).over(Window.orderBy("path")))
-    place = F.row_number().over(Window.partitionBy("half").orderBy("path")) - 1
-    sides = routes.select(*_node(F.concat(F.lit("route::"), "path"), F.col("path"), F.lit("route"), F.when(F.col("half") == 1, 0).otherwise(800), place * 80))
+    ordered = placed(used, [F.size("used_in").desc(), F.col("id")])
+    middle = ordered.select(*_node(F.concat(F.lit("reusable::"), "id"), F.col("id"), F.lit("component"), F.lit(400), F.col("place") * 160))
+    routes = placed(used.select(F.explode("used_in").alias("path")).distinct(), [F.col("path")])
+    left = routes.agg(F.ceil(F.count("*") / 2).alias("left"))  # one row
+    right = F.col("place") >= F.col("left")
+    sides = routes.crossJoin(F.broadcast(left)).select(*_node(
+        F.concat(F.lit("route::"), "path"), F.col("path"), F.lit("route"), F.when(right, 800).otherwise(0), (F.col("place") - F.when(right, F.col("left")).otherwise(0)) * 80))
     links = used.select(F.concat(F.lit("reusable::"), "id").alias("target"), F.explode("used_in").alias("path")).select(F.concat(F.lit("route::"), "path").alias("source"), "target")
     return middle.unionByName(sides), links
 
 
 def architecture(intelligence: DataFrame) -> View:
     """All routes in one row, all their components in another, an edge for each membership."""
-    at = lambda c: F.row_number().over(Window.orderBy(c)) - 1
-    top = intelligence.select(*_node(F.concat(F.lit("route::"), "path"), F.col("path"), F.lit("route"), at("path") * 280, F.lit(0)))
+    top = placed(intelligence.select("path"), [F.col("path")]).select(*_node(F.concat(F.lit("route::"), "path"), F.col("path"), F.lit("route"), F.col("place") * 280, F.lit(0)))
     pairs = intelligence.select(F.concat(F.lit("route::"), "path").alias("source"), F.explode("components").alias("label"))
     names = pairs.select("label").distinct()
-    below = names.select(*_node(F.concat(F.lit("comp::"), "label"), F.col("label"), F.lit("component"), at("label") * 160, F.lit(250)))
+    below = placed(names, [F.col("label")]).select(*_node(F.concat(F.lit("comp::"), "label"), F.col("label"), F.lit("component"), F.col("place") * 160, F.lit(250)))
     return top.unionByName(below), pairs.select("source", F.concat(F.lit("comp::"), "label").alias("target"))
 
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +20,10 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 
 def _picked(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
+    if rest == list(order):  # nothing but the order is kept: a plain aggregate of it
+        least = F.min if pick is F.min_by else F.max
+        picked = df.groupBy(*keys).agg(least(F.struct(*rest) if len(rest) > 1 else rest[0]).alias("_row"))
+        return picked.select(*keys, *([F.col(f"_row.`{c}`").alias(c) for c in rest] if len(rest) > 1 else [F.col("_row").alias(rest[0])])).select(*df.columns)
     row = pick(F.struct(*rest), F.struct(*order)).alias("_row")
     return df.groupBy(*keys).agg(row).select(*keys, *(F.col(f"_row.`{c}`").alias(c) for c in rest)).select(*df.columns)
 
@@ -29,10 +32,35 @@ def settled(df: DataFrame) -> DataFrame:
     """Checkpoint in the session's shared folder, so a loop's lineage doesn't grow."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="archlens-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; on one machine, where it is unset, a folder of the warehouse."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    return folder.rstrip("/")
+
+
+def placed(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """``df`` with its rows numbered from 0 in an order, without all of them in one task.
+
+    Rows are dealt by ranges and numbered inside each; the counts of the ranges before, one
+    number for each partition, are added.
+    """
+    ranged = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_part", F.shiftright("_id", 33))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_part", before.alias("_before"))  # a row for each partition
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(counts), "_part").withColumn(name, F.col("_before") + inside).drop("_id", "_part", "_before")
+
+
 def distinct_sorted(column: Column | str) -> Column:
     """An aggregate: distinct values in code-unit order, without nulls."""
     return F.array_sort(F.collect_set(column))

@@ -6,25 +6,32 @@ Edges have source and target.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archlens.operators.keep import settled
 
 MOST_ROUNDS = 1000
+#: Rounds whose results are kept apart.
+MOST_PARTS = 24
 
 
 def depths(edges: DataFrame, seeds: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
     """(root, node, depth): the fewest steps from each root to each node; seeds have root and node."""
     edges = settled(edges.select("source", "target").distinct())
-    seen = settled(seeds.select("root", "node").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+    frontier = settled(seeds.select("root", "node").distinct().withColumn("depth", F.lit(0)))
+    rounds = [frontier]  # what each round reached is written once
     for step in range(1, most + 1):
         reached = frontier.join(edges, frontier["node"] == edges["source"]).select("root", F.col("target").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, rounds)
         frontier = settled(reached.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(step)))
         if frontier.isEmpty():
             return seen
-        seen = settled(seen.unionByName(frontier))
+        rounds.append(frontier)
+        if len(rounds) > MOST_PARTS:  # so that plans stay short
+            rounds = [settled(reduce(DataFrame.unionByName, rounds))]
     raise RuntimeError(f"more than {most} rounds")
 
 
@@ -50,13 +57,13 @@ def cycle_nodes(edges: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
             break
         nodes = left.select(F.col("source").alias("node")).union(left.select("target")).distinct()
         colour = settled(nodes.withColumn("colour", F.col("node")))
-        while True:
-            sent = left.join(colour, left["source"] == colour["node"]).groupBy("target").agg(F.max("colour").alias("sent"))
-            new = settled(colour.join(sent, colour["node"] == sent["target"], "left").select("node", F.greatest("colour", F.coalesce("sent", "colour")).alias("colour")))
-            same = new.join(colour, ["node", "colour"], "left_anti").isEmpty()
-            colour = new
-            if same:
+        moved = colour
+        while True:  # only colours that have changed move on
+            sent = left.join(moved, left["source"] == moved["node"]).groupBy(F.col("target").alias("node")).agg(F.max("colour").alias("sent"))
+            moved = settled(sent.join(colour, "node").where("sent > colour").select("node", F.col("sent").alias("colour")))
+            if moved.isEmpty():
                 break
+            colour = settled(colour.join(moved.select("node", F.col("colour").alias("new")), "node", "left").select("node", F.coalesce("new", "colour").alias("colour")))
         source, target = colour.select(F.col("node").alias("source"), F.col("colour").alias("c1")), colour.select(F.col("node").alias("target"), F.col("colour").alias("c2"))
         inside = left.join(source, "source").join(target, "target").where("c1 = c2")
         back = inside.select(F.col("target").alias("source"), F.col("source").alias("target"))

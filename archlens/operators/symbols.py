@@ -34,11 +34,12 @@ def origins(wanted: DataFrame, exports: DataFrame, declared: DataFrame, most: in
     """(file, name, origin_file, origin_name) of exported names: where each is declared, through any chain of re-exports.
 
     A declaration in the file itself comes first, then named re-exports, then ``export *``.
-    exports: (file, name, original, target); names that lead nowhere, or in a circle, are left out.
+    exports: (file, name, original, target); names that lead nowhere, or in a circle, are left out,
+    since no place is visited twice for a name.
     """
     exports, declared = settled(exports), settled(declared.select("file", "name").distinct())
     at = settled(wanted.select("file", "name", F.col("file").alias("at"), F.col("name").alias("as")).distinct())
-    done = None
+    done, visited = None, at
     for _ in range(most):
         here = at.join(declared.select(F.col("file").alias("at"), F.col("name").alias("as")), ["at", "as"], "left_semi")
         done = settled(here if done is None else done.unionByName(here))
@@ -47,9 +48,13 @@ def origins(wanted: DataFrame, exports: DataFrame, declared: DataFrame, most: in
         star = exports.where("name IS NULL").select(F.col("file").alias("at"), F.col("target"))
         by_name = left.join(named, ["at", "as"]).select("file", "name", F.col("target").alias("at"), F.col("original").alias("as"))
         by_star = left.join(named.select("at", "as").distinct(), ["at", "as"], "left_anti").join(star, "at").select("file", "name", F.col("target").alias("at"), "as")
-        at = settled(by_name.unionByName(by_star).distinct().join(done.select("file", "name"), ["file", "name"], "left_anti"))
+        onward = by_name.unionByName(by_star).distinct().join(done.select("file", "name"), ["file", "name"], "left_anti")
+        at = settled(onward.join(visited, ["file", "name", "at", "as"], "left_anti"))
         if at.isEmpty():
             break
+        visited = settled(visited.unionByName(at))
+    else:
+        raise RuntimeError(f"a chain of more than {most} re-exports")
     first = keep_first(done.select("file", "name", "at", "as"), ["file", "name"], ["at", "as"])
     return first.select("file", "name", F.col("at").alias("origin_file"), F.col("as").alias("origin_name"))
 

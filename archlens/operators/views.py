@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archlens.operators.keep import keep_last, placed
+
 
 def route_tree(paths: DataFrame) -> DataFrame:
     """(path, segment, parent, depth, is_route): every prefix of the paths; parent is null for ``/``."""
@@ -19,10 +21,10 @@ def route_tree(paths: DataFrame) -> DataFrame:
 
 
 def grid(nodes: DataFrame, order: str, width: int = 300, height: int = 200) -> DataFrame:
-    """``nodes`` with x and y on a square grid, in the given order (of a view's few nodes)."""
+    """``nodes`` with x and y on a square grid, in the given order."""
     count = nodes.agg(F.greatest(F.ceil(F.sqrt(F.count("*"))), F.lit(1)).alias("columns"))
-    placed = nodes.crossJoin(F.broadcast(count)).withColumn("place", F.row_number().over(Window.orderBy(order)) - 1)  # one row of counts
-    return placed.withColumn("x", (F.col("place") % F.col("columns")) * width).withColumn("y", F.floor(F.col("place") / F.col("columns")) * height).drop("place", "columns")
+    numbered = placed(nodes, [F.col(order)]).crossJoin(F.broadcast(count))  # one row of counts
+    return numbered.withColumn("x", (F.col("place") % F.col("columns")) * width).withColumn("y", F.floor(F.col("place") / F.col("columns")) * height).drop("place", "columns")
 
 
 def most_used(usage: DataFrame, least: int = 2) -> DataFrame:
@@ -37,11 +39,27 @@ def runtime_table(runtime: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def dependency_tree(items: DataFrame, group: Column, children: DataFrame) -> DataFrame:
-    """Per group: its items, each with its sorted children; children has parent and child."""
-    below = children.groupBy("parent").agg(F.array_sort(F.collect_set("child")).alias("children"))
+    """Rows (group, item, child) of a tree of three levels; children has parent and child, and an item without any has a null child.
+
+    The tree is as long as its leaves, so no row holds a whole group.
+    """
+    below = children.select("parent", "child").distinct()
     joined = items.withColumn("group", group).join(below, items["name"] == below["parent"], "left")
-    node = F.struct("name", F.coalesce("children", F.array().cast("array<string>")).alias("children"))
-    return joined.groupBy("group").agg(F.array_sort(F.collect_list(node)).alias("items"))
+    return joined.select("group", F.col("name").alias("item"), "child")
+
+
+def overview(routes: DataFrame, components: DataFrame) -> DataFrame:
+    """One row of an overview's numbers: routes, dynamic ones, components, reusable ones, clients and their share in percent (rounded half up)."""
+    of_routes = routes.agg(F.count("*").alias("routes"), F.count_if(F.col("segment_type") != "static").alias("dynamic_routes"))
+    share = F.floor(100 * F.count_if(F.col("rendering") == "client") / F.greatest(F.count("*"), F.lit(1)) + 0.5)
+    of_parts = components.agg(F.count("*").alias("components"), F.count_if("is_reusable").alias("reusable"), F.count_if(F.col("rendering") == "client").alias("clients"), share.alias("client_percent"))
+    return of_routes.crossJoin(of_parts)  # one row each
+
+
+def looked_up(names: DataFrame, components: DataFrame) -> DataFrame:
+    """``names`` (name) with what the usage panel shows of the last component so called: id, type, files and routes that use it (null if none)."""
+    last = keep_last(components.select("name", "ord", "id", "type", F.size("used_in_files").alias("n_files"), F.size("used_in_routes").alias("n_routes")), ["name"], ["ord"])
+    return names.select("name").distinct().join(last.drop("ord"), "name", "left")
 
 
 def last_segments(path: Column, n: int = 3) -> Column:

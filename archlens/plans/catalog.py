@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from archlens.functions import names, paths, rules
-from archlens.operators import edges, intel, keep, reach, views
+from archlens.functions import names, paths, rules, values
+from archlens.operators import checks, edges, intel, keep, reach, views
 from archlens.sources import inject, snapshots
 from archlens.streaming import runtime
 
@@ -182,7 +182,7 @@ def first_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent FROM orders QUALIFY parent IS NOT NULL""")
 def parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    ranked = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys")).select("o_custkey", F.posexplode("keys").alias("ord", "key"))
+    ranked = orders.select("o_custkey", F.col("o_orderkey").alias("key"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("ord"))
     routes = ranked.select(F.concat_ws("/", F.lit(""), "o_custkey", "ord").alias("path"), F.concat_ws("/", F.lit(""), "o_custkey", F.col("ord") - 1).alias("parent"), "ord", "key")
     linked = edges.parent_edges(routes, compat=True)
     key = routes.select(F.concat(F.lit("route::"), "path").alias("node"), "key")
@@ -231,10 +231,10 @@ def component_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT DISTINCT s_nationkey AS nation, p_brand AS brand FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity < 3)
+WITH b AS (SELECT DISTINCT s_nationkey AS nation, p_brand AS brand FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)
 SELECT x.nation AS low, y.nation AS high, count(*) AS shared FROM b x JOIN b y ON x.brand = y.brand AND x.nation < y.nation GROUP BY ALL""")
 def shared_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity < 3").select("l_suppkey", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
     brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"))
     nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
     return edges.shared_pairs(lines.join(brands, "l_partkey").join(nations, "l_suppkey"), "nation", "brand")
@@ -296,7 +296,7 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warning' ELSE 'info' END AS severity, count(*) AS n FROM events GROUP BY 1""")
 def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "warning").otherwise("info")
-    return table(spark, sf_dir, "events").groupBy(severity.alias("severity")).agg(F.count("*").alias("n"))
+    return checks.by_severity(table(spark, sf_dir, "events").select(severity.alias("severity")))
 
 
 # --- graph -------------------------------------------------------------------------------
@@ -436,7 +436,7 @@ def runtime_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(runtime.merge(runtime.fold(events.where(early)), runtime.fold(events.where(~early))))
 
 
-@query()
+@query(_SQL_RUNTIME + "SELECT * FROM runtime")
 def runtime_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful fold over the events as a file stream, equal to ``runtime_agg``."""
     events = table(spark, sf_dir, "events")
@@ -481,7 +481,7 @@ def dep_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("name"), "n_name", "c_custkey")
     children = table(spark, sf_dir, "orders").join(items.select("c_custkey", F.col("name").alias("parent")), F.col("o_custkey") == F.col("c_custkey")).select("parent", F.col("o_orderkey").cast("string").alias("child"))
     tree = views.dependency_tree(items.select("name", "n_name"), F.col("n_name"), children)
-    return tree.select("group", F.size("items").cast("long").alias("items"), F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.size(x["children"])).alias("children"))
+    return tree.groupBy("group").agg(F.count_distinct("item").alias("items"), F.count("child").alias("children"))
 
 
 @query("""
@@ -508,12 +508,19 @@ def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(spark, sf_dir).select(F.to_json(F.struct("*")).alias("json"))
 
 
-@query()
+@query("""
+SELECT 'orders' AS step, count(*) AS rows FROM orders UNION ALL SELECT 'customers', count(*) FROM customer UNION ALL SELECT 'routes', count(DISTINCT o_custkey) FROM orders""")
 def pass_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from archlens.plans.session import Passes
+    """A log to which each step of a run adds how many rows it gave."""
+    import uuid
+
+    log = snapshots.Log(spark, f"{keep.shared_folder(spark)}/ledger-{uuid.uuid4().hex}", "step string, rows long")
+    orders = table(spark, sf_dir, "orders")
+    for name, step in (("orders", orders), ("customers", table(spark, sf_dir, "customer")), ("routes", orders.select("o_custkey").distinct())):
+        log.add(step.agg(F.count("*").alias("rows")).select(F.lit(name).alias("step"), "rows"))
+    return log.read()
+
 
-    passes = Passes()
-    passes.register("route-map", "analyze", lambda tables: tables | {"routes": route_map(spark, sf_dir)})
-    passes.register("pages", "build-ir", lambda tables: tables | {"pages": table(spark, sf_dir, "pages")})
-    passes.run({})
-    return passes.ledger(spark)
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS day, printf('%.2f', o_totalprice) AS price FROM orders""")
+def values_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", values.iso(F.col("o_orderdate")).alias("day"), values.fixed(F.col("o_totalprice"), 2).alias("price"))

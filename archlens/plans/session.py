@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
-from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,31 +28,6 @@ class Config:
     compat: bool = False
 
 
-class Passes:
-    """Functions from tables to tables, run by stage and id; the ledger has a row for each."""
-
-    #: Stages in the order in which they run.
-    STAGES = ["build-ir", "analyze", "verify", "emit-prep"]
-
-    def __init__(self) -> None:
-        self._passes: list[tuple[str, str, Callable[[Tables], Tables]]] = []
-        self._ran: list[tuple[int, str, str, str]] = []
-
-    def register(self, name: str, stage: str, run: Callable[[Tables], Tables]) -> None:
-        if stage not in self.STAGES:
-            raise ValueError(f"unknown stage {stage}")
-        self._passes.append((stage, name, run))
-
-    def run(self, tables: Tables) -> Tables:
-        for stage, name, run in sorted(self._passes, key=lambda p: (self.STAGES.index(p[0]), p[1])):
-            tables = run(tables)
-            self._ran.append((len(self._ran), stage, name, sha256(f"{stage}:{name}".encode()).hexdigest()))
-        return tables
-
-    def ledger(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self._ran, "n int, stage string, pass string, hash string")
-
-
 class Session:
     """``run(root)`` gives every table; nothing is written unless a sink is called."""
 
@@ -79,14 +53,15 @@ class Session:
         components = settled(components.withColumn("is_reusable", F.col("is_reusable") | (F.size("used_in_routes") > 1)))
         files_imported = imports.where("resolved IS NOT NULL").select("file", "pos", "resolved").distinct().join(files.select(F.col("path").alias("file"), "ord"), "file")
         unified = settled(edges.unified(
-            edges.as_edges(files_imported, F.col("file"), F.col("resolved"), "imports", F.col("ord") * 1000 + F.least("pos", F.lit(999))),
+            edges.as_edges(files_imported, F.col("file"), F.col("resolved"), "imports", F.col("ord"), F.col("pos")),
             edges.render_edges(components), edges.ownership_edges(composites, components), edges.route_edges(routes, components),
             edges.parent_edges(routes, c.compat), edges.reuse_edges(components)))
         found = checks.verify(components, routes, composites, unified, runtime)
         numbers = intelligence.select("hooks", "utils", (F.col("component_count") + F.col("dependency_count")).alias("complexity"))
+        read = extract.params(files, c.compat)
         return {
-            "components": components, "routes": routes, "composites": composites, "route_intelligence": intelligence, "dependencies": walked,
-            "edges": unified, "diagnostics": found, "params": extract.params(files, c.compat), "summary": intel.summary(components, numbers),
+            "nodes": self._nodes(components, routes), "components": components, "routes": routes, "composites": composites, "route_intelligence": intelligence, "dependencies": walked,
+            "edges": unified, "diagnostics": found, "params": read, "summary": intel.summary(components, numbers),
         }
 
     def _components(self, files: DataFrame, imports: DataFrame) -> DataFrame:
@@ -100,7 +75,7 @@ class Session:
             names.canonical_id(F.col("file"), F.col("name")).alias("id"), "name", F.col("file").alias("relative_path"), kind.alias("type"),
             F.when(F.col("client"), "client").otherwise("server").alias("rendering"), F.when(F.col("is_default"), "default").otherwise("named").alias("export_type"),
             "imports", "jsx_children", "is_dynamic_import", "line", "column",
-            F.when(F.col("form") == "default", 0.9).otherwise(0.95).alias("confidence"), (F.col("file_ord") * 1000 + F.least("pos", F.lit(999))).alias("ord"))
+            F.when(F.col("form") == "default", 0.9).otherwise(0.95).alias("confidence"), F.struct(F.col("file_ord").alias("file"), "pos").alias("ord"))
         uses = imports.where("resolved IS NOT NULL AND kind IN ('named', 'default')").select(names.canonical_id(F.col("resolved"), F.col("name")).alias("id"), "file")
         return settled(intel.with_files_used(rows, uses))
 
@@ -110,6 +85,11 @@ class Session:
         claimed = signals.select(F.col("root").alias("name")).union(signals.select(F.concat("root", "sub"))).union(signals.select("sub")).distinct()
         return intel.composites(signals, components, intel.prefixes(components, claimed))
 
+    def _nodes(self, components: DataFrame, routes: DataFrame) -> DataFrame:
+        """(id, label, type, kind) of everything that edges join."""
+        of_routes = routes.select(F.concat(F.lit("route::"), "path").alias("id"), F.col("path").alias("label"), F.col("segment_type").alias("type"), F.lit("route").alias("kind"))
+        return components.select("id", F.col("name").alias("label"), "type", F.lit("component").alias("kind")).unionByName(of_routes)
+
     def _routes(self, files: DataFrame, imports: DataFrame, routes: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """What each route reaches through imports, its components, and its aggregates."""
         special = F.filter(F.array("relative_path", "layout", "template", "loading", "error"), lambda x: x.isNotNull())
@@ -134,13 +114,17 @@ class Session:
         outside = walked.groupBy("path").agg(kind("hook").alias("hooks"), kind("util").alias("utils"), kind("provider").alias("providers"), distinct_sorted("name").alias("dependencies"))
         calls = files.select(F.col("path").alias("node"), F.explode(extract.hook_calls(extract.without_comments(F.col("content")))).alias("hook"))
         called = depth.join(calls, "node").groupBy(F.col("root").alias("path")).agg(distinct_sorted("hook").alias("called"))
+        read = extract.params(files, self.config.compat).withColumnRenamed("file", "node")
+        given = depth.join(read, "node").groupBy(F.col("root").alias("path")).agg(
+            distinct_sorted(F.when(F.col("scope") == "search", F.col("param"))).alias("search_params"), distinct_sorted(F.when(F.col("scope") == "route", F.col("param"))).alias("read_params"))
         furthest = depth.groupBy(F.col("root").alias("path")).agg(F.max("depth").alias("depth"))
-        out = routes.join(furthest, "path", "left").join(groups, "path", "left").join(outside, "path", "left").join(called, "path", "left")
+        out = routes.join(furthest, "path", "left").join(groups, "path", "left").join(outside, "path", "left").join(called, "path", "left").join(given, "path", "left")
         empty = F.array().cast("array<string>")
-        lists = {n: F.coalesce(n, empty) for n in ("components", "dialogs", "grids", "charts", "hooks", "utils", "dependencies")}
+        lists = {n: F.coalesce(n, empty) for n in ("components", "dialogs", "grids", "charts", "hooks", "utils", "dependencies", "search_params", "read_params")}
         out = out.withColumns(lists).withColumns({
             "providers": F.array_sort(F.array_union(F.coalesce("providers", empty), F.coalesce("own_providers", empty))),
             "hooks": F.array_sort(F.array_union(F.col("hooks"), F.coalesce("called", empty))),
-            "component_count": F.coalesce("component_count", F.lit(0)), "dependency_count": F.size("dependencies"), "dynamic_params": paths.route_params(F.col("path")),
+            "component_count": F.coalesce("component_count", F.lit(0)), "dependency_count": F.size("dependencies"), # those of the path, in its order, then others that its files read
+            "dynamic_params": F.array_distinct(F.concat(paths.route_params(F.col("path")), "read_params")),
         })
-        return walked, members, settled(out.drop("own_providers", "called"))
+        return walked, members, settled(out.drop("own_providers", "called", "read_params"))

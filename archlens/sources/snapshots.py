@@ -67,6 +67,26 @@ class Versions:
         return self.spark.read.parquet(f"{self.folder}/{kind}/{number}")
 
 
+class Log:
+    """An append-only log in a folder; every ``add`` is one commit of rows."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.folder)
+
+    def read(self) -> DataFrame:
+        """All rows so far, in no order; none if nothing was added."""
+        try:
+            return self.spark.read.schema(self.schema).parquet(self.folder)
+        except AnalysisException:
+            return self.spark.createDataFrame([], self.schema)
+
+    def clear(self) -> None:
+        self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(self.folder)
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """A stored snapshot (path, hash); empty if there is none."""
     try:

@@ -107,14 +107,12 @@ def collected(stream: DataFrame, keys: tuple[str, ...] = ("component",)) -> Data
 
     Every batch is appended with its number to a table in the session's shared folder.
     """
-    import tempfile
     import uuid
 
-    from archlens.operators.keep import keep_last
+    from archlens.operators.keep import keep_last, shared_folder
 
     spark = stream.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="archlens-")
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def append(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{folder}/rows")
