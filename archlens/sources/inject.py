@@ -12,7 +12,7 @@ from archlens.functions.rules import classify
 #: Stands in every rewritten file; a file that has it is left alone.
 MARKER = "/* archlens: registered */"
 #: What stands before the body of an exported declaration: its words, a value, a list in parentheses, and the rest up to the brace.
-_HEAD = r"(?s)^([ \t]*export\b[^({=]*(?:=[^({]*)?(?:\([^)]*\))?[^({;]*)\{"
+_HEAD = r"(?s)^(export\b[^({=]*(?:=[^({]*)?(?:\([^)]*\))?[^({;]*)\{"
 _NAMED = r"\b(?:function|const)\s+([A-Z][a-zA-Z0-9]*)"
 
 
@@ -29,7 +29,7 @@ def registered(files: DataFrame, module: str = "archlens/runtime") -> DataFrame:
     content = F.col("content")
     able = is_client(content) & ~F.contains(content, F.lit(MARKER))
     # the text is cut before every exported declaration
-    cut = F.split(F.regexp_replace(content, r"(?m)^([ \t]*export\b)", "\x01$1"), "\x01")
+    cut = F.split(F.regexp_replace(content, r"(?<![\w$./'\"-])(export\s)", "\x01$1"), "\x01")
     head = lambda part: F.regexp_extract(part, _HEAD, 1)
     name = lambda part: F.when(head(part).rlike(r"\bfunction\b|=>"), F.nullif(F.regexp_extract(head(part), _NAMED, 1), F.lit("")))
     rows = files.select("path", "content", F.transform(cut, lambda part: F.struct(part.alias("text"), F.when(able, name(part)).alias("name"), F.length(head(part)).alias("at"))).alias("parts"))
