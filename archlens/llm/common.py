@@ -24,6 +24,8 @@ SLICE_BYTES = 1 << 20
 #: The white space of the contracts' word pattern ``[^\x20\x09-\x0D]+``.
 WHITE = " \t\n\x0b\x0c\r"
 
+#: Tasks for each core that write a narrow table, at most.
+FEW = 4
 #: Work tables that a run in progress owns (see ``owned``).
 _runs: list[list[str]] = []
 
@@ -39,9 +41,15 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a work table and read it back, without its lineage."""
+def saved(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` as a work table and read it back, without its lineage.
+
+    A ``narrow`` table has a few numbers a row: it is written by FEW tasks a core at most,
+    so that it doesn't become a heap of tiny files.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(FEW * spark.sparkContext.defaultParallelism)
     path = f"{work_folder(spark)}/archlens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if _runs:
@@ -158,13 +166,13 @@ def chain_hashes(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-_IS_WHITE = np.zeros(256, bool)
-_IS_WHITE[[9, 10, 11, 12, 13, 32]] = True
+IS_WHITE = np.zeros(256, bool)
+IS_WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the n + 1 word offsets of the rows."""
-    solid = ~_IS_WHITE[data]
+    solid = ~IS_WHITE[data]
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True

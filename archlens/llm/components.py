@@ -15,7 +15,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     with very many neighbours in the join.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+    least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least", narrow=True)
     return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
@@ -32,7 +32,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def _seen(edges: DataFrame) -> tuple[DataFrame, dict]:
     """The edges as a work table, and their number and a sum of hashes, observed while they are written."""
     seen = Observation()
-    table = saved(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+    table = saved(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges", narrow=True)
     return table, seen.get
 
 

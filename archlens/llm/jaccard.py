@@ -364,7 +364,7 @@ def _units(lost: DataFrame, tied: DataFrame) -> DataFrame:
     """
     lost_blocks = lost.groupBy("label").agg(F.sum("bytes").alias("lost"))
     tied_blocks = tied.groupBy("label").agg(F.sum("bytes").alias("tied"))
-    counts = saved(lost_blocks.join(tied_blocks, "label", "left").withColumn("tied", F.coalesce("tied", F.lit(0))), "block_counts")
+    counts = saved(lost_blocks.join(tied_blocks, "label", "left").withColumn("tied", F.coalesce("tied", F.lit(0))), "block_counts", narrow=True)
     left, right = _block(lost.join(counts, "label"), "lost"), _block(tied.join(counts, "label"), "tied")
     unit = lambda kind, a, b: F.xxhash64(F.lit(kind), "label", a, b).alias("unit")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias("other")
@@ -382,7 +382,7 @@ def _hub_links(sets: DataFrame, groups: DataFrame, near: DataFrame) -> DataFrame
     """Rows (node, label, bytes, hub, linked): each node of the large groups against the hub that shares keys with most nodes."""
     degree = near.join(groups.select(F.col("node").alias("b"), "label"), "b").groupBy("label", "b").agg(F.count("*").alias("n"))
     hub = degree.groupBy("label").agg(F.max_by("b", F.struct("n", "b")).alias("hub"))
-    hubs = saved(hub.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub"), "hubs")
+    hubs = saved(hub.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub"), "hubs", narrow=True)
     pairs = groups.join(sets, "node").join(hubs, "label")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,11 +397,11 @@ def _hub_links(sets: DataFrame, groups: DataFrame, near: DataFrame) -> DataFrame
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes that connect them as all exact links do."""
     members = saved(key_members(docs), "members")
-    hubs = saved(members.groupBy("key").agg(F.min("node").alias("hub")), "key_hubs")
-    near = saved(members.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "near")
-    groups = saved(components(near), "groups")
+    hubs = saved(members.groupBy("key").agg(F.min("node").alias("hub")), "key_hubs", narrow=True)
+    near = saved(members.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "near", narrow=True)
+    groups = saved(components(near), "groups", narrow=True)
     first = rows.join(groups.select("node"), "node").groupBy("node").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "text_hash")).alias("first"))
-    first = saved(first.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "first")
+    first = saved(first.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "first", narrow=True)
     same = F.col("text_hash").eqNullSafe(F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
     texts = maybe_in(docs, "text_hash", sketch(first, "first_hash")).where("maybe").join(first, same)
     texts = texts.dropDuplicates(["node"]).select("node", "text")
@@ -440,11 +440,11 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
             yield flush()
 
     sets = saved(texts.mapInArrow(tidied(shingles), "node long, shingles binary"), "shingles")
-    sized = saved(groups.join(sets.select("node", F.octet_length("shingles").cast("long").alias("bytes")), "node"), "sized")
-    sizes = saved(sized.groupBy("label").agg(F.sum("bytes").alias("all_bytes")), "group_sizes")
+    sized = saved(groups.join(sets.select("node", F.octet_length("shingles").cast("long").alias("bytes")), "node"), "sized", narrow=True)
+    sizes = saved(sized.groupBy("label").agg(F.sum("bytes").alias("all_bytes")), "group_sizes", narrow=True)
     sized = sized.join(sizes, "label")
     tasks = sized.where(F.col("all_bytes") <= GROUP_BYTES).select("node", F.col("label").alias("unit"), F.lit(ALL).alias("side"))
-    large = saved(sized.where(F.col("all_bytes") > GROUP_BYTES).select("node", "label", "bytes"), "large")
+    large = saved(sized.where(F.col("all_bytes") > GROUP_BYTES).select("node", "label", "bytes"), "large", narrow=True)
     stars = None
     if not large.isEmpty():
         against = saved(_hub_links(sets, large, near), "against_hub")
@@ -466,7 +466,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     rows = saved(set_rows(docs), "sets")
     labels = components(saved(links(docs, rows), "links"))
     labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = saved(labelled.where("node <> 0").groupBy("label").agg(F.min("doc_id").alias("least")), "least_ids")
+    least = saved(labelled.where("node <> 0").groupBy("label").agg(F.min("doc_id").alias("least")), "least_ids", narrow=True)
     return labelled.join(least, "label", "left").select(
         "doc_id", "text_hash", "n_shingles", "label", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 

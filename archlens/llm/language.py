@@ -115,7 +115,7 @@ def cells_of(codes: np.ndarray, size: int) -> Iterator[np.ndarray]:
 
 def learn(docs: DataFrame, levels: Sequence[float] = LEVELS) -> Filter:
     """The filter learned from the rows of ``docs`` (text, lang)."""
-    counts = saved(gram_counts(docs), "gram_counts")
+    counts = saved(gram_counts(docs), "gram_counts", narrow=True)
     totals = counts.groupBy("lang").agg(F.sum("count").alias("total"), F.count("*").alias("grams")).collect()  # a row for each language
     languages = sorted(r["lang"] for r in totals)
     largest = max((r["grams"] for r in totals), default=1)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archlens.llm.common import arrow_ddl, saved, slices, tidied, utf8, word_bounds, word_hashes
+from archlens.llm.common import IS_WHITE, arrow_ddl, saved, slices, tidied, utf8, word_bounds, word_hashes
 from archlens.llm.sharding import slots
 
 #: From this length on, lengths are rounded up to a multiple of GRID for the plan.
@@ -198,26 +198,26 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeBinaryArray, n
     signs; any other word is one piece as it is.
     """
     starts, ends, _ = word_bounds(data, offsets)
-    n = len(data)
-    led = np.zeros(n, bool)
-    led[1:] = data[:-1] == _LEAD
-    odd = ~(_PLAIN[data] | (data == _LEAD) | led & _AFTER_LEAD[data])
+    solid = ~IS_WHITE[data]
+    led = np.flatnonzero(data[:-1] == _LEAD) + 1
+    odd = ~_PLAIN[data]
+    odd[led - 1] = False
+    odd[led] = ~_AFTER_LEAD[data[led]]
     odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)  # "<|" may begin a special string
-    before = np.concatenate([[0], np.cumsum(odd)])
-    plain = (before[ends] == before[starts]) & (ends - starts <= MOST_BYTES)
-    begins = np.zeros(n, bool)
-    step = np.zeros(n + 1, np.int8)
-    step[starts] += 1
-    step[ends] -= 1
-    solid = np.cumsum(step[:-1], dtype=np.int8) > 0
-    step[:] = 0
-    step[starts[plain]] += 1
-    step[ends[plain]] -= 1
-    inside = np.cumsum(step[:-1], dtype=np.int8) > 0
+    plain = ends - starts <= MOST_BYTES
+    plain[np.searchsorted(starts, np.flatnonzero(odd & solid), "right") - 1] = False
+    whole = np.flatnonzero(~plain)
+    size = ends[whole] - starts[whole]
+    uncut = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - starts[whole], size)  # bytes of words that aren't plain
     kind = _KIND[data]
-    begins[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+    begins = np.zeros(len(data), bool)
+    begins[1:] = solid[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+    begins[uncut] = False
     begins[starts] = True
-    lowered = np.where(inside, np.where(led, _LOWER_AFTER_LEAD[data], _LOWER[data]), data)[solid]
+    lowered = _LOWER[data]
+    lowered[led] = _LOWER_AFTER_LEAD[data[led]]
+    lowered[uncut] = data[uncut]
+    lowered = lowered[solid]
     first = np.flatnonzero(begins)
     cuts = np.append((np.cumsum(solid) - 1)[first], len(lowered))
     coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(lowered))]).dictionary_encode()

@@ -105,7 +105,7 @@ def removed_words(rows: DataFrame, most: int = MOST_DOCUMENTS, share: float = MO
     documents = rows.select(*host, *document).distinct().groupBy(*place).agg(F.count("*").alias("docs"))
     held = lines.select(*place, "line", *known).distinct().groupBy(*place, "line").agg(F.count("*").alias("held")).where(F.col("held") > most)
     frequent = held.join(documents, place).where(F.col("held") > F.col("docs") * share).select(*place, "line")
-    return lines.join(saved(frequent, "frequent_lines"), [*place, "line"], "left_semi").groupBy("row").agg(F.sum("n").alias("n_removed"))
+    return lines.join(saved(frequent, "frequent_lines", narrow=True), [*place, "line"], "left_semi").groupBy("row").agg(F.sum("n").alias("n_removed"))
 
 
 def judge(docs: DataFrame, host: str = "source", most: int = MOST_DOCUMENTS, share: float = MOST_SHARE) -> DataFrame:
