@@ -58,7 +58,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows without a doc_id are known by their text: a group that has no id at all keeps its least text hash.
     """
     kept = jaccard.grouped(docs).where("n_shingles = 0 OR doc_id = component_id OR (doc_id IS NULL AND component_id IS NULL)")
-    kept = saved(kept.select("doc_id", "text_hash", "n_shingles", "label"), "kept")
+    kept = saved(kept.select("doc_id", "text_hash", "n_shingles", "label"), "kept", narrow=True)
     group = F.when(F.col("n_shingles") == 0, F.col("text_hash")).otherwise(F.lit(0))
     named = kept.where("doc_id IS NOT NULL").select("doc_id", F.lit(0).cast("long").alias("_hash"))
     nameless = kept.where("doc_id IS NULL").groupBy("label", group.alias("group")).agg(F.min("text_hash").alias("_hash")).select(F.lit(None).cast("long").alias("doc_id"), "_hash")
@@ -82,7 +82,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_key"))  # rows without a doc_id too
     found = decontamination.leaks(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark)
-    leaked = saved(found.select(F.col("doc_id").alias("_key")).distinct(), "leaked")
+    leaked = saved(found.select(F.col("doc_id").alias("_key")).distinct(), "leaked", narrow=True)
     return keyed.join(leaked, "_key", "left_anti").select(COLUMNS)
 
 
