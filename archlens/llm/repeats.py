@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archlens.llm.anchors import runs
-from archlens.llm.common import BYTE_VALUE, SEED, arrow_ddl, saved, slices, tidied, utf8, word_bounds, word_hashes
+from archlens.llm.common import BYTE_VALUE, SEED, arrow_ddl, owned, saved, slices, tidied, utf8, word_bounds, word_hashes
 
 #: Distinct runs that a key may have; a key with more is dealt by whole windows.
 MOST_RUNS = 5000
@@ -210,19 +210,22 @@ def repeated_runs(docs: DataFrame, unit: Unit, resolve: Resolver, most_runs: int
 
     ``docs`` as from ``identified``.
     """
-    rows = saved(run_rows(docs, unit), "all_runs")
+    with owned() as once:
+        rows = saved(run_rows(docs, unit), "all_runs")
     # a table of its own, so that Spark can split a frequent key's rows in the join
     keys = saved(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys", narrow=True)
     shared = saved(rows.join(keys, "key"), "runs")
+    once.drop(docs.sparkSession)  # nothing reads the other runs again
     first = F.min(F.struct(*DOC, "start", "windows", "place")).alias("first")
-    reps = saved(shared.groupBy("key", *_CONTENT).agg(F.count("*").alias("copies"), first).select("key", *_CONTENT, "copies", "first.*"), "reps", narrow=True)
-    segments = _texts(reps, docs, unit)
-    frequent = reps.groupBy("key").agg(F.count("*").alias("runs")).where(F.col("runs") > most_runs).select("key")
+    reps = shared.groupBy("key", *_CONTENT).agg(F.count("*").alias("copies"), first).select("key", *_CONTENT, "copies", "first.*")
+    # written, so that its exchange of texts and that of the result are never one that small inputs alone can share
+    segments = saved(_texts(reps, docs, unit), "segments")
+    frequent = segments.groupBy("key").agg(F.count("*").alias("runs")).where(F.col("runs") > most_runs).select("key")
     runs_only = shared.select(*DOC, "key", *_CONTENT, "start", "windows")
     same = ["key", *_CONTENT]
     if frequent.isEmpty():
         return runs_only.join(_resolved(segments, unit, resolve), same).select(*DOC, "start", "windows", "flags")
-    segments, frequent = saved(segments, "segments"), saved(frequent, "frequent_keys", narrow=True)
+    frequent = saved(frequent, "frequent_keys", narrow=True)
     flags = _resolved(segments.join(frequent, "key", "left_anti"), unit, resolve)
     single = saved(_by_window(segments.join(frequent, "key", "left_semi"), unit, resolve), "repeated_windows")
     singles = runs_only.join(single, same).select(*DOC, (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("windows"), F.lit(None).cast("binary").alias("flags"))
