@@ -31,9 +31,9 @@ from archlens.llm.common import arrow_ddl, slices, tidied
 
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: Chunks whose counts a task remembers; beyond that the newest quarter is forgotten, as frequent chunks come early.
-MOST_CHUNKS = 500_000
+MOST_CHUNKS = 1_000_000
 #: Pairs of pieces whose compatibility a task remembers.
-MOST_PAIRS = 500_000
+MOST_PAIRS = 2_000_000
 
 
 class PrefixCounter:
@@ -148,10 +148,10 @@ def prefix_counts(docs: DataFrame, model: str, limit: int = 4096, store: bool =
                 rows = []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     deltas = counter.prefix_deltas(text or "")
-                    total = int(deltas.sum(dtype=np.int64))
-                    cut = len(deltas) if total <= limit else truncate(deltas.tobytes(), limit)
+                    total, raw = int(deltas.sum(dtype=np.int64)), deltas.tobytes()
+                    cut = len(deltas) if total <= limit else truncate(raw, limit)
                     row = (doc_id, len((text or "").encode()), total, total > limit, cut)
-                    rows.append(row + (deltas.tobytes(),) if store else row)
+                    rows.append((*row, raw) if store else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(tidied(count), ddl)
