@@ -9,12 +9,13 @@ the same numbers as state over a stream.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STATE = "first_mount timestamp, first_seq long, mounts long, unmounts long, renders long, total double, last_mount timestamp, last_unmount timestamp"
+STATE = "first_mount timestamp, first_seq long, mounts long, unmounts long, renders long, timed long, total double, last_mount timestamp, last_unmount timestamp, latest long"
 RESULT = "component string, mount_count long, unmount_count long, render_count long, average_render double, last_mounted timestamp, last_unmounted timestamp"
 
 
@@ -73,33 +74,58 @@ def current_route(mounts: DataFrame, changes: DataFrame, key: str, value: str, d
     return found.select(key, "ts", "seq", *(F.col(f"_rest.{c}").alias(c) for c in rest), picked.alias(value))
 
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    first, seq, mounts, unmounts, renders, total, last_mount, last_unmount = state.get if state.exists else (None, None, 0, 0, 0, 0.0, None, None)
-    for batch in batches:
-        for event, ts, number, duration in batch.sort_values(["ts", "seq"])[["event", "ts", "seq", "duration"]].itertuples(index=False):
-            ts = ts.to_pydatetime()
-            if event == "mount":
-                if first is None:
-                    first, seq, renders = ts, number, 1
-                mounts, last_mount = mounts + 1, max(last_mount or ts, ts)
-            elif first is not None and event == "unmount":
-                unmounts, last_unmount = unmounts + 1, max(last_unmount or ts, ts)
-            elif first is not None and event == "render":
-                renders, total = renders + 1, total + float(duration)
-    state.update((first, seq, mounts, unmounts, renders, total, last_mount, last_unmount))
-    if first is not None:
-        yield pd.DataFrame([{
-            "component": key[0], "mount_count": mounts, "unmount_count": unmounts, "render_count": renders,
-            "average_render": total / (renders - 1) if renders > 1 else 0.0, "last_mounted": last_mount, "last_unmounted": last_unmount,
-        }])
-
-
-def fold_stream(events: DataFrame) -> DataFrame:
+def _update(key: tuple, batches: Iterator[pd.DataFrame], state, idle: int | None) -> Iterator[pd.DataFrame]:
+    """Add a micro-batch's rows of one component to its state, each Arrow batch by column sums.
+
+    Arrow batches come in no order, so they are held while the first mount is not known:
+    the rows of one component in one micro-batch at most, once in its life.
+    """
+    if state.hasTimedOut:
+        state.remove()
+        return
+    known = state.get if state.exists else None
+    if known and idle is not None and state.getCurrentWatermarkMs() > known[-1] + idle:
+        known = None
+    first, seq, mounts, unmounts, renders, timed, total, last_mount, last_unmount, latest = known or (None, None, 0, 0, 0, 0, 0.0, None, None, 0)
+    if first is None:
+        held = list(batches)
+        starts = pd.concat([b.loc[b["event"] == "mount", ["ts", "seq"]] for b in held]).dropna().sort_values(["ts", "seq"])
+        if starts.empty:
+            return
+        first, seq, renders, batches = starts["ts"].iloc[0].to_pydatetime(), int(starts["seq"].iloc[0]), 1, held
+    for rows in batches:
+        rows = rows[(rows["ts"] > first) | ((rows["ts"] == first) & (rows["seq"] >= seq))]
+        if rows.empty:
+            continue
+        times = {kind: rows.loc[rows["event"] == kind, "ts"] for kind in ("mount", "unmount")}
+        spent = rows.loc[rows["event"] == "render", "duration"]
+        mounts, unmounts, renders = mounts + len(times["mount"]), unmounts + len(times["unmount"]), renders + len(spent)
+        timed, total, latest = timed + int(spent.count()), total + float(spent.sum()), max(latest, int(rows["at"].max()))
+        if len(times["mount"]):
+            last_mount = max(times["mount"].max().to_pydatetime(), last_mount or first)
+        if len(times["unmount"]):
+            last_unmount = max(times["unmount"].max().to_pydatetime(), last_unmount or first)
+    state.update((first, seq, mounts, unmounts, renders, timed, total, last_mount, last_unmount, latest))
+    if idle is not None:
+        state.setTimeoutTimestamp(max(latest + idle, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame([{
+        "component": key[0], "mount_count": mounts, "unmount_count": unmounts, "render_count": renders,
+        "average_render": total / timed if timed else 0.0, "last_mounted": last_mount, "last_unmounted": last_unmount,
+    }])
+
+
+def fold_stream(events: DataFrame, idle: int | None = None) -> DataFrame:
     """The fold as a stream in update mode: the state of every component that a batch touched.
 
-    Events must come in order of (ts, seq) between batches, as they do from one source.
+    Events must come in order of (ts, seq) between batches, as they do from one source; within
+    a batch any order does.  With ``idle``, in seconds, it is also the watermark's delay, and the state of a component without
+    an event for that long before the watermark is dropped: its next mount begins anew.
     """
-    return events.groupBy("component").applyInPandasWithState(_update, RESULT, STATE, "update", "NoTimeout")
+    facts = events.select("component", "event", "ts", "seq", "duration", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    if idle is None:
+        return facts.groupBy("component").applyInPandasWithState(partial(_update, idle=None), RESULT, STATE, "update", "NoTimeout")
+    late = facts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{idle} seconds")
+    return late.groupBy("component").applyInPandasWithState(partial(_update, idle=idle * 1000), RESULT, STATE, "update", "EventTimeTimeout")
 
 
 def collected(stream: DataFrame, keys: tuple[str, ...] = ("component",)) -> DataFrame:

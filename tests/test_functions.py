@@ -1,8 +1,10 @@
 """Column functions, rules, edges, graph loops, telemetry, snapshots and sinks on small cases."""
 
 import json
+import os
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,3 +228,38 @@ def test_views(spark):
     assert tree == {"/": (None, 0, True), "/a": ("/", 1, False), "/a/b": ("/a", 2, True), "/a/c": ("/a", 2, True)}
     placed = [(r.x, r.y) for r in views.grid(spark.range(5), "id").orderBy("id").collect()]
     assert placed == [(0, 0), (300, 0), (600, 0), (0, 200), (300, 200)]
+
+
+def _streamed(spark, folder, parts, **options):
+    """The last state of each component after the events of ``parts``, a micro-batch each."""
+    columns = "component string, event string, duration double, ts timestamp, seq long"
+    for number, part in enumerate(parts):
+        spark.createDataFrame(part, columns).coalesce(1).write.parquet(f"{folder}/{number}")
+        os.utime(next(Path(f"{folder}/{number}").glob("*.parquet")), (1_700_000_000 + number,) * 2)  # files are taken by their time
+    stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    rows = runtime.collected(runtime.fold_stream(stream, **options)).collect()
+    return {r.component: (r.mount_count, r.unmount_count, r.render_count, r.average_render, r.last_mounted, r.last_unmounted) for r in rows}
+
+
+def test_stream_of_many_arrow_batches_and_of_nulls_equals_the_batch(spark, tmp_path):
+    day = datetime(2024, 1, 1)
+    rows = [("a", "render", 1.0 * i, day + timedelta(seconds=i), i) for i in range(50)] + [("a", "mount", None, day + timedelta(seconds=20), 20)]
+    rows += [("a", "render", None, day + timedelta(seconds=30), 99), ("a", "unmount", None, day + timedelta(seconds=40), 100), ("b", "render", 1.0, day, 1)]
+    parts = [rows[::-1], [("a", "mount", None, day + timedelta(seconds=90), 200), ("a", "render", 7.0, day + timedelta(seconds=91), 201), ("b", "unmount", None, day, 9)]]
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = _streamed(spark, tmp_path, parts)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    whole = spark.createDataFrame(sum(parts, []), "component string, event string, duration double, ts timestamp, seq long")
+    want = {r.component: (r.mount_count, r.unmount_count, r.render_count, r.average_render, r.last_mounted, r.last_unmounted) for r in runtime.fold(whole).collect()}
+    assert got == want and got["a"][:3] == (2, 1, 33) and set(got) == {"a"}
+
+
+def test_stream_drops_the_state_of_an_idle_component(spark, tmp_path):
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    parts = [[("a", "mount", None, day(0), 1)], [("b", "mount", None, day(10), 2)], [("a", "render", 5.0, day(11), 3), ("b", "render", 4.0, day(11), 4)], [("a", "mount", None, day(12), 5)]]
+    assert {k: v[:4] for k, v in _streamed(spark, tmp_path, parts).items()} == {"a": (2, 0, 2, 5.0), "b": (1, 0, 2, 4.0)}
+    again = _streamed(spark, tmp_path / "idle", parts, idle=86400)
+    assert {k: v[:4] for k, v in again.items()} == {"a": (1, 0, 1, 0.0), "b": (1, 0, 2, 4.0)}
