@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archlens.llm import contexttree, decontamination, jaccard, language, oracles, packing, quality, sharding, substrings, suffixes, tokencounts
+from archlens.llm import contexttree, decontamination, divergence, jaccard, language, oracles, packing, pii, quality, sharding, substrings, suffixes, tokencounts, vectorcodes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,18 @@ def op10_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_documents(spark, sf_dir)).drop("kept")
 
 
+def op11_va_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.spans(_documents(spark, sf_dir)))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_nnls_packing": op2_nnls_packing,
@@ -70,6 +82,9 @@ QUERIES: dict[str, Query] = {
     "op8_pigeonhole_edits": op8_pigeonhole_edits,
     "op9_suffix_automata": op9_suffix_automata,
     "op10_suffix_sort": op10_suffix_sort,
+    "op11_va_codes": op11_va_codes,
+    "op12_deobfuscation": op12_deobfuscation,
+    "op13_divergence_audit": op13_divergence_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -78,4 +93,6 @@ ORACLES: dict[str, str] = {
     "op7_rendezvous": sharding.oracle(),
     "op9_suffix_automata": oracles.repeated_words(substrings.WINDOW),
     "op10_suffix_sort": oracles.repeated_bytes(suffixes.WINDOW),
+    "op11_va_codes": vectorcodes.oracle(),
+    "op13_divergence_audit": divergence.ORACLE,
 }
