@@ -2,28 +2,28 @@
 
 Terms are runs of letters and non-ASCII characters, ASCII letters in lower case.  The first
 pass counts in how many documents of its language each term is; those in at least LEAST
-documents are kept.  The second pass looks the kept terms up again: texts are packed into
-units of a few MB of one language, each unit is given the kept terms that it needs, and an
-Aho-Corasick automaton of these, each between two blanks, counts every occurrence.  The
-counts by language, source and term are sparse postings; from them come the probabilities
-(count + 1 in N + V, in billionths, rounded down, plus one), the divergence of every pair of sources and each source's
-most unusual terms.
-
-An automaton holds the terms of one unit, not the vocabulary, which grows with the corpus.
-Vocabulary and postings are only ever joined and grouped by Spark.  A pair's sum is taken over the
-terms that both sources have; terms that one of them has, or neither, follow from how
-often a source has each count, so zero counts are never spelled out.
+documents are kept.  The second pass looks the kept terms up again: texts are held
+in units of a few MB of one language, and an Aho-Corasick automaton of the kept terms
+that a unit has, each between two blanks, counts every occurrence by source.  Which of a unit's terms are
+kept is asked of a bitmap of a fixed size; a join with the kept terms then drops the few that
+it lets through wrongly.  The result is one sparse row for each term, its counts by source; from these
+rows come the probabilities (count + 1 in N + V, in billionths, rounded down, plus one), the
+divergence of every pair of sources and each source's most unusual terms.
+
+An automaton holds the terms of one unit, not the vocabulary, which grows with the corpus and
+is only ever joined and grouped by Spark.  A pair's sum is taken over the terms that both
+sources have; terms that one of them has, or neither, follow from how often a source has
+each count, so zero counts are never spelled out.
 
 Defined results: null texts, languages and sources are read as ''.  A group without terms, or
 of a language without kept terms, has pairs (value 0 where the language has no kept term) and
 no terms.  A language with one source has no pairs.  Repeated rows count as often as they
 are there.  An empty table gives no rows.  Columns besides text, lang and source are not read.
-A text of any length is one unit at most.
+A text of any length is held whole, in a unit of its own if it is longer than one.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -31,111 +31,122 @@ from functools import partial
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from archlens.llm.common import saved, tidied
+from archlens.llm.common import saved, sketch, tidied
 
 #: A term is kept in this many documents of its language, and probabilities are in these units.
 LEAST, UNIT = 3, 1_000_000_000
 #: Terms of a source that are returned.
 TOP = 200
 #: Bytes of text in a unit (a longer document is a unit of its own), and in all open units of a task.
-UNIT_BYTES, OPEN_BYTES = 4 << 20, 12 << 20
+UNIT_BYTES, OPEN_BYTES = 12 << 20, 24 << 20
+#: Different terms that a task of the first pass holds before it passes their counts on.
+HELD_TERMS = 300_000
+#: Bits of the bitmap of kept terms (8 MB).
+BITS = 26
+#: Sources of all languages whose sizes are broadcast; beyond that they are joined.
+MOST_GROUPS = 100_000
 
 #: What each byte becomes: letters small ones, other ASCII a blank; bytes of longer characters stay.
 PLAIN = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def _packed(batches: Iterator[pa.RecordBatch], unit: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Documents as units (unit, lang, sources, sizes, texts): plain texts of one language, end to end, with a line feed after each."""
-    held: dict[str, list[tuple[str, bytes]]] = {}
+def _terms(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(lang, term, docs): in how many of a task's documents each term is."""
+    counts: dict[str, Counter[bytes]] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            counts.setdefault(lang, Counter()).update(set(_plain(text).split()))
+            if sum(map(len, counts.values())) >= most:
+                yield from _rows(counts)
+                counts = {}
+    yield from _rows(counts)
+
+
+def _rows(counts: dict[str, Counter[bytes]]) -> Iterator[pa.RecordBatch]:
+    for lang, own in counts.items():
+        yield pa.record_batch([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64())], ["lang", "term", "docs"])
+
+
+def _plain(text: pa.Scalar) -> bytes:
+    buffer = text.as_buffer()
+    return buffer.to_pybytes().translate(PLAIN) if buffer is not None else b""
+
+
+def _recounted(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, unit: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n): occurrences in each unit and source of the terms that the bitmap has."""
+    held: dict[str, dict[str, list[bytes]]] = {}
     sizes: Counter[str] = Counter()
 
-    def given(lang: str) -> pa.RecordBatch:
-        docs = held.pop(lang)
+    def counted(lang: str) -> Iterator[pa.RecordBatch]:
         del sizes[lang]
-        text = b"".join(x for _, x in docs)
-        columns = [[uuid.uuid4().hex], [lang], [[s for s, _ in docs]], [[len(x) for _, x in docs]], [text]]
-        kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["unit", "lang", "sources", "sizes", "texts"])
+        by_source = held.pop(lang)
+        seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+        terms = []
+        for term in set().union(*(text.split() for texts in by_source.values() for text in texts)):
+            at = xxhash.xxh64_intdigest(term, seed) & ((1 << BITS) - 1)
+            if bitmap[at >> 3] >> (at & 7) & 1:
+                terms.append(term.decode())
+        if not terms:
+            return
+        automaton = ahocorasick.Automaton()
+        for at, term in enumerate(terms):
+            automaton.add_word(f" {term} ", at)
+        automaton.make_automaton()
+        for source, texts in by_source.items():
+            counts = np.zeros(len(terms), np.int64)
+            for text in texts:  # neighbours share the blank between them
+                hits = np.fromiter((at for _, at in automaton.iter(f" {text.decode()} ")), np.int64)
+                if len(hits):
+                    counts += np.bincount(hits, minlength=len(terms))
+            found = np.flatnonzero(counts)
+            same = lambda x: pa.array([x] * len(found), pa.string())  # noqa: E731,B023
+            yield pa.record_batch([same(lang), same(source), pa.array([terms[at] for at in found], pa.string()), pa.array(counts[found])], ["lang", "source", "term", "n"])
 
     for batch in batches:
-        for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text"))):
-            key, own = lang.as_py(), text.as_buffer().to_pybytes() if len(text.as_buffer() or b"") else b""
-            held.setdefault(key, []).append((source.as_py(), own.translate(PLAIN) + b"\n"))
-            sizes[key] += len(own) + 1
-            if sizes[key] >= unit:
-                yield given(key)
+        for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text")):
+            own = _plain(text)
+            held.setdefault(lang, {}).setdefault(source, []).append(own)
+            sizes[lang] += len(own) + 64
+            if sizes[lang] >= unit:
+                yield from counted(lang)
             elif sizes.total() >= most:
-                yield given(max(sizes, key=sizes.get))
-    for key in list(held):
-        yield given(key)
+                yield from counted(max(sizes, key=sizes.get))
+    for lang in list(held):
+        yield from counted(lang)
 
 
-def _documents(texts: bytes) -> Iterator[bytes]:
-    yield from texts.split(b"\n")[:-1]
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(lang, source, text) of documents, nulls as ''."""
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c)
+    return docs.select(text("lang"), text("source"), text("text"))
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, lang, term, docs): in how many of a unit's documents each term is."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            texts = batch.column("texts")[i].as_py()
-            counts: Counter[bytes] = Counter()
-            for text in _documents(texts):
-                counts.update(set(text.split()))
-            same = lambda c: pa.array([batch.column(c)[i].as_py()] * len(counts), pa.string())  # noqa: E731,B023
-            yield pa.record_batch([same("unit"), same("lang"), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["unit", "lang", "term", "docs"])
+def vocabulary(rows: DataFrame, least: int = LEAST, held: int = HELD_TERMS) -> DataFrame:
+    """The first pass: (lang, term, docs) of the kept terms."""
+    found = rows.select("lang", "text").mapInArrow(tidied(partial(_terms, most=held)), "lang string, term string, docs long")
+    return saved(found.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least), "divergence-kept", narrow=True)
 
 
-def _recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n): occurrences of a unit's kept terms in the texts of each of its sources."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            terms = batch.column("terms")[i].as_py()
-            if not terms:
-                continue
-            automaton = ahocorasick.Automaton()
-            for at, term in enumerate(terms):
-                automaton.add_word(f" {term} ", at)
-            automaton.make_automaton()
-            by_source: dict[str, list[bytes]] = {}
-            texts = batch.column("texts")[i].as_py()
-            for source, text in zip(batch.column("sources")[i].as_py(), _documents(texts)):
-                by_source.setdefault(source, []).append(text)
-            for source, own in by_source.items():
-                counts = np.zeros(len(terms), np.int64)
-                for text in own:  # neighbours share the blank between them
-                    hits = np.fromiter((at for _, at in automaton.iter(f" {text.decode()} ")), np.int64)
-                    if len(hits):
-                        counts += np.bincount(hits, minlength=len(terms))
-                found = np.flatnonzero(counts)
-                lang = batch.column("lang")[i].as_py()
-                yield pa.record_batch(
-                    [pa.array([lang] * len(found), pa.string()), pa.array([source] * len(found), pa.string()), pa.array([terms[at] for at in found], pa.string()), pa.array(counts[found])],
-                    ["lang", "source", "term", "n"])
-
-
-def packed(docs: DataFrame, unit: int = UNIT_BYTES, most: int = OPEN_BYTES) -> DataFrame:
-    """The documents' units, as a work table."""
-    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    rows = docs.select(text("lang").alias("lang"), text("source").alias("source"), text("text").alias("text"))
-    return saved(rows.mapInArrow(tidied(partial(_packed, unit=unit, most=most)), "unit string, lang string, sources array<string>, sizes array<long>, texts binary"), "divergence-units")
-
-
-def vocabulary(units: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """The first pass: (unit, lang, term) of all kept terms by unit, and (lang, term, docs) of the kept ones."""
-    found = saved(units.select("unit", "lang", "texts").mapInArrow(tidied(_terms), "unit string, lang string, term string, docs long"), "divergence-terms")
-    kept = saved(found.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least), "divergence-kept", narrow=True)
-    return found.select("unit", "lang", "term").join(kept.select("lang", "term"), ["lang", "term"], "left_semi"), kept
-
-
-def postings(units: DataFrame, needed: DataFrame) -> DataFrame:
-    """The second pass: (lang, source, term, n) with n > 0."""
-    lists = needed.groupBy("unit").agg(F.collect_list("term").alias("terms"))
-    counted = units.join(lists, "unit").select("lang", "sources", "texts", "terms").mapInArrow(tidied(_recounted), "lang string, source string, term string, n long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+def bitmap_of(kept: DataFrame) -> np.ndarray:
+    """A bit for the hash of every kept term: 2**BITS bits, however many terms there are."""
+    words = sketch(kept.select(F.xxhash64("lang", "term").alias("h")), "h", BITS).toArrow()
+    bits = np.zeros(1 << (BITS - 6), np.int64)
+    bits[words.column("_word").to_numpy()] = words.column("_set").to_numpy()
+    return bits.astype("<i8").view(np.uint8)
+
+
+def postings(rows: DataFrame, kept: DataFrame, unit: int = UNIT_BYTES, most: int = OPEN_BYTES) -> DataFrame:
+    """The second pass: (lang, term, has), has the sources that have a kept term and how often."""
+    task = tidied(partial(_recounted, bitmap=bitmap_of(kept), unit=unit, most=most))
+    counted = rows.mapInArrow(task, "lang string, source string, term string, n long")
+    # one exchange: the aggregates below keep the join's partitioning by language and term
+    exact = counted.join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
+    by_source = exact.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    return saved(by_source.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("has")), "divergence-postings")
 
 
 #: A count's probability; the product may pass 64 bits, so it is a decimal.  m is N + V.
@@ -147,41 +158,53 @@ def _f(p: str, q: str) -> str:
     return f"(({p} - {q}) * ({p} - {q})) DIV {q}"
 
 
-def measured(found: DataFrame, groups: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings with p; groups (lang, source, v, p0, of zero counts, and terms, how many it has); languages' terms with q."""
+def measured(found: DataFrame, groups: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, term, p, q), p and q the probabilities in the source and in the language, and the groups
+    (lang, source, v, m, p0, terms): p0 is the probability of zero counts, terms how many terms a group has."""
     v = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    sizes = found.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
+    flat = found.select("lang", "term", F.explode("has").alias("x"), F.aggregate("has", F.lit(0).cast("long"), lambda t, x: t + x["n"]).alias("all")).select("lang", "term", "x.*", "all")
+    sizes = flat.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     known = groups.join(v, "lang", "left").join(sizes, ["lang", "source"], "left").select("lang", "source", zero("v"), zero("total"), zero("terms"))
     known = known.withColumn("m", F.nullif(F.col("total") + F.col("v"), F.lit(0))).withColumn("p0", F.expr(_P0))
-    known = saved(known, "divergence-groups", narrow=True)  # a row for each source of a language
-    with_p = found.join(known.select("lang", "source", "m"), ["lang", "source"]).withColumn("p", F.expr(_P)).drop("m")
-    of_lang = known.groupBy("lang").agg((F.sum("total") + F.max("v")).alias("m"))
-    q = found.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(of_lang, "lang").select("lang", "term", F.expr(_P).alias("q"))
-    return with_p, known, q
+    of_lang = known.groupBy("lang").agg((F.sum("total") + F.max("v")).alias("lang_m"))
+    known = saved(known.join(of_lang, "lang"), "divergence-groups", narrow=True)  # a row for each source of a language
+    with_p = flat.join(_bounded(known.select("lang", "source", "m", "lang_m")), ["lang", "source"])
+    q = _P.replace("n + 1", "all + 1").replace("CAST(m AS", "CAST(lang_m AS")
+    return with_p.select("lang", "source", "term", F.expr(_P).alias("p"), F.expr(q).alias("q")), known
+
+
+def _bounded(known: DataFrame) -> DataFrame:
+    """Broadcast if the groups are few enough, which is counted; else left to a join by key."""
+    return F.broadcast(known) if known.count() <= MOST_GROUPS else known
 
 
-def pairs(with_p: DataFrame, known: DataFrame) -> DataFrame:
+def pairs(found: DataFrame, with_p: DataFrame, known: DataFrame) -> DataFrame:
     """(lang, source, item, value): the divergence of each source from each other source of its language."""
     a = known.select("lang", "source", F.col("p0").alias("a0"), F.col("terms").alias("na"), "v")
     b = known.select("lang", F.col("source").alias("item"), F.col("p0").alias("b0"), F.col("terms").alias("nb"))
     both = saved(a.join(b, "lang").where("source <> item"), "divergence-pairs", narrow=True)
     # terms that only one side has: its counts are few different numbers
-    counts = with_p.groupBy("lang", "source", "p").agg(F.count("*").alias("k"))
+    counts = saved(with_p.groupBy("lang", "source", "p").agg(F.count("*").alias("k")), "divergence-counts", narrow=True)
     left = counts.join(both.select("lang", "source", "item", "b0"), ["lang", "source"]).groupBy("lang", "source", "item").agg(F.expr(f"sum(k * ({_f('p', 'b0')}))").alias("x"))
     right = counts.withColumnRenamed("source", "item").join(both.select("lang", "source", "item", "a0"), ["lang", "item"]).groupBy("lang", "source", "item").agg(F.expr(f"sum(k * ({_f('a0', 'p')}))").alias("y"))
     # terms that both have, less what the two sums above counted for them
-    zero = known.select("lang", "source", "p0")
-    own = with_p.join(zero, ["lang", "source"]).select("lang", "term", "source", "p", "p0")
-    lists = own.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "p0")).alias("has")).where(F.size("has") > 1)
-    shared = lists.mapInArrow(tidied(_shared), "lang string, source string, item string, z long, k long").groupBy("lang", "source", "item").agg(F.sum("z").alias("z"), F.sum("k").alias("both"))
+    many = found.where(F.size("has") > 1)
+    if known.count() <= MOST_GROUPS:
+        sizes = {(r.lang, r.source): r.m for r in known.select("lang", "source", "m").collect()}
+    else:
+        sizes = None
+        flat = many.select("lang", "term", F.explode("has").alias("x")).select("lang", "term", "x.*").join(known.select("lang", "source", "m"), ["lang", "source"])
+        many = flat.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n", "m")).alias("has"))
+    shared = many.select("lang", "has").mapInArrow(tidied(partial(_shared, sizes=sizes)), "lang string, source string, item string, z long, k long").groupBy("lang", "source", "item").agg(
+        F.sum("z").alias("z"), F.sum("k").alias("both"))
     n = lambda c: F.coalesce(c, F.lit(0))
     neither = (F.col("v") - F.col("na") - F.col("nb") + n("both")) * F.coalesce(F.expr(_f("a0", "b0")), F.lit(0))
     keys = ["lang", "source", "item"]
     return both.join(left, keys, "left").join(right, keys, "left").join(shared, keys, "left").select(*keys, (n("x") + n("y") + n("z") + neither).alias("value"))
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch], sizes: dict[tuple[str, str], int] | None) -> Iterator[pa.RecordBatch]:
     """(lang, source, item, z, k): sums of a task's terms over the pairs of sources that have them, and how many terms those are.
 
     A task adds terms up per pair of sources before anything leaves it; the result has a row for each pair at any rate.
@@ -214,8 +237,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column("has")
         flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         source = flat.field("source").to_pylist()
-        p, p0 = flat.field("p").to_numpy(), flat.field("p0").to_numpy()
-        for i, lang in enumerate(batch.column("lang").to_pylist()):
+        langs = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        lang_of = batch.column("lang").to_pylist()
+        m = flat.field("m").to_numpy() if sizes is None else np.array([sizes[lang_of[i], s] for i, s in zip(langs, source)], np.int64)
+        n = flat.field("n").to_numpy()
+        big = len(n) and n.max() >= (1 << 63) // UNIT - 1
+        p = np.array([1 + UNIT * (int(a) + 1) // int(b) for a, b in zip(n, m)], np.int64) if big else 1 + UNIT * (n + 1) // m
+        p0 = 1 + UNIT // m
+        for i, lang in enumerate(lang_of):
             lo, hi = offsets[i], offsets[i + 1]
             at = []
             for s in source[lo:hi]:
@@ -237,22 +266,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(lang), pa.array(source), pa.array(item), pa.array(z, pa.int64()), pa.array(k, pa.int64())], ["lang", "source", "item", "z", "k"])
 
 
-def unusual(with_p: DataFrame, q: DataFrame) -> DataFrame:
+def unusual(with_p: DataFrame) -> DataFrame:
     """(lang, source, item, value): terms that are more frequent in a source than in its language."""
-    return with_p.join(q, ["lang", "term"]).where("p > q").select("lang", "source", F.col("term").alias("item"), F.expr(_f("p", "q")).alias("value"))
+    return with_p.where("p > q").select("lang", "source", F.col("term").alias("item"), F.expr(_f("p", "q")).alias("value"))
 
 
 def audit(docs: DataFrame, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank) of all sources of all languages."""
-    units = packed(docs)
-    needed, kept = vocabulary(units)
-    found = saved(postings(units, needed), "divergence-postings")
-    groups = units.select("lang", F.explode("sources").alias("source")).distinct()
-    with_p, known, q = measured(found, groups, kept)
+    rows = rows_of(docs)
+    kept = vocabulary(rows)
+    found = postings(rows, kept)
+    with_p, known = measured(found, rows.select("lang", "source").distinct(), kept)
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item"))
     ranked = lambda df, part: df.withColumn("rank", F.row_number().over(order)).select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
-    terms = ranked(unusual(with_p, q), "term").where(F.col("rank") <= top)
-    return ranked(pairs(with_p, known), "pair").unionByName(terms)
+    terms = ranked(unusual(with_p), "term").where(F.col("rank") <= top)
+    return ranked(pairs(found, with_p, known), "pair").unionByName(terms)
 
 
 ORACLE = f"""

@@ -202,9 +202,11 @@ def brute_audit(rows: list, top: int = 200) -> list:
     return out
 
 
-@pytest.mark.parametrize("sizes", [(200, 600), (divergence.UNIT_BYTES, divergence.OPEN_BYTES)])
+@pytest.mark.parametrize("sizes", [(200, 600, 5, 0), (divergence.UNIT_BYTES, divergence.OPEN_BYTES, divergence.HELD_TERMS, divergence.MOST_GROUPS)])
 def test_audit_equals_brute_force(spark, monkeypatch, sizes):
-    monkeypatch.setattr(divergence.packed, "__defaults__", sizes)
+    monkeypatch.setattr(divergence.postings, "__defaults__", sizes[:2])
+    monkeypatch.setattr(divergence.vocabulary, "__defaults__", (divergence.LEAST, sizes[2]))
+    monkeypatch.setattr(divergence, "MOST_GROUPS", sizes[3])
     rng = random.Random(11)
     words = ["Alpha", "béta", "GAMMA", "delta", "Éps", "zeta", "x", "日本", "a1b"] + [f"w{chr(97 + i)}" for i in range(26)]
     rows = [(rng.choice(["en", "de", None, ""]), rng.choice(["s1", "s2", "s3", None]), rng.choice([" ", "\n", "-", "\x00"]).join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for _ in range(150)]
@@ -216,8 +218,13 @@ def test_audit_equals_brute_force(spark, monkeypatch, sizes):
 
 
 def test_counts_beyond_64_bits(spark):
-    found = spark.createDataFrame([("en", "a", "x", 2**45), ("en", "b", "x", 5)], "lang string, source string, term string, n long")
+    n = {"a": 2**45, "b": 5}
+    found = spark.createDataFrame([("en", "x", list(n.items()))], "lang string, term string, has array<struct<source: string, n: long>>")
     kept = spark.createDataFrame([("en", "x", 3), ("en", "y", 3)], "lang string, term string, docs long")
-    with_p, _, q = divergence.measured(found, found.select("lang", "source"), kept)
-    assert {r.source: r.p for r in with_p.collect()} == {"a": 1 + 10**9 * (2**45 + 1) // (2**45 + 2), "b": 1 + 10**9 * 6 // 7}
-    assert q.first()["q"] == 1 + 10**9 * (2**45 + 6) // (2**45 + 7)
+    with_p, known = divergence.measured(found, spark.createDataFrame([("en", "a"), ("en", "b")], "lang string, source string"), kept)
+    p = {s: 1 + 10**9 * (c + 1) // (c + 2) for s, c in n.items()}
+    assert {r.source: r.p for r in with_p.collect()} == p
+    assert {r.q for r in with_p.collect()} == {1 + 10**9 * (2**45 + 6) // (2**45 + 7)}
+    zero = {s: 1 + 10**9 // (c + 2) for s, c in n.items()}
+    want = {(s, t): (p[s] - p[t]) ** 2 // p[t] + (zero[s] - zero[t]) ** 2 // zero[t] for s, t in (("a", "b"), ("b", "a"))}
+    assert {(r.source, r.item): r.value for r in divergence.pairs(found, with_p, known).collect()} == want
