@@ -1,40 +1,33 @@
-"""Facts from source texts, by regular expressions in column expressions.
+"""Facts from source texts, by regular expressions over their code.
 
-Comments are blanked first.  This reads the forms that matter (imports, exported
-declarations, tags, hook calls, parameter accesses); it is no parser, so a pattern
-inside a string literal counts.
+Code comes from ``lexical``: comments are blank and literals are numbers in quotes, so nothing
+inside them counts; what a literal says is looked up by its number.  Tables of
+files may have content (path, content), or tokens and code from ``lexical.lexed``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archlens.functions.lexical import is_client, lexed, literal, once, statements  # noqa: F401 (is_client is used from here)
 from archlens.functions.names import inferred_name, is_builtin_hook, is_component_name
 from archlens.functions.paths import collapsed, folder, is_param_name
 from archlens.operators.intel import GLOBALS
 from archlens.operators.keep import keep_first
 
 EXTENSIONS = [".tsx", ".ts", ".jsx", ".js"]
-#: White space as the sources' language sees it, the byte order mark included.
-_SPACE = r"[\s\x{FEFF}\x{00A0}]"
 
 
 def all_of(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def without_comments(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), r"(?m)(^|[^:])//[^\n]*", "$1")
-
-
-def is_client(text: Column) -> Column:
-    """Whether a text begins with the client directive."""
-    return text.rlike(rf"^{_SPACE}*(?:\"use client\"|'use client')")
-
-
-def has_dynamic_import(text: Column) -> Column:
-    return text.rlike(r"""from\s*["']next/dynamic["']""") | text.rlike(r"\bimport\s*\(")
+def has_dynamic_import(code: Column, tokens: Column | str = "tokens") -> Column:
+    loader = F.exists(all_of(code, r'\bfrom\s*"(\d+)"'), lambda n: literal(n, tokens) == "next/dynamic")
+    return loader | code.rlike(r"\bimport\s*\(")
 
 
 def tags(text: Column) -> Column:
@@ -53,10 +46,10 @@ def hook_calls(text: Column) -> Column:
 
 def import_facts(files: DataFrame) -> DataFrame:
     """(file, pos, kind, name, alias, specifier, type_only): one row for each imported name; side effects have none."""
-    text = without_comments(F.col("content"))
-    head = r"""\bimport\s+(type\s+)?([\w$*{][^"';]*?)\s*from\s*["']([^"']+)["']"""
-    statements = F.arrays_zip(all_of(text, head, 1).alias("t"), all_of(text, head, 2).alias("c"), all_of(text, head, 3).alias("s"))
-    rows = files.select(F.col("path").alias("file"), F.posexplode(statements).alias("pos", "x")).select(
+    files, text = once(files), F.col("code")
+    head = r'\bimport\s+(type\s+)?([\w$*{][^";]*?)\s*from\s*"(\d+)"'
+    found = F.arrays_zip(all_of(text, head, 1).alias("t"), all_of(text, head, 2).alias("c"), F.transform(all_of(text, head, 3), lambda n: literal(n)).alias("s"))
+    rows = files.select(F.col("path").alias("file"), F.posexplode(found).alias("pos", "x")).select(
         "file", "pos", (F.col("x.t") != "").alias("type_only"), F.col("x.c").alias("clause"), F.col("x.s").alias("specifier"))
     listed = F.filter(F.transform(F.split(F.regexp_extract("clause", r"\{([^}]*)\}", 1), ","), lambda n: F.trim(n)), lambda n: n != "")
     plain = lambda n: F.regexp_replace(n, r"^type\s+", "")
@@ -71,7 +64,7 @@ def import_facts(files: DataFrame) -> DataFrame:
         F.filter(F.array(part(F.lit("namespace"), space, none, F.lit(False))), lambda p: p["name"] != ""), named)
     bound = rows.select("file", "pos", "specifier", "type_only", F.explode(found).alias("p")).select(
         "file", "pos", "p.kind", "p.name", "p.alias", "specifier", (F.col("type_only") | F.col("p.only")).alias("type_only"))
-    bare = files.select(F.col("path").alias("file"), F.posexplode(all_of(text, r"""\bimport\s*["']([^"']+)["']""")).alias("pos", "specifier"))
+    bare = files.select(F.col("path").alias("file"), F.posexplode(F.transform(all_of(text, r'\bimport\s*"(\d+)"'), lambda n: literal(n))).alias("pos", "specifier"))
     return bound.unionByName(bare.select("file", "pos", F.lit("side_effect").alias("kind"), none.alias("name"), none.alias("alias"), "specifier", F.lit(False).alias("type_only")))
 
 
@@ -93,46 +86,41 @@ def resolved(imports: DataFrame, files: DataFrame, roots: dict[str, str] | None
     return imports.join(first, ["file", "specifier"], "left")
 
 
-_DECLARATION = (
-    r"(?m)^[ \t]*export\s+(?:default\s+)?(?:async\s+)?(?:function\s*\*?\s*[\w$]*|(?:const|let|var)\s+[\w$]+)|^[ \t]*export\s+default\s+[\w$(]"
-)
-
-
 def declarations(files: DataFrame) -> DataFrame:
-    """(file, pos, name, form, is_default, line, column, body): exported functions, and values that are functions or calls.
+    """(file, pos, name, form, is_default, line, column, body, last, brace): exported functions, and values that are functions or calls.
 
-    A body reaches to the next exported declaration.  A default export without a name is named after its file.
+    body is the declaration's own code, up to the brace that closes it; brace is the number of the token
+    that opens a function's body.  A default export without a name is named after its file.
     """
-    text = without_comments(F.col("content"))
-    marked = F.regexp_replace(text, rf"({_DECLARATION})", "\x01$1")
-    rows = files.select(F.col("path").alias("file"), F.posexplode(F.split(marked, "\x01")).alias("pos", "body"), F.split(marked, "\x01").alias("parts")).where("pos > 0")
-    before = F.array_join(F.slice("parts", F.lit(1), F.col("pos")), "")
-    line = F.size(F.split(before, "\n"))
-    column = F.length(F.substring_index(before, "\n", -1)) + 1
-    is_default = F.col("body").rlike(r"^\s*export\s+default\b")
-    function = F.regexp_extract("body", r"^\s*export\s+(?:default\s+)?(?:async\s+)?function\s*\*?\s*([\w$]*)", 1)
-    value = F.regexp_extract("body", r"^\s*export\s+(?:const|let|var)\s+([\w$]+)", 1)
-    called = F.col("body").rlike(r"^\s*export\s+(?:const|let|var)\s+[\w$]+\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>|[\w$.]+\s*(?:<[^;=]*>)?\()")
-    form = F.when(value != "", F.when(called, "variable")).when(F.col("body").rlike(r"^\s*export\s+(?:default\s+)?(?:async\s+)?function\b"), F.when(is_default, "default").otherwise("function"))
-    form = form.otherwise(F.when(is_default & F.col("body").rlike(r"^\s*export\s+default\s*\("), "default"))
+    own = F.col("code")
+    rows = statements(files).where(own.rlike(r"^\s*export\b"))
+    is_default = own.rlike(r"^\s*export\s+default\b")
+    function = F.regexp_extract("code", r"^\s*export\s+(?:default\s+)?(?:async\s+)?function\s*\*?\s*([\w$]*)", 1)
+    value = F.regexp_extract("code", r"^\s*export\s+(?:const|let|var)\s+([\w$]+)", 1)
+    called = own.rlike(r"^\s*export\s+(?:const|let|var)\s+[\w$]+\s*(?::[^=]+(?:=>[^=]+)*)?=\s*(?:async\s*)?(?:function\b|(?:<[^;=()]*>\s*)?\([^)]*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>|[\w$.]+\s*(?:<[^;=]*>)?\()") | F.col("body").isNotNull()
+    form = F.when(value != "", F.when(called, "variable")).when(own.rlike(r"^\s*export\s+(?:default\s+)?(?:async\s+)?function\b"), F.when(is_default, "default").otherwise("function"))
+    form = form.otherwise(F.when(is_default & own.rlike(r"^\s*export\s+default\s*\("), "default"))
     name = F.coalesce(F.nullif(function, F.lit("")), F.nullif(value, F.lit("")), F.when(is_default, inferred_name(F.col("file"))))
-    return rows.select("file", "pos", name.alias("name"), form.alias("form"), is_default.alias("is_default"), line.alias("line"), column.alias("column"), "body").where("form IS NOT NULL AND name IS NOT NULL")
+    out = rows.select("file", "pos", name.alias("name"), form.alias("form"), is_default.alias("is_default"), "line", "column", own.alias("body"), "last", F.col("body").alias("brace"))
+    return out.where("form IS NOT NULL AND name IS NOT NULL")
 
 
 _NAME = r"[A-Za-z_$][\w$]*"
 #: An identifier before a member: the member, the string that it is called with, and whether it is assigned to, or the key in brackets.
-_ACCESS = rf"""({_NAME})\s*(?=\.\s*({_NAME})(?:\s*\(\s*["']([^"']+)["']\s*\))?(\s*=(?![=>]))?|\[\s*["']([^"']+)["']\s*\])"""
+_ACCESS = rf"""({_NAME})\s*(?=\.\s*({_NAME})(?:\s*\(\s*"(\d+)"\s*\))?(\s*=(?![=>]))?|\[\s*"(\d+)"\s*\])"""
 #: A pattern of names, and the identifier that it takes apart.
 _TAKEN = rf"\{{([^{{}}]+)\}}\s*=\s*(?:await\s+)?({_NAME})"
 #: A variable, and the hook whose result it holds.
 _HELD = rf"({_NAME})\s*=\s*(use[A-Z]\w*)\s*\("
 #: The first argument of an assignment of many members, and the members.
-_MEMBERS = r"\bassign\s*\(\s*([A-Z]\w*)\s*,\s*\{([^{}]+)\}"
+_MEMBERS = r"\bObject\s*\.\s*assign\s*\(\s*([A-Z]\w*)\s*,\s*\{([^{}]+)\}"
 
 
-def _matches(files: DataFrame, pattern: str, *names: str) -> DataFrame:
-    """Rows (file, ...) of all matches of a pattern, a column for each of its groups."""
-    groups = F.arrays_zip(*(all_of(F.col("content"), pattern, i).alias(n) for i, n in enumerate(names, 1)))
+def _matches(files: DataFrame, pattern: str, *names: str, literals: Sequence[str] = ()) -> DataFrame:
+    """Rows (file, ...) of all matches of a pattern, a column for each of its groups; ``literals`` are groups of numbers that are looked up."""
+    files = lexed(files)
+    group = lambda n, i: F.transform(all_of(F.col("code"), pattern, i), lambda n: literal(n)) if n in literals else all_of(F.col("code"), pattern, i)
+    groups = F.arrays_zip(*(group(n, i).alias(n) for i, n in enumerate(names, 1)))
     return files.select(F.col("path").alias("file"), F.explode(groups).alias("x")).select("file", "x.*")
 
 
@@ -141,9 +129,9 @@ def accesses(files: DataFrame) -> DataFrame:
 
     kind is member, assigned, key or taken; argument is the string that a member is called with.
     """
-    seen = _matches(files, _ACCESS, "variable", "member", "argument", "assigned", "key")
-    kind = F.when(F.col("key") != "", "key").when(F.col("assigned") != "", "assigned").otherwise("member")
-    seen = seen.select("file", "variable", kind.alias("kind"), F.when(F.col("key") != "", F.col("key")).otherwise(F.col("member")).alias("name"), F.nullif("argument", F.lit("")).alias("argument"))
+    seen = _matches(files, _ACCESS, "variable", "member", "argument", "assigned", "key", literals=("argument", "key"))
+    kind = F.when(F.col("key").isNotNull(), "key").when(F.col("assigned") != "", "assigned").otherwise("member")
+    seen = seen.select("file", "variable", kind.alias("kind"), F.coalesce("key", "member").alias("name"), "argument")
     taken = _matches(files, _TAKEN, "names", "variable").select("file", "variable", F.explode(_listed("names")).alias("name"))
     return seen.unionByName(taken.select("file", "variable", F.lit("taken").alias("kind"), "name", F.lit(None).cast("string").alias("argument")))
 
@@ -156,7 +144,8 @@ def _listed(names: str) -> Column:
 def composite_signals(files: DataFrame) -> DataFrame:
     """(root, sub, evidence): dotted tags, assigned members and members assigned together."""
     component = r"^[A-Z][a-zA-Z0-9]*$"
-    dotted = files.select(F.explode(dotted_tags(without_comments(F.col("content")))).alias("tag")).select(
+    files = once(files)
+    dotted = files.select(F.explode(dotted_tags(F.col("code"))).alias("tag")).select(
         F.substring_index("tag", ".", 1).alias("root"), F.get(F.split("tag", r"\."), F.lit(1)).alias("sub"), F.lit("dotted-jsx").alias("evidence"))
     static = accesses(files).where(F.col("kind") == "assigned").select(F.col("variable").alias("root"), F.col("name").alias("sub"), F.lit("static-property").alias("evidence")).where(~F.col("root").isin(GLOBALS))
     together = _matches(files, _MEMBERS, "root", "names").select("root", F.explode(_listed("names")).alias("sub"), F.lit("object-assign").alias("evidence"))
@@ -172,6 +161,7 @@ def params(files: DataFrame, compat: bool = False) -> DataFrame:
     """
     given = {"searchParams": "search", "params": "route"}
     hooks = {"useSearchParams": "search", "useParams": "route"}
+    files = once(files)
     read = accesses(files)
     scope = lambda of, c: F.element_at(F.create_map(*(F.lit(x) for pair in of.items() for x in pair)), F.col(c))
     direct = read.where(F.col("variable").isin(*given)).select(

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.functions.extract import all_of, without_comments
+from archlens.functions.extract import all_of
+from archlens.functions.lexical import literal, once
 from archlens.functions.names import canonical_id
 from archlens.operators.keep import keep_first, settled
 
@@ -19,13 +20,13 @@ CONFIDENCE = {"local": 0.95, "named": 0.85, "default": 0.80, "namespace": 0.75}
 
 def re_exports(files: DataFrame) -> DataFrame:
     """(file, name, original, specifier): ``export { a as b } from`` and ``export * from``."""
-    text = without_comments(F.col("content"))
-    head = r"""\bexport\s*\{([^}]*)\}\s*from\s*["']([^"']+)["']"""
-    listed = files.select(F.col("path").alias("file"), F.explode(F.arrays_zip(all_of(text, head, 1).alias("c"), all_of(text, head, 2).alias("s"))).alias("x"))
+    files, text = once(files), F.col("code")
+    head = r'\bexport\s*(?:type\s*)?\{([^}]*)\}\s*from\s*"(\d+)"'
+    listed = files.select(F.col("path").alias("file"), F.explode(F.arrays_zip(all_of(text, head, 1).alias("c"), F.transform(all_of(text, head, 2), lambda n: literal(n)).alias("s"))).alias("x"))
     part = F.explode(F.filter(F.transform(F.split("x.c", ","), lambda n: F.trim(n)), lambda n: n != ""))
     named = listed.select("file", part.alias("n"), F.col("x.s").alias("specifier")).select(
         "file", F.regexp_extract("n", r"([\w$]+)$", 1).alias("name"), F.regexp_extract("n", r"^(?:type\s+)?([\w$]+)", 1).alias("original"), "specifier")
-    star = files.select(F.col("path").alias("file"), F.explode(all_of(text, r"""\bexport\s*\*\s*from\s*["']([^"']+)["']""")).alias("specifier"))
+    star = files.select(F.col("path").alias("file"), F.explode(F.transform(all_of(text, r'\bexport\s*(?:type\s*)?\*\s*from\s*"(\d+)"'), lambda n: literal(n))).alias("specifier"))
     none = F.lit(None).cast("string")
     return named.unionByName(star.select("file", none.alias("name"), none.alias("original"), "specifier"))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlens.functions import extract, names, paths, rules
+from archlens.functions import extract, lexical, names, paths, rules
 from archlens.operators import checks, edges, intel, reach
 from archlens.operators.keep import distinct_sorted, settled
 from archlens.sources import files as source_files
@@ -40,7 +40,8 @@ class Session:
     def analyse(self, files: DataFrame, runtime: DataFrame | None = None) -> Tables:
         """All tables from files (path, content)."""
         c = self.config
-        files = source_files.numbered(files.withColumn("path", paths.normalised(F.col("path"))).where(~paths.is_excluded(F.col("path"))))
+        files = files.withColumn("path", paths.normalised(F.col("path"))).where(~paths.is_excluded(F.col("path")))
+        files = settled(source_files.numbered(lexical.lexed(files)))  # contents are read once, here
         imports = settled(extract.resolved(extract.import_facts(files), files, c.roots))
         components = self._components(files, imports)
         routes = settled(source_files.routes(files, c.app_dir, c.compat))
@@ -66,7 +67,7 @@ class Session:
 
     def _components(self, files: DataFrame, imports: DataFrame) -> DataFrame:
         declared = extract.declarations(files).where(names.is_component_name(F.col("name")))
-        whole = files.select(F.col("path").alias("file"), F.col("ord").alias("file_ord"), extract.is_client(F.col("content")).alias("client"), extract.has_dynamic_import(F.col("content")).alias("is_dynamic_import"))
+        whole = files.select(F.col("path").alias("file"), F.col("ord").alias("file_ord"), "client", extract.has_dynamic_import(F.col("code")).alias("is_dynamic_import"))
         specifiers = imports.groupBy("file").agg(distinct_sorted("specifier").alias("imports"))
         rows = declared.join(whole, "file").join(specifiers, "file", "left").withColumn("imports", F.coalesce("imports", F.array().cast("array<string>")))
         rows = rows.withColumn("jsx_children", extract.tags(F.col("body")))
@@ -112,7 +113,7 @@ class Session:
             of("chart").alias("charts"), of("provider").alias("own_providers"))
         kind = lambda k: distinct_sorted(F.when(F.col("kind") == k, F.col("name")))
         outside = walked.groupBy("path").agg(kind("hook").alias("hooks"), kind("util").alias("utils"), kind("provider").alias("providers"), distinct_sorted("name").alias("dependencies"))
-        calls = files.select(F.col("path").alias("node"), F.explode(extract.hook_calls(extract.without_comments(F.col("content")))).alias("hook"))
+        calls = files.select(F.col("path").alias("node"), F.explode(extract.hook_calls(F.col("code"))).alias("hook"))
         called = depth.join(calls, "node").groupBy(F.col("root").alias("path")).agg(distinct_sorted("hook").alias("called"))
         read = extract.params(files, self.config.compat).withColumnRenamed("file", "node")
         given = depth.join(read, "node").groupBy(F.col("root").alias("path")).agg(

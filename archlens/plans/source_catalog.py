@@ -34,10 +34,9 @@ def src_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL + """SELECT file, coalesce(list_sort(list_distinct(list(tag) FILTER (tag IS NOT NULL))), []) AS tags, bool_or(client) AS client, false AS dynamic,
   CASE WHEN file LIKE 'components/r%' THEN [regexp_replace(file, 'components/r([0-9]+)/.*', 'useRegion\\1')] ELSE [] END AS hooks FROM de WHERE file NOT LIKE 'hooks/%' GROUP BY file""")
 def src_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = extract.without_comments(F.col("content"))
-    return _files(spark, sf_dir).where("path NOT LIKE 'hooks/%'").select(
-        F.col("path").alias("file"), F.array_sort(extract.tags(text)).alias("tags"), extract.is_client(F.col("content")).alias("client"),
-        extract.has_dynamic_import(F.col("content")).alias("dynamic"), extract.hook_calls(text).alias("hooks"))
+    text = F.col("code")
+    return extract.lexed(_files(spark, sf_dir).where("path NOT LIKE 'hooks/%'")).select(
+        F.col("path").alias("file"), F.array_sort(extract.tags(text)).alias("tags"), "client", extract.has_dynamic_import(text).alias("dynamic"), extract.hook_calls(text).alias("hooks"))
 
 
 @query(SQL + """SELECT 'app' || path || '/page.tsx' AS file, 'tab' || c % 3 AS param, 'useSearchParams' AS pattern, 'search' AS scope FROM cu

@@ -34,8 +34,9 @@ def _quoted(text: str) -> str:
 
 
 def numbered(files: DataFrame) -> DataFrame:
-    """``files`` with ord, which rises with the path in code-unit order."""
-    return settled(files.orderBy("path").withColumn("ord", F.monotonically_increasing_id()))
+    """``files`` with ord, which rises with the path in code-unit order; only paths are sorted."""
+    order = settled(files.select("path").distinct().orderBy("path").withColumn("ord", F.monotonically_increasing_id()))
+    return files.join(order, "path")
 
 
 def routes(files: DataFrame, app_dir: str = "app", compat: bool = False) -> DataFrame:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archlens.functions.extract import is_client
+from archlens.functions.extract import declarations
+from archlens.functions.lexical import content, once
 from archlens.functions.names import canonical_id
 from archlens.functions.rules import classify
 
 #: Stands in every rewritten file; a file that has it is left alone.
 MARKER = "/* archlens: registered */"
-#: What stands before the body of an exported declaration: its words, a value, a list in parentheses, and the rest up to the brace.
-_HEAD = r"(?s)^(export\b[^({=]*(?:=[^({]*)?(?:\([^)]*\))?[^({;]*)\{"
-_NAMED = r"\b(?:function|const)\s+([A-Z][a-zA-Z0-9]*)"
+#: Names that are registered, as they are declared.
+_NAMED = r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function\s*\*?|const)\s+([A-Z][a-zA-Z0-9]*)"
 
 
 def injected(files: DataFrame, content: str, anchor: str, addition: str) -> DataFrame:
@@ -26,21 +26,21 @@ def registered(files: DataFrame, module: str = "archlens/runtime") -> DataFrame:
 
     Files without a client directive, without components or with the marker stay as they are.
     """
-    content = F.col("content")
-    able = is_client(content) & ~F.contains(content, F.lit(MARKER))
-    # the text is cut before every exported declaration
-    cut = F.split(F.regexp_replace(content, r"(?<![\w$./'\"-])(export\s)", "\x01$1"), "\x01")
-    head = lambda part: F.regexp_extract(part, _HEAD, 1)
-    name = lambda part: F.when(head(part).rlike(r"\bfunction\b|=>"), F.nullif(F.regexp_extract(head(part), _NAMED, 1), F.lit("")))
-    rows = files.select("path", "content", F.transform(cut, lambda part: F.struct(part.alias("text"), F.when(able, name(part)).alias("name"), F.length(head(part)).alias("at"))).alias("parts"))
-    rows = rows.withColumn("injected", F.array_distinct(F.filter(F.transform("parts", lambda p: p["name"]), lambda n: n.isNotNull())))
-    called = lambda p: F.concat(F.substring(p["text"], F.lit(1), p["at"] + 1), F.lit("\n  "), _call(F.col("path"), p["name"]), F.substring(p["text"], p["at"] + 2, F.length(p["text"])))
-    code = F.array_join(F.transform("parts", lambda p: F.when(p["name"].isNull(), p["text"]).otherwise(called(p))), "")
+    lexed_files = once(files.select("path", "content"))
+    able = lexed_files.where(F.col("client") & ~F.exists("tokens", lambda t: t == MARKER))
+    # a declaration's body begins with the brace that bracket depth finds, so types, comments and strings don't matter
+    declared = declarations(able).where("brace IS NOT NULL").withColumn("name", F.regexp_extract("body", _NAMED, 1)).where("name <> ''")
+    calls = declared.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("brace", "name"))).alias("calls"))
+    rows = lexed_files.join(calls, lexed_files["path"] == calls["file"], "left").withColumn("calls", F.coalesce("calls", F.array().cast("array<struct<brace: int, name: string>>")))
+    rows = rows.withColumn("injected", F.array_distinct(F.transform("calls", lambda c: c["name"])))
+    at = F.map_from_arrays(F.transform("calls", lambda c: c["brace"]), F.transform("calls", lambda c: F.concat(F.lit("\n  "), _call(F.col("path"), c["name"]))))
+    rows = rows.withColumn("at", at)
+    code = F.array_join(F.transform("tokens", lambda t, i: F.concat(t, F.coalesce(F.try_element_at("at", i), F.lit("")))), "")
     line = F.lit(f'import {{ useComponentRegistration }} from "{module}";\n{MARKER}\n')
     end = F.instr(code, "\n")
     headed = F.when(end > 0, F.concat(F.substring(code, F.lit(1), end), line, F.substring(code, end + 1, F.length(code)))).otherwise(F.concat(code, F.lit("\n"), line))
     done = F.size("injected") > 0
-    return rows.select("path", F.when(done, headed).otherwise(F.col("content")).alias("code"), done.alias("transformed"), "injected")
+    return rows.select("path", F.when(done, headed).otherwise(content()).alias("code"), done.alias("transformed"), "injected")
 
 
 def _call(path: Column, name: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from typing import Any
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -38,33 +42,85 @@ def without(before: DataFrame, paths: DataFrame) -> DataFrame:
     return before.join(paths.select("path"), "path", "left_anti")
 
 
+class Conflict(RuntimeError):
+    """Another writer has published a version since the one that a commit was based on."""
+
+
 class Versions:
-    """Versioned tables in a folder, ``kind/000001`` and on; the latest is the greatest number."""
+    """Versioned tables in a folder, published one after the other.
+
+    A version's data is written aside, under a name that no other writer has; it becomes a version
+    when a marker with the next number is renamed into place, which fails if that number is
+    taken.  Readers see markers only, so a write that failed halfway is never read.  Writers that collide
+    take the next number, or get a ``Conflict`` if they said which version they started from.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def _path(self, *parts: str) -> Any:
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
+
+    def _fs(self, path: Any) -> Any:
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def versions(self, kind: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        path = self._path(kind, "versions")
+        fs = self._fs(path)
         if not fs.exists(path):
             return []
         return sorted(int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit())
 
-    def write(self, kind: str, table: DataFrame) -> str:
-        """Store a new version and return its id ``kind:000001``."""
-        number = max(self.versions(kind), default=0) + 1
-        table.write.parquet(f"{self.folder}/{kind}/{number:06d}")
-        return f"{kind}:{number:06d}"
+    def _publish(self, kind: str, number: int, data: str) -> bool:
+        """Create the marker of a number; False if it is there already."""
+        jvm = self.spark.sparkContext._jvm
+        aside, marker = self._path(kind, "versions", f".{uuid.uuid4().hex}"), self._path(kind, "versions", f"{number:06d}")
+        out = self._fs(aside).create(aside, False)
+        out.write(bytearray(data.encode()))
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs(aside).getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        kinds = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        kinds[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(aside, marker, kinds)  # doesn't replace what is there
+        except Py4JJavaError as e:
+            self._fs(aside).delete(aside, False)
+            if "FileAlreadyExists" not in str(e.java_exception.getClass()):
+                raise
+            return False
+        return True
+
+    def write(self, kind: str, table: DataFrame, after: str | None = None) -> str:
+        """Store a new version and return its id ``kind:000001``.
+
+        With ``after``, the id of the version that the table was made from ("" for none), another
+        version in between raises a ``Conflict``; what was written stays unpublished.
+        """
+        data = f"data/{uuid.uuid4().hex}"
+        table.write.parquet(f"{self.folder}/{kind}/{data}")
+        return self.publish(kind, data, after)
+
+    def publish(self, kind: str, data: str, after: str | None = None) -> str:
+        """Make a version of text ``data`` (for ``write``, the place of its files)."""
+        while True:
+            number = max(self.versions(kind), default=0) + 1 if after is None else int(after.rpartition(":")[2] or 0) + 1
+            if self._publish(kind, number, data):
+                return f"{kind}:{number:06d}"
+            if after is not None:
+                raise Conflict(f"{kind}:{number:06d} was published meanwhile")
 
     def latest(self, kind: str) -> str | None:
         found = self.versions(kind)
         return f"{kind}:{found[-1]:06d}" if found else None
 
+    def told(self, snapshot: str) -> str:
+        """What was published as a version."""
+        kind, _, number = snapshot.partition(":")
+        return self.spark.read.text(f"{self.folder}/{kind}/versions/{number}", wholetext=True).first()[0]
+
     def read(self, snapshot: str) -> DataFrame:
         kind, _, number = snapshot.partition(":")
-        return self.spark.read.parquet(f"{self.folder}/{kind}/{number}")
+        return self.spark.read.parquet(f"{self.folder}/{kind}/{self.told(snapshot)}")
 
 
 class Log:

@@ -1,41 +1,53 @@
-"""Component telemetry: counts, last times and mean render time per component.
+"""Component telemetry: counts, last times, mean render time and routes per component.
 
 Events have component, event (mount, unmount, render), duration, ts, session and seq
 (breaks ties of ts).  What comes before a component's first mount is ignored; the
-first mount counts as a render.  ``fold`` is the batch form; ``fold_stream`` keeps
-the same numbers as state over a stream.
+first mount counts as a render.  ``fold`` is the batch form and ``fold_stream`` the same over a
+stream; with routes (a ``route`` column: where a mount happens, see ``current_route``), the distinct ones
+of a component's mounts are kept.
+
+``sessions`` folds whole sessions as a stream: route changes and component events come in any order
+between batches, as far as the watermark lets them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import uuid
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from archlens.operators.keep import distinct_sorted, keep_last, shared_folder
+from archlens.sources.snapshots import Versions
 
 STATE = "first_mount timestamp, first_seq long, mounts long, unmounts long, renders long, timed long, total double, last_mount timestamp, last_unmount timestamp, latest long"
 RESULT = "component string, mount_count long, unmount_count long, render_count long, average_render double, last_mounted timestamp, last_unmounted timestamp"
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """One row for each component that was mounted.
+def fold(events: DataFrame, keys: Sequence[str] = ("component",)) -> DataFrame:
+    """One row for each component that was mounted, with routes if the events have a route.
 
     The first mount is an aggregate joined back, so a component with very many events is no single task's work.
     """
-    first = events.where("event = 'mount'").groupBy("component").agg(F.min(F.struct("ts", "seq")).alias("first"))
-    live = events.join(first, "component").where(F.struct("ts", "seq") >= F.col("first"))
+    keys = list(keys)
+    first = events.where("event = 'mount'").groupBy(*keys).agg(F.min(F.struct("ts", "seq")).alias("first"))
+    live = events.join(first, keys).where(F.struct("ts", "seq") >= F.col("first"))
     is_ = lambda kind: F.col("event") == kind
-    return live.groupBy("component").agg(
+    routes = [distinct_sorted(F.when(is_("mount"), F.col("route"))).alias("routes")] if "route" in events.columns else []
+    return live.groupBy(*keys).agg(
         F.count_if(is_("mount")).alias("mount_count"), F.count_if(is_("unmount")).alias("unmount_count"),
         (F.count_if(is_("render")) + 1).alias("render_count"),
         F.coalesce(F.avg(F.when(is_("render"), F.col("duration"))), F.lit(0.0)).alias("average_render"),
-        F.max(F.when(is_("mount"), F.col("ts"))).alias("last_mounted"), F.max(F.when(is_("unmount"), F.col("ts"))).alias("last_unmounted"))
+        F.max(F.when(is_("mount"), F.col("ts"))).alias("last_mounted"), F.max(F.when(is_("unmount"), F.col("ts"))).alias("last_unmounted"), *routes)
 
 
 def merge(old: DataFrame, new: DataFrame, compat: bool = False) -> DataFrame:
-    """Two folds as one: counts add up, a newer time wins, means are weighted by their renders.
+    """Two folds as one: counts add up, a newer time wins, means are weighted by their renders, routes are united.
 
     Each fold counts the first mount as a render; it is counted once here.  ``compat``
     adds the counts up as they are and keeps the older mean.
@@ -53,9 +65,11 @@ def merge(old: DataFrame, new: DataFrame, compat: bool = False) -> DataFrame:
         seen = [F.greatest(n(s, "render_count") - 1, F.lit(0)) for s in "ab"]
         weighted = seen[0] * n("a", "average_render") + seen[1] * n("b", "average_render")
         mean = F.when(seen[0] + seen[1] > 0, weighted / (seen[0] + seen[1])).otherwise(0.0)
+    none = F.array().cast("array<string>")
+    routes = [F.array_sort(F.array_union(F.coalesce("a.routes", none), F.coalesce("b.routes", none))).alias("routes")] if "routes" in old.columns and "routes" in new.columns else []
     return both.select(
         "component", total("mount_count"), total("unmount_count"), renders.alias("render_count"), mean.alias("average_render"),
-        newer("last_mounted"), newer("last_unmounted"))
+        newer("last_mounted"), newer("last_unmounted"), *routes)
 
 
 def current_route(mounts: DataFrame, changes: DataFrame, key: str, value: str, default: str | None = "/") -> DataFrame:
@@ -128,25 +142,203 @@ def fold_stream(events: DataFrame, idle: int | None = None) -> DataFrame:
     return late.groupBy("component").applyInPandasWithState(partial(_update, idle=idle * 1000), RESULT, STATE, "update", "EventTimeTimeout")
 
 
-def collected(stream: DataFrame, keys: tuple[str, ...] = ("component",)) -> DataFrame:
-    """Run an update-mode stream over what is there now, and return the last row of each key.
+PART = "first timestamp, first_seq long, mounts long, unmounts long, renders long, timed long, total double, last_mount timestamp, last_unmount timestamp, routes array<string>"
+EVENT = "component string, event string, ts timestamp, seq long, duration double, route string"
+SESSION = "session string, component string, mount_count long, unmount_count long, render_count long, average_render double, last_mounted timestamp, last_unmounted timestamp, routes array<string>"
+
+
+class Sessions(StatefulProcessor):
+    """A session's current route and its components, in the order of event time.
+
+    Events wait until the watermark has passed them and are then added to the state in the order
+    of (ts, seq); a result counts the waiting ones too, without adding them.  So the order of arrival
+    doesn't matter, and what waits is what the watermark's delay holds.  A gap of more than ``idle``
+    milliseconds between two events of a session ends it: what comes behind begins anew.
+    """
+
+    def __init__(self, default: str = "/", idle: int | None = None):
+        self.default, self.idle = default, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.route = handle.getValueState("route", "route string")
+        self.parts = handle.getMapState("parts", "component string", PART)
+        self.waiting = handle.getListState("waiting", EVENT)
+        self.seen = handle.getValueState("seen", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = list(self.waiting.get()) if self.waiting.exists() else []
+        columns = ["component", "event", "ts", "seq", "duration", "route"]
+        plain = lambda v: None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v
+        new = [tuple(plain(v) for v in r) for batch in rows for r in batch[columns].astype(object).itertuples(index=False, name=None)]
+        waiting = [tuple(r) for r in known] + [(c, e, t, int(q), None if d is None else float(d), r) for c, e, t, q, d, r in new]
+        self.waiting.put(waiting)
+        self._wake(min(_ms(r[2]) for r in waiting))
+        parts, _, changed, _ = self._added(waiting)
+        yield self._rows(key, parts, changed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due, rest = [r for r in waiting if _ms(r[2]) <= now], [r for r in waiting if _ms(r[2]) > now]
+        if due:
+            parts, route, changed, anew = self._added(due)
+            if anew:
+                self.parts.clear()
+            for component in changed:
+                self.parts.updateValue((component,), parts[component])
+            self.route.update((route,))
+            self.seen.update((max(_ms(r[2]) for r in due),))
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        last = self.seen.get()[0] if self.seen.exists() else now
+        if rest:
+            self._wake(min(_ms(r[2]) for r in rest))
+        elif self.idle is not None and now >= last + self.idle:
+            self.route.clear(), self.parts.clear(), self.waiting.clear(), self.seen.clear()
+        elif self.idle is not None:
+            self._wake(last + self.idle)
+        yield pd.DataFrame()
+
+    def _wake(self, ms: int) -> None:
+        """One timer at a time."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(ms)
+
+    def _added(self, events: list[tuple]) -> tuple[dict[str, tuple], str, set[str], bool]:
+        """The components, the current route, which components changed, and whether the session began anew, after some events; the state stays."""
+        route = self.route.get()[0] if self.route.exists() else self.default
+        parts: dict[str, tuple] = {}
+        changed: set[str] = set()
+        last, anew = self.seen.get()[0] if self.seen.exists() else None, False
+        for component, event, ts, seq, duration, target in sorted(events, key=lambda r: (r[2], r[3], r[1] != "route")):
+            if self.idle is not None and last is not None and _ms(ts) - last > self.idle:
+                route, parts, changed, anew = self.default, {}, set(), True
+            last = _ms(ts)
+            if event == "route":
+                route = target
+                continue
+            if component not in parts and not anew and self.parts.containsKey((component,)):
+                parts[component] = tuple(self.parts.getValue((component,)))
+            if component not in parts:
+                if event != "mount":
+                    continue
+                parts[component] = (ts, seq, 0, 0, 1, 0, 0.0, None, None, [])
+            first, at, mounts, unmounts, renders, timed, total, mounted, unmounted, routes = parts[component]
+            if event == "mount":
+                mounts, mounted, routes = mounts + 1, ts, sorted({*routes, route}) if route is not None else routes
+            elif event == "unmount":
+                unmounts, unmounted = unmounts + 1, ts
+            elif event == "render":
+                renders, timed, total = renders + 1, timed + (duration is not None), total + (duration or 0.0)
+            parts[component] = (first, at, mounts, unmounts, renders, timed, total, mounted, unmounted, list(routes))
+            changed.add(component)
+        return parts, route, changed, anew
+
+    def _rows(self, key: tuple, parts: dict[str, tuple], changed: set[str]) -> pd.DataFrame:
+        rows = [(key[0], c, p[2], p[3], p[4], p[6] / p[5] if p[5] else 0.0, p[7], p[8], list(p[9])) for c, p in parts.items() if c in changed]
+        out = pd.DataFrame(rows, columns=["session", "component", "mount_count", "unmount_count", "render_count", "average_render", "last_mounted", "last_unmounted", "routes"])
+        for c in ("last_mounted", "last_unmounted"):
+            out[c] = pd.to_datetime(out[c])
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def _ms(ts) -> int:
+    return int(pd.Timestamp(ts).value // 1_000_000)
 
-    Every batch is appended with its number to a table in the session's shared folder.
+
+def sessions(events: DataFrame, delay: str = "1 hour", default: str = "/", idle: int | None = None) -> DataFrame:
+    """(session, component, ...) as a stream in update mode: the fold of whole sessions, routes included.
+
+    Events have session, component, event (mount, unmount, render, or route with its target in
+    ``route``), ts, seq and duration; they come in any order as long as none is later than ``delay``
+    behind the latest.  ``idle``, in seconds, is the longest gap inside a session.  Needs the RocksDB state store (``with_state_store``).
     """
-    import uuid
+    facts = events.select("session", "component", "event", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"), "duration", "route").withWatermark("ts", delay)
+    processor = Sessions(default, None if idle is None else 1000 * idle)
+    return facts.groupBy("session").transformWithStateInPandas(processor, SESSION, "Update", "EventTime")
+
+
+def with_state_store(spark: SparkSession) -> None:
+    """Use the state store that ``sessions`` needs, for the streams that begin afterwards."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
-    from archlens.operators.keep import keep_last, shared_folder
+def session_fold(events: DataFrame, default: str = "/") -> DataFrame:
+    """What ``sessions`` gives after all events, as a batch: the as-of join, then the fold by session and component."""
+    changes = events.where("event = 'route'").select("session", "ts", "seq", "route")
+    others = events.where("event <> 'route'").select("session", "component", "event", "ts", "seq", "duration")
+    return fold(current_route(others, changes, "session", "route", default), ("session", "component"))
+
+
+class Upserts:
+    """A keyed table in a folder that a stream's batches are merged into, each once.
+
+    The table lies in buckets by the hash of its keys.  A batch rewrites the buckets that it
+    touches, aside, and is published as one version that names the files of all buckets and its own number
+    (see ``Versions``); a batch whose number is not above the published one is a replay and changes nothing.
+    """
 
+    def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str], buckets: int = 16):
+        self.spark, self.folder, self.keys, self.buckets = spark, folder.rstrip("/"), list(keys), buckets
+        self.store = Versions(spark, folder)
+
+    def _state(self) -> tuple[str, dict]:
+        latest = self.store.latest("table")
+        return latest or "", json.loads(self.store.told(latest)) if latest else {"batch": -1, "files": {}, "schema": None}
+
+    def merge(self, batch: DataFrame, number: int) -> bool:
+        """Replace the rows of the batch's keys; False if the batch was merged before."""
+        after, state = self._state()
+        if number <= state["batch"]:
+            return False
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        rows = batch.withColumn("_bucket", bucket).persist()
+        try:
+            touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())  # at most ``buckets`` numbers
+            place = f"table/data/{uuid.uuid4().hex}"
+            old = [state["files"][str(b)] for b in touched if str(b) in state["files"]]
+            if old:
+                before = self.spark.read.schema(rows.schema).parquet(*(f"{self.folder}/{p}" for p in old)).withColumn("_bucket", bucket)
+                rows_out = rows.unionByName(before.join(rows.select(*self.keys).distinct(), self.keys, "left_anti"))
+            else:
+                rows_out = rows
+            if touched:
+                rows_out.withColumn("_part", F.col("_bucket")).repartition("_part").write.partitionBy("_part").parquet(f"{self.folder}/{place}")
+            files = state["files"] | {str(b): f"{place}/_part={b}" for b in touched}
+            self.store.publish("table", json.dumps({"batch": number, "files": files, "schema": batch.schema.simpleString()}), after)
+        finally:
+            rows.unpersist()
+        return True
+
+    def read(self) -> DataFrame:
+        """The rows as of the last published batch."""
+        _, state = self._state()
+        if not state["files"]:
+            raise LookupError("nothing has been merged yet")
+        return self.spark.read.parquet(*(f"{self.folder}/{p}" for p in state["files"].values())).drop("_bucket")
+
+
+def collected(stream: DataFrame, keys: Sequence[str] = ("component",), folder: str | None = None) -> DataFrame:
+    """Run an update-mode stream over what is there now, and return the last row of each key.
+
+    Batches are merged into a table in ``folder`` (a new one in the session's shared folder); a restart with
+    the same folder goes on where the stream was, and a replayed batch changes nothing.
+    """
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    table = Upserts(spark, f"{folder}/rows", keys)
 
-    def append(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{folder}/rows")
+    def merged(batch: DataFrame, number: int) -> None:
+        last = batch.withColumn("_n", F.monotonically_increasing_id())  # a key may come twice in a batch: the later row has counted more
+        table.merge(keep_last(last, list(keys), ["_n"]).drop("_n"), number)
 
-    query = stream.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update").foreachBatch(merged).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.parquet(f"{folder}/rows")
-    return keep_last(rows, list(keys), ["_batch"]).drop("_batch")
+    return table.read()
 
 
 def running_mean(events: DataFrame) -> DataFrame:

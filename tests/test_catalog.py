@@ -3,11 +3,12 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from archlens.plans import catalog, source_catalog
+from archlens.plans import catalog, source_catalog, telemetry_catalog  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -23,7 +24,8 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
-    return sorted(tuple("" if pd.isna(x) else str(round(x, 6) if isinstance(x, float) else x) for x in r) for r in df.itertuples(index=False))
+    plain = lambda x: str([plain(y) for y in x]) if isinstance(x, (list, tuple, np.ndarray)) else "" if pd.isna(x) else str(round(x, 6) if isinstance(x, float) else x)
+    return sorted(tuple(map(plain, r)) for r in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))

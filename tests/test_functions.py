@@ -84,9 +84,12 @@ export default () => { useThing(); useStore.getState(); useState<T>(1); return <
     }
     declared = {r["name"]: (r["form"], r["line"]) for r in extract.declarations(df).collect()}
     assert declared == {"A": ("variable", 8), "MyView": ("default", 10)}
-    assert df.select(extract.hook_calls("content")).first()[0] == ["useThing", "useStore.getState"]
-    assert df.select(extract.dotted_tags("content")).first()[0] == ["Menu.Item"]
-    assert df.select(extract.is_client(F.col("content")), extract.has_dynamic_import(F.col("content"))).first()[:] == (True, True)
+    code = extract.lexed(df)
+    assert code.select(extract.hook_calls("code")).first()[0] == ["useThing", "useStore.getState"]
+    assert code.select(extract.dotted_tags("code")).first()[0] == ["Menu.Item"]
+    assert code.select("client", extract.has_dynamic_import(F.col("code"))).first()[:] == (True, True)
+    lazy = spark.createDataFrame([("a", 'import d from "next/dynamic"'), ("b", '"from \'next/dynamic\'"; // import(')], "path string, content string")
+    assert {r.path: r.d for r in extract.lexed(lazy).select("path", extract.has_dynamic_import(F.col("code")).alias("d")).collect()} == {"a": True, "b": False}
     signals = spark.createDataFrame([("a", "Menu.Item = 1; React.Foo = 2; Object.assign(Card, { Head, Body: B, x: 1 })")], "path string, content string")
     assert {(r.root, r["sub"]) for r in extract.composite_signals(signals).collect()} == {("Menu", "Item"), ("Card", "Head"), ("Card", "Body")}
 
