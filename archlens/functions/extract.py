@@ -143,12 +143,17 @@ def _listed(names: str) -> Column:
 
 def composite_signals(files: DataFrame) -> DataFrame:
     """(root, sub, evidence): dotted tags, assigned members and members assigned together."""
+    return signals_by_file(files).drop("file").distinct()
+
+
+def signals_by_file(files: DataFrame) -> DataFrame:
+    """``composite_signals`` with the file of each."""
     component = r"^[A-Z][a-zA-Z0-9]*$"
     files = once(files)
-    dotted = files.select(F.explode(dotted_tags(F.col("code"))).alias("tag")).select(
-        F.substring_index("tag", ".", 1).alias("root"), F.get(F.split("tag", r"\."), F.lit(1)).alias("sub"), F.lit("dotted-jsx").alias("evidence"))
-    static = accesses(files).where(F.col("kind") == "assigned").select(F.col("variable").alias("root"), F.col("name").alias("sub"), F.lit("static-property").alias("evidence")).where(~F.col("root").isin(GLOBALS))
-    together = _matches(files, _MEMBERS, "root", "names").select("root", F.explode(_listed("names")).alias("sub"), F.lit("object-assign").alias("evidence"))
+    dotted = files.select(F.col("path").alias("file"), F.explode(dotted_tags(F.col("code"))).alias("tag")).select(
+        "file", F.substring_index("tag", ".", 1).alias("root"), F.get(F.split("tag", r"\."), F.lit(1)).alias("sub"), F.lit("dotted-jsx").alias("evidence"))
+    static = accesses(files).where(F.col("kind") == "assigned").select("file", F.col("variable").alias("root"), F.col("name").alias("sub"), F.lit("static-property").alias("evidence")).where(~F.col("root").isin(GLOBALS))
+    together = _matches(files, _MEMBERS, "root", "names").select("file", "root", F.explode(_listed("names")).alias("sub"), F.lit("object-assign").alias("evidence"))
     made = static.unionByName(together).where(F.col("root").rlike(component) & F.col("sub").rlike(component))
     return dotted.unionByName(made).distinct()
 

@@ -42,9 +42,16 @@ def pages_without_component(routes: DataFrame, components: DataFrame) -> DataFra
     return _rows(lost, 4, "invalid-route-ownership", "warning", F.concat(F.lit("route::"), "path"), F.concat(F.lit("no component in "), "relative_path"))
 
 
+def _cycles(edges: DataFrame, relationship: str) -> DataFrame:
+    """(node, way): the nodes on cycles, and a shortest cycle of their component from its least node back to it."""
+    own = edges.where(F.col("relationship") == relationship).select("source", "target")
+    nodes = reach.cycle_nodes(own)
+    way = F.concat_ws(" > ", "path", F.get("path", F.lit(0)))
+    return nodes.join(reach.cycle_paths(own, nodes).select("component", way.alias("way")), "component")
+
+
 def ownership_cycles(edges: DataFrame) -> DataFrame:
-    found = reach.cycle_nodes(edges.where("relationship = 'owns'"))
-    return _rows(found, 5, "circular-ownership", "error", F.col("node"), F.concat(F.lit("owns itself through "), "component"))
+    return _rows(_cycles(edges, "owns"), 5, "circular-ownership", "error", F.col("node"), F.concat(F.lit("owns itself: "), "way"))
 
 
 def contested_parts(composites: DataFrame) -> DataFrame:
@@ -56,8 +63,7 @@ def contested_parts(composites: DataFrame) -> DataFrame:
 
 
 def render_cycles(edges: DataFrame) -> DataFrame:
-    found = reach.cycle_nodes(edges.where("relationship = 'renders'"))
-    return _rows(found, 7, "impossible-render-tree", "warning", F.col("node"), F.concat(F.lit("renders itself through "), "component"))
+    return _rows(_cycles(edges, "renders"), 7, "impossible-render-tree", "warning", F.col("node"), F.concat(F.lit("renders itself: "), "way"))
 
 
 def unknown_at_runtime(runtime: DataFrame, components: DataFrame) -> DataFrame:

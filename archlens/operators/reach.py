@@ -77,6 +77,49 @@ def cycle_nodes(edges: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
     return found.unionByName(alone)
 
 
+def cycle_paths(edges: DataFrame, cycles: DataFrame | None = None, most: int = MOST_ROUNDS) -> DataFrame:
+    """(component, length, path): for every component of ``cycle_nodes`` a shortest cycle through its least node, from that node on.
+
+    A breadth-first search of all components at once keeps each node's least predecessor; the
+    way back from the last node of the cycle is then read off it, a step for all components in each round.
+    """
+    cycles = settled(cycle_nodes(edges, most) if cycles is None else cycles)
+    if cycles.isEmpty():
+        return cycles.groupBy("component").agg(F.lit(0).alias("length"), F.collect_list("node").alias("path"))
+    at = lambda end: cycles.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+    inside = edges.select("source", "target").distinct().join(at("source"), "source").join(at("target"), "target").where("source_in = target_in")
+    inside = settled(inside.select(F.col("source_in").alias("component"), "source", "target"))
+    first = settled(cycles.groupBy("component").agg(F.min("node").alias("first")))
+    frontier = settled(first.select("component", F.col("first").alias("node"), F.lit(None).cast(cycles.schema["node"].dataType).alias("before"), F.lit(0).alias("depth")))
+    rounds, closed = [frontier], None
+    for step in range(1, most + 1):
+        onward = inside.join(frontier.select("component", F.col("node").alias("source")), ["component", "source"])
+        back = onward.join(first, "component").where("target = first").groupBy("component").agg(F.min("source").alias("node")).withColumn("length", F.lit(step))
+        found = settled(back)  # the components whose cycle is closed by this step need no further search
+        closed = found if closed is None else settled(closed.unionByName(found))
+        seen = reduce(DataFrame.unionByName, rounds)
+        new = onward.join(found, "component", "left_anti").groupBy("component", F.col("target").alias("node")).agg(F.min("source").alias("before"))
+        frontier = settled(new.join(seen.select("component", "node"), ["component", "node"], "left_anti").select("component", "node", "before", F.lit(step).alias("depth")))
+        if frontier.isEmpty():
+            break
+        rounds.append(frontier)
+        if len(rounds) > MOST_PARTS:
+            rounds = [settled(reduce(DataFrame.unionByName, rounds))]
+    else:
+        raise RuntimeError(f"more than {most} rounds")
+    parents = settled(reduce(DataFrame.unionByName, rounds).select("component", "node", "before"))
+    steps = [closed.select("component", "node", (F.col("length") - 1).alias("place"), "length")]
+    while True:
+        step = settled(steps[-1].where("place > 0").join(parents, ["component", "node"]).select("component", F.col("before").alias("node"), (F.col("place") - 1).alias("place"), "length"))
+        if step.isEmpty():
+            break
+        steps.append(step)
+        if len(steps) > MOST_PARTS:
+            steps = [settled(reduce(DataFrame.unionByName, steps[:-1])), step]
+    path = F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda x: x["node"])
+    return reduce(DataFrame.unionByName, steps).groupBy("component", "length").agg(path.alias("path"))
+
+
 def _trimmed(edges: DataFrame, most: int) -> DataFrame:
     """Without the edges of nodes that nothing enters or nothing leaves, again and again."""
     count = edges.count()

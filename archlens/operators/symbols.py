@@ -31,33 +31,69 @@ def re_exports(files: DataFrame) -> DataFrame:
     return named.unionByName(star.select("file", none.alias("name"), none.alias("original"), "specifier"))
 
 
-def origins(wanted: DataFrame, exports: DataFrame, declared: DataFrame, most: int = 100) -> DataFrame:
-    """(file, name, origin_file, origin_name) of exported names: where each is declared, through any chain of re-exports.
+def star_closure(exports: DataFrame, most: int = 64) -> DataFrame:
+    """(file, target): the files that ``export *`` leads to over any number of steps.
 
-    A declaration in the file itself comes first, then named re-exports, then ``export *``.
-    exports: (file, name, original, target); names that lead nowhere, or in a circle, are left out,
-    since no place is visited twice for a name.
+    The steps known double in every round, so a chain of n files takes log2(n) joins.
     """
-    exports, declared = settled(exports), settled(declared.select("file", "name").distinct())
-    at = settled(wanted.select("file", "name", F.col("file").alias("at"), F.col("name").alias("as")).distinct())
-    done, visited = None, at
+    known = settled(exports.where("name IS NULL AND file <> target").select("file", "target").distinct())
+    count = known.count()
+    if not count:
+        return known
     for _ in range(most):
-        here = at.join(declared.select(F.col("file").alias("at"), F.col("name").alias("as")), ["at", "as"], "left_semi")
-        done = settled(here if done is None else done.unionByName(here))
-        left = at.join(here.select("file", "name").distinct(), ["file", "name"], "left_anti")
-        named = exports.where("name IS NOT NULL").select(F.col("file").alias("at"), F.col("name").alias("as"), "target", "original")
-        star = exports.where("name IS NULL").select(F.col("file").alias("at"), F.col("target"))
-        by_name = left.join(named, ["at", "as"]).select("file", "name", F.col("target").alias("at"), F.col("original").alias("as"))
-        by_star = left.join(named.select("at", "as").distinct(), ["at", "as"], "left_anti").join(star, "at").select("file", "name", F.col("target").alias("at"), "as")
-        onward = by_name.unionByName(by_star).distinct().join(done.select("file", "name"), ["file", "name"], "left_anti")
-        at = settled(onward.join(visited, ["file", "name", "at", "as"], "left_anti"))
-        if at.isEmpty():
+        further = known.select("file", F.col("target").alias("via")).join(known.select(F.col("file").alias("via"), "target"), "via").select("file", "target")
+        known = settled(known.unionByName(further).where("file <> target").distinct())
+        now = known.count()
+        if now == count:
+            return known
+        count = now
+    raise RuntimeError(f"a chain of more than 2**{most} re-exports")
+
+
+def origins(wanted: DataFrame, exports: DataFrame, declared: DataFrame) -> DataFrame:
+    """(file, name, origin_file, origin_name) of exported names: where each is declared, through any chain of re-exports.
+
+    A declaration in the file itself comes first (``default`` stands for a declared default if
+    ``declared`` has is_default), then a named re-export, then ``export *``, of several
+    the least file.  exports: (file, name, original, target); names that lead nowhere, or in a circle, are left out.
+    Every name points at the next place; pointers are joined with themselves, so they double in length each round.
+    """
+    exports = exports.where("target IS NOT NULL").select("file", "name", "original", "target")
+    own = declared.select("file", "name", F.col("name").alias("as"))
+    if "is_default" in declared.columns:
+        own = own.unionByName(declared.where("is_default").select("file", F.lit("default").alias("name"), F.col("name").alias("as")))
+    own = keep_first(own, ["file", "name"], ["as"])
+    own = own.select("file", "name", F.col("file").alias("at"), "as", F.lit(True).alias("ends"))
+    named = keep_first(exports.where("name IS NOT NULL").select("file", "name", "target", "original"), ["file", "name"], ["target", "original"])
+    named = named.join(own, ["file", "name"], "left_anti").select("file", "name", F.col("target").alias("at"), F.col("original").alias("as"), F.lit(False).alias("ends"))
+    known = settled(own.unionByName(named))
+    asked = wanted.select("file", "name").unionByName(known.where("NOT ends").select(F.col("at").alias("file"), F.col("as").alias("name"))).distinct()
+    open_ = asked.where("name <> 'default'").join(known, ["file", "name"], "left_anti")
+    offered = open_.join(star_closure(exports), "file").join(known.select(F.col("file").alias("target"), "name"), ["target", "name"])
+    by_star = offered.groupBy("file", "name").agg(F.min("target").alias("at")).select("file", "name", "at", F.col("name").alias("as"), F.lit(False).alias("ends"))
+    pointer = settled(known.unionByName(by_star))
+    rounds, left = max(1, pointer.count()).bit_length() + 1, pointer.where("NOT ends").count()
+    for _ in range(rounds if left else 0):
+        onward = pointer.select(F.col("file").alias("at"), F.col("name").alias("as"), F.col("at").alias("at2"), F.col("as").alias("as2"), F.col("ends").alias("ends2"))
+        moved = pointer.where("NOT ends").join(onward, ["at", "as"]).select("file", "name", F.col("at2").alias("at"), F.col("as2").alias("as"), F.col("ends2").alias("ends"))
+        pointer = settled(pointer.where("ends").unionByName(moved))
+        if pointer.where("NOT ends").isEmpty():
             break
-        visited = settled(visited.unionByName(at))
-    else:
-        raise RuntimeError(f"a chain of more than {most} re-exports")
-    first = keep_first(done.select("file", "name", "at", "as"), ["file", "name"], ["at", "as"])
-    return first.select("file", "name", F.col("at").alias("origin_file"), F.col("as").alias("origin_name"))
+    # what still doesn't end goes in a circle
+    ended = pointer.where("ends").join(wanted.select("file", "name").distinct(), ["file", "name"], "left_semi")
+    return ended.select("file", "name", F.col("at").alias("origin_file"), F.col("as").alias("origin_name"))
+
+
+def through_exports(bound: DataFrame, exports: DataFrame, declared: DataFrame) -> DataFrame:
+    """``bound`` (resolved, imported, kind, ...) with the file and name that declare what is imported, where it is found."""
+    if exports.isEmpty() and "is_default" not in declared.columns:
+        return bound
+    asked = F.when(F.col("kind") == "default", "default").otherwise(F.col("imported"))
+    bound = settled(bound.withColumn("_asked", asked))
+    wanted = bound.where("kind <> 'namespace'").select(F.col("resolved").alias("file"), F.col("_asked").alias("name"))
+    source = origins(wanted, exports, declared).select(F.col("file").alias("resolved"), F.col("name").alias("_asked"), "origin_file", "origin_name")
+    found = bound.join(source, ["resolved", "_asked"], "left")
+    return found.withColumn("resolved", F.coalesce("origin_file", "resolved")).withColumn("imported", F.coalesce("origin_name", "imported")).drop("_asked", "origin_file", "origin_name")
 
 
 def resolve(names: DataFrame, imports: DataFrame, declared: DataFrame, exports: DataFrame | None = None) -> DataFrame:
@@ -72,9 +108,7 @@ def resolve(names: DataFrame, imports: DataFrame, declared: DataFrame, exports:
         "file", F.coalesce("alias", "name").alias("local"), "pos", rank.alias("rank"), "kind", "resolved", F.col("name").alias("imported"))
     bound = keep_first(bound, ["file", "local"], ["pos", "rank"])
     if exports is not None:
-        wanted = bound.select(F.col("resolved").alias("file"), F.col("imported").alias("name"))
-        source = origins(wanted, exports, declared).select(F.col("file").alias("resolved"), F.col("name").alias("imported"), "origin_file", "origin_name")
-        bound = bound.join(source, ["resolved", "imported"], "left").withColumn("resolved", F.coalesce("origin_file", "resolved")).withColumn("imported", F.coalesce("origin_name", "imported"))
+        bound = through_exports(bound, exports, declared)
     through = names.join(bound, ["file", "local"]).select("file", "name", canonical_id(F.col("resolved"), F.col("imported")).alias("id"), F.col("kind").alias("via"))
     rest = names.join(through.select("file", "name"), ["file", "name"], "left_anti")
     own = rest.join(declared.select("file", F.col("name").alias("local")).distinct(), ["file", "local"]).select("file", "name", canonical_id(F.col("file"), F.col("local")).alias("id"), F.lit("local").alias("via"))

@@ -6,10 +6,10 @@ import argparse
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
+from archlens.plans import incremental
 from archlens.plans.session import Config, Session
-from archlens.sources import files, sinks, snapshots
+from archlens.sources import files, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,18 +22,17 @@ def parser() -> argparse.ArgumentParser:
 
 
 def analyse(spark: SparkSession, root: str, app_dir: str, output: str, cached: bool = True) -> str:
-    """Write all tables unless no file has changed since the last run; ``written`` or ``unchanged``."""
+    """Write all tables unless no file has changed since the last run, of whose facts those of unchanged files are kept; ``written`` or ``unchanged``."""
     config = Config(app_dir=app_dir)
     found = files.scan(spark, root, config.include, config.exclude)
-    store = snapshots.Versions(spark, f"{output}/snapshots")
-    now = snapshots.hashed(found)
-    latest = store.latest("files")
-    if cached and latest and snapshots.difference(now, store.read(latest)).where(F.col("status") != "unchanged").isEmpty():
+    kept = incremental.Incremental(Session(spark, config), f"{output}/facts")
+    first = kept.table.batch < 0
+    analysed, removed = kept.update(found) if cached else (kept.rebuild(found), 0)
+    if cached and not first and not analysed and not removed:
         return "unchanged"
-    tables = Session(spark, config).analyse(found)
+    tables = kept.session.assemble(kept.table.read())
     sinks.write_tables(tables, output)
     sinks.write_summary(tables["summary"], f"{output}/summary.json")
-    store.write("files", now)
     return "written"
 
 

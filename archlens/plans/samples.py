@@ -1,7 +1,7 @@
 """A source project that is generated from the driver's tables, for queries that run the analysis itself.
 
 Nations are components (each renders the next one of its group of five; every fourth has
-two parts), regions are hooks, layouts and pages, customers are pages.  What the analysis
+two parts, a private helper and texts that only look like code), regions are hooks, layouts and pages, customers are pages.  What the analysis
 must find follows from the tables, so plain SQL over them can say it without reading sources.
 """
 
@@ -35,6 +35,10 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.join(nations(spark, sf_dir).select("k", "r"), "k").withColumn("folder", _text("app/r", "{r}", "/n", "{k}", "/", leaf))
 
 
+#: Literals that look like comments, imports, tags and hooks, before the first import of every nation's file.
+_ODD = """const glob = "src/*.ts", odd = '<Odd /> useOdd( import O from "odd"', re = /["'`{]/; """
+
+
 def project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content) of all files."""
     nation, people = nations(spark, sf_dir), customers(spark, sf_dir)
@@ -45,9 +49,10 @@ def project(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.when(F.col("nk").isNull(), F.lit("<p />")).otherwise(_text("<Nation", "{nk}", " />"))
     component = _text(
         F.when(F.col("k") % 3 == 0, F.lit('"use client"\n')).otherwise(none),
-        "import { useRegion", "{r}", ' } from "../../hooks/use-region', "{r}", '";\n',
+        _ODD, "import { useRegion", "{r}", ' } from "../../hooks/use-region', "{r}", '";\n',
         F.when(F.col("nk").isNull(), none).otherwise(_text("import { Nation", "{nk}", ' } from "@/components/r', "{nr}", "/n", "{nk}", '";\n')),
-        "export function Nation", "{k}", "() { useRegion", "{r}", "(); return ", shown, "; }\n", parts)
+        "export function Nation", "{k}", "({ a }: P): { b: number } { useRegion", "{r}", "(); return ", shown, "; }\n", parts,
+        "// export function Dead", "{k}", "() { return <Dead /> }\nfunction helper", "{k}", "() { return <Ghost /> }\n")
     page = _text(
         "import { Nation", "{k}", ' } from "@/components/r', "{r}", "/n", "{k}", '";\nimport type { Props } from "../types";\nimport React from "react";\nimport "./c.css";\nexport default function C', "{c}",
         'Page({ params }) { const sp = useSearchParams(); sp.get("tab', (F.col("c") % 3).cast("string"), '"); ',

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archlens.functions import extract, lexical, names, paths, rules
-from archlens.operators import checks, edges, intel, reach
+from archlens.operators import checks, edges, intel, reach, symbols
 from archlens.operators.keep import distinct_sorted, settled
 from archlens.sources import files as source_files
 
@@ -28,6 +28,11 @@ class Config:
     compat: bool = False
 
 
+def _ordered(columns: Sequence[str]) -> list[str]:
+    """The columns of a file's list, without the file, the position first."""
+    return sorted((c for c in columns if c != "file"), key=lambda c: (c not in ("pos", "seq"), c))
+
+
 class Session:
     """``run(root)`` gives every table; nothing is written unless a sink is called."""
 
@@ -39,16 +44,47 @@ class Session:
 
     def analyse(self, files: DataFrame, runtime: DataFrame | None = None) -> Tables:
         """All tables from files (path, content)."""
-        c = self.config
+        return self.assemble(settled(self.facts(files)), runtime)
+
+    def facts(self, files: DataFrame) -> DataFrame:
+        """One row for each file: path, hash, and what its text alone says, as lists.
+
+        Nothing in a row depends on another file, so the rows of files that haven't changed can be kept.
+        """
         files = files.withColumn("path", paths.normalised(F.col("path"))).where(~paths.is_excluded(F.col("path")))
-        files = settled(source_files.numbered(lexical.lexed(files)))  # contents are read once, here
-        imports = settled(extract.resolved(extract.import_facts(files), files, c.roots))
-        components = self._components(files, imports)
+        files = settled(lexical.lexed(files.withColumn("hash", F.sha2(F.coalesce("content", F.lit("")), 256))))  # contents are read once, here
+        imports = settled(extract.import_facts(files))
+        specifiers = imports.groupBy("file").agg(distinct_sorted("specifier").alias("imports"))
+        declared = extract.declarations(files).where(names.is_component_name(F.col("name")) | F.col("is_default")).join(specifiers, "file", "left")
+        declared = declared.withColumn("imports", F.coalesce("imports", F.array().cast("array<string>"))).withColumn("jsx_children", extract.tags(F.col("body")))
+        kind = rules.classify(F.col("name"), F.col("imports"), F.col("jsx_children"), F.col("file"), F.col("body"), self.config.rules)
+        # names that are declared at all, for imports through other files
+        every = extract.declarations(files).select("file", "name", "is_default")
+        lists = {
+            "imported": imports, "declared": declared.withColumn("type", kind).drop("body", "last", "brace", "imports"), "names": every, "signals": extract.signals_by_file(files).distinct(),
+            "params": extract.params(files, self.config.compat), "exports": symbols.re_exports(files),
+        }
+        out = files.select(
+            F.col("path").alias("file"), "hash", "client", extract.has_dynamic_import(F.col("code")).alias("is_dynamic_import"), F.array_sort(extract.hook_calls(F.col("code"))).alias("hooks"))
+        out = out.join(specifiers, "file", "left")
+        for name, table in lists.items():
+            rows = table.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(*(c for c in _ordered(table.columns))))).alias(name))
+            out = out.join(rows, "file", "left")
+        return out
+
+    def assemble(self, facts: DataFrame, runtime: DataFrame | None = None) -> Tables:
+        """All tables from the files' facts; whatever joins one file to another is done here."""
+        c = self.config
+        part = lambda name: facts.select("file", F.explode(name).alias("x")).select("file", "x.*")
+        files = settled(source_files.numbered(facts.select(F.col("file").alias("path"), "client", "is_dynamic_import")))
+        imports = settled(extract.resolved(part("imported"), files, c.roots))
+        components = self._components(facts, files, imports, part)
         routes = settled(source_files.routes(files, c.app_dir, c.compat))
-        composites = settled(self._composites(files, components))
+        composites = settled(self._composites(part("signals"), components))
         roots = composites.select(F.col("root_id").alias("id"), F.col("root").alias("composite_root"), "sub_components").dropDuplicates(["id"])
         components = settled(components.join(roots, "id", "left").withColumn("is_composite", F.col("composite_root").isNotNull()))
-        walked, members, intelligence = self._routes(files, imports, routes, components)
+        read = settled(part("params").select("file", "seq", "param", "pattern", "scope"))
+        walked, members, intelligence = self._routes(facts, imports, routes, components, read)
         used = intel.usage(members.select("id", F.col("path").alias("group")))
         components = components.join(used, "id", "left").withColumn("used_in_routes", F.coalesce("used_in", F.array().cast("array<string>"))).drop("used_in")
         components = settled(components.withColumn("is_reusable", F.col("is_reusable") | (F.size("used_in_routes") > 1)))
@@ -59,30 +95,30 @@ class Session:
             edges.parent_edges(routes, c.compat), edges.reuse_edges(components)))
         found = checks.verify(components, routes, composites, unified, runtime)
         numbers = intelligence.select("hooks", "utils", (F.col("component_count") + F.col("dependency_count")).alias("complexity"))
-        read = extract.params(files, c.compat)
         return {
             "nodes": self._nodes(components, routes), "components": components, "routes": routes, "composites": composites, "route_intelligence": intelligence, "dependencies": walked,
             "edges": unified, "diagnostics": found, "params": read, "summary": intel.summary(components, numbers),
         }
 
-    def _components(self, files: DataFrame, imports: DataFrame) -> DataFrame:
-        declared = extract.declarations(files).where(names.is_component_name(F.col("name")))
-        whole = files.select(F.col("path").alias("file"), F.col("ord").alias("file_ord"), "client", extract.has_dynamic_import(F.col("code")).alias("is_dynamic_import"))
-        specifiers = imports.groupBy("file").agg(distinct_sorted("specifier").alias("imports"))
-        rows = declared.join(whole, "file").join(specifiers, "file", "left").withColumn("imports", F.coalesce("imports", F.array().cast("array<string>")))
-        rows = rows.withColumn("jsx_children", extract.tags(F.col("body")))
-        kind = rules.classify(F.col("name"), F.col("imports"), F.col("jsx_children"), F.col("file"), F.col("body"), self.config.rules)
+    def _components(self, facts: DataFrame, files: DataFrame, imports: DataFrame, part: Callable[[str], DataFrame]) -> DataFrame:
+        whole = files.select(F.col("path").alias("file"), F.col("ord").alias("file_ord"))
+        rows = facts.select("file", "client", "is_dynamic_import", F.coalesce("imports", F.array().cast("array<string>")).alias("imports"), F.explode("declared").alias("x"))
+        rows = rows.select("file", "client", "is_dynamic_import", "imports", "x.*").where(names.is_component_name(F.col("name"))).join(whole, "file")
         rows = rows.select(
-            names.canonical_id(F.col("file"), F.col("name")).alias("id"), "name", F.col("file").alias("relative_path"), kind.alias("type"),
+            names.canonical_id(F.col("file"), F.col("name")).alias("id"), "name", F.col("file").alias("relative_path"), "type",
             F.when(F.col("client"), "client").otherwise("server").alias("rendering"), F.when(F.col("is_default"), "default").otherwise("named").alias("export_type"),
             "imports", "jsx_children", "is_dynamic_import", "line", "column",
             F.when(F.col("form") == "default", 0.9).otherwise(0.95).alias("confidence"), F.struct(F.col("file_ord").alias("file"), "pos").alias("ord"))
-        uses = imports.where("resolved IS NOT NULL AND kind IN ('named', 'default')").select(names.canonical_id(F.col("resolved"), F.col("name")).alias("id"), "file")
+        bound = imports.where("resolved IS NOT NULL AND kind IN ('named', 'default')").select("file", "kind", "resolved", F.col("name").alias("imported"))
+        if not self.config.compat:  # a name counts where it is declared, also if it comes through other files
+            exported = extract.resolved(part("exports"), files, self.config.roots).select("file", "name", "original", F.col("resolved").alias("target"))
+            bound = symbols.through_exports(bound, exported, part("names"))
+        uses = bound.select(names.canonical_id(F.col("resolved"), F.col("imported")).alias("id"), "file")
         return settled(intel.with_files_used(rows, uses))
 
-    def _composites(self, files: DataFrame, components: DataFrame) -> DataFrame:
+    def _composites(self, found: DataFrame, components: DataFrame) -> DataFrame:
         own = intel.module_parts(components).withColumn("evidence", F.lit("module-ownership"))
-        signals = settled(extract.composite_signals(files).unionByName(own).distinct())
+        signals = settled(found.select("root", "sub", "evidence").unionByName(own).distinct())
         claimed = signals.select(F.col("root").alias("name")).union(signals.select(F.concat("root", "sub"))).union(signals.select("sub")).distinct()
         return intel.composites(signals, components, intel.prefixes(components, claimed))
 
@@ -91,7 +127,7 @@ class Session:
         of_routes = routes.select(F.concat(F.lit("route::"), "path").alias("id"), F.col("path").alias("label"), F.col("segment_type").alias("type"), F.lit("route").alias("kind"))
         return components.select("id", F.col("name").alias("label"), "type", F.lit("component").alias("kind")).unionByName(of_routes)
 
-    def _routes(self, files: DataFrame, imports: DataFrame, routes: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _routes(self, facts: DataFrame, imports: DataFrame, routes: DataFrame, components: DataFrame, read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """What each route reaches through imports, its components, and its aggregates."""
         special = F.filter(F.array("relative_path", "layout", "template", "loading", "error"), lambda x: x.isNotNull())
         seeds = routes.select(F.col("path").alias("root"), F.explode(special).alias("node"))
@@ -113,9 +149,9 @@ class Session:
             of("chart").alias("charts"), of("provider").alias("own_providers"))
         kind = lambda k: distinct_sorted(F.when(F.col("kind") == k, F.col("name")))
         outside = walked.groupBy("path").agg(kind("hook").alias("hooks"), kind("util").alias("utils"), kind("provider").alias("providers"), distinct_sorted("name").alias("dependencies"))
-        calls = files.select(F.col("path").alias("node"), F.explode(extract.hook_calls(F.col("code"))).alias("hook"))
+        calls = facts.select(F.col("file").alias("node"), F.explode("hooks").alias("hook"))
         called = depth.join(calls, "node").groupBy(F.col("root").alias("path")).agg(distinct_sorted("hook").alias("called"))
-        read = extract.params(files, self.config.compat).withColumnRenamed("file", "node")
+        read = read.withColumnRenamed("file", "node")
         given = depth.join(read, "node").groupBy(F.col("root").alias("path")).agg(
             distinct_sorted(F.when(F.col("scope") == "search", F.col("param"))).alias("search_params"), distinct_sorted(F.when(F.col("scope") == "route", F.col("param"))).alias("read_params"))
         furthest = depth.groupBy(F.col("root").alias("path")).agg(F.max("depth").alias("depth"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archlens.functions import extract, rules
 from archlens.operators import graph_views, symbols
+from archlens.operators.keep import shared_folder
+from archlens.plans import incremental
 from archlens.plans.catalog import query, table
 from archlens.plans.samples import SQL, analysed, project
+from archlens.plans.session import Session
 from archlens.sources import inject, snapshots
 from archlens.sources.files import numbered, routes
 
@@ -31,7 +36,7 @@ def src_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.declarations(_files(spark, sf_dir)).select("file", "name", "form", "is_default", "line")
 
 
-@query(SQL + """SELECT file, coalesce(list_sort(list_distinct(list(tag) FILTER (tag IS NOT NULL))), []) AS tags, bool_or(client) AS client, false AS dynamic,
+@query(SQL + """SELECT file, coalesce(list_sort(list_distinct(list_concat(list(tag) FILTER (tag IS NOT NULL), CASE WHEN file LIKE 'components/r%' THEN ['Ghost'] ELSE [] END))), []) AS tags, bool_or(client) AS client, false AS dynamic,
   CASE WHEN file LIKE 'components/r%' THEN [regexp_replace(file, 'components/r([0-9]+)/.*', 'useRegion\\1')] ELSE [] END AS hooks FROM de WHERE file NOT LIKE 'hooks/%' GROUP BY file""")
 def src_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("code")
@@ -190,3 +195,16 @@ def src_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     todo = snapshots.changed(files, before).select("path")
     status = snapshots.difference(snapshots.hashed(files), before).where("status <> 'unchanged'")
     return status.join(todo.withColumn("todo", F.lit(True)), "path", "left").where("todo OR status = 'removed'").select("path", "status")
+
+
+@query(SQL + """SELECT source, target, relationship, (SELECT count(*) FROM cu WHERE c % 10 < 2) AS analysed, 1::BIGINT AS removed FROM ed""")
+def src_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges after an update in which a tenth of the pages changed, a tenth came and a file went; only their texts are analysed again."""
+    files = _files(spark, sf_dir)
+    number = F.nullif(F.regexp_extract("path", r"/(?:c|\[id)(\d+)\]?/page\.tsx$", 1), F.lit("")).cast("long")
+    old = files.withColumn("c", number).where("c IS NULL OR c % 10 <> 0").withColumn("content", F.when(F.col("c") % 10 == 1, F.lit("export function Old() { return <ThemeProvider /> }")).otherwise(F.col("content"))).drop("c")
+    gone = spark.createDataFrame([("components/gone.tsx", "export function Gone() { return <Nation0 /> }")], "path string, content string")
+    runs = incremental.Incremental(Session(spark), f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}")
+    runs.update(old.unionByName(gone))
+    done = runs.run(files)
+    return done.tables["edges"].select("source", "target", "relationship", F.lit(done.analysed).cast("long").alias("analysed"), F.lit(done.removed).cast("long").alias("removed"))

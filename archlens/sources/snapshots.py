@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Sequence
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -64,6 +67,10 @@ class Versions:
     def _fs(self, path: Any) -> Any:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def exists(self, place: str) -> bool:
+        path = self._path(place)
+        return self._fs(path).exists(path)
+
     def versions(self, kind: str) -> list[int]:
         path = self._path(kind, "versions")
         fs = self._fs(path)
@@ -123,6 +130,63 @@ class Versions:
         return self.spark.read.parquet(f"{self.folder}/{kind}/{self.told(snapshot)}")
 
 
+class KeyedTable:
+    """A table in a folder into which batches are merged by key, each once.
+
+    The table lies in buckets by the hash of its keys, and a key may have several rows, which are replaced
+    together.  A batch rewrites the buckets that it touches, aside, and is published as one version that
+    names the files of all buckets and its own number (see ``Versions``); a batch whose number is not above
+    the published one is a replay and changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str], buckets: int = 16):
+        self.spark, self.folder, self.keys, self.buckets = spark, folder.rstrip("/"), list(keys), buckets
+        self.store = Versions(spark, folder)
+
+    def _state(self) -> tuple[str, dict]:
+        latest = self.store.latest("table")
+        return latest or "", json.loads(self.store.told(latest)) if latest else {"batch": -1, "files": {}}
+
+    @property
+    def batch(self) -> int:
+        """The number of the last merged batch; -1 if there is none."""
+        return self._state()[1]["batch"]
+
+    def merge(self, batch: DataFrame, number: int, gone: DataFrame | None = None) -> bool:
+        """Replace the rows of the batch's keys and drop those of ``gone`` (the key columns); False if the batch was merged before."""
+        after, state = self._state()
+        if number <= state["batch"]:
+            return False
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        rows = batch.withColumn("_bucket", bucket).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            keys = rows.select(*self.keys, "_bucket")
+            if gone is not None:
+                keys = keys.unionByName(gone.select(*self.keys).withColumn("_bucket", bucket))
+            touched = sorted(r[0] for r in keys.select("_bucket").distinct().collect())  # at most ``buckets`` numbers
+            place = f"table/data/{uuid.uuid4().hex}"
+            old = [state["files"][str(b)] for b in touched if str(b) in state["files"]]
+            kept = rows
+            if old:
+                before = self.spark.read.schema(rows.schema).parquet(*(f"{self.folder}/{p}" for p in old)).withColumn("_bucket", bucket)
+                kept = rows.unionByName(before.join(keys.select(*self.keys).distinct(), self.keys, "left_anti"))
+            if touched:
+                kept.withColumn("_part", F.col("_bucket")).repartition("_part").write.partitionBy("_part").parquet(f"{self.folder}/{place}")
+            full = {str(b): f"{place}/_part={b}" for b in touched if self.store.exists(f"{place}/_part={b}")}
+            files = {b: p for b, p in state["files"].items() if int(b) not in touched} | full
+            self.store.publish("table", json.dumps({"batch": number, "files": files}), after)
+        finally:
+            rows.unpersist()
+        return True
+
+    def read(self) -> DataFrame:
+        """The rows as of the last published batch."""
+        _, state = self._state()
+        if not state["files"]:
+            raise LookupError("the table has no rows yet")
+        return self.spark.read.parquet(*(f"{self.folder}/{p}" for p in state["files"].values())).drop("_bucket")
+
+
 class Log:
     """An append-only log in a folder; every ``add`` is one commit of rows."""
 

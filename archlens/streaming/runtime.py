@@ -12,7 +12,6 @@ between batches, as far as the watermark lets them.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator, Sequence
 from functools import partial
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from archlens.operators.keep import distinct_sorted, keep_last, shared_folder
-from archlens.sources.snapshots import Versions
+from archlens.sources.snapshots import KeyedTable
 
 STATE = "first_mount timestamp, first_seq long, mounts long, unmounts long, renders long, timed long, total double, last_mount timestamp, last_unmount timestamp, latest long"
 RESULT = "component string, mount_count long, unmount_count long, render_count long, average_render double, last_mounted timestamp, last_unmounted timestamp"
@@ -274,54 +273,6 @@ def session_fold(events: DataFrame, default: str = "/") -> DataFrame:
     return fold(current_route(others, changes, "session", "route", default), ("session", "component"))
 
 
-class Upserts:
-    """A keyed table in a folder that a stream's batches are merged into, each once.
-
-    The table lies in buckets by the hash of its keys.  A batch rewrites the buckets that it
-    touches, aside, and is published as one version that names the files of all buckets and its own number
-    (see ``Versions``); a batch whose number is not above the published one is a replay and changes nothing.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str], buckets: int = 16):
-        self.spark, self.folder, self.keys, self.buckets = spark, folder.rstrip("/"), list(keys), buckets
-        self.store = Versions(spark, folder)
-
-    def _state(self) -> tuple[str, dict]:
-        latest = self.store.latest("table")
-        return latest or "", json.loads(self.store.told(latest)) if latest else {"batch": -1, "files": {}, "schema": None}
-
-    def merge(self, batch: DataFrame, number: int) -> bool:
-        """Replace the rows of the batch's keys; False if the batch was merged before."""
-        after, state = self._state()
-        if number <= state["batch"]:
-            return False
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        rows = batch.withColumn("_bucket", bucket).persist()
-        try:
-            touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())  # at most ``buckets`` numbers
-            place = f"table/data/{uuid.uuid4().hex}"
-            old = [state["files"][str(b)] for b in touched if str(b) in state["files"]]
-            if old:
-                before = self.spark.read.schema(rows.schema).parquet(*(f"{self.folder}/{p}" for p in old)).withColumn("_bucket", bucket)
-                rows_out = rows.unionByName(before.join(rows.select(*self.keys).distinct(), self.keys, "left_anti"))
-            else:
-                rows_out = rows
-            if touched:
-                rows_out.withColumn("_part", F.col("_bucket")).repartition("_part").write.partitionBy("_part").parquet(f"{self.folder}/{place}")
-            files = state["files"] | {str(b): f"{place}/_part={b}" for b in touched}
-            self.store.publish("table", json.dumps({"batch": number, "files": files, "schema": batch.schema.simpleString()}), after)
-        finally:
-            rows.unpersist()
-        return True
-
-    def read(self) -> DataFrame:
-        """The rows as of the last published batch."""
-        _, state = self._state()
-        if not state["files"]:
-            raise LookupError("nothing has been merged yet")
-        return self.spark.read.parquet(*(f"{self.folder}/{p}" for p in state["files"].values())).drop("_bucket")
-
-
 def collected(stream: DataFrame, keys: Sequence[str] = ("component",), folder: str | None = None) -> DataFrame:
     """Run an update-mode stream over what is there now, and return the last row of each key.
 
@@ -330,7 +281,7 @@ def collected(stream: DataFrame, keys: Sequence[str] = ("component",), folder: s
     """
     spark = stream.sparkSession
     folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    table = Upserts(spark, f"{folder}/rows", keys)
+    table = KeyedTable(spark, f"{folder}/rows", keys)
 
     def merged(batch: DataFrame, number: int) -> None:
         last = batch.withColumn("_n", F.monotonically_increasing_id())  # a key may come twice in a batch: the later row has counted more

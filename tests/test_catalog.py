@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from archlens.plans import catalog, source_catalog, telemetry_catalog  # noqa: F401
+from archlens.plans import catalog, graph_catalog, source_catalog, telemetry_catalog  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")

@@ -59,14 +59,14 @@ def test_idle_sessions_begin_anew(spark, tmp_path):
 
 
 def test_upserts_take_each_batch_once(spark, tmp_path):
-    table = runtime.Upserts(spark, f"{tmp_path}/t", ["k"], buckets=3)
+    table = snapshots.KeyedTable(spark, f"{tmp_path}/t", ["k"], buckets=3)
     df = lambda *rows: spark.createDataFrame(rows, "k int, v string")
     with pytest.raises(LookupError):
         table.read()
     assert table.merge(df(*((i, "old") for i in range(10))), 0)
     before = table.store.latest("table")
     # a batch that stops after its files are written isn't seen
-    broken = runtime.Upserts(spark, f"{tmp_path}/t", ["k"], buckets=3)
+    broken = snapshots.KeyedTable(spark, f"{tmp_path}/t", ["k"], buckets=3)
     broken.store.publish = lambda *a: (_ for _ in ()).throw(OSError("lost"))
     with pytest.raises(OSError):
         broken.merge(df((1, "half"), (11, "half")), 1)
@@ -74,7 +74,9 @@ def test_upserts_take_each_batch_once(spark, tmp_path):
     assert table.merge(df((1, "new"), (11, "new")), 1)
     once = sorted(map(tuple, table.read().collect()))
     assert once == sorted([(i, "old") for i in range(10) if i != 1] + [(1, "new"), (11, "new")])
-    assert not table.merge(df((1, "again"), (12, "again")), 1) and sorted(map(tuple, table.read().collect())) == once
+    assert table.batch == 1 and not table.merge(df((1, "again"), (12, "again")), 1) and sorted(map(tuple, table.read().collect())) == once
+    assert table.merge(spark.createDataFrame([], "k int, v string"), 2, gone=spark.createDataFrame([(i,) for i in range(9)], "k int"))
+    assert sorted(map(tuple, table.read().collect())) == [(9, "old"), (11, "new")]
 
 
 def test_a_restarted_stream_gives_the_same_table(spark, tmp_path):
