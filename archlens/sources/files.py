@@ -10,23 +10,33 @@ from pyspark.sql import functions as F
 from archlens.functions import paths
 from archlens.functions.extract import EXTENSIONS
 from archlens.operators.keep import keep_first, settled
+from archlens.sources import tree
 
 #: Folders that a scan never enters.
 NEVER = [r"(^|/)node_modules/", r"(^|/)\.next/", r"(^|/)dist/", r"(^|/)\.generated/"]
 
 
-def scan(spark: SparkSession, root: str, include: Sequence[str] = (r"\.(tsx?|jsx?)$",), exclude: Sequence[str] = ()) -> DataFrame:
+#: The default of ``include``, and the extensions that it means.
+SOURCES = (r"\.(tsx?|jsx?)$",)
+
+
+def scan(spark: SparkSession, root: str, include: Sequence[str] = SOURCES, exclude: Sequence[str] = ()) -> DataFrame:
     """(path, content): text files below ``root`` whose relative path any ``include`` finds and no ``exclude``.
 
-    The path filter stands before the content is decoded; a file that isn't UTF-8 has its bad bytes replaced.
+    Folders in NEVER are not listed and other extensions not read (see ``tree``); on a store that only Spark
+    reads, all files are read before the filter, and empty ones are left out.  Bytes that aren't UTF-8 are replaced.
     """
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    tail = F.regexp_replace("path", r"^.*?" + _quoted(base.split(":", 1)[-1].lstrip("/")) + "/", "")
-    wanted = F.col("relative").rlike("|".join(f"(?:{p})" for p in include))
+    if "://" in root and root.split("://")[0] not in tree.SCHEMES:
+        base = root.rstrip("/")
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+        tail = F.regexp_replace("path", r"^.*?" + _quoted(base.split(":", 1)[-1].lstrip("/")) + "/", "")
+        found = read.select(tail.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    else:
+        found = tree.tree(spark, root, [e for e in EXTENSIONS] if tuple(include) == SOURCES else ())
+    wanted = F.col("path").rlike("|".join(f"(?:{p})" for p in include))
     for pattern in [*NEVER, *exclude]:
-        wanted &= ~F.col("relative").rlike(pattern)
-    return files.select(tail.alias("relative"), "content").where(wanted).select(F.col("relative").alias("path"), F.decode("content", "UTF-8").alias("content"))
+        wanted &= ~F.col("path").rlike(pattern)
+    return found.where(wanted)
 
 
 def _quoted(text: str) -> str:
