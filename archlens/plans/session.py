@@ -55,13 +55,13 @@ class Session:
         files = settled(lexical.lexed(files.withColumn("hash", F.sha2(F.coalesce("content", F.lit("")), 256))))  # contents are read once, here
         imports = settled(extract.import_facts(files))
         specifiers = imports.groupBy("file").agg(distinct_sorted("specifier").alias("imports"))
-        declared = extract.declarations(files).where(names.is_component_name(F.col("name")) | F.col("is_default")).join(specifiers, "file", "left")
+        every = settled(extract.declarations(files).drop("last", "brace"))
+        declared = every.where(names.is_component_name(F.col("name")) | F.col("is_default")).join(specifiers, "file", "left")
         declared = declared.withColumn("imports", F.coalesce("imports", F.array().cast("array<string>"))).withColumn("jsx_children", extract.tags(F.col("body")))
         kind = rules.classify(F.col("name"), F.col("imports"), F.col("jsx_children"), F.col("file"), F.col("body"), self.config.rules)
-        # names that are declared at all, for imports through other files
-        every = extract.declarations(files).select("file", "name", "is_default")
         lists = {
-            "imported": imports, "declared": declared.withColumn("type", kind).drop("body", "last", "brace", "imports"), "names": every, "signals": extract.signals_by_file(files).distinct(),
+            "imported": imports, "declared": declared.withColumn("type", kind).drop("body", "imports"),
+            "names": every.select("file", "name", "is_default"), "signals": extract.signals_by_file(files).distinct(),
             "params": extract.params(files, self.config.compat), "exports": symbols.re_exports(files),
         }
         out = files.select(

@@ -152,6 +152,7 @@ def test_command_writes_once(spark, tmp_path):
         (tmp_path / "src" / path).write_text(text)
     run = lambda: cli.analyse(spark, f"{tmp_path}/src", "app", f"{tmp_path}/out")
     assert [run(), run()] == ["written", "unchanged"]
+    assert (tmp_path / "out/graphs/import/000000.json").is_file() and (tmp_path / "out/summary.json").read_text().startswith("{")
     (tmp_path / "src/components/nav.tsx").write_text(FILES["components/nav.tsx"] + "export function Extra() { return 1; }\n")
     assert run() == "written"
     assert spark.read.json(f"{tmp_path}/out/components").count() == 13

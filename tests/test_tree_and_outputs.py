@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archlens.operators import reach, symbols
-from archlens.plans import cli, incremental
+from archlens.plans import incremental
 from archlens.plans.session import Config, Session
 from archlens.sources import files, sinks, tree
 
@@ -93,8 +93,7 @@ def test_a_name_counts_where_it_is_declared(spark):
 
 def test_incremental_runs_equal_full_ones(spark, tmp_path):
     runs = incremental.Incremental(Session(spark), f"{tmp_path}/facts", buckets=4)
-    first = runs.run(table(spark, TEXTS))
-    assert (first.analysed, first.removed) == (4, 0)
+    assert runs.update(table(spark, TEXTS)) == (4, 0)
     after = {k: v for k, v in TEXTS.items() if k != "app/b/page.tsx"} | {"lib/menu.tsx": "export function Menu() { return <p />; }\n", "lib/new.tsx": "export const New = () => <Menu />;\n"}
     second = runs.run(table(spark, after))
     assert (second.analysed, second.removed) == (2, 1)
@@ -105,15 +104,6 @@ def test_incremental_runs_equal_full_ones(spark, tmp_path):
     assert runs.update(table(spark, after)) == (0, 0) and runs.table.batch == 1
 
 
-def test_command_reads_changed_files_only(spark, tmp_path):
-    for path, text in TEXTS.items():
-        (tmp_path / "src" / path).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / "src" / path).write_text(text)
-    assert [cli.analyse(spark, f"{tmp_path}/src", "app", f"{tmp_path}/out") for _ in range(2)] == ["written", "unchanged"]
-    assert cli.analyse(spark, f"{tmp_path}/src", "app", f"{tmp_path}/out", cached=False) == "written"
-    assert (tmp_path / "out/graphs/import/000000.json").is_file() and json.loads((tmp_path / "out/summary.json").read_text())["components"] == 4
-
-
 def test_shortest_cycles_against_brute_force(spark):
     rng = random.Random(3)
     for _ in range(2):
