@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archlens.operators.keep import placed
+from archlens.operators.views import grid
 
 #: Rows of a route's picture, from the top.
 ROWS = ["provider", "component", "dialog", "grid", "chart", "hook", "util"]
@@ -65,11 +66,34 @@ def architecture(intelligence: DataFrame) -> View:
     return top.unionByName(below), pairs.select("source", F.concat(F.lit("comp::"), "label").alias("target"))
 
 
+def overview(intelligence: DataFrame, components: DataFrame) -> View:
+    """All routes on a grid, with badges (what kinds of components they have) and metrics; edges from parents, and between routes that share a component.
+
+    Nodes have badges and deps, comp, hooks and depth besides; edges have label: ``child``, or the name of what is shared.
+    The pairs of routes that share a component are as many as its routes squared: ``edges.shared_pairs`` counts them instead.
+    """
+    kinds = {"dialog": "dialogs", "grid": "grids", "chart": "charts", "provider": "providers"}
+    badges = F.filter(F.array(*(F.when(F.size(column) > 0, F.lit(kind)) for kind, column in kinds.items())), lambda b: b.isNotNull())
+    metrics = {"deps": F.col("dependency_count"), "comp": F.size("components"), "hooks": F.size("hooks"), "depth": F.coalesce("depth", F.lit(0))}
+    told = intelligence.select("path", badges.alias("badges"), *(m.cast("long").alias(n) for n, m in metrics.items()))
+    node = _node(F.concat(F.lit("route::"), "path"), F.col("path"), F.lit("route"), F.col("x"), F.col("y"))
+    nodes = grid(told, "path").select(*node, "badges", *metrics)
+    name = lambda c: F.concat(F.lit("route::"), c)
+    parents = intelligence.select(F.col("path").alias("parent"))
+    children = intelligence.where("parent <> '/'").select("path", "parent").join(parents, "parent").select(name("parent").alias("source"), name("path").alias("target"), F.lit("child").alias("label"))
+    used = components.where(F.size("used_in_routes") > 1).select("name", "used_in_routes", F.posexplode("used_in_routes").alias("i", "low"))
+    after = F.slice("used_in_routes", F.col("i") + 2, F.greatest(F.size("used_in_routes") - F.col("i") - 1, F.lit(0)))
+    shared = used.select("name", "low", F.explode(after).alias("high")).select(name("low").alias("source"), name("high").alias("target"), F.col("name").alias("label")).distinct()
+    return nodes, children.unionByName(shared)
+
+
 def view(mode: str, tables: dict[str, DataFrame], path: str | None = None) -> View:
-    """The graph of a mode: ``detail`` of a path, ``reuse`` or ``architecture``; detail without a path is the architecture."""
+    """The graph of a mode: ``detail`` of a path, ``reuse``, ``architecture`` or ``overview``; detail without a path is the overview."""
     routes = tables["route_intelligence"]
     if mode == "reuse":
         return reuse(tables["components"].select("id", F.col("used_in_routes").alias("used_in")))
     if mode == "detail" and path is not None:
         return route_detail(routes.where(F.col("path") == path), tables["components"], tables["edges"])
-    return architecture(routes)
+    if mode == "architecture":
+        return architecture(routes)
+    return overview(routes, tables["components"])

@@ -302,17 +302,18 @@ def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- graph -------------------------------------------------------------------------------
 
 
-def _order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Edges nation -> customer -> urgent open order, and the orders as seeds of the reversed graph."""
+def _order_graph(spark: SparkSession, sf_dir: str, some: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Edges nation -> customer -> order, and the orders as seeds of the reversed graph; ``some``: only partly shipped orders of low priority."""
     customer = table(spark, sf_dir, "customer")
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '5-LOW'")
+    orders = table(spark, sf_dir, "orders")
+    if some:
+        orders = orders.where("o_orderstatus = 'P' AND o_orderpriority = '5-LOW'")
     down = customer.select(F.concat(F.lit("n"), "c_nationkey").alias("source"), F.concat(F.lit("c"), "c_custkey").alias("target"))
     return down.unionByName(orders.select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("o"), "o_orderkey").alias("target"))), orders
 
 
 @query("""
-WITH o AS (SELECT * FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW')
-SELECT DISTINCT 'n' || c_nationkey AS root, node FROM customer LEFT JOIN o ON o_custkey = c_custkey, LATERAL (SELECT unnest(['n' || c_nationkey, 'c' || c_custkey, 'o' || o_orderkey]) AS node) WHERE node IS NOT NULL""")
+SELECT DISTINCT 'n' || c_nationkey AS root, node FROM customer LEFT JOIN orders o ON o_custkey = c_custkey, LATERAL (SELECT unnest(['n' || c_nationkey, 'c' || c_custkey, 'o' || o_orderkey]) AS node) WHERE node IS NOT NULL""")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     down, _ = _order_graph(spark, sf_dir)
     seeds = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("root")).distinct().withColumn("node", F.col("root"))
@@ -322,7 +323,7 @@ def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW')""")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    down, orders = _order_graph(spark, sf_dir)
+    down, orders = _order_graph(spark, sf_dir, some=True)
     up = down.select(F.col("target").alias("source"), F.col("source").alias("target"))
     reached = reach.reachable(up, orders.select(F.concat(F.lit("o"), "o_orderkey").alias("node")))
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("c"), "c_custkey").alias("node"))
@@ -331,7 +332,7 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT 'n' || c_nationkey AS root, CASE WHEN count(o_orderkey) > 0 THEN 2 ELSE 1 END AS depth
-FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW') ON o_custkey = c_custkey GROUP BY c_nationkey""")
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey""")
 def min_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     down, _ = _order_graph(spark, sf_dir)
     seeds = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("root")).distinct().withColumn("node", F.col("root"))

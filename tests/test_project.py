@@ -120,8 +120,14 @@ def test_graph_views(tables):
     assert pairs == {("route::/users", i) for i in at if i != "route::/users"} | {("grid::UsersPage", "component::Nav")}
     nodes, links = graph_views.view("reuse", tables)
     assert nodes.count() == 5 and links.count() == 4 and nodes.where("x = 0").count() == 2
-    nodes, links = graph_views.view("detail", tables)
+    nodes, links = graph_views.view("architecture", tables)
     assert nodes.where("y = 0").count() == 4 and links.count() == nodes.where("y > 0").join(links, nodes["id"] == links["target"]).count()
+    nodes, links = graph_views.view("detail", tables)
+    assert {r.label: (r.x, r.y, r.badges, r.deps, r.comp, r.hooks, r.depth) for r in nodes.collect()} == {
+        "/": (0, 0, ["provider"], 3, 4, 0, 2), "/users": (300, 0, ["grid"], 3, 3, 0, 2), "/users/[id]": (0, 200, ["dialog"], 3, 2, 1, 2), "/users/settings": (300, 200, [], 2, 2, 0, 2)}
+    drawn = {(r.source, r.target, r.label) for r in links.collect()}
+    assert {x for x in drawn if x[2] == "child"} == {("route::/users", "route::/users/[id]", "child"), ("route::/users", "route::/users/settings", "child")}
+    assert len([x for x in drawn if x[2] == "Nav"]) == 6 and len(drawn) == 8
 
 
 def test_symbols(spark):
