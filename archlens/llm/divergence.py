@@ -68,7 +68,7 @@ def _terms(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
 
 def _rows(counts: dict[str, Counter[bytes]]) -> Iterator[pa.RecordBatch]:
     for lang, own in counts.items():
-        yield pa.record_batch([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64())], ["lang", "term", "docs"])
+        yield pa.record_batch([pa.repeat(pa.scalar(lang, pa.string()), len(own)), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64())], ["lang", "term", "docs"])
 
 
 def _plain(text: pa.Scalar) -> bytes:
@@ -96,6 +96,7 @@ def _recounted(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, unit: int,
         for at, term in enumerate(terms):
             automaton.add_word(f" {term} ", at)
         automaton.make_automaton()
+        column = pa.array(terms, pa.string())
         for source, texts in by_source.items():
             counts = np.zeros(len(terms), np.int64)
             for text in texts:  # neighbours share the blank between them
@@ -103,8 +104,8 @@ def _recounted(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, unit: int,
                 if len(hits):
                     counts += np.bincount(hits, minlength=len(terms))
             found = np.flatnonzero(counts)
-            same = lambda x: pa.array([x] * len(found), pa.string())  # noqa: E731,B023
-            yield pa.record_batch([same(lang), same(source), pa.array([terms[at] for at in found], pa.string()), pa.array(counts[found])], ["lang", "source", "term", "n"])
+            same = lambda x: pa.repeat(pa.scalar(x, pa.string()), len(found))  # noqa: E731,B023
+            yield pa.record_batch([same(lang), same(source), column.take(pa.array(found)), pa.array(counts[found])], ["lang", "source", "term", "n"])
 
     for batch in batches:
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text")):
