@@ -45,6 +45,8 @@ TOP = 200
 UNIT_BYTES, OPEN_BYTES = 12 << 20, 24 << 20
 #: Different terms that a task of the first pass holds before it passes their counts on.
 HELD_TERMS = 300_000
+#: Rows of a batch that the second pass returns.
+ROWS = 20_000
 #: Bits of the bitmap of kept terms (8 MB).
 BITS = 26
 #: Sources of all languages whose sizes are broadcast; beyond that they are joined.
@@ -77,7 +79,7 @@ def _plain(text: pa.Scalar) -> bytes:
 
 
 def _recounted(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, unit: int, most: int) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n): occurrences in each unit and source of the terms that the bitmap has."""
+    """(lang, term, has): for each unit and term that the bitmap has, the sources that have it there and how often."""
     held: dict[str, dict[str, list[bytes]]] = {}
     sizes: Counter[str] = Counter()
 
@@ -96,16 +98,23 @@ def _recounted(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, unit: int,
         for at, term in enumerate(terms):
             automaton.add_word(f" {term} ", at)
         automaton.make_automaton()
-        column = pa.array(terms, pa.string())
-        for source, texts in by_source.items():
+        found, times, whose = [], [], []
+        for place, texts in enumerate(by_source.values()):
             counts = np.zeros(len(terms), np.int64)
             for text in texts:  # neighbours share the blank between them
                 hits = np.fromiter((at for _, at in automaton.iter(f" {text.decode()} ")), np.int64)
                 if len(hits):
                     counts += np.bincount(hits, minlength=len(terms))
-            found = np.flatnonzero(counts)
-            same = lambda x: pa.repeat(pa.scalar(x, pa.string()), len(found))  # noqa: E731,B023
-            yield pa.record_batch([same(lang), same(source), column.take(pa.array(found)), pa.array(counts[found])], ["lang", "source", "term", "n"])
+            found.append(np.flatnonzero(counts))
+            times.append(counts[found[-1]])
+            whose.append(np.full(len(found[-1]), place))
+        at = np.concatenate(found)
+        order = np.argsort(at, kind="stable")  # by term
+        ends = np.append(0, np.cumsum(np.bincount(at, minlength=len(terms)))).astype(np.int32)
+        source = pa.array(list(by_source), pa.string()).take(pa.array(np.concatenate(whose)[order]))
+        has = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([source, pa.array(np.concatenate(times)[order])], ["source", "n"]))
+        whole = pa.record_batch([pa.repeat(pa.scalar(lang, pa.string()), len(terms)), pa.array(terms, pa.string()), has], ["lang", "term", "has"])
+        yield from (whole.slice(i, ROWS) for i in range(0, len(terms), ROWS))
 
     for batch in batches:
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text")):
@@ -143,10 +152,11 @@ def bitmap_of(kept: DataFrame) -> np.ndarray:
 def postings(rows: DataFrame, kept: DataFrame, unit: int = UNIT_BYTES, most: int = OPEN_BYTES) -> DataFrame:
     """The second pass: (lang, term, has), has the sources that have a kept term and how often."""
     task = tidied(partial(_recounted, bitmap=bitmap_of(kept), unit=unit, most=most))
-    counted = rows.mapInArrow(task, "lang string, source string, term string, n long")
-    # one exchange: the aggregates below keep the join's partitioning by language and term
+    counted = rows.mapInArrow(task, "lang string, term string, has array<struct<source: string, n: long>>")
+    # one exchange of a row for each unit and term; the aggregates below keep the join's partitioning by language and term
     exact = counted.join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
-    by_source = exact.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    flat = exact.select("lang", "term", F.explode("has").alias("x")).select("lang", "term", "x.*")
+    by_source = flat.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
     return saved(by_source.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("has")), "divergence-postings")
 
 
