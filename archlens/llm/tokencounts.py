@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import islice
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame
 from archlens.llm.common import arrow_ddl, slices, tidied
 
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-#: Chunks whose counts a task remembers; beyond that the newest quarter is forgotten, as frequent chunks come early.
-MOST_CHUNKS = 1_000_000
+#: Bytes of chunks and counts that a worker remembers; beyond that the newest quarter is forgotten, as frequent chunks come early.
+HELD_BYTES = 192 << 20
+#: Bytes of an entry beside its chunk and counts.
+ENTRY_BYTES = 100
 #: Pairs of pieces whose compatibility a task remembers.
 MOST_PAIRS = 2_000_000
 
@@ -39,7 +41,7 @@ MOST_PAIRS = 2_000_000
 class PrefixCounter:
     """Counts of the prefixes of texts under one model file."""
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, most: int = HELD_BYTES):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -57,6 +59,7 @@ class PrefixCounter:
         self.start = {p[:i]: False for p in self.score for i in range(1, len(p))}
         self.start |= {p: self.merged(p) == [p] for p in self.score}
         self.known: dict[str, bytes] = {}
+        self.held, self.most = 0, most
 
     def merged(self, text: str) -> list[str]:
         """The pieces that the merge rules make of a short text."""
@@ -98,6 +101,16 @@ class PrefixCounter:
                 counts[at + 1] = counts[at] + len(chunk[at].encode("utf-8", "surrogatepass"))
         return array("b", map(int.__sub__, counts[1:], counts)).tobytes()
 
+    def forget(self) -> None:
+        """Keep the oldest chunks, up to three quarters of the bytes that may be held."""
+        kept, self.held = {}, 0
+        for chunk, made in self.known.items():
+            size = ENTRY_BYTES + getsizeof(chunk) + getsizeof(made)
+            if self.held + size <= self.most * 3 // 4:
+                kept[chunk] = made
+                self.held += size
+        self.known = kept
+
     def prefix_deltas(self, text: str) -> np.ndarray:
         """Entry p: tokens of text[:p + 1] less those of text[:p]."""
         if not text:
@@ -107,12 +120,13 @@ class PrefixCounter:
         try:
             joined = b"".join([known[c] for c in chunks])
         except KeyError:
-            if len(known) > MOST_CHUNKS:
-                known = self.known = dict(islice(known.items(), MOST_CHUNKS * 3 // 4))
             for c in chunks:
                 if c not in known:
-                    known[c] = self.deltas(c)
+                    known[c] = made = self.deltas(c)
+                    self.held += ENTRY_BYTES + getsizeof(c) + getsizeof(made)
             joined = b"".join([known[c] for c in chunks])
+            if self.held > self.most:
+                self.forget()
         out = np.frombuffer(joined, np.int8)
         first = out[1:2] + out[0]
         return np.concatenate([first, out[2:]])

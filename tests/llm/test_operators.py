@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -154,6 +155,16 @@ def test_token_counts(docs, rows, empty):
     assert tokencounts.prefix_counts(empty, path).count() == 0
 
 
+def test_remembered_chunks_are_bounded_by_bytes():
+    rng, path = random.Random(3), tokenizers.path("piece_bpe_32k.model")
+    few, all_ = tokencounts.PrefixCounter(path, most=60_000), tokencounts.PrefixCounter(path)
+    for _ in range(60):  # texts without spaces are one chunk, ordinary ones are many
+        for text in ("".join(rng.choices("\u6587\u5b57abc+/", k=2000)), " ".join("".join(rng.choices("abcde", k=3)) for _ in range(300))):
+            assert (few.prefix_deltas(text) == all_.prefix_deltas(text)).all()
+            assert few.held <= few.most and few.held == sum(tokencounts.ENTRY_BYTES + sys.getsizeof(c) + sys.getsizeof(d) for c, d in few.known.items())
+    assert len(few.known) < len(all_.known) and len(few.known) > 0
+
+
 def test_language(spark, docs, empty):
     rng = random.Random(2)
     sound = {"aa": "aeiou", "bb": "bcdfg", "cc": "äöüßt"}
