@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -100,11 +101,8 @@ def _recounted(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, unit: int,
         automaton.make_automaton()
         found, times, whose = [], [], []
         for place, texts in enumerate(by_source.values()):
-            counts = np.zeros(len(terms), np.int64)
-            for text in texts:  # neighbours share the blank between them
-                hits = np.fromiter((at for _, at in automaton.iter(f" {text.decode()} ")), np.int64)
-                if len(hits):
-                    counts += np.bincount(hits, minlength=len(terms))
+            text = b" ".join([b"", *texts, b""]).decode()  # neighbours share the blank between them
+            counts = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(terms))
             found.append(np.flatnonzero(counts))
             times.append(counts[found[-1]])
             whose.append(np.full(len(found[-1]), place))
