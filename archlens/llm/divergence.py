@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import compress, repeat
 from operator import itemgetter
 
 import ahocorasick
@@ -48,6 +49,8 @@ UNIT_BYTES, OPEN_BYTES = 12 << 20, 24 << 20
 HELD_TERMS = 300_000
 #: Rows of a batch that the second pass returns.
 ROWS = 20_000
+#: Cells of a matrix of terms by sources.
+MOST_CELLS = 1 << 18
 #: Bits of the bitmap of kept terms (8 MB).
 BITS = 26
 #: Sources of all languages whose sizes are broadcast; beyond that they are joined.
@@ -88,11 +91,9 @@ def _recounted(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, unit: int,
         del sizes[lang]
         by_source = held.pop(lang)
         seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-        terms = []
-        for term in set().union(*(text.split() for texts in by_source.values() for text in texts)):
-            at = xxhash.xxh64_intdigest(term, seed) & ((1 << BITS) - 1)
-            if bitmap[at >> 3] >> (at & 7) & 1:
-                terms.append(term.decode())
+        found = list(set().union(*(text.split() for texts in by_source.values() for text in texts)))
+        at = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(seed)), np.uint64, len(found)).astype(np.int64) & ((1 << BITS) - 1)
+        terms = [term.decode() for term in compress(found, bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)]
         if not terms:
             return
         automaton = ahocorasick.Automaton()
@@ -219,56 +220,51 @@ def _shared(batches: Iterator[pa.RecordBatch], sizes: dict[tuple[str, str], int]
     A task adds terms up per pair of sources before anything leaves it; the result has a row for each pair at any rate.
     """
     sums: dict[tuple[str, str, str], list[int]] = {}
-    names: dict[tuple[str, str], int] = {}
-    rows: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    known: dict[str, list[str]] = {}
-    held = 0
-
-    def added(lang: str) -> None:
-        """Terms of a language as a matrix by source: each source against all others at once."""
-        own = rows.pop(lang)
-        width = len(known[lang])
-        p, p0, has = np.ones((len(own), width), np.int64), np.ones((len(own), width), np.int64), np.zeros((len(own), width), bool)
-        for i, (at, value, zero) in enumerate(own):
-            p[i, at], p0[i, at], has[i, at] = value, zero, True
-        step = lambda x, y: (x - y) * (x - y) // y
-        for i in range(width):
+    step = lambda x, y: (x - y) * (x - y) // y
+
+    def added(lang: str, names: list[str], row: np.ndarray, at: np.ndarray, value: np.ndarray, zero: np.ndarray) -> None:
+        """Some terms of a language as a matrix by source: each source against all others at once."""
+        shape = int(row[-1] - row[0]) + 1, len(names)
+        p, p0, has = np.ones(shape, np.int64), np.ones(shape, np.int64), np.zeros(shape, bool)
+        cells = row - row[0], at
+        p[cells], p0[cells], has[cells] = value, zero, True
+        for i, name in enumerate(names):
             some = has[:, i]
             mine, mine0, p_, p0_, other = p[some, i, None], p0[some, i, None], p[some], p0[some], has[some]
             z = np.where(other, step(mine, p_) - step(mine, p0_) - step(mine0, p_), 0).sum(0)
             k = other.sum(0)
             for j in np.flatnonzero(k):
                 if i != j:
-                    total = sums.setdefault((lang, known[lang][i], known[lang][j]), [0, 0])
+                    total = sums.setdefault((lang, name, names[j]), [0, 0])
                     total[0], total[1] = total[0] + int(z[j]), total[1] + int(k[j])
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         lists = batch.column("has")
-        flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        source = flat.field("source").to_pylist()
-        langs = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        lang_of = batch.column("lang").to_pylist()
-        m = flat.field("m").to_numpy() if sizes is None else np.array([sizes[lang_of[i], s] for i, s in zip(langs, source)], np.int64)
+        flat, lengths = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        langs, sources = batch.column("lang").dictionary_encode(), flat.field("source").dictionary_encode()
+        lang_of = np.repeat(langs.indices.to_numpy().astype(np.int64), lengths)
+        # a place for each source of each language, the sources of a language side by side
+        width = max(len(sources.dictionary), 1)
+        places, at = np.unique(lang_of * width + sources.indices.to_numpy(), return_inverse=True)
+        lang_names, source_names = langs.dictionary.to_pylist(), sources.dictionary.to_pylist()
+        pairs_ = [(lang_names[x // width], source_names[x % width]) for x in places.tolist()]
         n = flat.field("n").to_numpy()
+        m = flat.field("m").to_numpy() if sizes is None else np.array([sizes[x] for x in pairs_], np.int64)[at]
         big = len(n) and n.max() >= (1 << 63) // UNIT - 1
         p = np.array([1 + UNIT * (int(a) + 1) // int(b) for a, b in zip(n, m)], np.int64) if big else 1 + UNIT * (n + 1) // m
         p0 = 1 + UNIT // m
-        for i, lang in enumerate(lang_of):
-            lo, hi = offsets[i], offsets[i + 1]
-            at = []
-            for s in source[lo:hi]:
-                if (lang, s) not in names:
-                    names[lang, s] = len(known.setdefault(lang, []))
-                    known[lang].append(s)
-                at.append(names[lang, s])
-            rows.setdefault(lang, []).append((np.array(at), p[lo:hi], p0[lo:hi]))
-            held += len(known[lang])
-            if held >= 1 << 18:
-                for x in list(rows):
-                    added(x)
-                held = 0
-    for x in list(rows):
-        added(x)
+        for i, lang in enumerate(lang_names):
+            own = np.flatnonzero(lang_of == i)
+            first, last = np.searchsorted(places, [i * width, (i + 1) * width])
+            row = np.cumsum(np.append(0, np.diff(np.repeat(np.arange(len(lengths)), lengths)[own]) != 0))  # 0, 1, ... for the terms of this language
+            names = [source for _, source in pairs_[first:last]]
+            most = max(MOST_CELLS // len(names), 1)
+            for start in range(0, int(row[-1]) + 1, most):
+                lo, hi = np.searchsorted(row, [start, start + most])
+                some = own[lo:hi]
+                added(lang, names, row[lo:hi], at[some] - first, p[some], p0[some])
     if sums:
         lang, source, item = zip(*sums)
         z, k = zip(*sums.values())
