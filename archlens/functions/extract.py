@@ -16,7 +16,7 @@ from archlens.functions.lexical import is_client, lexed, literal, once, statemen
 from archlens.functions.names import inferred_name, is_builtin_hook, is_component_name
 from archlens.functions.paths import collapsed, folder, is_param_name
 from archlens.operators.intel import GLOBALS
-from archlens.operators.keep import keep_first
+from archlens.operators.keep import keep_first, settled
 
 EXTENSIONS = [".tsx", ".ts", ".jsx", ".js"]
 
@@ -78,12 +78,15 @@ def resolved(imports: DataFrame, files: DataFrame, roots: dict[str, str] | None
     base = F.when(specifier.rlike(r"^\.\.?(/|$)"), collapsed(F.concat_ws("/", folder(F.col("file")), specifier)))
     for prefix, place in (roots or {"@/": ""}).items():
         base = base.when(F.startswith(specifier, F.lit(prefix)), collapsed(F.concat(F.lit(place), F.substring(specifier, len(prefix) + 1, 1 << 30))))
-    distinct = imports.select("file", "specifier").distinct().withColumn("base", base).where(F.col("base").isNotNull())
-    endings = F.array(*(F.lit(e) for e in ["", *EXTENSIONS, *(f"/index{e}" for e in EXTENSIONS)]))
-    tried = distinct.select("file", "specifier", F.posexplode(endings).alias("rank", "end"), "base").withColumn("resolved", F.concat("base", "end"))
-    hit = tried.join(files.select(F.col("path").alias("resolved")), "resolved", "left_semi")
-    first = keep_first(hit.select("file", "specifier", "rank", "resolved"), ["file", "specifier"], ["rank"]).select("file", "specifier", "resolved")
-    return imports.join(first, ["file", "specifier"], "left")
+    # each file is known by what a specifier may leave out of its path, so one row of an import meets one of a file
+    endings = [(rank, end) for rank, end in enumerate(["", *EXTENSIONS, *(f"/index{e}" for e in EXTENSIONS)])]
+    stems = F.array(*(F.when(F.endswith("path", F.lit(end)), F.struct(F.lit(rank).alias("rank"), F.expr(f"substring(path, 1, length(path) - {len(end)})").alias("_base"))) for rank, end in endings))
+    known = files.select(F.col("path").alias("resolved"), F.explode(F.filter(stems, lambda s: s.isNotNull())).alias("s")).select("s._base", "s.rank", "resolved")
+    known = keep_first(known, ["_base"], ["rank"]).select("_base", "resolved")
+    based = imports.withColumn("_base", base)
+    # the others stay out of the join, where no base would be one key
+    found = based.where("_base IS NOT NULL").join(known, "_base", "left").drop("_base")
+    return found.unionByName(based.where("_base IS NULL").drop("_base").withColumn("resolved", F.lit(None).cast("string")))
 
 
 def declarations(files: DataFrame) -> DataFrame:
@@ -107,11 +110,12 @@ def declarations(files: DataFrame) -> DataFrame:
 
 _NAME = r"[A-Za-z_$][\w$]*"
 #: An identifier before a member: the member, the string that it is called with, and whether it is assigned to, or the key in brackets.
-_ACCESS = rf"""({_NAME})\s*(?=\.\s*({_NAME})(?:\s*\(\s*"(\d+)"\s*\))?(\s*=(?![=>]))?|\[\s*"(\d+)"\s*\])"""
+#: An identifier is tried once, from its first letter to its end.
+_ACCESS = rf"""(?<![A-Za-z_$])({_NAME}+)\s*(?=\.\s*({_NAME})(?:\s*\(\s*"(\d+)"\s*\))?(\s*=(?![=>]))?|\[\s*"(\d+)"\s*\])"""
 #: A pattern of names, and the identifier that it takes apart.
 _TAKEN = rf"\{{([^{{}}]+)\}}\s*=\s*(?:await\s+)?({_NAME})"
 #: A variable, and the hook whose result it holds.
-_HELD = rf"({_NAME})\s*=\s*(use[A-Z]\w*)\s*\("
+_HELD = rf"(?<![A-Za-z_$])({_NAME}+)\s*=\s*(use[A-Z]\w*)\s*\("
 #: The first argument of an assignment of many members, and the members.
 _MEMBERS = r"\bObject\s*\.\s*assign\s*\(\s*([A-Z]\w*)\s*,\s*\{([^{}]+)\}"
 
@@ -146,28 +150,30 @@ def composite_signals(files: DataFrame) -> DataFrame:
     return signals_by_file(files).drop("file").distinct()
 
 
-def signals_by_file(files: DataFrame) -> DataFrame:
-    """``composite_signals`` with the file of each."""
+def signals_by_file(files: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """``composite_signals`` with the file of each; ``read`` are the files' ``accesses``, if they were worked out before."""
     component = r"^[A-Z][a-zA-Z0-9]*$"
     files = once(files)
+    read = accesses(files) if read is None else read
     dotted = files.select(F.col("path").alias("file"), F.explode(dotted_tags(F.col("code"))).alias("tag")).select(
         "file", F.substring_index("tag", ".", 1).alias("root"), F.get(F.split("tag", r"\."), F.lit(1)).alias("sub"), F.lit("dotted-jsx").alias("evidence"))
-    static = accesses(files).where(F.col("kind") == "assigned").select("file", F.col("variable").alias("root"), F.col("name").alias("sub"), F.lit("static-property").alias("evidence")).where(~F.col("root").isin(GLOBALS))
+    static = read.where(F.col("kind") == "assigned").select("file", F.col("variable").alias("root"), F.col("name").alias("sub"), F.lit("static-property").alias("evidence")).where(~F.col("root").isin(GLOBALS))
     together = _matches(files, _MEMBERS, "root", "names").select("file", "root", F.explode(_listed("names")).alias("sub"), F.lit("object-assign").alias("evidence"))
     made = static.unionByName(together).where(F.col("root").rlike(component) & F.col("sub").rlike(component))
     return dotted.unionByName(made).distinct()
 
 
-def params(files: DataFrame, compat: bool = False) -> DataFrame:
+def params(files: DataFrame, compat: bool = False, read: DataFrame | None = None) -> DataFrame:
     """(file, seq, param, pattern, scope): search and route parameters that a file reads.
 
     The variables that matter are the two that a page is given and those that hold what
     a hook returned; they are matched with all accesses by an equi-join on (file, variable).
+    ``read`` are the files' ``accesses``, if they were worked out before.
     """
     given = {"searchParams": "search", "params": "route"}
     hooks = {"useSearchParams": "search", "useParams": "route"}
     files = once(files)
-    read = accesses(files)
+    read = settled(accesses(files)) if read is None else read
     scope = lambda of, c: F.element_at(F.create_map(*(F.lit(x) for pair in of.items() for x in pair)), F.col(c))
     direct = read.where(F.col("variable").isin(*given)).select(
         "file", F.when(F.col("kind") == "key", 1).when(F.col("kind") == "taken", 2).otherwise(0).alias("seq"), F.col("name").alias("param"), F.col("variable").alias("pattern"),

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archlens.operators.keep import settled
+from archlens.operators.keep import settled, spread
 
 #: Words that begin a top-level statement.
 HEADS = "export|import|function|const|let|var|class|type|interface|enum|async|declare|namespace|abstract"
@@ -67,8 +67,11 @@ def lexed(files: DataFrame) -> DataFrame:
 
 
 def once(files: DataFrame) -> DataFrame:
-    """Lexed files that are read several times: written first, unless they were lexed before."""
-    return files if "tokens" in files.columns else settled(lexed(files))
+    """Lexed files that are read several times: written first, unless they were lexed before.
+
+    They are dealt by path, so whatever is grouped, joined or put in order by file stays where the file is.
+    """
+    return files if "tokens" in files.columns else settled(lexed(spread(files, "path")))
 
 
 def content(tokens: Column | str = "tokens") -> Column:
@@ -89,11 +92,11 @@ def structure(files: DataFrame) -> DataFrame:
     """
     what = lambda t: (
         F.when(t.isin("{", "}", ";"), t).when(t.isin("(", "["), "(").when(t.isin(")", "]"), ")").when(t.rlike(rf"^[ \t]*(?:{HEADS})$"), "head")
-        .when(kind(t).isNull() & t.rlike(r"(?<![=<>!])=(?![=>])"), "="))
+        .when(F.contains(t, F.lit("=")) & kind(t).isNull() & t.rlike(r"(?<![=<>!])=(?![=>])"), "="))
     around = lambda i: F.array_join(F.slice("tokens", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), "")
-    item = lambda t, i: F.struct(i.alias("i"), what(t).alias("what"), F.when(t == "{", F.regexp_extract(around(i), r"(\S{1,2})\s*$", 1)).alias("before"))
-    found = F.filter(F.transform("tokens", item), lambda x: x["what"].isNotNull())
-    rows = files.select(F.col("path").alias("file"), F.explode(found).alias("x")).select("file", "x.*")
+    # tokens are rows before they are told apart, as conditions on rows are compiled and those inside lists are not
+    rows = files.select(F.col("path").alias("file"), "tokens", F.posexplode("tokens").alias("i", "t")).withColumn("what", what(F.col("t"))).where("what IS NOT NULL")
+    rows = rows.select("file", "i", "what", F.when(F.col("t") == "{", F.regexp_extract(around(F.col("i")), r"(\S{1,2})\s*$", 1)).alias("before"))
     so_far = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     step = F.when(F.col("what") == "{", 1).when(F.col("what") == "}", -1).otherwise(0)
     rows = rows.withColumn("depth", F.coalesce(F.sum(step).over(so_far), F.lit(0)))
@@ -109,7 +112,8 @@ def statements(files: DataFrame) -> DataFrame:
     the next head ends it.  code is that part of the file's code.  The table is written once.
     """
     files = once(files)
-    rows = structure(files)
+    # of what lies deeper only the brackets that close a body count
+    rows = structure(files).where("(depth <= 0 AND parens <= 1) OR (depth <= 1 AND what = '}')")
     top = (F.col("depth") <= 0) & (F.col("parens") <= 0)
     # a head right behind another (export const) belongs to it
     follows = F.lag("i").over(Window.partitionBy("file").orderBy("i"))

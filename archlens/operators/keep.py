@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,6 +37,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the session's shared folder: for wide tables, of which each reader takes a few columns."""
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt to all cores by a key, for narrow rows of which much work is made: a small file is read by one task, however much its rows grow into."""
+    return df.repartition(max(16, 4 * df.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; on one machine, where it is unset, a folder of the warehouse."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)

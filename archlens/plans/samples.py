@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archlens.operators.keep import spread
 from archlens.plans.session import Session, Tables
 
 
@@ -32,7 +33,8 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """c, k, r and the folder of each customer's page."""
     people = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("k"))
     leaf = F.when(F.col("c") % 7 == 0, _text("[id", "{c}", "]")).otherwise(_text("c", "{c}"))
-    return people.join(nations(spark, sf_dir).select("k", "r"), "k").withColumn("folder", _text("app/r", "{r}", "/n", "{k}", "/", leaf))
+    people = people.join(F.broadcast(nations(spark, sf_dir).select("k", "r")), "k")  # a row for each nation
+    return spread(people, "c").withColumn("folder", _text("app/r", "{r}", "/n", "{k}", "/", leaf))
 
 
 #: Literals that look like comments, imports, tags and hooks, before the first import of every nation's file.
