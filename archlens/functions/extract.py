@@ -48,9 +48,10 @@ def import_facts(files: DataFrame) -> DataFrame:
     """(file, pos, kind, name, alias, specifier, type_only): one row for each imported name; side effects have none."""
     files, text = once(files), F.col("code")
     head = r'\bimport\s+(type\s+)?([\w$*{][^";]*?)\s*from\s*"(\d+)"'
-    found = F.arrays_zip(all_of(text, head, 1).alias("t"), all_of(text, head, 2).alias("c"), F.transform(all_of(text, head, 3), lambda n: literal(n)).alias("s"))
+    # what a match holds is read from the match, so a text is searched once for it and once for its literals
+    found = F.arrays_zip(all_of(text, head, 0).alias("m"), F.transform(all_of(text, head, 3), lambda n: literal(n)).alias("s"))
     rows = files.select(F.col("path").alias("file"), F.posexplode(found).alias("pos", "x")).select(
-        "file", "pos", (F.col("x.t") != "").alias("type_only"), F.col("x.c").alias("clause"), F.col("x.s").alias("specifier"))
+        "file", "pos", (F.regexp_extract("x.m", head, 1) != "").alias("type_only"), F.regexp_extract("x.m", head, 2).alias("clause"), F.col("x.s").alias("specifier"))
     listed = F.filter(F.transform(F.split(F.regexp_extract("clause", r"\{([^}]*)\}", 1), ","), lambda n: F.trim(n)), lambda n: n != "")
     plain = lambda n: F.regexp_replace(n, r"^type\s+", "")
     part = lambda kind, name, alias, only: F.struct(kind.alias("kind"), name.alias("name"), alias.alias("alias"), only.alias("only"))
@@ -111,7 +112,8 @@ def declarations(files: DataFrame) -> DataFrame:
 _NAME = r"[A-Za-z_$][\w$]*"
 #: An identifier before a member: the member, the string that it is called with, and whether it is assigned to, or the key in brackets.
 #: An identifier is tried once, from its first letter to its end.
-_ACCESS = rf"""(?<![A-Za-z_$])({_NAME}+)\s*(?=\.\s*({_NAME})(?:\s*\(\s*"(\d+)"\s*\))?(\s*=(?![=>]))?|\[\s*"(\d+)"\s*\])"""
+_MEMBER = rf"""\.\s*({_NAME})(?:\s*\(\s*"(\d+)"\s*\))?(\s*=(?![=>]))?|\[\s*"(\d+)"\s*\]"""
+_ACCESS = rf"""(?<![A-Za-z_$])({_NAME}+)\s*(?=({_MEMBER}))"""
 #: A pattern of names, and the identifier that it takes apart.
 _TAKEN = rf"\{{([^{{}}]+)\}}\s*=\s*(?:await\s+)?({_NAME})"
 #: A variable, and the hook whose result it holds.
@@ -133,9 +135,14 @@ def accesses(files: DataFrame) -> DataFrame:
 
     kind is member, assigned, key or taken; argument is the string that a member is called with.
     """
-    seen = _matches(files, _ACCESS, "variable", "member", "argument", "assigned", "key", literals=("argument", "key"))
-    kind = F.when(F.col("key").isNotNull(), "key").when(F.col("assigned") != "", "assigned").otherwise("member")
-    seen = seen.select("file", "variable", kind.alias("kind"), F.coalesce("key", "member").alias("name"), "argument")
+    # a text is searched for variables and for what stands behind them; that is taken apart in rows of its own
+    behind = F.transform(all_of(F.col("code"), _ACCESS, 2), lambda m: F.struct(m.alias("m"), literal(F.regexp_extract(m, r'"(\d+)"', 1)).alias("said")))
+    seen = lexed(files).select(F.col("path").alias("file"), F.explode(F.arrays_zip(all_of(F.col("code"), _ACCESS, 1).alias("variable"), behind.alias("b"))).alias("x"))
+    seen = seen.select("file", "x.variable", F.col("x.b.m").alias("m"), F.col("x.b.said").alias("said"))
+    is_key = F.startswith("m", F.lit("["))
+    kind = F.when(is_key, "key").when(F.endswith("m", F.lit("=")), "assigned").otherwise("member")
+    seen = seen.select(
+        "file", "variable", kind.alias("kind"), F.when(is_key, F.col("said")).otherwise(F.regexp_extract("m", _MEMBER, 1)).alias("name"), F.when(~is_key, F.col("said")).alias("argument"))
     taken = _matches(files, _TAKEN, "names", "variable").select("file", "variable", F.explode(_listed("names")).alias("name"))
     return seen.unionByName(taken.select("file", "variable", F.lit("taken").alias("kind"), "name", F.lit(None).cast("string").alias("argument")))
 

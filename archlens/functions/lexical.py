@@ -5,9 +5,9 @@ them with the file's ``code``: comments are blanks (line feeds stay), and every
 string, template and regular expression stands as its token's number in its quotes, so no
 pattern can match inside one; ``literal`` gives back what a number stands for.
 
-``statements`` finds top-level statements and their bodies by bracket depth: running sums over
-the structural tokens of a file, then an aggregate for each statement.  A file is one row from the
-scan on, so a window over its brackets holds no more than that row did.
+``statements`` finds top-level statements and their bodies by bracket depth: one fold over the
+structural tokens of a file.  A file is one row from the scan on, and its statements come from that row
+alone, so nothing is sorted or sent.
 
 An expression inside a template counts as part of it.  An apostrophe behind a letter or digit opens
 no string (as in text between tags).  A literal with more than 2000 escapes is cut there.
@@ -15,7 +15,7 @@ no string (as in text between tags).  A literal with more than 2000 escapes is c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archlens.operators.keep import settled, spread
@@ -46,7 +46,8 @@ def _interned(token: Column, number: Column) -> Column:
     quoted = lambda q: F.concat(F.lit(q), n, F.lit(q))
     is_ = kind(token)
     blank = F.concat(F.lit(" "), F.regexp_replace(token, r"[^\n]+", ""))
-    return F.when(is_ == "comment", blank).when(is_ == "string", quoted('"')).when(is_ == "template", quoted("`")).when(is_ == "pattern", quoted("/")).otherwise(token)
+    told = F.when(is_ == "comment", blank).when(is_ == "string", quoted('"')).when(is_ == "template", quoted("`")).when(is_ == "pattern", quoted("/")).otherwise(token)
+    return F.when(F.substring(token, 1, 1).isin('"', "'", "`", "/"), told).otherwise(token)  # most tokens are code, which one look tells
 
 
 #: White space as the sources' language sees it, the byte order mark included.
@@ -59,11 +60,11 @@ def is_client(text: Column) -> Column:
 
 
 def lexed(files: DataFrame) -> DataFrame:
-    """``files`` with client (see ``is_client``), tokens and code in place of content; files that have them stay as they are."""
+    """``files`` with client (see ``is_client``), tokens, marks (the tokens as they stand in the code) and code in place of content; files that have them stay as they are."""
     if "tokens" in files.columns:
         return files
     cut = files.withColumn("client", is_client(F.coalesce("content", F.lit("")))).withColumn("tokens", F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(TOKEN), F.lit(0))).drop("content")
-    return cut.withColumn("code", F.array_join(F.transform("tokens", _interned), ""))
+    return cut.withColumn("marks", F.transform("tokens", _interned)).withColumn("code", F.array_join("marks", ""))
 
 
 def once(files: DataFrame) -> DataFrame:
@@ -84,24 +85,58 @@ def literal(number: Column, tokens: Column | str = "tokens") -> Column:
     return F.substring(token, F.lit(2), F.length(token) - 2)
 
 
-def structure(files: DataFrame) -> DataFrame:
-    """(file, i, what, before, depth, parens): brackets, semicolons, heads and assignments of lexed files.
-
-    i is the token's number, before the last two characters that stand before it, depth the
-    braces around it, parens the other brackets around it since the last brace of depth 0.
-    """
-    what = lambda t: (
-        F.when(t.isin("{", "}", ";"), t).when(t.isin("(", "["), "(").when(t.isin(")", "]"), ")").when(t.rlike(rf"^[ \t]*(?:{HEADS})$"), "head")
-        .when(F.contains(t, F.lit("=")) & kind(t).isNull() & t.rlike(r"(?<![=<>!])=(?![=>])"), "="))
+def _structure() -> Column:
+    """(i, what, before) of a file's brackets, semicolons, heads and assignments; i is the token's number, before the last two characters before a brace."""
+    one = lambda t: F.when(t.isin("{", "}", ";", "(", "[", ")", "]", "="), F.translate(t, "[]", "()"))
+    more = lambda t: F.when(t.rlike(rf"^[ \t]*(?:{HEADS})$"), "head").when(F.contains(t, F.lit("=")) & kind(t).isNull() & t.rlike(r"(?<![=<>!])=(?![=>])"), "=")
+    what = lambda t: F.when(F.length(t) == 1, one(t)).otherwise(more(t))
     around = lambda i: F.array_join(F.slice("tokens", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), "")
-    # tokens are rows before they are told apart, as conditions on rows are compiled and those inside lists are not
-    rows = files.select(F.col("path").alias("file"), "tokens", F.posexplode("tokens").alias("i", "t")).withColumn("what", what(F.col("t"))).where("what IS NOT NULL")
-    rows = rows.select("file", "i", "what", F.when(F.col("t") == "{", F.regexp_extract(around(F.col("i")), r"(\S{1,2})\s*$", 1)).alias("before"))
-    so_far = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    step = F.when(F.col("what") == "{", 1).when(F.col("what") == "}", -1).otherwise(0)
-    rows = rows.withColumn("depth", F.coalesce(F.sum(step).over(so_far), F.lit(0)))
-    turn = F.when(F.col("depth") > 0, 0).when(F.col("what") == "(", 1).when(F.col("what") == ")", -1).otherwise(0)
-    return rows.withColumn("parens", F.coalesce(F.sum(turn).over(so_far), F.lit(0)))
+    every = F.transform("tokens", lambda t, i: F.struct(i.alias("i"), what(t).alias("what"), F.when(t == "{", F.regexp_extract(around(i), r"(\S{1,2})\s*$", 1)).alias("before")))
+    return F.filter(every, lambda s: s["what"].isNotNull())
+
+
+#: What is known of a statement: the numbers of the tokens where its parts begin and where its bodies close.
+_PARTS = ["first", "assign", "listed", "arrow", "plain", "klass", "semicolon", "arrow_close", "plain_close", "klass_close"]
+
+
+def _changed(statement: Column, **parts: Column) -> Column:
+    return F.struct(*(parts.get(p, statement[p]).alias(p) for p in _PARTS))
+
+
+def _step(seen: Column, token: Column) -> Column:
+    """The fold's state after a structural token: depth (the braces around what follows), parens (the other brackets since the last
+    brace of depth 0), head (the last token that counted, if it is a head), own (the statement so far) and done (those before it)."""
+    none, i, what, own = F.lit(None).cast("int"), token["i"], token["what"], seen["own"]
+    flat = seen["depth"] <= 0
+    top = flat & (seen["parens"] <= 0)
+    # of what lies deeper only the brackets that close a body count
+    counts = (flat & (seen["parens"] <= 1)) | ((seen["depth"] <= 1) & (what == "}"))
+    # a head right behind another (export const) belongs to it
+    starts = top & (what == "head") & (seen["head"].isNull() | (seen["head"] != i - 1))
+    first = lambda p, condition=None: F.when(own[p].isNull() if condition is None else own[p].isNull() & condition, i).otherwise(own[p])
+    block = ~token["before"].rlike(r"[:|&<,(=?]$")
+    # parameters, an arrow's body and a function's body come behind the assignment, a function's body behind its parameters; a class has none
+    brace = F.when(token["before"] == "=>", _changed(own, arrow=first("arrow"))).when(block, _changed(own, klass=first("klass"), plain=first("plain", own["listed"].isNotNull()))).otherwise(own)
+    closed = _changed(own, **{f"{p}_close": first(f"{p}_close", own[p].isNotNull()) for p in ("arrow", "plain", "klass")})
+    assigned = _changed(own, assign=i, listed=none, arrow=none, arrow_close=none, plain=none, plain_close=none)
+    further = (
+        F.when(what == "}", closed).when(what == ")", _changed(own, listed=first("listed"))).when(top & (what == "{"), brace)
+        .when(top & (what == ";"), _changed(own, semicolon=first("semicolon"))).when(top & (what == "=") & own["assign"].isNull(), assigned).otherwise(own))
+    fresh = F.struct(*((i if p == "first" else none).alias(p) for p in _PARTS))
+    turn = F.when(~flat, 0).when(what == "(", 1).when(what == ")", -1).otherwise(0)
+    return F.struct(
+        (seen["depth"] + F.when(what == "{", 1).when(what == "}", -1).otherwise(0)).alias("depth"), (seen["parens"] + turn).alias("parens"),
+        F.when(counts, F.when(what == "head", i)).otherwise(seen["head"]).alias("head"),
+        F.when(starts, fresh).when(counts & own.isNotNull(), further).otherwise(own).alias("own"),
+        F.when(starts & own.isNotNull(), F.array_append(seen["done"], own)).otherwise(seen["done"]).alias("done"))
+
+
+def _heads() -> Column:
+    """The statements of a file (see ``_PARTS``), in their order, from its column ``structure``."""
+    row = f"struct<{','.join(f'{p}:int' for p in _PARTS)}>"
+    zero = F.struct(
+        F.lit(0).alias("depth"), F.lit(0).alias("parens"), F.lit(None).cast("int").alias("head"), F.lit(None).cast(row).alias("own"), F.array().cast(f"array<{row}>").alias("done"))
+    return F.aggregate("structure", zero, _step, lambda s: F.when(s["own"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["own"])))
 
 
 def statements(files: DataFrame) -> DataFrame:
@@ -112,41 +147,19 @@ def statements(files: DataFrame) -> DataFrame:
     the next head ends it.  code is that part of the file's code.  The table is written once.
     """
     files = once(files)
-    # of what lies deeper only the brackets that close a body count
-    rows = structure(files).where("(depth <= 0 AND parens <= 1) OR (depth <= 1 AND what = '}')")
-    top = (F.col("depth") <= 0) & (F.col("parens") <= 0)
-    # a head right behind another (export const) belongs to it
-    follows = F.lag("i").over(Window.partitionBy("file").orderBy("i"))
-    starts = (F.col("what") == "head") & top & (follows.isNull() | (follows != F.col("i") - 1) | (F.lag("what").over(Window.partitionBy("file").orderBy("i")) != "head"))
-    rows = rows.withColumn("starts", starts).withColumn("pos", F.count_if("starts").over(Window.partitionBy("file").orderBy("i"))).where("pos > 0")
-    # where a statement's parts begin, each a minimum over its structural tokens
-    what, i, inside = F.col("what"), F.col("i"), Window.partitionBy("file", "pos")
-    least = lambda condition: F.min(F.when(condition, i))
-    behind = lambda c: i > F.coalesce(F.col(c), F.lit(-1))
-    brace, arrow = top & (what == "{"), F.col("before") == "=>"
-    block = brace & ~arrow & ~F.col("before").rlike(r"[:|&<,(=?]$")
-    rows = rows.withColumn("assign", least(top & (what == "=")).over(inside))
-    listed = (F.col("depth") <= 0) & (F.col("parens") <= 1) & (what == ")")
-    rows = rows.withColumn("listed", least(listed & behind("assign")).over(inside)).withColumn("arrow", least(brace & arrow & behind("assign")).over(inside))
-    # a function's body comes behind its parameters, a class has none
-    rows = rows.withColumn("plain", least(block & behind("listed")).over(inside)).withColumn("klass", least(block).over(inside))
-    closes = (F.col("depth") <= 1) & (what == "}")
-    found = rows.groupBy("file", "pos").agg(
-        F.min("i").alias("first"), *(F.max(c).alias(c) for c in ("assign", "arrow", "plain", "klass")), least(top & (what == ";")).alias("semicolon"),
-        *(least(closes & (i > F.col(c))).alias(f"{c}_close") for c in ("arrow", "plain", "klass")))
-    found = found.withColumn("following", F.lead("first").over(Window.partitionBy("file").orderBy("pos")))
-    parts = ("pos", "first", "assign", "arrow", "plain", "klass", "semicolon", "arrow_close", "plain_close", "klass_close")
-    lists = found.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(*parts, "following"))).alias("all"))
-    own = files.select(F.col("path").alias("file"), "tokens").join(lists, "file")
-    part = lambda a, b: F.slice("tokens", a + 1, b - a)
-    end = lambda s: F.coalesce(s["following"], F.size("tokens"))
-    told = lambda tokens, first: F.array_join(F.transform(tokens, lambda t, i: _interned(t, i + first)), "")
-    cut = F.transform("all", lambda s: F.struct(*(s[c].alias(c) for c in parts), end(s).alias("end"), part(s["first"], end(s)).alias("own")))
-    lead = F.size(F.split(F.array_join(F.slice("tokens", F.lit(1), F.get("all", F.lit(0))["first"]), ""), "\n"))
-    out = own.select("file", lead.alias("lead"), F.explode(cut).alias("s")).select("file", "lead", "s.*").withColumn("whole", told(F.col("own"), F.col("first")))
-    feeds = F.size(F.split(F.array_join("own", ""), "\n")) - 1
-    before = F.coalesce(F.sum(feeds).over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = out.withColumn("line", (F.col("lead") + before).cast("int"))
+    own = files.select(F.col("path").alias("file"), "tokens", "marks", _structure().alias("structure")).withColumn("all", _heads()).drop("structure")
+    end = lambda n: F.coalesce(F.get("all", n + 1)["first"], F.size("tokens"))
+    own = own.withColumn("all", F.transform("all", lambda s, n: F.struct(*(s[p].alias(p) for p in _PARTS), end(n).alias("end"))))
+    feeds = lambda a, b: F.size(F.split(F.array_join(F.slice("tokens", a + 1, b - a), ""), "\n")) - 1
+    lines = F.aggregate(  # the line of each statement, and of what comes behind the last
+        "all", F.array(feeds(F.lit(0), F.get("all", F.lit(0))["first"]) + 1), lambda known, s: F.array_append(known, F.element_at(known, -1) + feeds(s["first"], s["end"])))
+    own = own.withColumn("lines", lines)
+    # a part before its parameters counts only if it has none
+    bare = lambda s, p: F.when(s["listed"].isNull(), s[p.replace("plain", "klass")]).otherwise(s[p])
+    cut = F.transform("all", lambda s, n: F.struct(
+        (n + 1).alias("pos"), F.get("lines", n).alias("line"), *((bare(s, p) if p.startswith("plain") else s[p]).alias(p) for p in _PARTS), s["end"].alias("end"),
+        F.slice("marks", s["first"] + 1, s["end"] - s["first"]).alias("own")))
+    out = own.select("file", F.explode(cut).alias("s")).select("file", "s.*").withColumn("whole", F.array_join("own", ""))
     begins = lambda words: F.col("whole").rlike(rf"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:{words})\b")
     is_function, is_class = begins("function"), begins("class|interface|enum|namespace")
     is_arrow = F.col("arrow").isNotNull() & ~is_function & ~is_class & (F.col("semicolon").isNull() | (F.col("semicolon") > F.col("arrow")))
@@ -158,5 +171,5 @@ def statements(files: DataFrame) -> DataFrame:
     stop = F.when(close.isNotNull(), close).otherwise(F.coalesce("semicolon", F.col("end") - 1)) + 1
     out = out.withColumn("last", F.least(stop, "end")).withColumn("body", body)
     return settled(out.select(
-        "file", "pos", "first", "last", "body", "line", (F.length(F.regexp_extract("whole", r"^([ \t]*)", 1)) + 1).alias("column"),
-        told(F.slice("own", F.lit(1), F.col("last") - F.col("first")), F.col("first")).alias("code")))
+        "file", F.col("pos").cast("long").alias("pos"), "first", "last", "body", "line", (F.length(F.regexp_extract("whole", r"^([ \t]*)", 1)) + 1).alias("column"),
+        F.array_join(F.slice("own", F.lit(1), F.col("last") - F.col("first")), "").alias("code")))

@@ -77,4 +77,4 @@ def placed(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataF
 
 def distinct_sorted(column: Column | str) -> Column:
     """An aggregate: distinct values in code-unit order, without nulls."""
-    return F.array_sort(F.collect_set(column))
+    return F.sort_array(F.collect_set(column))  # compiled, where array_sort compares by a lambda

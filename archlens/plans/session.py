@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,13 +64,17 @@ class Session:
             "names": every.select("file", "name", "is_default"), "signals": extract.signals_by_file(files, read),
             "params": extract.params(files, self.config.compat, read), "exports": symbols.re_exports(files),
         }
-        out = files.select(
+        whole = files.select(
             F.col("path").alias("file"), "hash", "client", extract.has_dynamic_import(F.col("code")).alias("is_dynamic_import"), F.array_sort(extract.hook_calls(F.col("code"))).alias("hooks"))
-        out = out.join(specifiers, "file", "left")
-        for name, table in lists.items():
-            rows = table.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(*(c for c in _ordered(table.columns))))).alias(name))
-            out = out.join(rows, "file", "left")
-        return out
+        # all rows of a file meet once, each kind in a column of its own
+        rows = {"whole": whole, "imports": specifiers} | lists
+        inside = {name: F.struct(*(_ordered(table.columns))) for name, table in rows.items()}
+        kinds = {name: table.select(inside[name].alias("x")).schema["x"].dataType for name, table in rows.items()}
+        tall = [table.select("file", *((inside[n] if n == name else F.lit(None).cast(kinds[n])).alias(n) for n in rows)) for name, table in rows.items()]
+        out = reduce(DataFrame.unionByName, tall).groupBy("file").agg(
+            F.min("whole").alias("whole"), F.min("imports").alias("imports"), *(F.sort_array(F.collect_list(n)).alias(n) for n in lists))
+        listed = (F.when(F.size(n) > 0, F.col(n)).alias(n) for n in lists)
+        return out.where("whole IS NOT NULL").select("file", *(F.col(f"whole.{c}").alias(c) for c in ("hash", "client", "is_dynamic_import", "hooks")), F.col("imports.imports").alias("imports"), *listed)
 
     def assemble(self, facts: DataFrame, runtime: DataFrame | None = None) -> Tables:
         """All tables from the files' facts; whatever joins one file to another is done there."""
@@ -149,12 +153,16 @@ class Tables(Mapping[str, DataFrame]):
     def params(self) -> DataFrame:
         return settled(self._part("params").select("file", "seq", "param", "pattern", "scope"))
 
+    @cached_property
+    def usage(self) -> DataFrame:
+        """(id, used_in, usage_count): the routes that use each component."""
+        return settled(intel.usage(self._members.select("id", F.col("path").alias("group"))))
+
     @cached_property
     def components(self) -> DataFrame:
         roots = self.composites.select(F.col("root_id").alias("id"), F.col("root").alias("composite_root"), "sub_components").dropDuplicates(["id"])
         components = self._used_in_files.join(roots, "id", "left").withColumn("is_composite", F.col("composite_root").isNotNull())
-        used = intel.usage(self._members.select("id", F.col("path").alias("group")))
-        components = components.join(used, "id", "left").withColumn("used_in_routes", F.coalesce("used_in", F.array().cast("array<string>"))).drop("used_in")
+        components = components.join(self.usage.drop("usage_count"), "id", "left").withColumn("used_in_routes", F.coalesce("used_in", F.array().cast("array<string>"))).drop("used_in")
         return settled(components.withColumn("is_reusable", F.col("is_reusable") | (F.size("used_in_routes") > 1)))
 
     @cached_property
@@ -213,19 +221,22 @@ class Tables(Mapping[str, DataFrame]):
     @cached_property
     def route_intelligence(self) -> DataFrame:
         depth, walked, members = self._depth, self.dependencies, self._members
-        of = lambda t: distinct_sorted(F.when(F.col("type") == t, F.col("name")))
-        groups = members.groupBy("path").agg(
-            distinct_sorted("name").alias("components"), F.count_distinct("id").alias("component_count"), of("dialog").alias("dialogs"), of("grid").alias("grids"),
-            of("chart").alias("charts"), of("provider").alias("own_providers"))
-        kind = lambda k: distinct_sorted(F.when(F.col("kind") == k, F.col("name")))
-        outside = walked.groupBy("path").agg(kind("hook").alias("hooks"), kind("util").alias("utils"), kind("provider").alias("providers"), distinct_sorted("name").alias("dependencies"))
-        calls = self.facts.select(F.col("file").alias("node"), F.explode("hooks").alias("hook"))
-        called = depth.join(calls, "node").groupBy(F.col("root").alias("path")).agg(distinct_sorted("hook").alias("called"))
-        read = self.params.withColumnRenamed("file", "node")
-        given = depth.join(read, "node").groupBy(F.col("root").alias("path")).agg(
-            distinct_sorted(F.when(F.col("scope") == "search", F.col("param"))).alias("search_params"), distinct_sorted(F.when(F.col("scope") == "route", F.col("param"))).alias("read_params"))
-        furthest = depth.groupBy(F.col("root").alias("path")).agg(F.max("depth").alias("depth"))
-        out = self.routes.join(furthest, "path", "left").join(groups, "path", "left").join(outside, "path", "left").join(called, "path", "left").join(given, "path", "left")
+        calls = self.facts.select(F.col("file").alias("node"), F.explode("hooks").alias("called"))
+        read = self.params.select(F.col("file").alias("node"), "scope", "param")
+        # all that a route has meets once, each kind of row with columns of its own
+        rows = [
+            depth.select(F.col("root").alias("path"), "depth"), members.select("path", "id", "type", F.col("name").alias("component")),
+            walked.select("path", "kind", F.col("name").alias("dependency")), depth.join(calls, "node").select(F.col("root").alias("path"), "called").distinct(),
+            depth.join(read, "node").select(F.col("root").alias("path"), "scope", "param")]
+        of = lambda t: distinct_sorted(F.when(F.col("type") == t, F.col("component")))
+        kind = lambda k: distinct_sorted(F.when(F.col("kind") == k, F.col("dependency")))
+        read_by = lambda scope: distinct_sorted(F.when(F.col("scope") == scope, F.col("param")))
+        told = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).groupBy("path").agg(
+            F.max("depth").alias("depth"), distinct_sorted("component").alias("components"), F.size(F.collect_set("id")).cast("long").alias("component_count"),
+            of("dialog").alias("dialogs"), of("grid").alias("grids"), of("chart").alias("charts"), of("provider").alias("own_providers"),
+            kind("hook").alias("hooks"), kind("util").alias("utils"), kind("provider").alias("providers"), distinct_sorted("dependency").alias("dependencies"),
+            distinct_sorted("called").alias("called"), read_by("search").alias("search_params"), read_by("route").alias("read_params"))
+        out = self.routes.join(told, "path", "left")
         empty = F.array().cast("array<string>")
         lists = {n: F.coalesce(n, empty) for n in ("components", "dialogs", "grids", "charts", "hooks", "utils", "dependencies", "search_params", "read_params")}
         out = out.withColumns(lists).withColumns({
