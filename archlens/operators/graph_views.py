@@ -6,6 +6,8 @@ picture are numbered by ranges (``keep.placed``), so a view may have any number
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ def _node(identity: Column, label: Column, kind: Column, x: Column, y: Column) -
     return [identity.alias("id"), label.alias("label"), kind.alias("type"), x.cast("double").alias("x"), y.cast("double").alias("y")]
 
 
-def route_detail(intelligence: DataFrame, components: DataFrame, edges: DataFrame) -> View:
-    """Per route (column path): the route, its items in a row for each type, and what renders what among them."""
+def detail_nodes(intelligence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per route (column path): the route, and its items in a row for each type."""
     special = ["dialogs", "grids", "charts", "providers"]
     plain = F.col("components")
     for c in special:
@@ -34,6 +36,12 @@ def route_detail(intelligence: DataFrame, components: DataFrame, edges: DataFram
     identity = F.concat_ws("::", "type", "label")
     items = placed.select("path", *_node(identity, F.col("label"), F.col("type"), 300 - F.col("n") * 90 + 90 + F.col("place") * 180, 140 + F.col("row") * 120))
     top = intelligence.select("path", *_node(F.concat(F.lit("route::"), "path"), F.col("path"), F.lit("route"), F.lit(300), F.lit(0)))
+    return top, items
+
+
+def route_detail(intelligence: DataFrame, components: DataFrame, edges: DataFrame) -> View:
+    """``detail_nodes``, and edges from the route to its items and from what renders to what is rendered among them."""
+    top, items = detail_nodes(intelligence)
     to_items = items.select("path", F.concat(F.lit("route::"), "path").alias("source"), F.col("id").alias("target"))
     named = components.select("id", "name")
     renders = edges.where("relationship = 'renders'").join(named.select(F.col("id").alias("source"), F.col("name").alias("label")), "source").join(
@@ -66,32 +74,56 @@ def architecture(intelligence: DataFrame) -> View:
     return top.unionByName(below), pairs.select("source", F.concat(F.lit("comp::"), "label").alias("target"))
 
 
-def overview(intelligence: DataFrame, components: DataFrame) -> View:
-    """All routes on a grid, with badges (what kinds of components they have) and metrics; edges from parents, and between routes that share a component.
-
-    Nodes have badges and deps, comp, hooks and depth besides; edges have label: ``child``, or the name of what is shared.
-    The pairs of routes that share a component are as many as its routes squared: ``edges.shared_pairs`` counts them instead.
-    """
+def overview_nodes(intelligence: DataFrame) -> DataFrame:
+    """All routes on a grid, with badges (what kinds of components they have), deps, comp, hooks and depth."""
     kinds = {"dialog": "dialogs", "grid": "grids", "chart": "charts", "provider": "providers"}
     badges = F.filter(F.array(*(F.when(F.size(column) > 0, F.lit(kind)) for kind, column in kinds.items())), lambda b: b.isNotNull())
     metrics = {"deps": F.col("dependency_count"), "comp": F.size("components"), "hooks": F.size("hooks"), "depth": F.coalesce("depth", F.lit(0))}
     told = intelligence.select("path", badges.alias("badges"), *(m.cast("long").alias(n) for n, m in metrics.items()))
     node = _node(F.concat(F.lit("route::"), "path"), F.col("path"), F.lit("route"), F.col("x"), F.col("y"))
-    nodes = grid(told, "path").select(*node, "badges", *metrics)
-    name = lambda c: F.concat(F.lit("route::"), c)
-    parents = intelligence.select(F.col("path").alias("parent"))
-    children = intelligence.where("parent <> '/'").select("path", "parent").join(parents, "parent").select(name("parent").alias("source"), name("path").alias("target"), F.lit("child").alias("label"))
+    return grid(told, "path").select(*node, "badges", *metrics)
+
+
+def _route(column: str) -> Column:
+    return F.concat(F.lit("route::"), column)
+
+
+def overview_children(routes: DataFrame) -> DataFrame:
+    """Edges (source, target, label ``child``) from every route but ``/`` to those below it."""
+    parents = routes.select(F.col("path").alias("parent"))
+    return routes.where("parent <> '/'").select("path", "parent").join(parents, "parent").select(_route("parent").alias("source"), _route("path").alias("target"), F.lit("child").alias("label"))
+
+
+def overview_shared(components: DataFrame) -> DataFrame:
+    """Edges between routes that share a component, with its name as label.
+
+    They are as many as a component's routes squared: ``edges.shared_pairs`` counts them instead.
+    """
     used = components.where(F.size("used_in_routes") > 1).select("name", "used_in_routes", F.posexplode("used_in_routes").alias("i", "low"))
     after = F.slice("used_in_routes", F.col("i") + 2, F.greatest(F.size("used_in_routes") - F.col("i") - 1, F.lit(0)))
-    shared = used.select("name", "low", F.explode(after).alias("high")).select(name("low").alias("source"), name("high").alias("target"), F.col("name").alias("label")).distinct()
-    return nodes, children.unionByName(shared)
+    return used.select("name", "low", F.explode(after).alias("high")).select(_route("low").alias("source"), _route("high").alias("target"), F.col("name").alias("label")).distinct()
+
+
+def overview(intelligence: DataFrame, components: DataFrame) -> View:
+    """All routes, with edges from parents, and between routes that share a component."""
+    return overview_nodes(intelligence), overview_children(intelligence).unionByName(overview_shared(components))
+
+
+def nodes(mode: str, tables: Mapping[str, DataFrame], path: str | None = None) -> DataFrame:
+    """The nodes alone of a ``view``: of the tables they need the routes' only, but for ``reuse``."""
+    if mode == "detail" and path is not None:
+        top, items = detail_nodes(tables["route_intelligence"].where(F.col("path") == path))
+        return top.unionByName(items)
+    if mode in ("detail", "overview"):
+        return overview_nodes(tables["route_intelligence"])
+    return view(mode, tables, path)[0]
 
 
-def view(mode: str, tables: dict[str, DataFrame], path: str | None = None) -> View:
+def view(mode: str, tables: Mapping[str, DataFrame], path: str | None = None) -> View:
     """The graph of a mode: ``detail`` of a path, ``reuse``, ``architecture`` or ``overview``; detail without a path is the overview."""
-    routes = tables["route_intelligence"]
     if mode == "reuse":
         return reuse(tables["components"].select("id", F.col("used_in_routes").alias("used_in")))
+    routes = tables["route_intelligence"]
     if mode == "detail" and path is not None:
         return route_detail(routes.where(F.col("path") == path), tables["components"], tables["edges"])
     if mode == "architecture":

@@ -158,7 +158,7 @@ def view_reuse_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL + """SELECT 'route::/r0' AS id, '/r0' AS label, 'route' AS type, 300::DOUBLE AS x, 0::DOUBLE AS y UNION ALL SELECT * FROM (VALUES
   ('provider::ThemeProvider', 'ThemeProvider', 'provider', 300::DOUBLE, 140::DOUBLE), ('component::Region0Layout', 'Region0Layout', 'component', 210::DOUBLE, 260::DOUBLE), ('component::Region0Page', 'Region0Page', 'component', 390::DOUBLE, 260::DOUBLE))""")
 def view_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_views.view("detail", analysed(spark, sf_dir), "/r0")[0].select("id", "label", "type", "x", "y")
+    return graph_views.nodes("detail", analysed(spark, sf_dir), "/r0").select("id", "label", "type", "x", "y")
 
 
 @query(SQL + """, m AS (SELECT path, count(DISTINCT j) + count(DISTINCT chain.r) AS deps, count(DISTINCT j) + 1 AS comp, count(DISTINCT chain.r) AS hooks, count(*) + 1 AS depth, [] AS badges FROM pg JOIN chain USING (k) GROUP BY path
@@ -167,13 +167,13 @@ n AS (SELECT *, row_number() OVER (ORDER BY path) - 1 AS i, ceil(sqrt(count(*) O
 SELECT 'route::' || path AS id, path AS label, ((i % c) * 300)::DOUBLE AS x, (floor(i / c) * 200)::DOUBLE AS y, badges, deps, comp, hooks, depth FROM n""")
 def view_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the detail view falls back to without a path: all routes with badges and metrics."""
-    return graph_views.view("detail", analysed(spark, sf_dir))[0].drop("type")
+    return graph_views.nodes("detail", analysed(spark, sf_dir)).drop("type")
 
 
 @query(SQL + """SELECT 'route::' || coalesce(nullif(regexp_replace(path, '/[^/]+$', ''), ''), '/') AS source, 'route::' || path AS target, 'child' AS label FROM (SELECT path, k, r FROM cu UNION ALL SELECT path, k, r FROM np)
 WHERE coalesce(nullif(regexp_replace(path, '/[^/]+$', ''), ''), '/') IN (SELECT path FROM pg UNION ALL SELECT path FROM rg)""")
 def view_overview_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_views.view("overview", analysed(spark, sf_dir))[1].where("label = 'child'")
+    return graph_views.overview_children(analysed(spark, sf_dir)["routes"])
 
 
 _SQL_CALL = "'{ ' || chr(10) || '  useComponentRegistration({ canonicalId: \"' || file || '#' || name || '\", type: \"component\", sourceFile: \"' || file || '\", exportName: \"' || name || '\", compositeRoot: null });'"
