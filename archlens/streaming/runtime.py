@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from datetime import datetime, timedelta
 from functools import partial
 
 import pandas as pd
@@ -143,6 +144,7 @@ def fold_stream(events: DataFrame, idle: int | None = None) -> DataFrame:
 
 PART = "first timestamp, first_seq long, mounts long, unmounts long, renders long, timed long, total double, last_mount timestamp, last_unmount timestamp, routes array<string>"
 EVENT = "component string, event string, ts timestamp, seq long, duration double, route string"
+HEAD = "route string, last long, wake long, waits boolean, kept boolean"
 SESSION = "session string, component string, mount_count long, unmount_count long, render_count long, average_render double, last_mounted timestamp, last_unmounted timestamp, routes array<string>"
 
 
@@ -160,65 +162,74 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.route = handle.getValueState("route", "route string")
+        self.head = handle.getValueState("head", HEAD)  # says what else there is, so that nothing is asked for in vain: every call crosses to the JVM and back
         self.parts = handle.getMapState("parts", "component string", PART)
         self.waiting = handle.getListState("waiting", EVENT)
-        self.seen = handle.getValueState("seen", "ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = list(self.waiting.get()) if self.waiting.exists() else []
+        route, last, wake, waits, kept = self._known()
         columns = ["component", "event", "ts", "seq", "duration", "route"]
         plain = lambda v: None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v
         new = [tuple(plain(v) for v in r) for batch in rows for r in batch[columns].astype(object).itertuples(index=False, name=None)]
-        waiting = [tuple(r) for r in known] + [(c, e, t, int(q), None if d is None else float(d), r) for c, e, t, q, d, r in new]
-        self.waiting.put(waiting)
-        self._wake(min(_ms(r[2]) for r in waiting))
-        parts, _, changed, _ = self._added(waiting)
+        new = [(c, e, t, int(q), None if d is None else float(d), r) for c, e, t, q, d, r in new]
+        waiting = [tuple(r) for r in self.waiting.get()] + new if waits else new
+        self.waiting.appendList(new) if waits else self.waiting.put(new)
+        soonest = _ms(min(r[2] for r in waiting))
+        if soonest != wake:  # one timer at a time
+            if wake is not None:
+                self.handle.deleteTimer(wake)
+            self.handle.registerTimer(soonest)
+        self.head.update((route, last, soonest, True, kept))
+        parts, _, changed, _ = self._added(waiting, route, last, kept)
         yield self._rows(key, parts, changed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        route, last, _, waits, kept = self._known()  # the timer that has expired is gone
+        waiting = [tuple(r) for r in self.waiting.get()] if waits else []
         due, rest = [r for r in waiting if _ms(r[2]) <= now], [r for r in waiting if _ms(r[2]) > now]
         if due:
-            parts, route, changed, anew = self._added(due)
-            if anew:
+            parts, route, changed, anew = self._added(due, route, last, kept)
+            if anew and kept:
                 self.parts.clear()
             for component in changed:
                 self.parts.updateValue((component,), parts[component])
-            self.route.update((route,))
-            self.seen.update((max(_ms(r[2]) for r in due),))
+            last, kept = max(_ms(r[2]) for r in due), True
             self.waiting.put(rest) if rest else self.waiting.clear()
-        last = self.seen.get()[0] if self.seen.exists() else now
-        if rest:
-            self._wake(min(_ms(r[2]) for r in rest))
-        elif self.idle is not None and now >= last + self.idle:
-            self.route.clear(), self.parts.clear(), self.waiting.clear(), self.seen.clear()
-        elif self.idle is not None:
-            self._wake(last + self.idle)
+        wake = min(_ms(r[2]) for r in rest) if rest else None
+        if not rest and self.idle is not None:
+            wake = (now if last is None else last) + self.idle
+            if now >= wake:
+                self.head.clear(), self.parts.clear(), self.waiting.clear()
+                yield pd.DataFrame()
+                return
+        if wake is not None:
+            self.handle.registerTimer(wake)
+        self.head.update((route, last, wake, bool(rest), kept))
         yield pd.DataFrame()
 
-    def _wake(self, ms: int) -> None:
-        """One timer at a time."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(ms)
+    def _known(self) -> tuple:
+        """The route, the time of the last event added, that of the timer, whether events wait and whether any were added."""
+        head = self.head.get()
+        return (self.default, None, None, False, False) if head is None else tuple(head)
 
-    def _added(self, events: list[tuple]) -> tuple[dict[str, tuple], str, set[str], bool]:
+    def _added(self, events: list[tuple], route: str | None, last: int | None, kept: bool) -> tuple[dict[str, tuple], str, set[str], bool]:
         """The components, the current route, which components changed, and whether the session began anew, after some events; the state stays."""
-        route = self.route.get()[0] if self.route.exists() else self.default
         parts: dict[str, tuple] = {}
         changed: set[str] = set()
-        last, anew = self.seen.get()[0] if self.seen.exists() else None, False
+        anew = False
         for component, event, ts, seq, duration, target in sorted(events, key=lambda r: (r[2], r[3], r[1] != "route")):
-            if self.idle is not None and last is not None and _ms(ts) - last > self.idle:
-                route, parts, changed, anew = self.default, {}, set(), True
-            last = _ms(ts)
+            if self.idle is not None:
+                if last is not None and _ms(ts) - last > self.idle:
+                    route, parts, changed, anew = self.default, {}, set(), True
+                last = _ms(ts)
             if event == "route":
                 route = target
                 continue
-            if component not in parts and not anew and self.parts.containsKey((component,)):
-                parts[component] = tuple(self.parts.getValue((component,)))
+            if component not in parts and kept and not anew:
+                before = self.parts.getValue((component,))
+                if before is not None:
+                    parts[component] = tuple(before)
             if component not in parts:
                 if event != "mount":
                     continue
@@ -245,8 +256,8 @@ class Sessions(StatefulProcessor):
         pass
 
 
-def _ms(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1_000_000)
+def _ms(ts: datetime) -> int:
+    return (ts - datetime(1970, 1, 1)) // timedelta(milliseconds=1)
 
 
 def sessions(events: DataFrame, delay: str = "1 hour", default: str = "/", idle: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 from archlens.sources import snapshots
@@ -107,3 +108,38 @@ def test_versions_are_published_once(spark, tmp_path):
     with pytest.raises(Exception):
         one.write("t", bad)
     assert one.versions("t") == [1, 2, 3, 4] and not list(Path(f"{tmp_path}/v/t/versions").glob(".*[!c]"))
+
+
+class Calls:
+    """A handle and states that hold nothing, and count what they are asked."""
+
+    def __init__(self):
+        self.names = []
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    getMapState = getListState = getValueState
+
+    def __getattr__(self, name):
+        return lambda *_: self.names.append(name)
+
+    def exists(self):
+        self.names.append("exists")
+        return False
+
+    def listTimers(self):  # noqa: N802
+        self.names.append("listTimers")
+        return iter([])
+
+    def containsKey(self, _):  # noqa: N802
+        self.names.append("containsKey")
+        return False
+
+
+def test_a_new_session_asks_its_state_four_times():
+    handle, processor = Calls(), runtime.Sessions()
+    processor.init(handle)
+    rows = [("abc"[i % 3], "mount", pd.Timestamp(DAY), i, None, None) for i in range(9)]
+    out = list(processor.handleInputRows(("s",), iter([pd.DataFrame(rows, columns=["component", "event", "ts", "seq", "duration", "route"])]), None))
+    assert sorted(out[0]["mount_count"]) == [3, 3, 3] and sorted(handle.names) == ["get", "put", "registerTimer", "update"]
