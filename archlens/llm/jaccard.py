@@ -11,11 +11,14 @@ next class when its partners may lie there.  A key is several shingles together,
 so passages that many documents share make no key.  Keys travel packed, thousands
 to a row, and a task sends a key that many of its sets have only once.
 
-Trees.  Sets connected by keys form groups.  A group's sets are the leaves of a
+Trees.  Sets connected by keys form groups.  Passages that many texts share chain unlike
+sets together, and the longest chain grows faster than the corpus; so groups above a bound
+are formed anew, by those pairs of sets with a common key whose bitmaps let them link at all.
+A group's sets are the leaves of a
 signature tree whose nodes hold the OR of the token bitmaps and the range of sizes;
 a dual traversal drops pairs of nodes whose greatest possible overlap is too small,
 or that are connected already, and compares the rest exactly.  In a group
-above a bound, every set is compared with one hub first; what links with it is one
+above a second bound, every set is compared with one hub first; what links with it is one
 component, and only the rest is compared, in blocks, with itself and with that component.
 
 Defined results: null or empty texts and texts without words have no shingles and
@@ -41,6 +44,8 @@ WORDS = 5
 PACK = 1 << 19
 #: Bytes of a group's sets that one task compares; a larger group is compared with its hub first, then in blocks of half as many.
 GROUP_BYTES = 48 << 20
+#: Bytes of the sets of a group that keys alone connect; a larger one is formed anew by bitmaps.
+CHAIN_BYTES = 4 << 20
 #: Bits of a token bitmap, children of a tree node, sets of a leaf.
 BITS, FANOUT, LEAF = 2048, 8, 16
 
@@ -133,11 +138,11 @@ def _shared(keys: np.ndarray, nodes: np.ndarray, most: int) -> tuple[np.ndarray,
 
 
 _PACKED = "bucket int, settled boolean, keys binary, nodes binary"
-_MEMBERS = "key long, node long"
+_MEMBERS = "key long, node long, hub long"
 
 
 def key_members(docs: DataFrame) -> DataFrame:
-    """Rows (key, node) of the keys that two nodes or more have."""
+    """Rows (key, node, hub) of the keys that two nodes or more have; pairs (node, hub) connect the nodes of a key."""
     buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +175,11 @@ def key_members(docs: DataFrame) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_ddl(_MEMBERS)
 
-        def rows(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes.view(np.int64))], schema=schema)
+        def rows(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:  # in order; the first node of a key, which is held too if more may come, is the hub
+            first = np.ones(len(keys), bool)
+            first[1:] = keys[1:] != keys[:-1]
+            hubs = nodes[first][np.cumsum(first) - 1]
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, nodes, hubs)], schema=schema)
 
         def rest() -> pa.RecordBatch:
             keys, nodes, first = _grouped(*(np.concatenate(x) for x in zip(*held)))
@@ -355,6 +363,13 @@ def _block(rows: DataFrame, count: str) -> DataFrame:
     return rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
+def _among(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows (node, unit, side) of ``rows`` (see ``_block``): a task for each pair of a label's blocks."""
+    every = rows.select("node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("block") == F.col("other"), ALL).when(F.col("block") < F.col("other"), LEFT).otherwise(RIGHT)
+    return every.select("node", F.xxhash64(F.lit(kind), "label", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), side.alias("side"))
+
+
 def _units(lost: DataFrame, tied: DataFrame) -> DataFrame:
     """Rows (node, unit, side): the tasks of large groups.
 
@@ -366,16 +381,106 @@ def _units(lost: DataFrame, tied: DataFrame) -> DataFrame:
     tied_blocks = tied.groupBy("label").agg(F.sum("bytes").alias("tied"))
     counts = saved(lost_blocks.join(tied_blocks, "label", "left").withColumn("tied", F.coalesce("tied", F.lit(0))), "block_counts", narrow=True)
     left, right = _block(lost.join(counts, "label"), "lost"), _block(tied.join(counts, "label"), "tied")
-    unit = lambda kind, a, b: F.xxhash64(F.lit(kind), "label", a, b).alias("unit")
+    unit = lambda a, b: F.xxhash64(F.lit("tied"), "label", a, b).alias("unit")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias("other")
-    among = left.select("node", "label", "block", each(F.col("blocks")))
-    side = F.when(F.col("block") == F.col("other"), ALL).when(F.col("block") < F.col("other"), LEFT).otherwise(RIGHT)
-    among = among.select("node", unit("lost", F.least("block", "other"), F.greatest("block", "other")), side.alias("side"))
     tied_count = F.ceil(F.col("tied") / (GROUP_BYTES // 2)).cast("int")
-    from_left = left.where("tied > 0").select("node", "label", "block", each(tied_count)).select("node", unit("tied", F.col("block"), F.col("other")), F.lit(LEFT).alias("side"))
+    from_left = left.where("tied > 0").select("node", "label", "block", each(tied_count)).select("node", unit(F.col("block"), F.col("other")), F.lit(LEFT).alias("side"))
     lost_count = F.ceil(F.col("lost") / (GROUP_BYTES // 2)).cast("int")
-    from_right = right.select("node", "label", "block", each(lost_count)).select("node", unit("tied", F.col("other"), F.col("block")), F.lit(CONNECTED).alias("side"))
-    return among.unionByName(from_left).unionByName(from_right)
+    from_right = right.select("node", "label", "block", each(lost_count)).select("node", unit(F.col("other"), F.col("block")), F.lit(CONNECTED).alias("side"))
+    return _among(left, "lost").unionByName(from_left).unionByName(from_right)
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bitmap of a set, of four to eight bits a token, 64 at least and 8192 at most; one of half as many bits is the OR of its halves."""
+    bits = 1 << min(max(int(len(tokens) - 1).bit_length() + 2, 6), 13)
+    words = np.zeros(bits // 64, np.uint64)
+    bit = tokens % np.uint64(bits)
+    np.bitwise_or.at(words, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return words.tobytes()
+
+
+def may_link(sizes: np.ndarray, bitmaps: list[bytes], sides: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that connect the sets as all pairs do whose bitmaps allow a link (between LEFT and RIGHT, where sides aren't ALL).
+
+    From every set reached, all sets of fitting size not reached yet are looked at, so sets that go together are soon done with.
+    """
+    order = np.argsort(sizes, kind="stable")
+    sizes, sides = sizes[order], sides[order]
+    width = min(map(len, bitmaps)) // 8
+    words = np.stack([np.bitwise_or.reduce(np.frombuffer(bitmaps[i], np.uint64).reshape(-1, width), axis=0) for i in order])
+    excess = sizes - np.bitwise_count(words).sum(axis=1)
+    low, high = np.searchsorted(5 * sizes, 4 * sizes, "left"), np.searchsorted(4 * sizes, 5 * sizes, "right")
+    new = np.ones(len(sizes), bool)
+    found: list[tuple[int, int]] = []
+    for start in range(len(sizes)):
+        reached = [start] if new[start] else []
+        new[start] = False
+        while reached:
+            i = reached.pop()
+            others = low[i] + np.flatnonzero(new[low[i] : high[i]])
+            if sides[i] != ALL:
+                others = others[sides[others] != sides[i]]
+            for j in (others[k : k + 65536] for k in range(0, len(others), 65536)):
+                overlap = np.bitwise_count(words[i] & words[j]).sum(axis=1).astype(np.int64) + np.minimum(excess[i], excess[j])
+                j = j[9 * np.minimum(overlap, np.minimum(sizes[i], sizes[j])) >= 4 * (sizes[i] + sizes[j])]
+                new[j] = False
+                reached += j.tolist()
+                found += [(int(order[k]), int(order[i])) for k in j]
+    return found
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` (node, first_id, first_hash, ...) with the text of each; rows that repeat a doc_id and text repeat the node."""
+    same = F.col("text_hash").eqNullSafe(F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    found = maybe_in(docs, "text_hash", sketch(nodes, "first_hash")).where("maybe").join(nodes, same)
+    return found.select("text", *(c for c in nodes.columns if c not in ("first_id", "first_hash")))
+
+
+def _likely(docs: DataFrame, members: DataFrame, chained: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the nodes of ``chained`` as all its pairs do that have a key in common and bitmaps that allow a link."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_ddl("node long, n long, bitmap binary")
+        for batch in batches:
+            for part in slices(batch):
+                sets = shingle_sets(*utf8(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], schema=schema)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_ddl("a long, b long")
+        held: list[tuple[int, int, int, bytes]] = []
+        unit = None
+
+        def flush() -> pa.RecordBatch:
+            nodes, sizes, sides, bitmaps = zip(*held)
+            pairs = may_link(np.array(sizes), list(bitmaps), np.array(sides))
+            return pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], schema=schema)
+
+        for batch in batches:
+            for now, *row in zip(*(batch.column(c).to_pylist() for c in ("unit", "node", "n", "side", "bitmap"))):
+                if now != unit and held:
+                    yield flush()
+                    held = []
+                unit = now
+                held.append(tuple(row))
+        if held:
+            yield flush()
+
+    looks = _texts(docs, chained.select("node", "first_id", "first_hash")).mapInArrow(tidied(look), "node long, n long, bitmap binary")
+    looks = saved(looks.dropDuplicates(["node"]), "bitmaps")
+    inside = members.select("key", "node").join(looks.select("node", (F.octet_length("bitmap") + 64).cast("long").alias("bytes")), "node").distinct()
+    inside = saved(inside, "chained_members", narrow=True)
+    # of the keys that the same nodes have, one is enough
+    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    keys = inside.groupBy("key").agg(F.sum("bytes").alias("all_bytes"), *same).groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.min("all_bytes").alias("all_bytes"))
+    units = _among(_block(inside.join(keys.select("key", "all_bytes"), "key").withColumnRenamed("key", "label"), "all_bytes"), "key")
+    rows = units.join(looks, "node").repartition("unit").sortWithinPartitions("unit")
+    return rows.mapInArrow(tidied(compare), "a long, b long").distinct()
+
+
+def _sized(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (label, bytes, ...) with all_bytes, those of all nodes of the label."""
+    return nodes.join(nodes.groupBy("label").agg(F.sum("bytes").alias("all_bytes")), "label")
 
 
 def _hub_links(sets: DataFrame, groups: DataFrame, near: DataFrame) -> DataFrame:
@@ -397,21 +502,28 @@ def _hub_links(sets: DataFrame, groups: DataFrame, near: DataFrame) -> DataFrame
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes that connect them as all exact links do."""
     members = saved(key_members(docs), "members")
-    hubs = saved(members.groupBy("key").agg(F.min("node").alias("hub")), "key_hubs", narrow=True)
-    near = saved(members.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "near", narrow=True)
-    groups = saved(components(near), "groups", narrow=True)
-    first = rows.join(groups.select("node"), "node").groupBy("node").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "text_hash")).alias("first"))
-    first = saved(first.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "first", narrow=True)
-    same = F.col("text_hash").eqNullSafe(F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    texts = maybe_in(docs, "text_hash", sketch(first, "first_hash")).where("maybe").join(first, same)
-    texts = texts.dropDuplicates(["node"]).select("node", "text")
+    near = saved(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "near", narrow=True)
+    first = F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "text_hash")).alias("first")
+    nodes = rows.join(components(near), "node").groupBy("node", "label").agg(F.max(8 * F.col("n_shingles")).alias("bytes"), first)
+    nodes = saved(nodes.select("node", "label", "bytes", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "nodes", narrow=True)
+    groups = saved(_sized(nodes), "sized", narrow=True)
+    chained = groups.where(F.col("all_bytes") > CHAIN_BYTES)
+    if not chained.isEmpty():
+        likely = saved(_likely(docs, members, chained), "likely", narrow=True)
+        anew = _sized(chained.drop("label", "all_bytes").join(components(likely), "node"))
+        groups = saved(groups.where(F.col("all_bytes") <= CHAIN_BYTES).unionByName(anew), "sized_anew", narrow=True)
+        near = near.unionByName(likely)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_ddl("node long, shingles binary")
+        schema = arrow_ddl("node long, unit long, shingles binary")
         for batch in batches:
             for part in slices(batch):
                 sets = [s.tobytes() for s in shingle_sets(*utf8(part.column("text")))]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("unit"), pa.array(sets, pa.binary())], schema=schema)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        texts = _texts(docs, nodes.select("node", "first_id", "first_hash", F.col("label").alias("unit")))
+        return texts.mapInArrow(tidied(shingles), "node long, unit long, shingles binary")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_ddl("a long, b long")
@@ -429,28 +541,31 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 pairs = _stars(pairs)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=schema)
 
+        seen: set[int] = set()
         for batch in batches:
             for node, now, side, s in zip(*(batch.column(c).to_pylist() for c in ("node", "unit", "side", "shingles"))):
-                if now != unit and held:
-                    yield flush()
-                    held = []
+                if now != unit:
+                    if held:
+                        yield flush()
+                    held, seen = [], set()
                 unit = now
-                held.append((node, side, s))
+                if node not in seen:
+                    seen.add(node)
+                    held.append((node, side, s))
         if held:
             yield flush()
 
-    sets = saved(texts.mapInArrow(tidied(shingles), "node long, shingles binary"), "shingles")
-    sized = saved(groups.join(sets.select("node", F.octet_length("shingles").cast("long").alias("bytes")), "node"), "sized", narrow=True)
-    sizes = saved(sized.groupBy("label").agg(F.sum("bytes").alias("all_bytes")), "group_sizes", narrow=True)
-    sized = sized.join(sizes, "label")
-    tasks = sized.where(F.col("all_bytes") <= GROUP_BYTES).select("node", F.col("label").alias("unit"), F.lit(ALL).alias("side"))
-    large = saved(sized.where(F.col("all_bytes") > GROUP_BYTES).select("node", "label", "bytes"), "large", narrow=True)
+    # a set goes straight from its text to its group's task; only sets of large groups are written
+    tasks = sets_of(groups.where(F.col("all_bytes") <= GROUP_BYTES)).withColumn("side", F.lit(ALL))
+    large = groups.where(F.col("all_bytes") > GROUP_BYTES)
     stars = None
     if not large.isEmpty():
-        against = saved(_hub_links(sets, large, near), "against_hub")
+        sets = saved(sets_of(large).select("node", "shingles").dropDuplicates(["node"]), "shingles")
+        against = saved(_hub_links(sets, large.select("node", "label", "bytes"), near), "against_hub")
         stars = against.where("linked AND node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        tasks = tasks.unionByName(_units(against.where("NOT linked").select("node", "label", "bytes"), against.where("linked").select("node", "label", "bytes")))
-    found = tasks.join(sets, "node").repartition("unit").sortWithinPartitions("unit").mapInArrow(tidied(join), "a long, b long")
+        units = _units(against.where("NOT linked").select("node", "label", "bytes"), against.where("linked").select("node", "label", "bytes"))
+        tasks = tasks.unionByName(units.join(sets, "node"))
+    found = tasks.repartition("unit").sortWithinPartitions("unit").mapInArrow(tidied(join), "a long, b long")
     return found if stars is None else found.unionByName(stars)
 
 

@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from archlens.llm import contexttree, decontamination, jaccard, language, packing, quality, repeats, sharding, substrings, suffixes, tokencounts
+from archlens.llm import components, contexttree, decontamination, jaccard, language, packing, quality, repeats, sharding, substrings, suffixes, tokencounts
 
 tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -379,6 +379,48 @@ def test_jaccard_in_blocks_beyond_the_hub(spark, monkeypatch):
     check_components(spark, texts)
 
 
+@pytest.mark.parametrize("group_bytes", [48 << 20, 8 * 8 * 90])
+def test_jaccard_forms_long_chains_anew(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(jaccard, "CHAIN_BYTES", 0)
+    monkeypatch.setattr(jaccard, "GROUP_BYTES", group_bytes)
+    rng = random.Random(12)
+    w, texts = ["k%d" % i for i in range(100)], []
+    for i in range(30):
+        at = rng.randrange(100)
+        w = w[:at] + ["d%d" % i] + w[at + 1 :]
+        texts += [" ".join(w), " ".join(w[:90] + ["e%d" % i] + w[91:]), " ".join(rng.sample(w, rng.randint(3, 100))), f"q{i} r s t u v"]
+    check_components(spark, texts + texts[:10])
+
+
+def test_jaccard_does_not_compare_all_that_passages_chain(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHAIN_BYTES", 8 * 100)
+    monkeypatch.setattr(jaccard, "GROUP_BYTES", 8 * 100 * 8)
+    rng = random.Random(13)
+    passages = [prose(rng, 60) for _ in range(40)]
+    texts = [f"{passages[i]} {prose(rng, 10)} {passages[i + 1]}" for i in range(39)]  # halves in common, so keys, but no link
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = jaccard.key_members(docs).where("node <> hub").selectExpr("node AS a", "hub AS b")
+    assert components.components(near).groupBy("label").count().agg({"count": "max"}).first()[0] > 8  # keys chain more than a task holds
+    monkeypatch.setattr(jaccard, "_units", None)  # blocks of a chain would each be compared with all others
+    check_components(spark, texts)
+
+
+def test_bitmaps_allow_every_link():
+    rng = np.random.default_rng(5)
+    for size in (1, 4, 15, 63, 64, 65, 300, 3000):
+        base = rng.integers(0, 2**63, size, np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(size) < p], rng.integers(0, 2**63, size // 9, np.uint64)])) for p in (1, 1, 0.95, 0.9, 0.9, 0.5)]
+        sets = [s for s in sets if len(s)]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                for sides in ([jaccard.ALL] * 2, [jaccard.LEFT, jaccard.RIGHT]):
+                    found = jaccard.may_link(np.array([len(a), len(b)]), [jaccard.bitmap(a), jaccard.bitmap(b)], np.array(sides))
+                    assert found or not jaccard.linked(a, b)
+    for near in ((60, 64, 70), (500, 505, 560)):
+        strangers = [np.unique(rng.integers(0, 2**63, n, np.uint64)) for n in near]
+        assert jaccard.may_link(np.array([len(s) for s in strangers]), [jaccard.bitmap(s) for s in strangers], np.full(3, jaccard.ALL)) == []
+
+
 def test_signature_tree_finds_all_connections():
     rng = np.random.default_rng(9)
     sets = []
