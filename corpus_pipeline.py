@@ -60,12 +60,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = jaccard.grouped(docs).where("n_shingles = 0 OR doc_id = component_id OR (doc_id IS NULL AND component_id IS NULL)")
     kept = saved(kept.select("doc_id", "text_hash", "n_shingles", "label"), "kept", narrow=True)
     group = F.when(F.col("n_shingles") == 0, F.col("text_hash")).otherwise(F.lit(0))
-    named = kept.where("doc_id IS NOT NULL").select("doc_id", F.lit(0).cast("long").alias("_hash"))
-    nameless = kept.where("doc_id IS NULL").groupBy("label", group.alias("group")).agg(F.min("text_hash").alias("_hash")).select(F.lit(None).cast("long").alias("doc_id"), "_hash")
-    keep = named.unionByName(nameless).select(F.col("doc_id").alias("_id"), "_hash").distinct()
-    keyed = docs.select(*COLUMNS, F.when(F.col("doc_id").isNull(), jaccard.text_hash()).otherwise(F.lit(0)).alias("_key"))
-    rows = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("text", "source", "lang", "n_chars"))
+    named = kept.where("doc_id IS NOT NULL").select(F.lit(False).alias("_nameless"), F.col("doc_id").alias("_key"))
+    nameless = kept.where("doc_id IS NULL").groupBy("label", group.alias("group")).agg(F.min("text_hash").alias("_key")).select(F.lit(True).alias("_nameless"), "_key")
+    # the join and the window deal rows by the same columns, none of them null, so texts are sent once
+    keyed = docs.select(*COLUMNS, F.isnull("doc_id").alias("_nameless"), F.coalesce("doc_id", jaccard.text_hash()).alias("_key"))
+    rows = keyed.join(named.unionByName(nameless).distinct(), ["_nameless", "_key"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_nameless", "_key").orderBy("text", "source", "lang", "n_chars"))
     return rows.withColumn("_first", first).where("_first = 1").select(COLUMNS)
 
 

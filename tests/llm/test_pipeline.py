@@ -54,6 +54,19 @@ def test_pipeline_keeps_rows_without_an_id(spark, tmp_path):
     assert key(corpus_pipeline.drop_leaks(spark, kept, str(tmp_path))) == sorted([(0, alone), (2, near), (9, other)])
 
 
+def test_near_duplicates_send_texts_once(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, text(rng, 30), "en", "a", 1) for i in (1, 2, 2, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        behind_join = kept._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")
+        assert len(behind_join) > 1 and "Window" in behind_join[0] and "Exchange" not in behind_join[0]
+        assert kept.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
