@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from archlens.functions.extract import all_of
 from archlens.functions.lexical import literal, once
 from archlens.functions.names import canonical_id
-from archlens.operators.keep import keep_first, settled
+from archlens.operators.keep import keep_first, settled, stored
 
 #: How sure each way of resolving a name is.
 CONFIDENCE = {"local": 0.95, "named": 0.85, "default": 0.80, "namespace": 0.75}
@@ -35,14 +35,16 @@ def star_closure(exports: DataFrame, most: int = 64) -> DataFrame:
     """(file, target): the files that ``export *`` leads to over any number of steps.
 
     The steps known double in every round, so a chain of n files takes log2(n) joins.
+    They are stored, as Spark's estimate of a table that is joined with itself squares in every
+    round otherwise: a number of millions of digits, of which every plan holds many.
     """
-    known = settled(exports.where("name IS NULL AND file <> target").select("file", "target").distinct())
+    known = stored(exports.where("name IS NULL AND file <> target").select("file", "target").distinct())
     count = known.count()
     if not count:
         return known
     for _ in range(most):
         further = known.select("file", F.col("target").alias("via")).join(known.select(F.col("file").alias("via"), "target"), "via").select("file", "target")
-        known = settled(known.unionByName(further).where("file <> target").distinct())
+        known = stored(known.unionByName(further).where("file <> target").distinct())
         now = known.count()
         if now == count:
             return known
@@ -56,7 +58,9 @@ def origins(wanted: DataFrame, exports: DataFrame, declared: DataFrame) -> DataF
     A declaration in the file itself comes first (``default`` stands for a declared default if
     ``declared`` has is_default), then a named re-export, then ``export *``, of several
     the least file.  exports: (file, name, original, target); names that lead nowhere, or in a circle, are left out.
-    Every name points at the next place; pointers are joined with themselves, so they double in length each round.
+    Every name points at the next place; pointers are joined with themselves, so they double in length each round
+    (and are stored, see ``star_closure``).  All places of a way have pointers of their own, so a round
+    after which as many are open as before leaves only those that go in a circle.
     """
     exports = exports.where("target IS NOT NULL").select("file", "name", "original", "target")
     own = declared.select("file", "name", F.col("name").alias("as"))
@@ -71,14 +75,13 @@ def origins(wanted: DataFrame, exports: DataFrame, declared: DataFrame) -> DataF
     open_ = asked.where("name <> 'default'").join(known, ["file", "name"], "left_anti")
     offered = open_.join(star_closure(exports), "file").join(known.select(F.col("file").alias("target"), "name"), ["target", "name"])
     by_star = offered.groupBy("file", "name").agg(F.min("target").alias("at")).select("file", "name", "at", F.col("name").alias("as"), F.lit(False).alias("ends"))
-    pointer = settled(known.unionByName(by_star))
-    rounds, left = max(1, pointer.count()).bit_length() + 1, pointer.where("NOT ends").count()
-    for _ in range(rounds if left else 0):
+    pointer = stored(known.unionByName(by_star))
+    left, before = pointer.where("NOT ends").count(), None
+    while left and left != before:
         onward = pointer.select(F.col("file").alias("at"), F.col("name").alias("as"), F.col("at").alias("at2"), F.col("as").alias("as2"), F.col("ends").alias("ends2"))
         moved = pointer.where("NOT ends").join(onward, ["at", "as"]).select("file", "name", F.col("at2").alias("at"), F.col("as2").alias("as"), F.col("ends2").alias("ends"))
-        pointer = settled(pointer.where("ends").unionByName(moved))
-        if pointer.where("NOT ends").isEmpty():
-            break
+        pointer = stored(pointer.where("ends").unionByName(moved))
+        left, before = pointer.where("NOT ends").count(), left
     # what still doesn't end goes in a circle
     ended = pointer.where("ends").join(wanted.select("file", "name").distinct(), ["file", "name"], "left_semi")
     return ended.select("file", "name", F.col("at").alias("origin_file"), F.col("as").alias("origin_name"))

@@ -132,3 +132,13 @@ def test_origins_of_long_chains_stars_and_circles(spark):
     got = {(r.file, r.name): (r.origin_file, r.origin_name) for r in symbols.origins(wanted, exports, declared).collect()}
     assert got == {("c0", "x"): ("c40", "x"), ("s0", "x"): ("c40", "x"), ("d", "D"): ("e", "Thing"), ("e", "default"): ("e", "Thing"), ("c7", "own"): ("c7", "own")}
     assert symbols.star_closure(exports.where(F.col("name").isNotNull())).count() == 0
+
+
+def test_origins_with_circles_keep_the_plan_small(spark):
+    exports = [(f"c{i}", "A", "A", f"c{i + 1}") for i in range(20)] + [("r1", "R", "R", "r2"), ("r2", "R", "R", "r1"), ("c0", "R", "R", "r1")]
+    exports = spark.createDataFrame(exports, "file string, name string, original string, target string")
+    declared = spark.createDataFrame([("c20", "A")] + [(f"x{i}", "X") for i in range(1000)], "file string, name string")
+    wanted = spark.createDataFrame([("c0", "A"), ("c0", "R"), ("x1", "X")], "file string, name string")
+    found = symbols.origins(wanted, exports, declared)
+    assert {(r.file, r.name): (r.origin_file, r.origin_name) for r in found.collect()} == {("c0", "A"): ("c20", "A"), ("x1", "X"): ("x1", "X")}
+    assert int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 10**9  # it squared in each round, also after the last name had ended
